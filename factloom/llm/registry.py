@@ -1,7 +1,7 @@
 """The training-data queries and their SQL."""
 
-from . import chat, mixing, quality, sharding
+from . import bpe, chat, mixing, quality, sharding, tokens
 
-MODULES = (sharding, chat, quality, mixing)
+MODULES = (tokens, sharding, chat, quality, mixing, bpe)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
