@@ -1,7 +1,7 @@
 """The training-data queries and their SQL."""
 
-from . import bpe, chat, mixing, quality, sharding, tokens
+from . import bpe, chat, lines, mixing, quality, sharding, tokens
 
-MODULES = (tokens, sharding, chat, quality, mixing, bpe)
+MODULES = (tokens, sharding, chat, quality, lines, mixing, bpe)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
