@@ -43,8 +43,10 @@ class PrefixCounter:
         if crossing or model.encode("", out_type=int) or model.encode("² a 　ﬁ", out_type=str)[0][:1] != SPACE_MARK:
             raise ValueError("this model joins text across white space or normalises text")
         self.longest = max(map(len, self.score))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.usable: dict[str, bool] = {}
+        # after[piece][before]: whether piece may follow before; only pieces that encode to themselves are ever last.
+        self.after: dict[str, dict[str, bool]] = {p: {} for p in self.score if self.merge(p) == [p]}
+        self.n_pairs = 0
+        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -62,44 +64,57 @@ class PrefixCounter:
         return parts
 
     def _fits(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > REMEMBERED * 2:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(before + piece) == [before, piece]
-        return known
+        if self.n_pairs > REMEMBERED:
+            for verdicts in self.after.values():
+                verdicts.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        out = self.after[piece][before] = self.merge(before + piece) == [before, piece]
+        return out
 
     def prefixes(self, stretch: str) -> array:
         """counts[i]: tokens of stretch[:i + 1]. A character that is no piece counts as its UTF-8 bytes."""
         counts, last = array("i", [0]), [""]
-        score, longest, usable, pairs = self.score, self.longest, self.usable, self.pairs
+        after, longest = self.after, self.longest
         for end in range(1, len(stretch) + 1):
             for start in range(end - 1, max(-1, end - 1 - longest), -1):
                 piece = stretch[start:end]
-                if piece in score:
-                    if (good := usable.get(piece)) is None:
-                        good = usable[piece] = self.merge(piece) == [piece]
-                    if good:
-                        before = last[start]
-                        if start and (good := pairs.get((before, piece))) is None:
-                            good = self._fits(before, piece)
-                        if good:
-                            counts.append(counts[start] + 1)
-                            last.append(piece)
-                            break
+                verdicts = after.get(piece)
+                if verdicts is not None:
+                    if start:
+                        good = verdicts.get(last[start])
+                        if good is None:
+                            good = self._fits(last[start], piece)
+                        if not good:
+                            continue
+                    counts.append(counts[start] + 1)
+                    last.append(piece)
+                    break
             else:
                 counts.append(counts[end - 1] + len(stretch[end - 1].encode()))
                 last.append(stretch[end - 1])
         return counts[1:]
 
     def _prefixes(self, stretch: str) -> bytes | array:
-        """The same, remembered for stretches so short that each count fits in a byte."""
+        """The same, remembered for stretches so short that each count fits in a byte.
+
+        Where no piece holds two neighbouring characters, the passes before and after them are independent.
+        """
         if (found := self.known.get(stretch)) is None:
-            found = self.prefixes(stretch)
-            if len(stretch) <= 60:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                found = self.known[stretch] = bytes(found.tolist())  # at most 4 tokens a character
+            if len(stretch) > 60:
+                return self.prefixes(stretch)
+            inside = self.inside
+            for i in range(len(stretch) - 1, 0, -1):
+                if stretch[i - 1 : i + 1] not in inside:
+                    head = self._prefixes(stretch[:i])
+                    more = head[-1]
+                    found = head + bytes([more + c for c in self._prefixes(stretch[i:])])
+                    break
+            else:
+                found = bytes(self.prefixes(stretch).tolist())  # at most 4 tokens a character
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self.known[stretch] = found
         return found
 
     def stretches(self, text: str) -> list[str]:
