@@ -25,7 +25,7 @@ from .common import table
 #: The split pattern of byte-level pre-tokenizers (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries remembered by a worker before it starts afresh, and code points of text handled at once.
-REMEMBERED, AT_ONCE = 300_000, 400_000
+REMEMBERED, AT_ONCE = 400_000, 400_000
 
 
 def byte_letters() -> list[str]:
@@ -51,7 +51,7 @@ class Bpe:
         self.split = regex.compile(SPLIT)
         self.specials = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         # Tokens that do not encode to themselves are never proposed.
-        self.usable = {t for t in self.ids if len(t) == 1 or self.merge(t) == [t]}
+        self.usable = {t: i for t, i in self.ids.items() if len(t) == 1 or self.merge(t) == [t]}
         self.verdict_keys, self.verdict_values = np.empty(0, np.int64), np.empty(0, bool)
         self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
@@ -59,17 +59,17 @@ class Bpe:
 
     def merge(self, word: bytes) -> list[bytes]:
         """The exact encoding: join the adjacent pair of lowest rank, leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
         rank, none = self.rank.get, 1 << 60
-        while len(parts) > 1:
-            best, at = none, -1
-            for i in range(len(parts) - 1):
-                r = rank((parts[i], parts[i + 1]), none)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
-                break
+        parts = [word[i : i + 1] for i in range(len(word))]
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), none)
         return parts
 
     def merge_long(self, word: bytes) -> list[bytes]:
@@ -97,12 +97,12 @@ class Bpe:
         return [p for p in part if p is not None]
 
     def propose(self, word: bytes) -> list[int]:
-        out, at, end, ids, usable, longest = [], 0, len(word), self.ids, self.usable, self.longest
+        out, at, end, usable, longest = [], 0, len(word), self.usable.get, self.longest
         while at < end:
             stop = min(end, at + longest)
-            while word[at:stop] not in usable:
+            while (token := usable(word[at:stop])) is None:
                 stop -= 1
-            out.append(ids[word[at:stop]])
+            out.append(token)
             at = stop
         return out
 
@@ -115,7 +115,7 @@ class Bpe:
         if len(new):
             pair = lambda k: [self.bytes_of[int(k) >> 32], self.bytes_of[int(k) & 0xFFFFFFFF]]
             verdicts = np.fromiter((self.merge(b"".join(p)) == p for p in map(pair, new)), bool, len(new))
-            if len(known) > REMEMBERED * 4:
+            if len(known) > 1_000_000:
                 known, self.verdict_values, new = known[:0], self.verdict_values[:0], np.unique(keys)
                 verdicts = np.fromiter((self.merge(b"".join(p)) == p for p in map(pair, new)), bool, len(new))
             keys_all, values_all = np.concatenate([known, new]), np.concatenate([self.verdict_values, verdicts])
@@ -157,12 +157,12 @@ class Bpe:
         known = self.stretches
         if len(known) > REMEMBERED:
             known.clear()
-        new = {s for c in cuts for s in c} - known.keys()
+        new = set().union(*cuts).difference(known)
         if new:
             if len(self.words) > REMEMBERED:
                 self.words.clear()
             pieces = {s: self.split.findall(s) for s in new}
-            missing = list({w for p in pieces.values() for w in p} - self.words.keys())
+            missing = list(set().union(*pieces.values()).difference(self.words))
             if missing:
                 self.encode_words(missing)
             words = self.words
@@ -180,7 +180,7 @@ class Bpe:
         return b"".join([table_of_bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_WIDE = re.compile(r"\s |\s$| \s|^\s\s", re.S)
+_WIDE = re.compile(r" (?:\s|(?<=\s ))")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 

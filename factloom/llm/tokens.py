@@ -13,7 +13,6 @@ the next one; a stretch is worked out once and remembered up to a bound.
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,10 +25,26 @@ from .bpe import by_size, public_path
 from .common import table
 
 SPACE_MARK = "▁"
-REMEMBERED = 500_000
+#: Stretches remembered by a worker, and the longest of them.
+REMEMBERED, SHORT = 500_000, 60
 _STRETCH = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*")
 
 
+class Totals(dict):
+    """Stretch -> tokens, read off its last prefix when it is first met."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+
+    def __missing__(self, stretch: str) -> int:
+        if len(stretch) > SHORT:
+            return int(self.counter._counts(stretch)[-1])
+        if len(self) > REMEMBERED:
+            self.clear()
+        n = self[stretch] = self.counter._states(stretch)[-1]
+        return n
+
+
 class PrefixCounter:
     """Counts as the library does for the model at ``path``, without begin or end tokens."""
 
@@ -48,6 +63,7 @@ class PrefixCounter:
         self.n_pairs = 0
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
+        self.totals = Totals(self)
 
     def merge(self, text: str) -> list[str]:
         """The exact pieces: join the adjacent pair of best score, leftmost first, until no join is a piece."""
@@ -72,11 +88,15 @@ class PrefixCounter:
         out = self.after[piece][before] = self.merge(before + piece) == [before, piece]
         return out
 
-    def prefixes(self, stretch: str) -> array:
-        """counts[i]: tokens of stretch[:i + 1]. A character that is no piece counts as its UTF-8 bytes."""
-        counts, last = array("i", [0]), [""]
-        after, longest = self.after, self.longest
-        for end in range(1, len(stretch) + 1):
+    def prefixes(self, stretch: str, sizes: list[int], counts: list[int]) -> None:
+        """Goes on from the states of a prefix to those of the whole stretch: for each end, last token's length and count.
+
+        A character that is no piece counts as its UTF-8 bytes.
+        """
+        after, longest, at = self.after, self.longest, len(counts)
+        low = max(1, at - longest + 1)
+        last = [""] * low + [stretch[i - sizes[i - 1] : i] for i in range(low, at + 1)]
+        for end in range(at + 1, len(stretch) + 1):
             for start in range(end - 1, max(-1, end - 1 - longest), -1):
                 piece = stretch[start:end]
                 verdicts = after.get(piece)
@@ -87,36 +107,53 @@ class PrefixCounter:
                             good = self._fits(last[start], piece)
                         if not good:
                             continue
-                    counts.append(counts[start] + 1)
+                        counts.append(counts[start - 1] + 1)
+                    else:
+                        counts.append(1)
+                    sizes.append(end - start)
                     last.append(piece)
                     break
             else:
-                counts.append(counts[end - 1] + len(stretch[end - 1].encode()))
+                counts.append((counts[end - 2] if end > 1 else 0) + len(stretch[end - 1].encode()))
+                sizes.append(1)
                 last.append(stretch[end - 1])
-        return counts[1:]
 
-    def _prefixes(self, stretch: str) -> bytes | array:
-        """The same, remembered for stretches so short that each count fits in a byte.
+    def _states(self, stretch: str) -> bytes:
+        """Sizes, then counts, a byte for each prefix of a short stretch (at most 4 tokens a character); remembered.
 
-        Where no piece holds two neighbouring characters, the passes before and after them are independent.
+        The pass goes on from the longest prefix that is remembered. Where no piece holds two neighbouring characters,
+        the passes before and after them are independent.
         """
-        if (found := self.known.get(stretch)) is None:
-            if len(stretch) > 60:
-                return self.prefixes(stretch)
-            inside = self.inside
-            for i in range(len(stretch) - 1, 0, -1):
-                if stretch[i - 1 : i + 1] not in inside:
-                    head = self._prefixes(stretch[:i])
-                    more = head[-1]
-                    found = head + bytes([more + c for c in self._prefixes(stretch[i:])])
+        known = self.known
+        if (found := known.get(stretch)) is None:
+            inside, n = self.inside, len(stretch)
+            for i in (n - 1, n - 2, n - 3, stretch.rfind("\n") + 1):
+                if 0 < i < n and stretch[i - 1 : i + 1] not in inside:
+                    head, tail = self._states(stretch[:i]), self._states(stretch[i:])
+                    more, k = head[-1], n - i
+                    found = head[:i] + tail[:k] + head[i:] + bytes([more + c for c in tail[k:]])
                     break
             else:
-                found = bytes(self.prefixes(stretch).tolist())  # at most 4 tokens a character
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[stretch] = found
+                sizes, counts = [], []
+                for i in range(n - 1, 2, -1):
+                    if (start := known.get(stretch[:i])) is not None:
+                        sizes, counts = list(start[:i]), list(start[i:])
+                        break
+                self.prefixes(stretch, sizes, counts)
+                found = bytes(sizes + counts)
+            if len(known) > REMEMBERED:
+                known.clear()
+            known[stretch] = found
         return found
 
+    def _counts(self, stretch: str) -> np.ndarray:
+        """counts[i]: tokens of stretch[:i + 1]."""
+        if len(stretch) <= SHORT:
+            return np.frombuffer(self._states(stretch), np.uint8)[len(stretch) :].astype(np.int32)
+        counts: list[int] = []
+        self.prefixes(stretch, [], counts)
+        return np.array(counts, np.int32)
+
     def stretches(self, text: str) -> list[str]:
         if not text:
             return []
@@ -127,17 +164,13 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of the whole text: the last entries of its stretches' prefix tables."""
-        known, n = self.known, 0
-        for s in self.stretches(text):
-            found = known.get(s)
-            n += (found if found is not None else self._prefixes(s))[-1]
-        return n
+        return sum(map(self.totals.__getitem__, self.stretches(text)))
 
     def at_every_prefix(self, text: str) -> np.ndarray:
         """out[i]: tokens of text[:i], for i from 0 to len(text)."""
         out, base = [np.zeros(1, np.int32)], 0
         for k, s in enumerate(self.stretches(text)):
-            counts = np.array(self._prefixes(s), np.int32) if len(s) > 60 else np.frombuffer(self._prefixes(s), np.uint8).astype(np.int32)
+            counts = self._counts(s)
             out.append(base + (counts[1:] if k == 0 else counts))  # the first mark is the tokenizer's own
             base += int(counts[-1])
         return np.concatenate(out)

@@ -59,7 +59,7 @@ class Model:
         self.known: dict[str, complex] = {}
 
     def learn_words(self, tokens: set[str]) -> None:
-        new = list(tokens - self.known.keys())
+        new = list(tokens.difference(self.known))
         if not new:
             return
         if len(self.known) > REMEMBERED:
@@ -74,7 +74,7 @@ class Model:
     def top(self, texts: list[str]) -> np.ndarray:
         """The largest window's log odds of each whole text; the bias alone without words."""
         tokens = [t.lower().split() for t in texts]
-        self.learn_words({w for t in tokens for w in t})
+        self.learn_words(set().union(*tokens))
         out, known = np.full(len(texts), self.bias), self.known
         for k, words in enumerate(tokens):
             if words:
