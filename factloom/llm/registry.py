@@ -1,7 +1,7 @@
 """The training-data queries and their SQL."""
 
-from . import bpe, chat, lines, mixing, neardup, quality, sharding, tokens, toxicity
+from . import bpe, chat, lines, mixing, neardup, neighbours, quality, sharding, tokens, toxicity
 
-MODULES = (tokens, toxicity, sharding, chat, quality, neardup, lines, mixing, bpe)
+MODULES = (tokens, neighbours, toxicity, sharding, chat, quality, neardup, lines, mixing, bpe)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
