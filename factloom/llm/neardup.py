@@ -29,6 +29,8 @@ from .common import cut, table
 
 #: Identifiers of up to so many documents are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Levels that all large nodes are branched before candidates are confirmed.
+LEVELS_AT_ONCE = 3
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -168,47 +170,68 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _branch(nodes: DataFrame, classes: DataFrame, how: Join, level: int) -> DataFrame:
+    """The children (node, rep) of nodes: one position a node, or two, chosen by the node's own name."""
+    extra = int(1000 * (100 / how.percent - 1))
+    at = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(how.positions)).cast("int")
+    child = lambda k: F.xxhash64("node", at(k), F.element_at("sig", at(k) + 1))
+    twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit(0)), F.lit(1000)) < extra
+    held = nodes.join(classes.select(F.col("rep").alias("__r"), "sig"), F.col("rep") == F.col("__r"))
+    return held.select(F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node"), "rep")
+
+
+def _compare(nodes: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+    """The pairs (u, v) to compare in nodes (node, rep), and the nodes that are too large for comparing all."""
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).where("size > 1")
+    kept = cut(nodes.join(sizes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("node", "rep", "size", "low"))
+    few, many = kept.where(F.col("size") <= how.small), kept.where(F.col("size") > how.small)
+    right = few.select(F.col("node").alias("__node"), F.col("rep").alias("v"))
+    inside = few.select("node", F.col("rep").alias("u")).join(right, (F.col("node") == F.col("__node")) & (F.col("u") < F.col("v"))).select("u", "v")
+    spokes = many.where("rep > low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    return inside.unionByName(spokes), many.select("node", "rep")
+
+
 def links(docs: DataFrame, classes: DataFrame, how: Join) -> DataFrame:
-    """(u, v): stars that connect the classes (rep, sig) whose sets are linked, directly or through others."""
-    positions, rate = how.positions, 100 / how.percent - 1
+    """(u, v): for each class (rep, sig) that is not the smallest of those linked, directly or through others, the smallest.
+
+    Trees are grown several levels at a time; then the candidates are confirmed, and only nodes that still hold more
+    than one component are grown further.
+    """
     rng = np.random.default_rng(9)
-    chosen = [(t, int(p)) for t in range(how.trees) for p in rng.choice(positions, 1 + int(rng.random() < rate), replace=False)]
-    chosen += [(t, p) for t, p in enumerate(rng.choice(positions, 2, replace=False).tolist(), how.trees)] if how.trees < 4 else []
+    chosen = [(t, int(p)) for t in range(how.trees) for p in rng.choice(how.positions, 1 + int(rng.random() < 100 / how.percent - 1), replace=False)]
     root = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.element_at("sig", p + 1)) for t, p in chosen]))
     nodes = classes.select(root.alias("node"), "rep")
-    stars = None
-    tested = None
-    level = 0
+    stars = classes.sparkSession.createDataFrame([], "u long, v long")
+    tested, level = None, 0
     while True:
-        nodes = nodes.distinct() if level else nodes
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).where("size > 1")
-        named = sizes.select(F.col("node").alias("__node"), "size", "low")
-        kept = cut(nodes.join(named, F.col("node") == F.col("__node")).select("node", "rep", "size", "low"))
-        left = kept.where(F.col("size") <= how.small).select("node", F.col("rep").alias("u"))
-        right = kept.where(F.col("size") <= how.small).select(F.col("node").alias("__node"), F.col("rep").alias("v"))
-        inside = left.join(right, (F.col("node") == F.col("__node")) & (F.col("u") < F.col("v"))).select("u", "v")
-        spokes = kept.where((F.col("size") > how.small) & (F.col("rep") > F.col("low"))).select(F.col("low").alias("u"), F.col("rep").alias("v"))
-        pairs = inside.unionByName(spokes).distinct()
+        found = []
+        for _ in range(LEVELS_AT_ONCE):
+            pairs, nodes = _compare(nodes, how)
+            found.append(pairs)
+            level += 1
+            if nodes.isEmpty():
+                break
+            grown = nodes
+            nodes = _branch(nodes, classes, how, level).distinct()
+        pairs = found[0]
+        for more in found[1:]:
+            pairs = pairs.unionByName(more)
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select(F.col("u").alias("__u"), F.col("v").alias("__v")), (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti")
         sig_u, sig_v = classes.select(F.col("rep").alias("__u"), F.col("sig").alias("__a")), classes.select(F.col("rep").alias("__v"), F.col("sig").alias("__b"))
         likely = pairs.join(sig_v, F.col("v") == F.col("__v")).join(sig_u, F.col("u") == F.col("__u")).withColumn("equal", _equal("__a", "__b"))
         likely = cut(likely.where(F.col("equal") >= how.least_equal).select("u", "v", "equal"))
         stars = _confirmed(stars, likely, docs, how)
-        tested = likely.select("u", "v") if tested is None else cut(tested.unionByName(likely.select("u", "v")))
-        level += 1
-        large = kept.where(F.col("size") > how.small).select("node", "rep")
-        home = _home(large.withColumnRenamed("rep", "v"), "v", stars).select("node", F.col("v").alias("rep"), F.col("at").alias("comp"))
+        if nodes.isEmpty():
+            return stars
+        home = _home(grown.withColumnRenamed("rep", "v"), "v", stars).select("node", F.col("v").alias("rep"), F.col("at").alias("comp"))
         mixed = home.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("node").alias("__node"))
         again = cut(home.join(mixed, F.col("node") == F.col("__node"), "left_semi").select("node", "rep"))
         if again.isEmpty():
             return stars
-        # One position a node, or two, chosen by the node's own name: its children.
-        at = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(positions)).cast("int")
-        child = lambda k: F.xxhash64("node", at(k), F.element_at("sig", at(k) + 1))
-        twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit(0)), F.lit(1000)) < int(1000 * rate)
-        branched = again.join(classes.select(F.col("rep").alias("__r"), "sig"), F.col("rep") == F.col("__r"))
-        nodes = branched.select(F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node"), "rep")
+        nodes = _branch(again, classes, how, level).distinct()
+        tested = likely.select("u", "v") if tested is None else cut(tested.unionByName(likely.select("u", "v")))
 
 
 def _home(rows: DataFrame, name: str, stars: DataFrame) -> DataFrame:
@@ -217,19 +240,45 @@ def _home(rows: DataFrame, name: str, stars: DataFrame) -> DataFrame:
     return rows.join(known, F.col(name) == F.col("__h"), "left").withColumn("at", F.coalesce("__c", name)).drop("__h", "__c")
 
 
-def _confirmed(stars: DataFrame | None, likely: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
-    """The stars after testing candidate pairs: for each class its likeliest partner first, then every pair still unconnected."""
-    none = likely.sparkSession.createDataFrame([], "u long, v long")
+def _rooted(parents: DataFrame) -> DataFrame:
+    """(u, v) with v the root of u's tree, by pointer jumping; ``parents`` has one smaller v a u."""
+    now = cut(parents)
+    while True:
+        up = now.select(F.col("u").alias("__w"), F.col("v").alias("__root"))
+        jumped = cut(now.join(up, F.col("v") == F.col("__w"), "left").select("u", F.coalesce("__root", "v").alias("v"), F.col("__root").isNotNull().alias("moved")))
+        now = jumped.select("u", "v")
+        if jumped.where("moved").isEmpty():
+            return now
+
+
+def _confirmed(stars: DataFrame, likely: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
+    """The stars after testing candidate pairs: for each class one smaller partner first, then every pair still unconnected.
+
+    The first test's links are a forest, which pointer jumping flattens; what the second adds is a graph of its roots.
+    """
     if likely.isEmpty():
-        return stars if stars is not None else none
-    stars = stars if stars is not None else none
-    best = likely.groupBy("v").agg(F.max_by("u", F.struct("equal", -F.col("u"))).alias("u")).select("u", "v")
-    stars = components(stars.unionByName(confirm(best, docs, how)))
-    rest = _home(_home(likely.select("u", "v"), "u", stars).withColumnRenamed("at", "at_u"), "v", stars).where("at_u <> at").select("u", "v")
-    rest = cut(rest.join(best.select(F.col("u").alias("__u"), F.col("v").alias("__v")), (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti"))
-    if rest.isEmpty():
         return stars
-    return components(stars.unionByName(confirm(rest, docs, how)))
+    apart = lambda pairs, now: _home(_home(pairs, "u", now).withColumnRenamed("at", "at_u"), "v", now).where("at_u <> at")
+    if not stars.isEmpty():
+        likely = cut(apart(likely, stars).select("u", "v", "equal"))
+    sure = (F.col("equal") * 100 >= how.positions * how.percent).cast("int")
+    best = cut(likely.groupBy("v").agg(F.max_by("u", F.struct(sure, -F.col("u"))).alias("u")).select("u", "v"))
+    first = confirm(best, docs, how)
+    if stars.isEmpty():
+        stars = _rooted(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        stars = _joined(stars, first)
+    rest = apart(likely.select("u", "v"), stars).select("u", "v")
+    rest = cut(rest.join(best.select(F.col("u").alias("__u"), F.col("v").alias("__v")), (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti"))
+    return stars if rest.isEmpty() else _joined(stars, confirm(rest, docs, how))
+
+
+def _joined(stars: DataFrame, more: DataFrame) -> DataFrame:
+    """``stars`` with the components that links ``more`` (u, v) connect made one."""
+    ends = _home(_home(more.select("u", "v"), "u", stars).withColumnRenamed("at", "at_u"), "v", stars)
+    over = components(ends.select(F.col("at_u").alias("u"), F.col("at").alias("v")))
+    moved = _home(stars, "v", over).select("u", F.col("at").alias("v"))
+    return cut(moved.unionByName(over).distinct())
 
 
 def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
