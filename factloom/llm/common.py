@@ -16,15 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there: nothing before it is computed again.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is one made here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all machines share; only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is one made here."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there: nothing before it is computed again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -244,16 +244,19 @@ def suspects(state: State, found: DataFrame, broadcast_bytes: int = BROADCAST_BY
     return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(ask_shard, schema)
 
 
-def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES, text_name: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES, spare_first: bool = False, text_name: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, its text without the lines whose keys at least ``min_docs`` documents have, and two counts.
 
     Lines are split at line feeds; a null or empty text is one empty line, which is never dropped (its key is
     empty) and gives the empty text. What stays is joined by line feeds, as it was. Rows that share a doc_id lose lines
-    by their own texts. An empty table gives an empty table.
+    by their own texts. With ``spare_first``, the smallest doc_id keeps such a line. An empty table gives an empty table.
     """
     doomed = suspects(state, occurrences(docs, state.min_chars), broadcast_bytes)
     exact = state.counts.where(F.col("n_docs") >= state.min_docs).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"))
     doomed = doomed.join(exact, (F.col("k1") == F.col("__a")) & (F.col("k2") == F.col("__b")), "left_semi")
+    if spare_first:
+        first = doomed.groupBy("k1", "k2").agg(F.min("doc_id").alias("__first")).select(F.col("k1").alias("__c"), F.col("k2").alias("__d"), "__first")
+        doomed = doomed.join(first, (F.col("k1") == F.col("__c")) & (F.col("k2") == F.col("__d"))).where(~same(F.col("doc_id"), F.col("__first"))).drop("__c", "__d", "__first")
     by_doc = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__gone"))
     rest = [c for c in docs.columns if c not in (text_name, n_lines, n_dropped)]
     joined = docs.join(by_doc, same(F.col("doc_id"), F.col("__id")), "left").select(

@@ -305,6 +305,16 @@ def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest doc_id of each component; of repeated rows of one doc_id and text, one."""
+    judged = cut(near_duplicates(docs.select("doc_id", "text"), how))
+    gone = judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, by three-word shingles and 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Join(words=3, percent=85))

@@ -26,7 +26,7 @@ from .common import table
 
 SPACE_MARK = "▁"
 #: Stretches remembered by a worker, and the longest of them.
-REMEMBERED, SHORT = 500_000, 60
+REMEMBERED, SHORT = 800_000, 60
 _STRETCH = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*")
 
 
@@ -93,30 +93,26 @@ class PrefixCounter:
 
         A character that is no piece counts as its UTF-8 bytes.
         """
-        after, longest, at = self.after, self.longest, len(counts)
-        low = max(1, at - longest + 1)
-        last = [""] * low + [stretch[i - sizes[i - 1] : i] for i in range(low, at + 1)]
-        for end in range(at + 1, len(stretch) + 1):
-            for start in range(end - 1, max(-1, end - 1 - longest), -1):
+        after, longest, fits = self.after, self.longest, self._fits
+        for end in range(len(counts) + 1, len(stretch) + 1):
+            start, lowest = end - 1, max(0, end - longest)
+            while start >= lowest:
                 piece = stretch[start:end]
-                verdicts = after.get(piece)
-                if verdicts is not None:
-                    if start:
-                        good = verdicts.get(last[start])
-                        if good is None:
-                            good = self._fits(last[start], piece)
-                        if not good:
-                            continue
-                        counts.append(counts[start - 1] + 1)
-                    else:
+                if piece in after:
+                    if not start:
                         counts.append(1)
-                    sizes.append(end - start)
-                    last.append(piece)
-                    break
+                        sizes.append(end)
+                        break
+                    before = stretch[start - sizes[start - 1] : start]
+                    good = after[piece].get(before)
+                    if good or (good is None and fits(before, piece)):
+                        counts.append(counts[start - 1] + 1)
+                        sizes.append(end - start)
+                        break
+                start -= 1
             else:
                 counts.append((counts[end - 2] if end > 1 else 0) + len(stretch[end - 1].encode()))
                 sizes.append(1)
-                last.append(stretch[end - 1])
 
     def _states(self, stretch: str) -> bytes:
         """Sizes, then counts, a byte for each prefix of a short stretch (at most 4 tokens a character); remembered.

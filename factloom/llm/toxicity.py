@@ -226,6 +226,21 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, score_na
     return chosen.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(rest)], F.col("s").alias(score_name))
 
 
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose whole text scores under ``limit``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model.weights, model.bias, model.threshold, model.slope))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for batch in batches:
+            scores = [own.score(texts) for texts in by_size(batch.column(at).to_pylist())]
+            yield batch.filter(pa.array((np.concatenate(scores) if scores else np.empty(0)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a model that never saw the held-out documents' labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
