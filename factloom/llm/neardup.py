@@ -42,7 +42,8 @@ class Join:
     percent: int = 80
     positions: int = 64
     trees: int = 8
-    small: int = 32
+    small: int = 64
+    small_later: int = 512
 
     @property
     def least_equal(self) -> int:
@@ -180,11 +181,11 @@ def _branch(nodes: DataFrame, classes: DataFrame, how: Join, level: int) -> Data
     return held.select(F.explode(F.when(twice, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("node"), "rep")
 
 
-def _compare(nodes: DataFrame, how: Join) -> tuple[DataFrame, DataFrame]:
+def _compare(nodes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (u, v) to compare in nodes (node, rep), and the nodes that are too large for comparing all."""
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).where("size > 1")
     kept = cut(nodes.join(sizes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("node", "rep", "size", "low"))
-    few, many = kept.where(F.col("size") <= how.small), kept.where(F.col("size") > how.small)
+    few, many = kept.where(F.col("size") <= small), kept.where(F.col("size") > small)
     right = few.select(F.col("node").alias("__node"), F.col("rep").alias("v"))
     inside = few.select("node", F.col("rep").alias("u")).join(right, (F.col("node") == F.col("__node")) & (F.col("u") < F.col("v"))).select("u", "v")
     spokes = many.where("rep > low").select(F.col("low").alias("u"), F.col("rep").alias("v"))
@@ -206,7 +207,7 @@ def links(docs: DataFrame, classes: DataFrame, how: Join) -> DataFrame:
     while True:
         found = []
         for _ in range(LEVELS_AT_ONCE):
-            pairs, nodes = _compare(nodes, how)
+            pairs, nodes = _compare(nodes, how.small if tested is None else how.small_later)
             found.append(pairs)
             level += 1
             if nodes.isEmpty():

@@ -25,23 +25,24 @@ from .bpe import by_size, public_path
 from .common import table
 
 SPACE_MARK = "▁"
-#: Stretches remembered by a worker, and the longest of them.
-REMEMBERED, SHORT = 800_000, 60
+#: Stretches that a worker remembers the counts of, the longest of them, and the longest that it remembers all states of.
+REMEMBERED, SHORT, STEM = 1_200_000, 60, 10
 _STRETCH = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*")
 
 
 class Totals(dict):
-    """Stretch -> tokens, read off its last prefix when it is first met."""
+    """What follows one white space mark, up to the next -> tokens with the mark, read off its last prefix when first met."""
 
     def __init__(self, counter: PrefixCounter):
         self.counter = counter
 
-    def __missing__(self, stretch: str) -> int:
+    def __missing__(self, rest: str) -> int:
+        stretch = SPACE_MARK + rest
         if len(stretch) > SHORT:
             return int(self.counter._counts(stretch)[-1])
         if len(self) > REMEMBERED:
             self.clear()
-        n = self[stretch] = self.counter._states(stretch)[-1]
+        n = self[rest] = self.counter._states(stretch)[-1]
         return n
 
 
@@ -123,7 +124,7 @@ class PrefixCounter:
         known = self.known
         if (found := known.get(stretch)) is None:
             inside, n = self.inside, len(stretch)
-            for i in (n - 1, n - 2, n - 3, stretch.rfind("\n") + 1):
+            for i in (n - 1, stretch.rfind("\n") + 1) if stretch[-1].isalpha() else (n - 1, n - 2, n - 3, stretch.rfind("\n") + 1):
                 if 0 < i < n and stretch[i - 1 : i + 1] not in inside:
                     head, tail = self._states(stretch[:i]), self._states(stretch[i:])
                     more, k = head[-1], n - i
@@ -131,15 +132,16 @@ class PrefixCounter:
                     break
             else:
                 sizes, counts = [], []
-                for i in range(n - 1, 2, -1):
+                for i in range(min(n - 1, STEM), 2, -1):
                     if (start := known.get(stretch[:i])) is not None:
                         sizes, counts = list(start[:i]), list(start[i:])
                         break
                 self.prefixes(stretch, sizes, counts)
                 found = bytes(sizes + counts)
-            if len(known) > REMEMBERED:
-                known.clear()
-            known[stretch] = found
+            if n <= STEM:
+                if len(known) > REMEMBERED // 2:
+                    known.clear()
+                known[stretch] = found
         return found
 
     def _counts(self, stretch: str) -> np.ndarray:
@@ -160,7 +162,11 @@ class PrefixCounter:
 
     def count(self, text: str) -> int:
         """Tokens of the whole text: the last entries of its stretches' prefix tables."""
-        return sum(map(self.totals.__getitem__, self.stretches(text)))
+        if not text:
+            return 0
+        if "  " in text or text[0] == " " or text[-1] == " " or SPACE_MARK in text:
+            return sum(int(self._counts(s)[-1]) for s in self.stretches(text))
+        return sum(map(self.totals.__getitem__, text.split(" ")))
 
     def at_every_prefix(self, text: str) -> np.ndarray:
         """out[i]: tokens of text[:i], for i from 0 to len(text)."""

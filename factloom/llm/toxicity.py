@@ -12,6 +12,7 @@ is all that is sent to the workers.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -95,11 +96,14 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, epochs: int = 16, bat
     if len(texts) < 2 or toxic.min() == toxic.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 10.0, 1.0)
     vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()), np.int64) for t in texts]
-    bags = [subwords(w) for w in vocabulary]
-    bag_size = np.fromiter(map(len, bags), np.int64, len(bags))
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()), np.int32) for t in texts]
+    packed, sizes_of = array("i"), array("i")
+    for w in vocabulary:
+        bag = subwords(w)
+        packed.extend(bag)
+        sizes_of.append(len(bag))
+    bag_size, flat = np.array(sizes_of, np.int64), np.frombuffer(packed, np.int32)
     bag_start = np.concatenate([[0], np.cumsum(bag_size)])
-    flat = np.fromiter((i for b in bags for i in b), np.int32, int(bag_size.sum()))
     # Subwords of fewer than MIN_TEXTS training texts have no weight: what is learnt of them does not carry over.
     texts_with = np.zeros(BUCKETS, np.int32)
     for d in docs:
@@ -125,7 +129,7 @@ def fit(texts: list[str], toxic: np.ndarray, dim: int = 8, epochs: int = 16, bat
 
     def window_scores() -> np.ndarray:
         weight, shift = collapsed()
-        sums = np.add.reduceat(weight[flat], bag_start[:-1])
+        sums = np.add.reduceat(weight.astype(np.float32)[flat], bag_start[:-1]).astype(float)
         total, count = (np.concatenate([[0.0], np.cumsum(x[words])]) for x in (sums, bag_size.astype(float)))
         return (total[span[:, 1]] - total[span[:, 0]]) / (count[span[:, 1]] - count[span[:, 0]]) + shift
 
@@ -203,7 +207,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_char
     return [r.text for r in rows], np.array([r.toxic for r in rows], int)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 8_000) -> Model:
     """A model from a bounded sample of the labelled documents that are not held out."""
     return fit(*training_sample(docs, labels, per_class, max_chars))
 
