@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 
 def _registered():
-    from . import claims, documents, registry, text  # noqa: F401
+    from . import claims, documents, graph, registry, streams, text  # noqa: F401
 
     return registry
 
