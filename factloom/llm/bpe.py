@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 #: The split pattern of byte-level pre-tokenizers (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", deco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
             for texts in by_size(batch.column(len(keep)).to_pylist()):
                 ids = bpe.encode_batch(texts)

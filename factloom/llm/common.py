@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches, rows: int = 256):
+    """Record batches in slices: texts become Python objects a few hundred at a time, whatever the batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality under which null equals null."""
     return a.eqNullSafe(b)

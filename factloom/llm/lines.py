@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, same, table
+from .common import cut, pieces, same, table
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Filters of up to so many bytes in all are broadcast; beyond it, line occurrences are dealt to the shards' tasks.
@@ -127,7 +127,7 @@ def occurrences(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, found = [], []
             for row, text in enumerate(batch.column(1)):
                 new = {_digest(k) for k in line_keys(text.as_py()) if _long_enough(k, min_chars)}
@@ -221,7 +221,7 @@ def suspects(state: State, found: DataFrame, broadcast_bytes: int = BROADCAST_BY
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filters = {s: Cuckoo.unpack(b) for s, b in shared.value.items()}
-            for batch in batches:
+            for batch in pieces(batches, 1 << 16):
                 shard, k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "k1", "k2"))
                 hit = np.zeros(len(k1), bool)
                 for s in np.unique(shard):
@@ -264,7 +264,7 @@ def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_B
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)), "t string, n long, d long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             kept, total, lost = [], [], []
             for text, g1, g2 in zip(batch.column("t"), batch.column("g1"), batch.column("g2")):
                 whole = text.as_py() or ""

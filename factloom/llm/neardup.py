@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, pieces, table
 
 #: Identifiers of up to so many documents are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -42,8 +42,9 @@ class Join:
     percent: int = 80
     positions: int = 64
     trees: int = 8
-    small: int = 64
-    small_later: int = 512
+    small: int = 32
+    whole: int = 4_096
+    whole_shingles: int = 2_000_000
 
     @property
     def least_equal(self) -> int:
@@ -89,23 +90,16 @@ def sketches(docs: DataFrame, how: Join) -> DataFrame:
     """(id, n, k1, k2, sig) for every row: set size, 128 bits that name the set (null: no words), minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, k1, k2, sigs = [], [], [], []
-                for text in part.column(1):
-                    items = shingles(text.as_py(), how.words)
-                    n.append(len(items))
-                    if len(items):
-                        name = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), np.int64)
-                        k1.append(int(name[0]))
-                        k2.append(int(name[1]))
-                        sigs.append(minwise(items, how.positions).view(np.int32))
-                    else:
-                        k1.append(None)
-                        k2.append(None)
-                        sigs.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["id", "n", "k1", "k2", "sig"])
+        for batch in pieces(batches):
+            n, k1, k2, sigs = [], [], [], []
+            for text in batch.column(1):
+                items = shingles(text.as_py(), how.words)
+                n.append(len(items))
+                name = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), np.int64).tolist() if len(items) else [None, None]
+                k1.append(name[0])
+                k2.append(name[1])
+                sigs.append(minwise(items, how.positions).view(np.int32) if len(items) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sigs, pa.list_(pa.int32()))], names=["id", "n", "k1", "k2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n long, k1 long, k2 long, sig array<int>")
 
@@ -139,8 +133,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
     with the number of copies.
     """
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("__id is not null").join(F.broadcast(ids) if few else ids, F.col("__id") == F.col("id")).select("id", "text")
+    texts = _texts(docs, ids)
     degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("__parts")).withColumnRenamed("u", "__u")
     dealt = pairs.join(degree, F.col("u") == F.col("__u")).select("u", "v", F.pmod(F.xxhash64("v"), F.col("__parts")).cast("int").alias("part"))
     roles = dealt.select("u", "part", F.col("v").alias("who")).unionByName(dealt.select("u", "part", F.col("u").alias("who"))).distinct()
@@ -149,7 +142,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hubs = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             us, vs = [], []
             for u, part, who, side, text in zip(*(batch.column(i) for i in range(4)), batch.column(4)):
                 key, items = (u.as_py(), part.as_py()), shingles(text.as_py(), how.words)
@@ -195,44 +188,43 @@ def _compare(nodes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 def links(docs: DataFrame, classes: DataFrame, how: Join) -> DataFrame:
     """(u, v): for each class (rep, sig) that is not the smallest of those linked, directly or through others, the smallest.
 
-    Trees are grown several levels at a time; then the candidates are confirmed, and only nodes that still hold more
-    than one component are grown further.
+    Trees are grown a few levels and the candidates confirmed. A large node that still holds more than one component is
+    compared whole on its full sets if it fits in a task, and grown further until its children do.
     """
     rng = np.random.default_rng(9)
     chosen = [(t, int(p)) for t in range(how.trees) for p in rng.choice(how.positions, 1 + int(rng.random() < 100 / how.percent - 1), replace=False)]
     root = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.element_at("sig", p + 1)) for t, p in chosen]))
     nodes = classes.select(root.alias("node"), "rep")
-    stars = classes.sparkSession.createDataFrame([], "u long, v long")
-    tested, level = None, 0
-    while True:
-        found = []
-        for _ in range(LEVELS_AT_ONCE):
-            pairs, nodes = _compare(nodes, how.small if tested is None else how.small_later)
-            found.append(pairs)
-            level += 1
-            if nodes.isEmpty():
-                break
-            grown = nodes
-            nodes = _branch(nodes, classes, how, level).distinct()
-        pairs = found[0]
-        for more in found[1:]:
-            pairs = pairs.unionByName(more)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select(F.col("u").alias("__u"), F.col("v").alias("__v")), (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti")
-        sig_u, sig_v = classes.select(F.col("rep").alias("__u"), F.col("sig").alias("__a")), classes.select(F.col("rep").alias("__v"), F.col("sig").alias("__b"))
-        likely = pairs.join(sig_v, F.col("v") == F.col("__v")).join(sig_u, F.col("u") == F.col("__u")).withColumn("equal", _equal("__a", "__b"))
-        likely = cut(likely.where(F.col("equal") >= how.least_equal).select("u", "v", "equal"))
-        stars = _confirmed(stars, likely, docs, how)
-        if nodes.isEmpty():
-            return stars
-        home = _home(grown.withColumnRenamed("rep", "v"), "v", stars).select("node", F.col("v").alias("rep"), F.col("at").alias("comp"))
+    found, level = [], 0
+    for level in range(1, LEVELS_AT_ONCE + 1):
+        pairs, large = _compare(nodes, how.small)
+        found.append(pairs)
+        if large.isEmpty():
+            break
+        if level < LEVELS_AT_ONCE:
+            nodes = _branch(large, classes, how, level).distinct()
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    sig_u, sig_v = classes.select(F.col("rep").alias("__u"), F.col("sig").alias("__a")), classes.select(F.col("rep").alias("__v"), F.col("sig").alias("__b"))
+    likely = pairs.distinct().join(sig_v, F.col("v") == F.col("__v")).join(sig_u, F.col("u") == F.col("__u")).withColumn("equal", _equal("__a", "__b"))
+    stars = _confirmed(cut(likely.where(F.col("equal") >= how.least_equal).select("u", "v", "equal")), docs, how)
+    while not large.isEmpty():
+        home = _home(large.withColumnRenamed("rep", "v"), "v", stars).select("node", F.col("v").alias("rep"), F.col("at").alias("comp"))
         mixed = home.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("node").alias("__node"))
-        again = cut(home.join(mixed, F.col("node") == F.col("__node"), "left_semi").select("node", "rep"))
-        if again.isEmpty():
-            return stars
-        nodes = _branch(again, classes, how, level).distinct()
-        tested = likely.select("u", "v") if tested is None else cut(tested.unionByName(likely.select("u", "v")))
+        home = cut(home.join(mixed, F.col("node") == F.col("__node"), "left_semi"))
+        held = home.join(classes.select(F.col("rep").alias("__r"), "n"), F.col("rep") == F.col("__r"))
+        sizes = held.groupBy("node").agg((F.count(F.lit(1)) <= how.whole).alias("few"), (F.sum("n") <= how.whole_shingles).alias("short"))
+        within = cut(sizes.select(F.col("node").alias("__node"), (F.col("few") & F.col("short")).alias("fits")))
+        fits = lambda yes: home.join(within.where(F.col("fits") == yes), F.col("node") == F.col("__node"), "left_semi")
+        if not within.where("fits").isEmpty():
+            stars = _joined(stars, cut(exhaust(fits(True), docs, how)))
+        rest = cut(fits(False).select("node", "rep"))
+        if rest.isEmpty():
+            break
+        level += 1
+        pairs, large = _compare(_branch(rest, classes, how, level).distinct(), 1)
+    return stars
 
 
 def _home(rows: DataFrame, name: str, stars: DataFrame) -> DataFrame:
@@ -252,28 +244,83 @@ def _rooted(parents: DataFrame) -> DataFrame:
             return now
 
 
-def _confirmed(stars: DataFrame, likely: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
+def _confirmed(likely: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
     """The stars after testing candidate pairs: for each class one smaller partner first, then every pair still unconnected.
 
     The first test's links are a forest, which pointer jumping flattens; what the second adds is a graph of its roots.
     """
     if likely.isEmpty():
-        return stars
-    apart = lambda pairs, now: _home(_home(pairs, "u", now).withColumnRenamed("at", "at_u"), "v", now).where("at_u <> at")
-    if not stars.isEmpty():
-        likely = cut(apart(likely, stars).select("u", "v", "equal"))
+        return likely.select("u", "v")
     sure = (F.col("equal") * 100 >= how.positions * how.percent).cast("int")
     best = cut(likely.groupBy("v").agg(F.max_by("u", F.struct(sure, -F.col("u"))).alias("u")).select("u", "v"))
-    first = confirm(best, docs, how)
-    if stars.isEmpty():
-        stars = _rooted(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        stars = _joined(stars, first)
-    rest = apart(likely.select("u", "v"), stars).select("u", "v")
-    rest = cut(rest.join(best.select(F.col("u").alias("__u"), F.col("v").alias("__v")), (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti"))
+    stars = _rooted(confirm(best, docs, how).select(F.col("v").alias("u"), F.col("u").alias("v")))
+    apart = _home(_home(likely.select("u", "v"), "u", stars).withColumnRenamed("at", "at_u"), "v", stars).where("at_u <> at").select("u", "v")
+    rest = cut(apart.join(best.select(F.col("u").alias("__u"), F.col("v").alias("__v")), (F.col("u") == F.col("__u")) & (F.col("v") == F.col("__v")), "left_anti"))
     return stars if rest.isEmpty() else _joined(stars, confirm(rest, docs, how))
 
 
+def node_links(reps: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join components within one node, from exact intersections of each set outside the largest component with all."""
+    n = len(reps)
+    sizes = np.array([len(s) for s in sets])
+    offset = np.concatenate([[0], np.cumsum(sizes)])
+    _, item = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(item, kind="stable")
+    holder = np.repeat(np.arange(n), sizes)[order]
+    count = np.bincount(item)
+    start = np.concatenate([[0], np.cumsum(count)])
+    names, label = np.unique(np.array(comps), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    largest = np.bincount(label).argmax()
+    for i in np.flatnonzero(label != largest):
+        own = item[offset[i] : offset[i + 1]]
+        many = count[own]
+        at = np.repeat(start[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(holder[at], minlength=n)
+        linked = (100 * common >= percent * (sizes + sizes[i] - common)) & (label != label[i])
+        for j in np.flatnonzero(linked):
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return out
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents named in ``ids`` (id)."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("__id is not null").join(F.broadcast(ids) if few else ids, F.col("__id") == F.col("id")).select("id", "text")
+
+
+def exhaust(nodes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
+    """(u, v): confirmed links between components within nodes (node, rep, comp), each node compared whole in one task."""
+    texts = _texts(docs, nodes.select(F.col("rep").alias("id")).distinct())
+    rows = nodes.join(texts, F.col("rep") == F.col("id")).select("node", "rep", "comp", "text").repartition("node").sortWithinPartitions("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(held: list) -> pa.RecordBatch:
+            found = node_links(*zip(*held), how.percent) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        node, held = None, []
+        for batch in pieces(batches):
+            for name, rep, comp, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if name != node:
+                    yield links_of(held)
+                    node, held = name, []
+                held.append((rep, comp, shingles(text.as_py(), how.words)))
+        yield links_of(held)
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
 def _joined(stars: DataFrame, more: DataFrame) -> DataFrame:
     """``stars`` with the components that links ``more`` (u, v) connect made one."""
     ends = _home(_home(more.select("u", "v"), "u", stars).withColumnRenamed("at", "at_u"), "v", stars)
@@ -291,8 +338,8 @@ def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """
     drawn = cut(sketches(docs, how))
     named = drawn.where("id is not null and k1 is not null")
-    reps = cut(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    classes = reps.groupBy("rep").agg(F.first("sig").alias("sig"))
+    reps = cut(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
+    classes = reps.groupBy("rep").agg(F.max("n").alias("n"), F.first("sig").alias("sig"))
     stars = links(docs, cut(classes), how)
     # A document whose rows have different sets belongs to several classes: their smallest ids are linked as well.
     pooled = named.join(reps.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), "rep"), (F.col("k1") == F.col("__a")) & (F.col("k2") == F.col("__b"))).select("id", "rep")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import by_size, public_path
-from .common import table
+from .common import pieces, table
 
 SPACE_MARK = "▁"
 #: Stretches that a worker remembers the counts of, the longest of them, and the longest that it remembers all states of.
@@ -202,7 +202,7 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], limit: int = 4096,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
             for texts in by_size(batch.column(len(keep)).to_pylist()):
                 counts = [counter.count(t) for t in texts]

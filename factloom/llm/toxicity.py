@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import by_size
-from .common import table
+from .common import pieces, table
 
 BUCKETS = 1 << 18
 #: Words in a window, and from one window's start to the next.
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, score_na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             scores = [own.score(texts) for texts in by_size(batch.column(len(rest)).to_pylist())]
             made = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), made], names=[*(f"k{i}" for i in range(len(rest))), "s"])
@@ -238,7 +238,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             scores = [own.score(texts) for texts in by_size(batch.column(at).to_pylist())]
             yield batch.filter(pa.array((np.concatenate(scores) if scores else np.empty(0)) < limit))
 
