@@ -185,16 +185,18 @@ def _compare(nodes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return inside.unionByName(spokes), many.select("node", "rep")
 
 
-def links(docs: DataFrame, classes: DataFrame, how: Join) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, how: Join, repeated: bool = False) -> DataFrame:
     """(u, v): for each class (rep, sig) that is not the smallest of those linked, directly or through others, the smallest.
 
     Trees are grown a few levels and the candidates confirmed. A large node that still holds more than one component is
-    compared whole on its full sets if it fits in a task, and grown further until its children do.
+    compared whole on its full sets if it fits in a task, and grown further until its children do. ``repeated``: several
+    classes may have one rep, whose links are pooled.
     """
     rng = np.random.default_rng(9)
     chosen = [(t, int(p)) for t in range(how.trees) for p in rng.choice(how.positions, 1 + int(rng.random() < 100 / how.percent - 1), replace=False)]
     root = F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(p), F.element_at("sig", p + 1)) for t, p in chosen]))
     nodes = classes.select(root.alias("node"), "rep")
+    nodes = nodes.distinct() if repeated else nodes
     found, level = [], 0
     for level in range(1, LEVELS_AT_ONCE + 1):
         pairs, large = _compare(nodes, how.small)
@@ -208,7 +210,9 @@ def links(docs: DataFrame, classes: DataFrame, how: Join) -> DataFrame:
         pairs = pairs.unionByName(more)
     sig_u, sig_v = classes.select(F.col("rep").alias("__u"), F.col("sig").alias("__a")), classes.select(F.col("rep").alias("__v"), F.col("sig").alias("__b"))
     likely = pairs.distinct().join(sig_v, F.col("v") == F.col("__v")).join(sig_u, F.col("u") == F.col("__u")).withColumn("equal", _equal("__a", "__b"))
-    stars = _confirmed(cut(likely.where(F.col("equal") >= how.least_equal).select("u", "v", "equal")), docs, how)
+    likely = likely.where(F.col("equal") >= how.least_equal).select("u", "v", "equal")
+    likely = likely.groupBy("u", "v").agg(F.max("equal").alias("equal")) if repeated else likely
+    stars = _confirmed(cut(likely), docs, how)
     while not large.isEmpty():
         home = _home(large.withColumnRenamed("rep", "v"), "v", stars).select("node", F.col("v").alias("rep"), F.col("at").alias("comp"))
         mixed = home.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("node").alias("__node"))
@@ -339,12 +343,12 @@ def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
     drawn = cut(sketches(docs, how))
     named = drawn.where("id is not null and k1 is not null")
     reps = cut(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig")))
-    classes = reps.groupBy("rep").agg(F.max("n").alias("n"), F.first("sig").alias("sig"))
-    stars = links(docs, cut(classes), how)
+    repeated = not reps.groupBy("rep").count().where("count > 1").isEmpty()
+    stars = links(docs, reps.select("rep", "n", "sig"), how, repeated)
     # A document whose rows have different sets belongs to several classes: their smallest ids are linked as well.
     pooled = named.join(reps.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), "rep"), (F.col("k1") == F.col("__a")) & (F.col("k2") == F.col("__b"))).select("id", "rep")
-    repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("id").alias("__id"))
-    extra = cut(pooled.join(repeated, F.col("id") == F.col("__id"), "left_semi").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    again = named.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("id").alias("__id"))
+    extra = cut(pooled.join(again, F.col("id") == F.col("__id"), "left_semi").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
     if not extra.isEmpty():
         stars = components(stars.unionByName(extra))
     homes = _home(reps.select("k1", "k2", "rep"), "rep", stars).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("at").alias("comp"))

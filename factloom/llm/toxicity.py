@@ -73,16 +73,16 @@ class Model:
         self.known.update(zip(new, sums + 1j * sizes))
 
     def top(self, texts: list[str]) -> np.ndarray:
-        """The largest window's log odds of each whole text; the bias alone without words."""
+        """The largest window's log odds of each whole text; without words, none are lower."""
         tokens = [t.lower().split() for t in texts]
         self.learn_words(set().union(*tokens))
-        out, known = np.full(len(texts), self.bias), self.known
+        out, known = np.full(len(texts), -np.inf), self.known
         for k, words in enumerate(tokens):
             if words:
                 sums = np.concatenate([[0], np.cumsum(np.fromiter(map(known.__getitem__, words), complex, len(words)))])
                 at = windows(len(words))
                 span = sums[at[:, 1]] - sums[at[:, 0]]
-                out[k] += (span.real / span.imag).max()
+                out[k] = self.bias + (span.real / span.imag).max()
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
