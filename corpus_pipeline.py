@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's ids (little-endian 32-bit integers), their number, and the digest of the text decoded from them."""
-    encoded = bpe.encode(docs, bpe.public_path("byte_bpe_50k.json"), [c for c in ("doc_id", "lang", "source") if c in docs.columns])
+    encoded = bpe.encode(docs, bpe.public_path("byte_bpe_50k.json"), [c for c in ("doc_id", "lang", "source") if c in docs.columns], forget=True)
     whole = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     return encoded.select(*[c for c in encoded.columns if c != "decoded"], (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), whole)
 

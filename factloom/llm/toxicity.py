@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 WINDOW, STEP = 4, 2
 MIN_TEXTS = 2
 EDGES = ".,;:!?\"'()[]{}«»¿¡…"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def subwords(token: str) -> list[int]:
