@@ -14,12 +14,10 @@ query("agg2_claim_conflicts", K + """, g AS (
   FROM k WHERE numeric_value IS NOT NULL GROUP BY subject, context_key)
 SELECT *, CASE WHEN n_values > 1 THEN 'potential_conflict' ELSE 'corroborated' END AS status FROM g WHERE n_claims >= 2 AND n_places >= 2""")(lambda t: op.conflicts(t.claims_v))
 
-query("agg3_linked_conflicts", K + """, p AS (
-  SELECT a.claim_id, any_value(a.subject) AS subject, any_value(a.context_key) AS context_key, any_value(a.unit) AS unit, any_value(a.numeric_value) AS numeric_value,
-    any_value(a.document_id) AS document_id, any_value(a.page) AS page,
-    count(b.claim_id) FILTER (WHERE b.numeric_value = a.numeric_value) AS n_corroborating, count(b.claim_id) FILTER (WHERE b.numeric_value <> a.numeric_value) AS n_conflicting
-  FROM k a LEFT JOIN k b ON a.subject = b.subject AND a.context_key = b.context_key AND a.unit = b.unit AND (a.document_id <> b.document_id OR a.page <> b.page) GROUP BY a.claim_id)
-SELECT subject, context_key, unit, numeric_value, document_id, page, count(*) AS n_claims, n_corroborating, n_conflicting FROM p GROUP BY ALL""")(lambda t: op.linked_conflicts(t.claims_v))
+query("agg3_linked_conflicts", K + """, v AS (SELECT subject, context_key, unit, numeric_value, document_id, page, count(*) AS n FROM k GROUP BY ALL)
+SELECT a.subject, a.context_key, a.unit, a.numeric_value, a.document_id, a.page, a.n AS n_claims, CAST(coalesce(sum(b.n) FILTER (WHERE b.numeric_value = a.numeric_value), 0) AS BIGINT) AS n_corroborating,
+  CAST(coalesce(sum(b.n) FILTER (WHERE b.numeric_value <> a.numeric_value), 0) AS BIGINT) AS n_conflicting
+FROM v a LEFT JOIN v b ON a.subject = b.subject AND a.context_key = b.context_key AND a.unit = b.unit AND (a.document_id <> b.document_id OR a.page <> b.page) GROUP BY ALL""")(lambda t: op.linked_conflicts(t.claims_v))
 
 RANKED = K + """, r AS (
   SELECT k.*, CASE temporal_status WHEN 'current' THEN 3 WHEN 'historical' THEN 1 WHEN 'defunct' THEN 0 ELSE 2 END AS temporal_rank, coalesce(d.authority_rank, 50) AS document_rank,
