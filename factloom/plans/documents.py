@@ -46,10 +46,9 @@ query("stc5_procedure_runs", """WITH s AS (SELECT user_id, event_id, event_type,
   SELECT user_id, CAST(run AS BIGINT) AS run, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS n_imperative FROM s GROUP BY ALL HAVING count(*) >= 3""")(
     lambda t: structure.runs(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "purchase")).groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("event_type") == "click").cast("long")).alias("n_imperative")).where("n >= 3"))
 CELLS = "SELECT DISTINCT l_orderkey % 300 AS table_id, CAST(l_linenumber AS INT) AS row, CAST(l_partkey % 6 AS INT) AS col, CAST(1 + l_suppkey % 2 AS INT) AS rowspan, CAST(1 + l_partkey % 2 AS INT) AS colspan, concat('c', CAST(l_linenumber AS STRING), '_', CAST(l_partkey % 6 AS STRING)) AS content FROM lineitem WHERE l_suppkey = 1 + l_partkey % 2"
-query("stc12_merged_cells", f"""WITH c AS ({CELLS}), o AS (SELECT table_id, "row", col, content, 0 AS copied FROM c UNION ALL SELECT table_id, unnest(range("row", "row" + rowspan)), col, content, colspan FROM (SELECT 1) x, c WHERE false
+query("stc12_merged_cells", f"""WITH c AS ({CELLS}), o AS (SELECT table_id, "row", col, content, 0 AS copied FROM c
     UNION ALL SELECT table_id, r AS "row", unnest(range(col, col + colspan)) AS col, content, 1 FROM (SELECT *, unnest(range("row", "row" + rowspan)) AS r FROM c WHERE rowspan > 1 OR colspan > 1) y)
-  SELECT table_id, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, arg_min(content, (copied, content)) AS content, min(copied)::INT AS copied FROM o GROUP BY ALL""".replace("""UNION ALL SELECT table_id, unnest(range("row", "row" + rowspan)), col, content, colspan FROM (SELECT 1) x, c WHERE false
-    """, "").replace('GROUP BY ALL', 'GROUP BY table_id, "row", col'))(lambda t: structure.propagate_merged(t.sql(CELLS)))
+  SELECT table_id, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, arg_min(content, (copied, content)) AS content, min(copied)::INT AS copied FROM o GROUP BY table_id, "row", col""")(lambda t: structure.propagate_merged(t.sql(CELLS)))
 query("stc19_chunk_packing")(lambda t: structure.pack(t.turns_v.select("conv_id", "turn", text.token_estimate("text").alias("tokens")), "conv_id", "turn", "tokens", 256))
 both("stc21_overlap_bridge", "SELECT conv_id, turn, coalesce(substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 80), '') AS bridge FROM turns_v")
 both("stc11_table_signatures", """SELECT sig, n, first_table FROM (SELECT md5(concat(l_returnflag, '|', l_linestatus, '|', CAST(l_linenumber AS STRING))) AS sig, count(*) AS n, min(l_orderkey) AS first_table FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber) AS x""")
@@ -65,7 +64,7 @@ query("val1_grounding", r"""WITH b AS (SELECT item_id, list_distinct(list_filter
     .join(F.broadcast(t.benchmark.where("item_id < 10").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 3)).alias("b")).where(F.size("b") > 0)), F.arrays_overlap("w", "b") & (F.size(F.array_intersect("b", "w")) * 10 >= F.size("b") * 8))
     .groupBy("item_id", "doc_id").agg(F.min("pos").alias("first_line"), F.count(F.lit(1)).alias("n_lines")))
 both("val11_quality_gate", "SELECT lang, count(*) AS n, sum(CASE WHEN n_chars < 50 THEN 1 ELSE 0 END) AS heading_only, sum(CASE WHEN n_chars > 8000 THEN 1 ELSE 0 END) AS over_max, sum(CASE WHEN text LIKE '%@%' THEN 1 ELSE 0 END) AS contaminated FROM documents GROUP BY lang")
-both("val13_provenance", "SELECT doc_id, substr(sha256(concat(source, '|', CAST(doc_id AS STRING), '|', text)), 1, 32) AS evidence_hash, source IS NOT NULL AND text IS NOT NULL AS complete FROM documents".replace("sha256(", "md5("))
+both("val13_provenance", "SELECT doc_id, md5(concat(source, '|', CAST(doc_id AS STRING), '|', text)) AS evidence_hash, source IS NOT NULL AND text IS NOT NULL AS complete FROM documents")
 both("agg13_missing_documents", "SELECT source, max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 1 AS present, count(*) AS n, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END AS priority FROM documents GROUP BY source")
 both("agg8_label_promotion", "SELECT event_type, count(DISTINCT user_id) AS n_documents, count(*) AS n_chunks FROM events GROUP BY event_type HAVING count(DISTINCT user_id) >= 2 AND count(*) >= 5")
 both("sec8_distinctive_values", "SELECT p_name, min(p_brand) AS only_in FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")

@@ -45,7 +45,7 @@ both("set1_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_nam
 both("set2_union_by_key", "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM (SELECT p_partkey AS k, p_name AS v, 1 AS p FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_brand, 2 FROM part) AS x) AS y WHERE r = 1")
 both("set3_intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 both("set4_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
-both("agg1_type_counts", "SELECT coalesce(entity_type, 'Unclassified') AS entity_type, count(*) AS n, sum(mention_count) AS mentions FROM entities_v WHERE mention_count >= 2 GROUP BY coalesce(entity_type, 'Unclassified')".replace("sum(mention_count)", "CAST(sum(mention_count) AS BIGINT)"))
+both("agg1_type_counts", "SELECT coalesce(entity_type, 'Unclassified') AS entity_type, count(*) AS n, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v WHERE mention_count >= 2 GROUP BY coalesce(entity_type, 'Unclassified')")
 both("agg7_ordered_distinct", "SELECT subject, chunk_id, dense_rank() OVER (PARTITION BY subject ORDER BY first_id) AS label FROM (SELECT subject, chunk_id, min(claim_id) AS first_id FROM claims_v GROUP BY subject, chunk_id) AS x")
 both("agg15_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("agg15_cube", "SELECT predicate, location, count(*) AS n, count(DISTINCT subject) AS subjects FROM claims_v GROUP BY CUBE (predicate, location)")
@@ -69,7 +69,7 @@ both("win14_frames", "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER
 both("ext10_type_inference", "SELECT canonical_tag, CASE split_part(canonical_tag, '-', 2) WHEN 'P' THEN 'Pump' WHEN 'E' THEN 'Exchanger' WHEN 'C' THEN 'Column' ELSE 'Equipment' END AS inferred FROM entities_v")
 both("ext11_name_merge", """SELECT name, entity_uid, mention_count, next_count FROM (SELECT name, entity_uid, mention_count, lead(mention_count) OVER (PARTITION BY name ORDER BY mention_count DESC, entity_uid) AS next_count, row_number() OVER (PARTITION BY name ORDER BY mention_count DESC, entity_uid) AS r FROM entities_v) AS x WHERE r = 1 AND (next_count IS NULL OR (mention_count >= 3 AND mention_count >= 3 * next_count))""")
 both("ext12_subject_resolution", "SELECT c.claim_id, coalesce(e.uid, a.uid, 'new') AS uid FROM claims_v c LEFT JOIN (SELECT canonical_tag, min(entity_uid) AS uid FROM entities_v WHERE entity_type IS NOT NULL GROUP BY canonical_tag) AS e ON c.subject = e.canonical_tag LEFT JOIN (SELECT canonical_tag, min(entity_uid) AS uid FROM entities_v GROUP BY canonical_tag) AS a ON c.subject = a.canonical_tag")
-both("ext13_index_assembly", "SELECT name, min(entity_uid) AS uid, count(*) AS n_aliases, sum(mention_count) AS mentions FROM entities_v GROUP BY name".replace("sum(mention_count)", "CAST(sum(mention_count) AS BIGINT)"))
+both("ext13_index_assembly", "SELECT name, min(entity_uid) AS uid, count(*) AS n_aliases, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v GROUP BY name")
 both("ext6_co_mention", """SELECT DISTINCT a.subject AS instrument, b.subject AS item, 'MONITORS' AS rel_type FROM claims_v a JOIN claims_v b ON a.chunk_id = b.chunk_id AND a.page = b.page AND a.revision = b.revision AND a.subject LIKE '%TIC%' AND b.subject NOT LIKE '%TIC%' AND substr(a.subject, 1, 2) = substr(b.subject, 1, 2) AND abs(a.numeric_value - b.numeric_value) <= 1""")
 both("ext8_entity_harvest", "SELECT subject, count(*) AS mentions, count(DISTINCT page) AS pages, mode_name FROM (SELECT c.subject, c.page, max(e.name) OVER (PARTITION BY c.subject) AS mode_name FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject) AS x GROUP BY subject, mode_name")
 both("ext9_column_votes", "SELECT p_type, max_by(p_brand, lpad(CAST(n AS STRING), 8, '0') || p_brand) AS description FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand) AS x GROUP BY p_type")

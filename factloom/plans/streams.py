@@ -18,7 +18,7 @@ query("stm7_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts)
   SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, s""")(lambda t: progress.sessions(t.events).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start")))
 both("stm7_expiry", "SELECT user_id, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-29 12:00:00'")
 both("agg12_counter_deltas", "SELECT event_id, CAST(round((value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 1000) AS BIGINT) AS delta FROM events")
-both("str35_props_json", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events".replace("'[0-9]+', 0)", "'([0-9]+)', 1)"))
+both("str35_props_json", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")
 LOG = "SELECT user_id, event_id, CAST(event_id AS STRING) AS ts, concat(event_type, ':', props) AS payload FROM events"
 query("aud1_hash_chain")(lambda t: audit.append(t.sql(LOG), "user_id", ["event_id"]))
 query("aud2_verify_chain", "SELECT user_id, count(*) AS n, user_id % 3 <> 0 OR count(*) <= 5 AS holds, CASE WHEN user_id % 3 = 0 AND count(*) > 5 THEN 5 END::BIGINT AS first_bad, CASE WHEN user_id % 3 = 0 AND count(*) > 5 THEN 'content' END AS reason FROM events GROUP BY user_id")(

@@ -31,8 +31,9 @@ b AS (SELECT *, CASE WHEN m.plant <> '' THEN m.plant || '-' ELSE '' END || m.pre
 SELECT partkey, raw, CASE WHEN good THEN CASE WHEN length(m.suffix) = 1 THEN base || m.suffix ELSE base END END AS canonical, CASE WHEN good AND length(m.suffix) = 1 THEN base END AS parent,
   CASE WHEN good THEN CASE WHEN length(m.suffix) > 1 THEN len(string_split(m.suffix, '/')) ELSE 0 END END::INT AS n_children FROM b"""
 query("str9_parse_tag", TAG)(lambda t: t.sql(RAW).withColumn("p", tags.parse_tag("raw")).select("partkey", "raw", "p.canonical", "p.parent", F.when(F.col("p").isNotNull(), F.size("p.children")).alias("n_children")))
-query("str10_unit_scope", "SELECT partkey, CASE WHEN partkey % 2 = 0 THEN canonical_tag ELSE 'CDU-II/' || substr(canonical_tag, 4) END AS scoped FROM entities_v WHERE length(substr(canonical_tag, 4)) <= 0 OR TRUE AND regexp_matches(canonical_tag, '-[0-9]{6}$')")(
-    lambda t: t.entities_v.withColumn("raw", F.when(F.col("partkey") % 2 == 0, F.col("canonical_tag")).otherwise(F.expr("substr(canonical_tag, 4)"))).select("partkey", F.coalesce(tags.scoped(tags.parse_tag(F.regexp_replace("raw", "-0", "-")), F.lit("cdu (II)")), F.lit("")).alias("scoped")).select("partkey", F.regexp_replace("scoped", "-([0-9]{5})$", "-0$1").alias("scoped")))
+SCOPED = "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('11-P-', CAST(p_partkey % 1000 AS STRING)) ELSE concat('P-', CAST(p_partkey % 1000 AS STRING)) END AS raw FROM part"
+query("str10_unit_scope", f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN raw ELSE 'CDU-II/' || raw END AS scoped FROM ({SCOPED})")(
+    lambda t: t.sql(SCOPED).select("p_partkey", tags.scoped(tags.parse_tag("raw"), F.lit("cdu (II)")).alias("scoped")))
 query("str11_find_tags")(lambda t: t.sql("SELECT p_partkey, concat('Start 11-P-', p_partkey % 100, ' A/B then see E 201, ISO 9001 and ', p_name) AS s FROM part").select("p_partkey", tags.find_tags("s").alias("tags")))
 query("str12_entity_uid", "SELECT p_partkey, substr(md5(lower(trim(p_name))), 1, 16) AS uid, substr(md5(lower(trim(p_name)) || '|' || p_brand), 1, 16) AS scoped FROM part")(
     lambda t: t.part.select("p_partkey", text.entity_uid("p_name").alias("uid"), text.scoped_uid("p_name", "p_brand").alias("scoped")))
@@ -63,7 +64,7 @@ both("str34_severity", """SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%dan
 both("str36_ip_class", """SELECT user_id, ip, CASE WHEN ip LIKE '127.%' THEN 'loopback' WHEN ip = '0.0.0.0' THEN 'unspecified' WHEN ip LIKE '10.%' OR ip LIKE '192.168.%' THEN 'private' ELSE 'external' END AS kind FROM
   (SELECT DISTINCT user_id, CASE user_id % 5 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN concat('10.0.', CAST(user_id % 256 AS STRING), '.7') WHEN 2 THEN concat('192.168.1.', CAST(user_id % 256 AS STRING)) WHEN 3 THEN '0.0.0.0' ELSE concat('8.8.', CAST(user_id % 256 AS STRING), '.8') END AS ip FROM events) AS x""")
 both("flt2_content_type", """SELECT doc_id, CASE WHEN upper(trim(text)) LIKE 'WARNING%' THEN 'warning' WHEN upper(trim(text)) LIKE 'CAUTION%' THEN 'caution' WHEN upper(trim(text)) LIKE 'NOTE%' THEN 'note' WHEN length(text) < 100 THEN 'heading' ELSE 'paragraph' END AS content_type FROM documents""")
-both("flt7_imperative", """SELECT conv_id, turn, lower(substring_index(trim(text), ' ', 1)) IN ('open', 'close', 'check', 'start', 'stop', 'the', 'in', 'on') AS imperative FROM turns_v""".replace("substring_index(trim(text), ' ', 1)", "split_part(trim(text), ' ', 1)"))
+both("flt7_imperative", "SELECT conv_id, turn, lower(split_part(trim(text), ' ', 1)) IN ('open', 'close', 'check', 'start', 'stop', 'the', 'in', 'on') AS imperative FROM turns_v")
 both("flt19_out_of_scope", "SELECT conv_id, turn, lower(text) LIKE '%weather%' OR lower(text) LIKE 'hello%' OR lower(text) LIKE 'hi %' AS out_of_scope FROM turns_v WHERE role = 'user'")
 both("qry14_task_scores", """SELECT conv_id, turn, s1, s2, s3, CASE WHEN greatest(s1, s2, s3) = 0 THEN 'lookup' WHEN s1 >= s2 AND s1 >= s3 THEN 'procedure' WHEN s2 >= s3 THEN 'comparison' ELSE 'limits' END AS task FROM (
   SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%how%' THEN 2 ELSE 0 END + CASE WHEN lower(text) LIKE '%start%' THEN 3 ELSE 0 END AS s1, CASE WHEN lower(text) LIKE '%than%' THEN 2 ELSE 0 END + CASE WHEN lower(text) LIKE '%between%' THEN 3 ELSE 0 END AS s2,
