@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import give_back, pieces, table
 
 #: The split pattern of byte-level pre-tokenizers (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -229,6 +229,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", deco
                 yield pa.RecordBatch.from_arrays(columns + extra, names=[*(f"k{i}" for i in range(len(keep))), *(n for n, _ in made)])
         if forget:
             bpe.forget()
+            give_back()
 
     return chosen.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[n for n, _ in made])
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def pieces(batches, rows: int = 256):
-    """Record batches in slices: texts become Python objects a few hundred at a time, whatever the batch size."""
+    """Record batches in slices: texts become Python objects a few hundred at a time, whatever the batch size.
+
+    After the last one, what the worker has freed goes back to the system, as it stays alive for later stages.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def same(a: Column, b: Column) -> Column:

@@ -251,7 +251,8 @@ def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_B
     empty) and gives the empty text. What stays is joined by line feeds, as it was. Rows that share a doc_id lose lines
     by their own texts. With ``spare_first``, the smallest doc_id keeps such a line. An empty table gives an empty table.
     """
-    doomed = suspects(state, occurrences(docs, state.min_chars), broadcast_bytes)
+    # Written first, so that one worker a task is enough for either function.
+    doomed = suspects(state, cut(occurrences(docs, state.min_chars)), broadcast_bytes)
     exact = state.counts.where(F.col("n_docs") >= state.min_docs).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"))
     doomed = doomed.join(exact, (F.col("k1") == F.col("__a")) & (F.col("k2") == F.col("__b")), "left_semi")
     if spare_first:
