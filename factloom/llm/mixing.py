@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import same, table, unit_interval
+from .common import cut, same, table, unit_interval
 
 #: Up to so many sources, the table of rates is broadcast (about 1 KB a row); beyond, it is joined with salt.
 BROADCAST_SOURCES = 5_000
@@ -28,7 +28,8 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, temperature
     Without ``weights``, a source's weight is its size to the power ``temperature``. The mix has ``epochs`` times
     the input's bytes. A source that ``weights`` does not name gets weight 0; one without any text has rate 1.
     """
-    sizes = df.groupBy(F.col("source").alias("__source")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("__size"))
+    # Written once: a row a source, read for the totals and for the rates, so the texts are not measured again.
+    sizes = cut(df.groupBy(F.col("source").alias("__source")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("__size")))
     if weights is None:
         weight = F.sqrt(F.col("__size").cast("double")) if temperature == 0.5 else F.pow(F.col("__size").cast("double"), F.lit(float(temperature)))
     elif not weights or min(weights.values()) < 0:
@@ -38,9 +39,9 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, temperature
         for name, value in weights.items():
             weight = F.when(same(F.col("__source"), F.lit(name)), float(value)).otherwise(weight)
     weighed = sizes.withColumn("__weight", weight)
-    total = weighed.agg(F.sum("__size").alias("__all"), F.sum("__weight").alias("__weights"))
-    rate = F.when(F.col("__size") == 0, 1.0).otherwise(F.col("__all") * F.lit(float(epochs)) * F.col("__weight") / F.col("__weights") / F.col("__size"))
-    out = weighed.crossJoin(F.broadcast(total)).select("__source", rate.alias("__rate"))  # one row on the right
+    total = weighed.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("size"), F.coalesce(F.sum("__weight"), F.lit(0.0)).alias("weight")).first()
+    rate = F.when(F.col("__size") == 0, 1.0).otherwise(F.lit(float(total.size) * epochs) * F.col("__weight") / F.lit(total.weight or 1.0) / F.col("__size"))
+    out = weighed.select("__source", rate.alias("__rate"))
     checked = F.when(F.col("__rate") <= MAX_RATE, F.col("__rate")).otherwise(F.raise_error(F.concat(F.lit("repetition rate too large: "), F.col("__rate").cast("string"))).cast("double"))
     return out.withColumn("__rate", checked).withColumn("__cdf", F.expr(
         """aggregate(sequence(1, cast(ceil(__rate + 12 * sqrt(__rate) + 20) as int)),
