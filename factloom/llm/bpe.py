@@ -175,10 +175,6 @@ class Bpe:
         parts = iter(self.encode_parts([p for s in split for p in s[::2]]))
         return [b"".join(next(parts) if k % 2 == 0 else np.array([self.special[p]], "<u4").tobytes() for k, p in enumerate(s)) for s in split]
 
-    def forget(self) -> None:
-        self.words, self.stretches = {}, {}
-        self.verdict_keys, self.verdict_values = np.empty(0, np.int64), np.empty(0, bool)
-
     def decode(self, ids: bytes) -> str:
         table_of_bytes = self.bytes_of
         return b"".join([table_of_bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
@@ -210,8 +206,8 @@ def by_size(texts: Iterable[str | None], most: int = AT_ONCE) -> Iterator[list[s
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", decode: bool = True, forget: bool = False) -> DataFrame:
     """The columns ``keep`` with ``ids`` (little-endian 32-bit integers) and, if asked for, ``decoded``, for every row.
 
-    Null and empty texts give no ids. The tokenizer's file at ``path`` must be on every machine. Workers remember words
-    from task to task, or with ``forget`` only within one, which leaves more memory to the stages around this one.
+    Null and empty texts give no ids. The tokenizer's file at ``path`` must be on every machine. Workers keep the
+    tokenizer and its words from task to task, or with ``forget`` only for one, which leaves more memory to other stages.
     """
     chosen = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
     made = [("ids", "binary"), *([("decoded", "string")] if decode else [])]
@@ -228,7 +224,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", deco
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns + extra, names=[*(f"k{i}" for i in range(len(keep))), *(n for n, _ in made)])
         if forget:
-            bpe.forget()
+            del bpe
+            load.cache_clear()
             give_back()
 
     return chosen.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[n for n, _ in made])
