@@ -75,3 +75,11 @@ def jaccard_join(left: DataFrame, right: DataFrame, least: float, key: str = "id
     sized = met.join(left.select(F.col(key).alias("left_id"), F.col(tokens).alias("x")), "left_id").join(right.select(F.col(key).alias("right_id"), F.col(tokens).alias("y")), "right_id")
     out = sized.select("left_id", "right_id", F.size(F.array_intersect("x", "y")).alias("common"), F.size(F.array_union("x", "y")).alias("union"))
     return out.where(F.col("common") >= F.col("union") * least)
+
+
+def embed(rows: DataFrame, key: str, of: str, dimension: int = 64) -> DataFrame:
+    """STC22: (key, embedding): a deterministic embedding where no model is at hand, signed hashed token counts of length one."""
+    hashed = rows.select(key, F.explode_outer(text.tokenize(of)).alias("w")).select(key, F.pmod(F.xxhash64("w"), F.lit(2 * dimension)).alias("h"), F.col("w").isNotNull().alias("is"))
+    sums = hashed.groupBy(key, (F.col("h") % dimension).alias("at")).agg(F.sum(F.when(~F.col("is"), 0.0).when(F.col("h") < dimension, 1.0).otherwise(-1.0)).alias("v"))
+    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return maps.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)).alias("embedding"))

@@ -60,3 +60,12 @@ def pack(rows: DataFrame, doc: str, order: str, tokens: str, budget: int) -> Dat
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", chunk long"
     return rows.groupBy(doc).applyInPandas(fold, schema)
+
+
+def reading_order(lines: DataFrame, page: str, ties: list[str]) -> DataFrame:
+    """STR37: ``place`` of text lines (x, y, h) on a page: bands of rows a gap of max(4, 0.6 of the median height) apart, then from the left."""
+    gaps = lines.groupBy(page).agg(F.greatest(F.lit(4.0), 0.6 * F.median("h")).alias("__gap"))
+    w = Window.partitionBy(page).orderBy("y", "x", *ties)
+    marked = lines.join(gaps, page).withColumn("__new", F.when(F.col("y") - F.lag("y").over(w) <= F.col("__gap"), 0).otherwise(1))
+    banded = marked.withColumn("__band", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return banded.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("__band", "x", "y", *ties))).drop("__gap", "__new", "__band")

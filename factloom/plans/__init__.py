@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 
 def _registered():
-    from . import claims, documents, elements, extraction, graph, registry, streams, text  # noqa: F401
+    from . import claims, documents, elements, extraction, graph, registry, rest, streams, text  # noqa: F401
 
     return registry
 
