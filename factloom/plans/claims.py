@@ -27,7 +27,7 @@ a AS (SELECT *, row_number() OVER w AS authority, CASE WHEN lead(claim_id) OVER
     WHEN document_rank > lead(document_rank) OVER w THEN 'document' WHEN revision_number > lead(revision_number) OVER w THEN 'revision'
     WHEN source_rank > lead(source_rank) OVER w THEN 'source' ELSE 'equal' END AS reason
   FROM r WINDOW w AS (PARTITION BY subject, context_key ORDER BY temporal_rank DESC, document_rank DESC, revision_number DESC, source_rank DESC, confidence DESC, page DESC, claim_id))"""
-query("win8_authority", RANKED + " SELECT claim_id, subject, context_key, authority, reason FROM a")(
+query("win8_authority", RANKED + " SELECT claim_id, subject, context_key, CAST(authority AS INT) AS authority, reason FROM a")(
     lambda t: op.authority(op.with_context_key(t.claims_v), t.documents_info_v, ["subject", "context_key"]).select("claim_id", "subject", "context_key", "authority", "reason"))
 
 
@@ -44,7 +44,7 @@ MARK = R2 + """, m AS (SELECT subject, predicate, parameter_role AS role, CASE u
   f AS (SELECT subject, role, arg_min(marker, authority) AS marker FROM m WHERE marker IS NOT NULL GROUP BY subject, role)"""
 PRESSURE = lambda t: op.markers(_ranked(t).where("predicate = 'operating_pressure'"), ["subject"], "kg/cm2")
 query("agg6_role_markers", MARK + " SELECT subject, role, CAST(round(marker * 1000000) AS BIGINT) AS micro, CASE role WHEN 'minimum' THEN 1 WHEN 'normal' THEN 2 WHEN 'maximum' THEN 5 WHEN 'design' THEN 6 END AS role_order FROM f")(
-    lambda t: PRESSURE(t).select("subject", "role", F.round(F.col("marker") * 1000000).cast("long").alias("micro"), "role_order"))
+    lambda t: PRESSURE(t).select("subject", "role", F.round(F.col("marker") * 1000000).cast("long").alias("micro"), F.col("role_order").cast("int").alias("role_order")))
 ENV = MARK + """, e AS (SELECT subject, max(marker) FILTER (WHERE role = 'minimum') AS lo, max(marker) FILTER (WHERE role = 'maximum') AS hi, max(marker) FILTER (WHERE role = 'normal') AS normal, max(marker) FILTER (WHERE role = 'design') AS design, CAST(NULL AS DOUBLE) AS trip FROM f GROUP BY subject)"""
 MICRO = "CAST(round({0} * 1000000) AS BIGINT) AS {0}"
 query("qry4_envelope", ENV + f" SELECT subject, {', '.join(MICRO.format(c) for c in ('lo', 'hi', 'normal', 'design'))} FROM e")(
@@ -70,8 +70,8 @@ query("val3_unit_check", """SELECT predicate, unit, CASE unit WHEN 'kg/h' THEN '
     lambda t: _checked(t.claims_v.select("predicate", "unit")).unionAll(_checked(t.claims_v.select("predicate", F.lit("bar").alias("unit")))))
 both("val7_validation_summary", """SELECT source, CASE WHEN grounding = 'weak' THEN 'WARN' WHEN numeric_value > 45 THEN 'ERROR' ELSE 'OK' END AS severity, count(*) AS n FROM claims_v
   GROUP BY source, CASE WHEN grounding = 'weak' THEN 'WARN' WHEN numeric_value > 45 THEN 'ERROR' ELSE 'OK' END""")
-both("val8_recall_by_source", """SELECT source, sum(CASE WHEN numeric_value <= 45 THEN 1 ELSE 0 END) AS accepted_n, sum(CASE WHEN numeric_value > 45 THEN 1 ELSE 0 END) AS rejected_n,
-  sum(CASE WHEN grounding = 'weak' AND numeric_value <= 45 THEN 1 ELSE 0 END) AS weak_n FROM claims_v GROUP BY source""")
+both("val8_recall_by_source", """SELECT source, CAST(sum(CASE WHEN numeric_value <= 45 THEN 1 ELSE 0 END) AS BIGINT) AS accepted_n, CAST(sum(CASE WHEN numeric_value > 45 THEN 1 ELSE 0 END) AS BIGINT) AS rejected_n,
+  CAST(sum(CASE WHEN grounding = 'weak' AND numeric_value <= 45 THEN 1 ELSE 0 END) AS BIGINT) AS weak_n FROM claims_v GROUP BY source""")
 query("agg9_compare", RANKED + """, b AS (SELECT context_key, subject, value FROM a WHERE authority = 1 AND subject IN ('11-E-000001', '12-C-000002', '10-TIC-000003'))
   SELECT context_key, max(value) FILTER (WHERE subject = '11-E-000001') AS "11-E-000001", max(value) FILTER (WHERE subject = '12-C-000002') AS "12-C-000002", max(value) FILTER (WHERE subject = '10-TIC-000003') AS "10-TIC-000003",
     CAST(count(*) AS INT) AS coverage, count(DISTINCT value) > 1 AS differs FROM b GROUP BY context_key""")(
@@ -80,7 +80,7 @@ both("agg4_index_statistics", """SELECT c.document_id, count(*) AS n_claims, cou
   FROM claims_v c JOIN documents_info_v d ON c.document_id = d.document_id WHERE d.tag <> 'SECRET' GROUP BY c.document_id""")
 both("ext14_merge_extractions", """SELECT claim_id, subject, value, unit, source FROM (SELECT claim_id, subject, value, unit, source, row_number() OVER (PARTITION BY subject, predicate, parameter_role, location, scenario, value, unit
   ORDER BY CASE source WHEN 'table' THEN 0 WHEN 'specification' THEN 1 WHEN 'rule' THEN 2 ELSE 3 END, claim_id) AS r FROM claims_v) AS x WHERE r = 1""")
-both("qry1_lookup", """SELECT claim_id, subject, predicate, r FROM (SELECT claim_id, subject, predicate, row_number() OVER (PARTITION BY subject ORDER BY CASE temporal_status WHEN 'current' THEN 3 WHEN 'historical' THEN 1 WHEN 'defunct' THEN 0 ELSE 2 END DESC,
+both("qry1_lookup", """SELECT claim_id, subject, predicate, CAST(r AS INT) AS r FROM (SELECT claim_id, subject, predicate, row_number() OVER (PARTITION BY subject ORDER BY CASE temporal_status WHEN 'current' THEN 3 WHEN 'historical' THEN 1 WHEN 'defunct' THEN 0 ELSE 2 END DESC,
   confidence DESC, page DESC, claim_id) AS r FROM claims_v) AS x WHERE r <= 24""")
 both("qry6_conflict_resolution", """SELECT subject, predicate, parameter_role, count(*) AS n, count(DISTINCT numeric_value) AS n_values, max_by(value, concat(CASE temporal_status WHEN 'current' THEN '3' WHEN 'historical' THEN '1' WHEN 'defunct' THEN '0' ELSE '2' END, lpad(CAST(page AS STRING), 4, '0'), claim_id)) AS preferred,
   CASE WHEN count(DISTINCT numeric_value) = 1 THEN 'corroborated' WHEN count(DISTINCT temporal_status) > 1 THEN 'resolved' ELSE 'unresolved' END AS status FROM claims_v GROUP BY subject, predicate, parameter_role HAVING count(*) > 1""")

@@ -18,7 +18,7 @@ query("win1_bm25", f"""WITH p AS (SELECT doc_id, {TOKENS.format('text')} AS t FR
   q AS (SELECT DISTINCT item_id AS request_id, unnest({TOKENS.format('text')}) AS token FROM benchmark WHERE item_id < 20), d AS (SELECT token, count(*) AS df FROM f WHERE token IN (SELECT token FROM q) GROUP BY token),
   i AS (SELECT token, ln((n - df + 0.5) / (df + 0.5)) AS raw, m FROM d, tot), fl AS (SELECT avg(raw) * 0.25 AS floor FROM i),
   s AS (SELECT request_id, doc_id, sum(CASE WHEN raw < 0 THEN floor ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / m))) AS score FROM q JOIN f USING (token) JOIN i USING (token), fl GROUP BY ALL)
-  SELECT request_id, doc_id, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")(
+  SELECT request_id, doc_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")(
     lambda t: retrieval.bm25(retrieval.postings(t.documents, "doc_id"), t.sql(REQUESTS), 10, key="doc_id").select("request_id", "doc_id", "rank"))
 QV = "SELECT vec_id AS request_id, embedding AS q FROM embeddings WHERE vec_id < 10"
 query("win2_vector_top_k", """SELECT q.vec_id AS request_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS INT) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 10 QUALIFY rank <= 10""")(
@@ -27,7 +27,7 @@ FUSED = """WITH a AS (SELECT l_suppkey AS request_id, l_partkey AS chunk_id, CAS
   b AS (SELECT l_suppkey AS request_id, l_partkey AS chunk_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_partkey DESC) AS INT) AS rank FROM lineitem WHERE l_suppkey <= 20 GROUP BY l_suppkey, l_partkey) """
 query("win3_rank_fusion", FUSED + """, u AS (SELECT request_id, chunk_id, 1.0::DOUBLE / (59 + rank) AS part, 1 AS r FROM a WHERE rank <= 24 UNION ALL SELECT request_id, chunk_id, 1.0::DOUBLE / (59 + rank), 1 FROM b WHERE rank <= 24 UNION ALL SELECT DISTINCT l_suppkey, l_partkey, 0, 0 FROM lineitem WHERE l_suppkey <= 20 AND l_quantity = 50),
   s AS (SELECT request_id, chunk_id, sum(part) + CASE WHEN min(r) = 0 THEN CASE WHEN max(r) = 1 THEN 1.0::DOUBLE / 60 ELSE 0.5::DOUBLE / 60 END ELSE 0 END AS score FROM u GROUP BY ALL)
-  SELECT request_id, chunk_id, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM s QUALIFY rank <= 12""")(
+  SELECT request_id, chunk_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 12) DESC, chunk_id) AS INT) AS rank FROM s QUALIFY rank <= 12""")(
     lambda t: retrieval.fuse([t.sql(FUSED + "SELECT * FROM a WHERE rank <= 24"), t.sql(FUSED + "SELECT * FROM b WHERE rank <= 24")], 10**6, t.sql("SELECT DISTINCT l_suppkey AS request_id, l_partkey AS chunk_id FROM lineitem WHERE l_suppkey <= 20 AND l_quantity = 50"))
     .withColumn("rank", F.expr("row_number() over (partition by request_id order by round(score, 12) desc, chunk_id)")).where("rank <= 12").select("request_id", "chunk_id", "rank"))
 NAMED = "SELECT p_partkey AS id, {0} AS tokens FROM part"
@@ -63,7 +63,7 @@ query("val1_grounding", r"""WITH b AS (SELECT item_id, list_distinct(list_filter
     lambda t: t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", "pos", F.array_distinct(F.split(F.lower("line"), " ")).alias("w"))
     .join(F.broadcast(t.benchmark.where("item_id < 10").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 3)).alias("b")).where(F.size("b") > 0)), F.arrays_overlap("w", "b") & (F.size(F.array_intersect("b", "w")) * 10 >= F.size("b") * 8))
     .groupBy("item_id", "doc_id").agg(F.min("pos").alias("first_line"), F.count(F.lit(1)).alias("n_lines")))
-both("val11_quality_gate", "SELECT lang, count(*) AS n, sum(CASE WHEN n_chars < 50 THEN 1 ELSE 0 END) AS heading_only, sum(CASE WHEN n_chars > 8000 THEN 1 ELSE 0 END) AS over_max, sum(CASE WHEN text LIKE '%@%' THEN 1 ELSE 0 END) AS contaminated FROM documents GROUP BY lang")
+both("val11_quality_gate", "SELECT lang, count(*) AS n, CAST(sum(CASE WHEN n_chars < 50 THEN 1 ELSE 0 END) AS BIGINT) AS heading_only, CAST(sum(CASE WHEN n_chars > 8000 THEN 1 ELSE 0 END) AS BIGINT) AS over_max, CAST(sum(CASE WHEN text LIKE '%@%' THEN 1 ELSE 0 END) AS BIGINT) AS contaminated FROM documents GROUP BY lang")
 both("val13_provenance", "SELECT doc_id, md5(concat(source, '|', CAST(doc_id AS STRING), '|', text)) AS evidence_hash, source IS NOT NULL AND text IS NOT NULL AS complete FROM documents")
 both("agg13_missing_documents", "SELECT source, max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 1 AS present, count(*) AS n, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END AS priority FROM documents GROUP BY source")
 both("agg8_label_promotion", "SELECT event_type, count(DISTINCT user_id) AS n_documents, count(*) AS n_chunks FROM events GROUP BY event_type HAVING count(DISTINCT user_id) >= 2 AND count(*) >= 5")

@@ -45,5 +45,5 @@ both("str32_contents_title", "SELECT p_partkey, trim(regexp_replace(concat(p_nam
 both("flt6_approval_predicate", "SELECT doc_id, lower(text) LIKE '%approved by%' AND lower(text) LIKE '%signature%' AND n_chars < 400 AS approval FROM documents")
 both("flt9_label_text", "SELECT p_partkey, length(p_name) <= 120 AND length(p_name) - length(replace(p_name, ' ', '')) < 18 AS label FROM part")
 both("stc4_section_counts", "SELECT document_id, page, count(*) AS n, min(claim_id) AS first_id FROM claims_v GROUP BY document_id, page")
-both("qry18_hybrid_scope", "SELECT doc_id, source, r FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE lang = 'en') AS x WHERE r <= 3")
+both("qry18_hybrid_scope", "SELECT doc_id, source, CAST(r AS INT) AS r FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE lang = 'en') AS x WHERE r <= 3")
 both("src16_document_graph", "SELECT concat(document_id, '#', CAST(page AS STRING)) AS section_id, document_id, count(DISTINCT chunk_id) AS n_chunks FROM claims_v GROUP BY document_id, page")

@@ -38,7 +38,7 @@ both("joi5_suffix", "SELECT a.partkey, b.canonical_tag FROM (SELECT partkey, sub
 both("joi7_range", "SELECT o.o_orderkey, s.chapter FROM orders o JOIN (SELECT p_size AS chapter, min(p_partkey) * 3 AS lo, min(p_partkey) * 3 + 40 AS hi FROM part GROUP BY p_size) AS s ON o.o_orderkey BETWEEN s.lo AND s.hi")
 both("joi9_alias_scoped", "SELECT DISTINCT n.k, e.entity_uid FROM (SELECT p_partkey AS k, lower(p_name) AS alias FROM part WHERE p_partkey <= 100 UNION ALL SELECT p_partkey, lower(p_brand) FROM part WHERE p_partkey <= 100) AS n JOIN (SELECT entity_uid, lower(name) AS alias, brand FROM entities_v UNION ALL SELECT entity_uid, lower(canonical_tag), brand FROM entities_v) AS e ON n.alias = e.alias")
 both("joi10_section_lookup", "SELECT chunk_id, claim_id FROM (SELECT chunk_id, claim_id, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, claim_id) AS r FROM claims_v WHERE document_id LIKE 'doc%') AS x WHERE r <= 20")
-both("joi11_zip", """SELECT coalesce(a.i, b.i) AS i, a.k AS startup, b.k AS shutdown FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name AS k FROM nation WHERE n_regionkey = 1) AS a FULL OUTER JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name AS k FROM nation WHERE n_regionkey <= 2 AND n_regionkey <> 1) AS b ON a.i = b.i""")
+both("joi11_zip", """SELECT CAST(coalesce(a.i, b.i) AS INT) AS i, a.k AS startup, b.k AS shutdown FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name AS k FROM nation WHERE n_regionkey = 1) AS a FULL OUTER JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name AS k FROM nation WHERE n_regionkey <= 2 AND n_regionkey <> 1) AS b ON a.i = b.i""")
 query("joi13_as_of", """SELECT e.event_id, max(f.event_id) AS last_error FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') e LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error') f ON e.user_id = f.user_id AND (f.ts < e.ts OR f.ts = e.ts AND f.event_id < e.event_id) AND NOT EXISTS (SELECT 1 FROM events g WHERE g.event_type = 'error' AND g.user_id = e.user_id AND (g.ts < e.ts OR g.ts = e.ts AND g.event_id < e.event_id) AND (g.ts > f.ts OR g.ts = f.ts AND g.event_id > f.event_id)) GROUP BY e.event_id""")(
     lambda t: t.sql("SELECT event_id, event_type, last(CASE WHEN event_type = 'error' THEN event_id END, true) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events WHERE event_type IN ('error', 'purchase')").where("event_type = 'purchase'").select("event_id", "last_error"))
 both("set1_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 0")
@@ -46,26 +46,26 @@ both("set2_union_by_key", "SELECT k, v FROM (SELECT k, v, row_number() OVER (PAR
 both("set3_intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 both("set4_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 both("agg1_type_counts", "SELECT coalesce(entity_type, 'Unclassified') AS entity_type, count(*) AS n, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v WHERE mention_count >= 2 GROUP BY coalesce(entity_type, 'Unclassified')")
-both("agg7_ordered_distinct", "SELECT subject, chunk_id, dense_rank() OVER (PARTITION BY subject ORDER BY first_id) AS label FROM (SELECT subject, chunk_id, min(claim_id) AS first_id FROM claims_v GROUP BY subject, chunk_id) AS x")
+both("agg7_ordered_distinct", "SELECT subject, chunk_id, CAST(dense_rank() OVER (PARTITION BY subject ORDER BY first_id) AS INT) AS label FROM (SELECT subject, chunk_id, min(claim_id) AS first_id FROM claims_v GROUP BY subject, chunk_id) AS x")
 both("agg15_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("agg15_cube", "SELECT predicate, location, count(*) AS n, count(DISTINCT subject) AS subjects FROM claims_v GROUP BY CUBE (predicate, location)")
 both("flt12_plant_items", "SELECT entity_uid, canonical_tag FROM entities_v WHERE canonical_tag LIKE '__-%-%' AND mention_count >= 5 AND entity_type IN ('Pump', 'Column')")
-both("win9_inventory", "SELECT entity_uid, canonical_tag, mention_count, r FROM (SELECT entity_uid, canonical_tag, mention_count, row_number() OVER (ORDER BY mention_count DESC, coalesce(canonical_tag, name)) AS r FROM entities_v) AS x WHERE r <= 500")
+both("win9_inventory", "SELECT entity_uid, canonical_tag, mention_count, CAST(r AS INT) AS r FROM (SELECT entity_uid, canonical_tag, mention_count, row_number() OVER (ORDER BY mention_count DESC, coalesce(canonical_tag, name)) AS r FROM entities_v) AS x WHERE r <= 500")
 both("qry2_inventory", "SELECT entity_type, canonical_tag FROM (SELECT entity_type, canonical_tag, mention_count >= 40 AS strict, sum(CASE WHEN mention_count >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_type) AS n FROM entities_v) AS x WHERE strict OR n < 5")
 query("win5_resolve_entity", """WITH m AS (SELECT p_partkey AS request_id, lower(p_name) AS mention FROM part WHERE p_partkey <= 200), a AS (SELECT entity_uid, lower(name) AS alias, mention_count, partkey FROM entities_v)
-  SELECT request_id, entity_uid, row_number() OVER (PARTITION BY request_id ORDER BY least(mention_count, 200) DESC, entity_uid) AS rank FROM m JOIN a ON m.mention = a.alias QUALIFY rank <= 5""")(
+  SELECT request_id, entity_uid, CAST(row_number() OVER (PARTITION BY request_id ORDER BY least(mention_count, 200) DESC, entity_uid) AS INT) AS rank FROM m JOIN a ON m.mention = a.alias QUALIFY rank <= 5""")(
     lambda t: t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("request_id"), text.norm_alias("p_name").alias("alias")).join(t.entities_v.select("entity_uid", text.norm_alias("name").alias("alias"), "mention_count"), "alias")
     .withColumn("rank", F.expr("row_number() over (partition by request_id order by least(mention_count, 200) desc, entity_uid)")).where("rank <= 5").select("request_id", "entity_uid", "rank"))
 query("win6_search_entities", """WITH q AS (SELECT DISTINCT p_partkey AS request_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part WHERE p_partkey <= 30), e AS (SELECT DISTINCT entity_uid, mention_count, unnest(string_split(lower(name), ' ')) AS token FROM entities_v), n AS (SELECT request_id, count(*) AS n FROM q GROUP BY request_id),
   s AS (SELECT request_id, entity_uid, count(*) * 1000000 // any_value(n) + any_value(least(mention_count, 50)) * 2000 AS score FROM q JOIN e USING (token) JOIN n USING (request_id) GROUP BY request_id, entity_uid)
-  SELECT request_id, entity_uid, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, entity_uid) AS rank FROM s QUALIFY rank <= 10""")(
+  SELECT request_id, entity_uid, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, entity_uid) AS INT) AS rank FROM s QUALIFY rank <= 10""")(
     lambda t: t.part.where("p_partkey <= 30").select(F.col("p_partkey").alias("request_id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("token")).withColumn("n", F.expr("count(1) over (partition by request_id)"))
     .join(t.entities_v.select("entity_uid", "mention_count", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("token")), "token").groupBy("request_id", "entity_uid").agg((F.floor(F.count(F.lit(1)) * 1000000 / F.max("n")) + F.max(F.least("mention_count", F.lit(50))) * 2000).cast("long").alias("score"))
     .withColumn("rank", F.expr("row_number() over (partition by request_id order by score desc, entity_uid)")).where("rank <= 10"))
-both("win7_procedure_scoring", """SELECT request_id, procedure_id, score, r FROM (SELECT s_suppkey AS request_id, p_partkey AS procedure_id, CASE WHEN p_partkey % 10 = s_suppkey % 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 40 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE 'STANDARD%' THEN 4 ELSE 0 END AS score,
+both("win7_procedure_scoring", """SELECT request_id, procedure_id, score, CAST(r AS INT) AS r FROM (SELECT s_suppkey AS request_id, p_partkey AS procedure_id, CASE WHEN p_partkey % 10 = s_suppkey % 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 40 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE 'STANDARD%' THEN 4 ELSE 0 END AS score,
   row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE WHEN p_partkey % 10 = s_suppkey % 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 40 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE 'STANDARD%' THEN 4 ELSE 0 END DESC, p_partkey) AS r FROM supplier JOIN part ON p_partkey % 20 = s_suppkey % 20) AS x WHERE r <= 3""")
 both("win11_selection", "SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q, max(sum(l_quantity)) OVER (PARTITION BY l_suppkey) AS best FROM lineitem GROUP BY l_suppkey, l_partkey) AS x WHERE q * 10 >= best * 6")
-both("win14_frames", "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quartile, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n10 FROM events")
+both("win14_frames", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS quartile, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n10 FROM events")
 both("ext10_type_inference", "SELECT canonical_tag, CASE split_part(canonical_tag, '-', 2) WHEN 'P' THEN 'Pump' WHEN 'E' THEN 'Exchanger' WHEN 'C' THEN 'Column' ELSE 'Equipment' END AS inferred FROM entities_v")
 both("ext11_name_merge", """SELECT name, entity_uid, mention_count, next_count FROM (SELECT name, entity_uid, mention_count, lead(mention_count) OVER (PARTITION BY name ORDER BY mention_count DESC, entity_uid) AS next_count, row_number() OVER (PARTITION BY name ORDER BY mention_count DESC, entity_uid) AS r FROM entities_v) AS x WHERE r = 1 AND (next_count IS NULL OR (mention_count >= 3 AND mention_count >= 3 * next_count))""")
 both("ext12_subject_resolution", "SELECT c.claim_id, coalesce(e.uid, a.uid, 'new') AS uid FROM claims_v c LEFT JOIN (SELECT canonical_tag, min(entity_uid) AS uid FROM entities_v WHERE entity_type IS NOT NULL GROUP BY canonical_tag) AS e ON c.subject = e.canonical_tag LEFT JOIN (SELECT canonical_tag, min(entity_uid) AS uid FROM entities_v GROUP BY canonical_tag) AS a ON c.subject = a.canonical_tag")
@@ -75,9 +75,9 @@ both("ext8_entity_harvest", "SELECT subject, count(*) AS mentions, count(DISTINC
 both("ext9_column_votes", "SELECT p_type, max_by(p_brand, lpad(CAST(n AS STRING), 8, '0') || p_brand) AS description FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand) AS x GROUP BY p_type")
 both("val4_relation_rules", """SELECT r.rel_type, CASE WHEN r.rel_type IN ('FEEDS', 'MONITORS') AND r.source = 'llm_pass1' THEN 'impossible' WHEN r.confidence < 0.6 THEN 'suspicious' ELSE 'pass' END AS verdict, count(*) AS n FROM relations_v r GROUP BY r.rel_type, CASE WHEN r.rel_type IN ('FEEDS', 'MONITORS') AND r.source = 'llm_pass1' THEN 'impossible' WHEN r.confidence < 0.6 THEN 'suspicious' ELSE 'pass' END""")
 both("val12_graph_integrity", """SELECT 'orphan' AS kind, count(*) AS n FROM relations_v r WHERE r.rel_type = 'FEEDS' AND NOT EXISTS (SELECT 1 FROM part p WHERE concat('p', CAST(p.p_partkey AS STRING)) = r.target_uid) UNION ALL SELECT 'duplicate', count(*) FROM (SELECT source_uid, rel_type, target_uid FROM relations_v GROUP BY source_uid, rel_type, target_uid HAVING count(*) > 1) AS d UNION ALL SELECT 'null', count(*) FROM entities_v WHERE entity_type IS NULL""")
-both("val9_parse_checks", """SELECT l_suppkey, count(*) AS n, min(gap) AS min_gap, sum(CASE WHEN gap > 500 THEN 1 ELSE 0 END) AS long_gaps FROM (SELECT l_suppkey, l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS gap FROM lineitem) AS x GROUP BY l_suppkey""")
+both("val9_parse_checks", """SELECT l_suppkey, count(*) AS n, min(gap) AS min_gap, CAST(sum(CASE WHEN gap > 500 THEN 1 ELSE 0 END) AS BIGINT) AS long_gaps FROM (SELECT l_suppkey, l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS gap FROM lineitem) AS x GROUP BY l_suppkey""")
 both("src17_label_counts", "SELECT rel_type, count(*) AS n, count(DISTINCT source_uid) AS sources FROM relations_v GROUP BY rel_type")
-both("src13_response_store", "SELECT conv_id, turn, r FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY turn DESC, conv_id DESC) AS r FROM turns_v WHERE role = 'assistant') AS x WHERE r <= 200")
+both("src13_response_store", "SELECT conv_id, turn, CAST(r AS INT) AS r FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY turn DESC, conv_id DESC) AS r FROM turns_v WHERE role = 'assistant') AS x WHERE r <= 200")
 both("src14_composite", "SELECT k, min_by(v, p) AS v FROM (SELECT n_nationkey AS k, n_name AS v, 1 AS p FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, 'fallback', 2 FROM nation) AS x GROUP BY k")
 both("src7_embedding_check", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
 both("qry5_compare_modes", "SELECT subject, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg FROM claims_v GROUP BY subject")

@@ -18,7 +18,7 @@ both("str23_predicate_map", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%st
 query("str26_tag_scores")(lambda t: t.entities_v.where("partkey <= 300").select("partkey", tagmatch.take_apart(F.replace("canonical_tag", F.lit("-0"), F.lit("-"))).alias("c")).withColumn("m", tagmatch.take_apart(F.lit("11-PM-15"))).select("partkey", tagmatch.score(F.col("m"), F.col("c"), F.lit("Pump"), F.lit("Pump")).alias("score")))
 BOXES = "SELECT l_orderkey AS page, CAST(l_partkey % 900 AS DOUBLE) AS y, CAST(l_suppkey AS DOUBLE) AS x, CAST(10 + l_linenumber AS DOUBLE) AS h, l_linenumber AS id, l_partkey, l_suppkey FROM lineitem"
 query("str37_reading_order", f"""WITH b AS (SELECT DISTINCT page, y, x, h, id, l_partkey, l_suppkey FROM ({BOXES})), m AS (SELECT page, greatest(4.0, 0.6 * median(h)) AS gap FROM b GROUP BY page), s AS (SELECT b.*, CASE WHEN y - lag(y) OVER w <= gap THEN 0 ELSE 1 END AS brk FROM b JOIN m USING (page) WINDOW w AS (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey)),
-  r AS (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS band FROM s) SELECT page, id, l_partkey, l_suppkey, row_number() OVER (PARTITION BY page ORDER BY band, x, y, id, l_partkey, l_suppkey) AS place FROM r""")(lambda t: structure.reading_order(t.sql(BOXES).distinct(), "page", ["id", "l_partkey", "l_suppkey"]).select("page", "id", "l_partkey", "l_suppkey", "place"))
+  r AS (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS band FROM s) SELECT page, id, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY page ORDER BY band, x, y, id, l_partkey, l_suppkey) AS INT) AS place FROM r""")(lambda t: structure.reading_order(t.sql(BOXES).distinct(), "page", ["id", "l_partkey", "l_suppkey"]).select("page", "id", "l_partkey", "l_suppkey", "place"))
 both("stc1_contents", "SELECT number, title, page_start, coalesce(lead(page_start) OVER (ORDER BY number) - 1, 9999) AS page_end FROM (SELECT p_size AS number, min(p_name) AS title, min(p_partkey) AS page_start FROM part GROUP BY p_size) AS x")
 query("stc9_instruction_register", "SELECT user_id, event_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('login', 'logout', 'error')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")(
     lambda t: t.events.select("user_id", "event_id", F.last(F.when(F.col("event_type").isin("login", "logout", "error"), F.col("event_type")), True).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("header")))

@@ -23,7 +23,7 @@ LOG = "SELECT user_id, event_id, CAST(event_id AS STRING) AS ts, concat(event_ty
 query("aud1_hash_chain")(lambda t: audit.append(t.sql(LOG), "user_id", ["event_id"]))
 query("aud2_verify_chain", "SELECT user_id, count(*) AS n, user_id % 3 <> 0 OR count(*) <= 5 AS holds, CASE WHEN user_id % 3 = 0 AND count(*) > 5 THEN 5 END::BIGINT AS first_bad, CASE WHEN user_id % 3 = 0 AND count(*) > 5 THEN 'content' END AS reason FROM events GROUP BY user_id")(
     lambda t: audit.verify(audit.append(t.sql(LOG), "user_id", ["event_id"]).withColumn("payload", F.when((F.col("user_id") % 3 == 0) & (F.col("seq") == 5), F.lit("edited")).otherwise(F.col("payload"))), "user_id"))
-both("aud4_filtered_log", "SELECT event_id, r FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error' AND user_id < 50) AS x WHERE r <= 100")
+both("aud4_filtered_log", "SELECT event_id, CAST(r AS INT) AS r FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error' AND user_id < 50) AS x WHERE r <= 100")
 both("aud4_counts", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 ALLOWED = "tag IN ('PUBLIC', 'INTERNAL', 'CONFIDENTIAL')"
 query("sec1_level_rule", "SELECT r.role, d.document_id, CASE r.role WHEN 'guest' THEN 0 WHEN 'operator' THEN 1 WHEN 'engineer' THEN 2 WHEN 'admin' THEN 4 ELSE 0 END >= CASE d.tag WHEN 'PUBLIC' THEN 0 WHEN 'INTERNAL' THEN 1 WHEN 'CONFIDENTIAL' THEN 2 ELSE 3 END AS allowed FROM (VALUES ('guest'), ('operator'), ('engineer'), ('admin'), ('nobody')) AS r(role), documents_info_v d")(

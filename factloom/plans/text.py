@@ -72,6 +72,6 @@ both("qry14_task_scores", """SELECT conv_id, turn, s1, s2, s3, CASE WHEN greates
 both("qry16_followup", """SELECT conv_id, turn, CASE WHEN previous IS NULL THEN 'new' WHEN length(text) < 60 THEN 'continuation' WHEN substr(text, 1, 3) = substr(previous, 1, 3) THEN 'substitution' WHEN length(text) < length(previous) THEN 'elaboration' ELSE 'new' END AS kind FROM (
   SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM turns_v WHERE role = 'user') AS x""")
 both("qry19_decompose", """SELECT conv_id, turn, concat_ws(',', CASE WHEN lower(text) LIKE '%and%' THEN 'composition' END, CASE WHEN lower(text) LIKE '%than%' THEN 'comparison' END, CASE WHEN lower(text) LIKE '%in%' THEN 'retrieval' END) AS subtasks FROM turns_v WHERE role = 'user'""")
-both("agg14_session_rollup", """SELECT conv_id, n_turns, n_user, last_turn, r FROM (SELECT conv_id, count(*) AS n_turns, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS n_user, max(turn) AS last_turn, row_number() OVER (ORDER BY count(*) DESC, conv_id) AS r FROM turns_v GROUP BY conv_id) AS x WHERE r <= 50""")
+both("agg14_session_rollup", """SELECT conv_id, n_turns, n_user, last_turn, CAST(r AS INT) AS r FROM (SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user, max(turn) AS last_turn, row_number() OVER (ORDER BY count(*) DESC, conv_id) AS r FROM turns_v GROUP BY conv_id) AS x WHERE r <= 50""")
 both("agg14_last_entities", "SELECT conv_id, turn, head FROM (SELECT conv_id, turn, split_part(text, ' ', 1) AS head, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM turns_v) AS x WHERE r <= 3")
-both("val14_answer_verification", """SELECT conv_id, count(*) AS n, sum(CASE WHEN split_part(text, ' ', 1) = split_part(previous, ' ', 1) THEN 1 ELSE 0 END) AS supported FROM (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous FROM turns_v) AS x WHERE role = 'assistant' GROUP BY conv_id""")
+both("val14_answer_verification", """SELECT conv_id, count(*) AS n, CAST(sum(CASE WHEN split_part(text, ' ', 1) = split_part(previous, ' ', 1) THEN 1 ELSE 0 END) AS BIGINT) AS supported FROM (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous FROM turns_v) AS x WHERE role = 'assistant' GROUP BY conv_id""")
