@@ -3,7 +3,8 @@
 A source with target weight w and size s (bytes of text) is to be repeated T * w / s times on average, T being the
 size of the mix. Each document's number of copies is a Poisson number with that mean, found by inverting the
 distribution at a point of [0, 1) that a hash of seed and document id gives: the same document always gets the same
-number, whatever the partitioning or a retry. Copies are exploded and dealt out by a hash of seed, id and copy, then
+number, whatever the partitioning or a retry. A large mean is the sum of equal parts, each drawn at a point of its own
+(a sum of independent Poisson numbers is one). Copies are exploded and dealt out by a hash of seed, id and copy, then
 sorted by it inside each partition: a uniform global shuffle in one exchange.
 """
 
@@ -11,19 +12,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, same, table, unit_interval
 
-#: Up to so many sources, the table of rates is broadcast (about 1 KB a row); beyond, it is joined with salt.
+#: Up to so many sources, the table of rates is broadcast (about 1 KB a row, at most 7); beyond, it is joined with salt.
 BROADCAST_SOURCES = 5_000
-#: The largest mean repetition rate: beyond it exp(-rate) nears the end of double precision.
+#: The largest mean of one draw: beyond it exp(-mean) nears the end of double precision, so a larger rate is drawn in parts.
 MAX_RATE = 500.0
+#: Parts and copies are listed in blocks of so many, so that no array grows with the rate.
+BLOCK = 1_000
 
 
 def rates(df: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """(source, rate, cdf): each source's mean repetition rate and its Poisson distribution function.
+    """(source, rate, parts, cdf): each source's mean repetition rate, in how many equal parts it is drawn, and a part's Poisson distribution function.
 
     Without ``weights``, a source's weight is its size to the power ``temperature``. The mix has ``epochs`` times
     the input's bytes. A source that ``weights`` does not name gets weight 0; one without any text has rate 1.
@@ -42,20 +45,41 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, temperature
     total = weighed.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("size"), F.coalesce(F.sum("__weight"), F.lit(0.0)).alias("weight")).first()
     rate = F.when(F.col("__size") == 0, 1.0).otherwise(F.lit(float(total.size) * epochs) * F.col("__weight") / F.lit(total.weight or 1.0) / F.col("__size"))
     out = weighed.select("__source", rate.alias("__rate"))
-    checked = F.when(F.col("__rate") <= MAX_RATE, F.col("__rate")).otherwise(F.raise_error(F.concat(F.lit("repetition rate too large: "), F.col("__rate").cast("string"))).cast("double"))
-    return out.withColumn("__rate", checked).withColumn("__cdf", F.expr(
-        """aggregate(sequence(1, cast(ceil(__rate + 12 * sqrt(__rate) + 20) as int)),
-                     struct(array(exp(-__rate)) as cdf, exp(-__rate) as p),
-                     (a, k) -> struct(concat(a.cdf, array(element_at(a.cdf, -1) + a.p * __rate / k)) as cdf, a.p * __rate / k as p),
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / F.lit(MAX_RATE))).cast("long")
+    return out.withColumn("__parts", parts).withColumn("__mean", F.col("__rate") / F.col("__parts")).withColumn("__cdf", F.expr(
+        """aggregate(sequence(1, cast(ceil(__mean + 12 * sqrt(__mean) + 20) as int)),
+                     struct(array(exp(-__mean)) as cdf, exp(-__mean) as p),
+                     (a, k) -> struct(concat(a.cdf, array(element_at(a.cdf, -1) + a.p * __mean / k)) as cdf, a.p * __mean / k as p),
                      a -> a.cdf)"""
-    ))
+    )).drop("__mean")
+
+
+def blocks(n: Column) -> Column:
+    """The numbers of the blocks that 1 to ``n`` lie in, from 0."""
+    return F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / F.lit(BLOCK)))
+
+
+def block(k: Column, n: Column) -> Column:
+    """The numbers of block ``k`` of 1 to ``n``."""
+    return F.sequence(k * BLOCK + 1, F.least(n, (k + 1) * BLOCK))
+
+
+def draws(seed: str) -> Column:
+    """How many copies a row with its source's rate gets: the first part is drawn at the hash of seed and id, part k at that of seed, id and k."""
+    parts, cdf = F.col("__parts"), F.col("__cdf")
+    at = lambda point: F.size(F.filter(cdf, lambda c: c <= point)).cast("long")
+    part = lambda k: F.when(k == 1, at(F.col("__point"))).otherwise(at(unit_interval(F.lit(seed), F.col("doc_id"), k)))
+    zero = F.lit(0).cast("long")
+    several = F.aggregate(blocks(parts), zero, lambda a, b: a + F.aggregate(block(b, parts), zero, lambda n, k: n + part(k)))
+    return F.when(parts == 1, at(F.col("__point"))).otherwise(several)
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix-1", copy_name: str = "copy", n_copies_name: str = "n_copies") -> DataFrame:
     """The mixed rows: all columns of ``df``, the copy's number from 1, and how many copies its document has.
 
-    A null source is a source of its own. Null texts have no bytes. Rows with one id (or null ids) share their
-    number of copies. An empty table gives an empty table.
+    A null source is a source of its own. Null texts have no bytes. Rows with one id (or null ids) of one source share
+    their number of copies. No rate is too large: a tiny source beside a huge one is repeated as often as its weight
+    says. An empty table gives an empty table.
     """
     table_of_rates = rates(df, weights, temperature, epochs)
     few = len(table_of_rates.select("__source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
@@ -66,8 +90,9 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, temperature:
         salted = table_of_rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         rated = df.withColumn("__deal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, same(F.col("source"), F.col("__source")) & (F.col("__deal") == F.col("__salt"))).drop("__salt", "__deal")
     point = unit_interval(F.lit(seed), F.col("doc_id"))
-    counted = rated.withColumn("__point", point).withColumn("__n", F.expr("size(filter(__cdf, c -> c <= __point))"))
-    copies = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    counted = rated.withColumn("__point", point).withColumn("__n", draws(seed)).drop("__cdf", "__parts", "__point")
+    listed = counted.where("__n > 0").withColumn("__block", F.explode(blocks(F.col("__n"))))
+    copies = listed.withColumn("__copy", F.explode(block(F.col("__block"), F.col("__n")))).drop("__block")
     keyed = copies.withColumn("__order", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__copy").cast("string"))))
     shuffled = keyed.repartition(F.col("__order")).sortWithinPartitions("__order")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (copy_name, n_copies_name)]

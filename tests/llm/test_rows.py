@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import chat, mixing, quality, sharding
 
@@ -121,3 +122,22 @@ def test_many_sources_take_the_salted_join(spark, monkeypatch):
     few = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == few
+
+
+def test_tiny_source_beside_a_huge_one_is_drawn_in_parts(spark):
+    rows = [(i, "x" * 1000, "huge") for i in range(9000)] + [(9000, "y", "tiny"), (9001, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, total = {"huge": 9_000_000, "tiny": 1, None: 1}, 9_000_002
+    # default weights: a rate of about 2,997; given weights: one of 2,250,000.5, over 4,501 parts
+    for weights in (None, {"huge": 3.0, "tiny": 1.0}):
+        weight = {s: math.sqrt(n) if weights is None else weights.get(s, 0.0) for s, n in sizes.items()}
+        out = mixing.mix(docs, weights)
+        counts = {r.doc_id: r for r in out.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.min("copy").alias("lo"), F.max("copy").alias("hi"), F.max("n_copies").alias("n_copies")).collect()}
+        for i, s in [(0, "huge"), (1, "huge"), (9000, "tiny"), (9001, None)]:
+            rate = total * weight[s] / sum(weight.values()) / sizes[s]
+            parts = max(1, math.ceil(rate / 500))
+            names = [f"mix-1|{i}"] + [f"mix-1|{i}|{k}" for k in range(2, parts + 1)]
+            want = sum(poisson(rate / parts, int(hashlib.md5(x.encode()).hexdigest()[:13], 16) / 2**52) for x in names)
+            got = tuple(counts[i])[1:] if i in counts else (0,) * 5
+            assert got == ((want, want, 1, want, want) if want else (0,) * 5)
+            assert abs(want - rate) <= 6 * math.sqrt(rate)
