@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
+def settled(df: DataFrame) -> str:
+    """The path of ``df``, written to the shared checkpoint folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there."""
+    return df.sparkSession.read.schema(df.schema).parquet(settled(df))
 
 
 def directed(relations: DataFrame, direction: str = "both", rel_types: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .graph import settle, settled
+
+#: Up to so many query vectors are broadcast at once.
+BROADCAST_QUERIES = 1_000
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", of: str = "text") -> DataFrame:
@@ -36,13 +40,24 @@ def bm25(posted: DataFrame, requests: DataFrame, k: int, k1: float = 1.5, b: flo
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """WIN2: exact dot products against a bounded set of query vectors (request_id, q), best k each. Queries are broadcast: at most 1,000."""
-    few = queries.limit(1_001)
-    if few.count() > 1_000:
-        raise ValueError("vector_top_k takes at most 1,000 queries at once")
+    """WIN2: exact dot products of all vectors with all query vectors (request_id, q), best k each.
+
+    Up to ``BROADCAST_QUERIES`` queries are broadcast; more are dealt by a hash of request_id into blocks of about half
+    as many, each broadcast in turn and its result written to the shared folder.
+    """
     dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), key)
-    return vectors.crossJoin(F.broadcast(few)).select("request_id", key, dot.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def best(some: DataFrame) -> DataFrame:
+        return vectors.crossJoin(F.broadcast(some)).select("request_id", key, dot.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        return best(queries)
+    asked = settle(queries.select("request_id", "q"))
+    n = -(-asked.count() * 2 // BROADCAST_QUERIES)
+    dealt = settle(asked.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(n)).cast("int")))
+    paths = [settled(best(dealt.where(F.col("block") == i).drop("block"))) for i in range(n)]
+    return vectors.sparkSession.read.schema(best(asked).schema).parquet(*paths)
 
 
 def fuse(ranked: list[DataFrame], k: int, anchors: DataFrame | None = None, constant: int = 60, key: str = "chunk_id") -> DataFrame:

@@ -72,6 +72,19 @@ def test_retrieval(spark):
     assert {(r.left_id, r.right_id) for r in retrieval.jaccard_join(sets, sets, 0.5).collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
 
 
+def test_vector_search_takes_any_number_of_queries(spark):
+    vector = lambda i: [float((i * 7 + j * j * 5) % 11 - 5) for j in range(4)]
+    vectors = {i: vector(i) for i in range(30)}
+    queries = {i: vector(3 * i + 1) for i in range(1_101)}
+    got = retrieval.vector_top_k(spark.createDataFrame(list(vectors.items()), "vec_id int, embedding array<float>"), spark.createDataFrame(list(queries.items()), "request_id int, q array<float>"), 3)
+    want = set()
+    for i, q in queries.items():
+        best = sorted((-sum(x * y for x, y in zip(v, q)), j) for j, v in vectors.items())[:3]
+        want |= {(i, j, -s, r) for r, (s, j) in enumerate(best, 1)}
+    rows = [tuple(r) for r in got.select("request_id", "vec_id", "score", "rank").collect()]
+    assert len(rows) == 3 * 1_101 and set(rows) == want
+
+
 def test_structure(spark):
     rows = [(1, 1, "A"), (2, 2, "B"), (3, 0, "x"), (4, 3, "C"), (5, 2, "D"), (6, 0, "y"), (7, 1, "E"), (8, 3, "F")]
     got = structure.heading_paths(spark.createDataFrame([("d", *r) for r in rows], "doc string, ord int, lvl int, title string"), "doc", "ord", "lvl", "title").orderBy("ord").collect()
