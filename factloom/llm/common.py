@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: White space of the word and line rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: So many keys of the largest groups are joined by broadcast.
+HOT = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all machines share; only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is one made here."""
+    """The session's checkpoint folder, which all machines share. Where ``spark.checkpoint.dir`` is unset, only a local master gets one of its own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. What is written there is removed when the application ends: results may read it until then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it from there: nothing before it is computed or planned again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4()}"
+    path = new_folder(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_sizes(rows: DataFrame, key: str, own: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``sizes`` (key, size, ...), one row a key, joined by ``key`` without crowding a hot key's rows.
+
+    The HOT keys of largest size, a number that does not depend on the data, are broadcast; the rows of hot keys are
+    dealt by ``own`` in the shuffle that joins the others, so any key left holds at most 1 / HOT of all rows.
+    """
+    others = [c for c in sizes.columns if c != key]
+    named = sizes.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in others])
+    hot = named.orderBy(F.desc("__size"), "__k").limit(HOT).select(F.col("__k").alias("__hk"), *[F.col(f"__{c}").alias(f"__h{c}") for c in others])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
+    dealt = marked.withColumn("__is_hot", F.col("__hk").isNotNull()).withColumn("__deal", F.when(F.col("__is_hot"), F.xxhash64(own)).otherwise(F.col(key)))
+    met = dealt.join(named.withColumn("__cold", F.lit(False)), (F.col("__deal") == F.col("__k")) & (F.col("__is_hot") == F.col("__cold")), "left")
+    out = met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"__h{c}", f"__{c}").alias(c) for c in others], (F.col("__is_hot") | F.col("__k").isNotNull()).alias("__met"))
+    return (out.where("__met") if how == "inner" else out).drop("__met")
+
+
 def pieces(batches, rows: int = 256):
     """Record batches in slices: texts become Python objects a few hundred at a time, whatever the batch size.
 
