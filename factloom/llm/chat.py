@@ -6,8 +6,10 @@ Prefix sums of the turns' token estimates choose spans of whole turns that fit t
 window that opens with the conversation's first system turn, repeats a limited history, and carries its new turns.
 Only new assistant turns are targets: what is repeated is masked, so every target is trained on once.
 
-A conversation is worked on in segments of at most 256 turn numbers, so a very long one is spread over many tasks;
-no window spans two segments, and history crosses from one segment to the next.
+Turns are numbered by windows, which spill. A running sum gives each turn the turn that a window starting with it would
+stop before. Following these pointers is work in order; it is done in segments of SEGMENT turns at once: each segment
+maps the turn that a window may enter it with to the turn by which it is left, these maps (four bytes a turn) are
+chained along a conversation, and then every segment lists its own starts. Texts meet only within one window.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import same, table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Turns in a segment.
 SEGMENT = 256
 
 
@@ -43,71 +47,87 @@ def unescape_role(role: Column) -> Column:
     return role
 
 
+def _ordered(turns: DataFrame) -> DataFrame:
+    """The turns with head, body and tok (token estimate), pos (their number in the conversation, from 1) and before (tokens before them)."""
+    base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    shaped = base.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("body", escape(F.col("text")))
+    shaped = shaped.withColumn("tok", F.ceil((F.octet_length("head") + F.octet_length("body") + F.lit(len(END) + 1)) / F.lit(4)).cast("long"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.sum("tok").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tok")
+    return shaped.select("conv_id", "role", "head", "body", "tok", F.row_number().over(order).cast("long").alias("pos"), before.alias("before"))
+
+
+def _pointers(ordered: DataFrame, budget: int, history_turns: int, history_budget: int) -> DataFrame:
+    """(conv_id, pos, seg, last, sys, next, n_history): the conversation's length and first system turn, the start after one here, and how many turns before it fit as history."""
+    whole = Window.partitionBy("conv_id")
+    by_pos = whole.orderBy("pos")
+    narrow = ordered.select("conv_id", "pos", "tok", "before", (F.col("role") == "system").alias("is_system"))
+    sys = F.min(F.when(F.col("is_system"), F.struct("pos", "tok"))).over(whole)
+    history = sum([F.when(F.col("before") - F.lag("before", d).over(by_pos) <= history_budget, 1).otherwise(0) for d in range(1, history_turns + 1)], F.lit(0))
+    known = narrow.select("conv_id", "pos", "before", sys["pos"].alias("sys"), F.max("pos").over(whole).alias("last"), F.sum("tok").over(whole).alias("total"), F.coalesce(sys["tok"], F.lit(0)).alias("sys_tok"), history.alias("n_history"))
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history_budget) - F.col("sys_tok"))
+    # One turn has at least one token, so steps of 1 / room part turns; a quarter of the least step is kept clear of rounding.
+    scaled = known.withColumn("room", room).withColumn("along", F.col("before") / F.col("room"))
+    reach = F.expr(f"max(pos) over (partition by conv_id order by along range between current row and {1 + 0.25 / max(1, budget)!r}D following)")
+    to = F.when(F.col("total") - F.col("before") <= F.col("room"), F.col("last") + 1).otherwise(F.greatest(reach, F.col("pos") + 1))
+    return scaled.select("conv_id", "pos", F.floor((F.col("pos") - 1) / F.lit(SEGMENT)).alias("seg"), "last", "sys", to.alias("next"), "n_history")
+
+
+def _starts(pointers: DataFrame) -> DataFrame:
+    """(conv_id, start, stop, sys, n_history): the windows' new turns, by following ``next`` from the first turn on."""
+    segments = pointers.groupBy("conv_id", "seg").agg(F.sort_array(F.collect_list(F.struct("pos", "next", "n_history"))).alias("t"), F.max("last").alias("last"), F.max("sys").alias("sys"))
+    low = F.expr(f"seg * {SEGMENT}")  # positions of a segment are low + 1, low + 2, ...
+    segments = segments.withColumn("low", low)
+    # From the last turn to the first: a pointer within the segment leaves it where its target does.
+    leaves = F.expr("""reverse(aggregate(reverse(t), cast(array() as array<bigint>), (a, x) ->
+        concat(a, array(if(x.next > low + size(t), x.next, element_at(a, cast(low + size(t) - x.next + 1 as int)))))))""")
+    several = segments.where(f"last > {SEGMENT}").select("conv_id", "seg", "low", leaves.alias("leaves"))
+    chained = several.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seg", "low", "leaves"))).alias("s"))
+    chained = chained.select(F.col("conv_id").alias("__c"), F.explode(F.expr("""aggregate(s, struct(1L as at, cast(array() as array<struct<seg: bigint, enter: bigint>>) as found),
+        (a, x) -> if(a.at > x.low + size(x.leaves), a, struct(element_at(x.leaves, cast(a.at - x.low as int)) as at, concat(a.found, array(struct(x.seg as seg, a.at as enter))) as found)), a -> a.found)""")).alias("e"))
+    entered = segments.where(f"last > {SEGMENT}").join(chained.select("__c", F.col("e.seg").alias("__s"), F.col("e.enter").alias("enter")), same(F.col("conv_id"), F.col("__c")) & (F.col("seg") == F.col("__s"))).drop("__c", "__s")
+    entered = entered.unionByName(segments.where(f"last <= {SEGMENT}").withColumn("enter", F.lit(1).cast("long")))
+    found = F.expr("""aggregate(t, struct(enter as at, cast(array() as array<struct<start: bigint, stop: bigint, n_history: int>>) as found),
+        (a, x) -> if(x.pos = a.at, struct(x.next as at, concat(a.found, array(struct(x.pos as start, x.next - 1 as stop, x.n_history as n_history))) as found), a), a -> a.found)""")
+    return entered.select("conv_id", "sys", F.explode(found).alias("w")).select("conv_id", "sys", "w.start", "w.stop", "w.n_history")
+
+
 def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 4, history_budget: int = 256, target_role: str = "assistant") -> DataFrame:
-    """(conv_id, segment, window, n_context, n_turns, formatted, loss_spans, n_tokens), one row a window.
+    """(conv_id, window, n_context, n_turns, formatted, loss_spans, n_tokens), one row a window; ``window`` is the position of its first new turn.
 
     ``turns``: conv_id, turn, role, text; other columns are ignored. Turns go by number (null first), then role,
     then text; repeated rows are turns of their own; null roles and texts are empty; a null conv_id is one
-    conversation. Tokens are estimated as a quarter of the formatted UTF-8 bytes, rounded up. New turns of a window
-    have at most budget - history_budget - system turn tokens; a single longer turn makes a window of its own,
-    whole. ``loss_spans`` are [start, end) offsets in code points into ``formatted``; the first ``n_context`` turns
-    are repeated ones. History skips back over at most one segment and stops at a gap of a whole segment.
+    conversation; an empty table gives an empty table. Tokens are estimated as a quarter of the formatted UTF-8 bytes,
+    rounded up. New turns of a window have at most budget - history_budget - system turn tokens; a single longer turn
+    makes a window of its own, whole. ``loss_spans`` are [start, end) offsets in code points into ``formatted``; the
+    first ``n_context`` turns are repeated ones: the system turn, if it is not among the new ones, and history.
     """
-    base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    shaped = base.select("conv_id", "turn", "role", F.col("text").alias("raw"), head.alias("head"), escape(F.col("text")).alias("body"), F.floor(F.coalesce("turn", F.lit(-1)) / F.lit(SEGMENT)).alias("segment"))
-    shaped = shaped.withColumn("tok", F.ceil((F.octet_length("head") + F.octet_length("body") + F.lit(len(END) + 1)) / F.lit(4)).cast("long"))
-    item = F.struct("turn", "role", "raw", "head", "body", "tok")
-    segments = shaped.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(item)).alias("turns"))
-    segments = segments.withColumn("first_system", F.expr("array_position(transform(turns, t -> t.role), 'system')").cast("int"))
-
-    system = segments.where("first_system > 0").groupBy("conv_id").agg(
-        F.min(F.struct("segment", "first_system", F.expr("turns[first_system - 1]").alias("t"))).alias("s"))
-    system = system.select(F.col("conv_id").alias("__c"), F.struct(F.col("s.segment").alias("segment"), F.col("s.first_system").alias("at"), F.col("s.t").alias("t")).alias("sys"))
-    tails = segments.select(F.col("conv_id").alias("__c2"), (F.col("segment") + 1).alias("__s2"), F.expr(f"slice(turns, -least({history_turns}, size(turns)), least({history_turns}, size(turns)))").alias("tail"), F.size("turns").alias("__n2"))
-    joined = segments.join(system, same(F.col("conv_id"), F.col("__c")), "left").join(tails, same(F.col("conv_id"), F.col("__c2")) & (F.col("segment") == F.col("__s2")), "left")
-    joined = joined.select(
-        "conv_id", "segment", "sys",
-        F.coalesce(F.size("tail"), F.lit(0)).alias("lead"),
-        # where the system turn stands among tail and turns, from 1; 0 where it is not there
-        F.expr("case when sys.segment = segment then coalesce(size(tail), 0) + sys.at when sys.segment = __s2 - 1 then greatest(0, sys.at - __n2 + size(tail)) else 0 end").cast("int").alias("sys_at"),
-        F.expr("concat(coalesce(tail, slice(turns, 1, 0)), turns)").alias("all"),
+    ordered = _ordered(turns)
+    starts = _starts(_pointers(ordered, budget, history_turns, history_budget))
+    repeats_system = F.col("sys").isNotNull() & ~F.col("sys").between(F.col("start"), F.col("stop"))
+    own = F.sequence(F.greatest(F.lit(1).cast("long"), F.col("start") - F.col("n_history")), F.col("stop"))
+    members = F.concat(
+        F.when(repeats_system, F.array("sys")).otherwise(F.array().cast("array<bigint>")),
+        F.filter(own, lambda p: (p >= F.col("start")) | ~F.coalesce(p == F.col("sys"), F.lit(False))),
     )
-    joined = joined.withColumn("sys_tok", F.coalesce(F.col("sys.t.tok"), F.lit(0)))
-    # before[i]: tokens of all[0 .. i)
-    joined = joined.withColumn("before", F.expr("aggregate(all, array(0L), (a, t) -> concat(a, array(element_at(a, -1) + t.tok)))"))
-    # Greedy spans by prefix sums: a span is closed when the next turn would pass the room for new turns.
-    joined = joined.withColumn("starts", F.expr(
-        f"""aggregate(sequence(lead + 1, size(all)), cast(array() as array<int>),
-              (s, i) -> if(size(s) = 0 or before[i] - before[element_at(s, -1) - 1] > greatest(1L, {budget} - {history_budget} - sys_tok), concat(s, array(i)), s))"""
-    ))
-    spans = joined.select("*", F.posexplode("starts").alias("window", "start"))
-    spans = spans.withColumn("stop", F.coalesce(F.expr("get(starts, window + 1)") - 1, F.size("all")))
-    spans = spans.withColumn("new", F.expr("slice(all, start, stop - start + 1)"))
-    spans = spans.withColumn("history", F.expr(
-        f"""transform(filter(sequence(greatest(1, start - {history_turns}), start), i -> i < start
-              and before[start - 1] - before[i - 1] <= {history_budget} and i <> sys_at), i -> all[i - 1])"""
-    ))
-    keep_system = F.expr("sys is not null and not (sys_at between start and stop)")
-    spans = spans.withColumn("context", F.when(keep_system, F.concat(F.array("sys.t"), "history")).otherwise(F.col("history")))
-    spans = spans.withColumn("parts", F.expr(f"concat(transform(context, t -> struct(t.head, t.body, t.tok, false as loss)), transform(new, t -> struct(t.head, t.body, t.tok, t.role = '{target_role}' as loss)))"))
-    close = END + "\n"
-    spans = spans.withColumn("pieces", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(close))))
-    spans = spans.withColumn("at", F.expr("aggregate(pieces, array(0), (a, p) -> concat(a, array(element_at(a, -1) + length(p))))"))
-    loss = F.expr("transform(filter(sequence(0, size(parts) - 1), i -> parts[i].loss), i -> struct(at[i] + length(parts[i].head) as start, at[i] + length(parts[i].head) + length(parts[i].body) as end))")
-    return spans.select(
-        "conv_id", "segment", "window",
-        F.size("context").cast("long").alias("n_context"),
-        F.size("new").cast("long").alias("n_turns"),
-        F.array_join("pieces", "").alias("formatted"),
-        loss.alias("loss_spans"),
-        F.expr("aggregate(parts, 0L, (a, p) -> a + p.tok)").alias("n_tokens"),
+    listed = starts.select(F.col("conv_id").alias("__c"), F.col("start").alias("window"), (F.col("stop") - F.col("start") + 1).alias("n_new"), members.alias("members"))
+    placed = listed.select("__c", "window", "n_new", (F.size("members") - F.col("n_new")).alias("n_context"), F.posexplode("members").alias("place", "__p"))
+    rows = placed.join(ordered, same(F.col("__c"), F.col("conv_id")) & (F.col("__p") == F.col("pos")))
+    piece = F.struct("place", "head", "body", "tok", "role")
+    made = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(piece)).alias("parts"), F.max("n_new").alias("n_new"), F.max("n_context").alias("n_context"))
+    made = made.withColumn("pieces", F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))))
+    sizes = F.transform("parts", lambda p: F.struct(F.length(p["head"]).alias("h"), F.length(p["body"]).alias("b"), p["role"].alias("role")))
+    loss = F.expr(f"""aggregate(sizes, struct(0 as at, 0 as i, cast(array() as array<struct<start: int, end: int>>) as spans),
+        (a, p) -> struct(a.at + p.h + p.b + {len(END) + 1} as at, a.i + 1 as i, if(a.i >= n_context and p.role = '{target_role}', concat(a.spans, array(struct(a.at + p.h as start, a.at + p.h + p.b as end))), a.spans) as spans), a -> a.spans)""")
+    return made.withColumn("sizes", sizes).select(
+        "conv_id", "window", F.col("n_context").cast("long").alias("n_context"), F.col("n_new").cast("long").alias("n_turns"),
+        F.array_join("pieces", "").alias("formatted"), loss.alias("loss_spans"), F.expr("aggregate(parts, 0L, (a, p) -> a + p.tok)").alias("n_tokens"),
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The windows with ``turns``, the (role, text) of their new turns, and ``targets``, the texts under the loss mask, both parsed from ``formatted``."""
-    pieces = F.expr(f"slice(split(formatted, '<\\\\|im_start\\\\|>', -1), cast(n_context as int) + 2, cast(n_turns as int))")
+    pieces = F.expr("slice(split(formatted, '<\\\\|im_start\\\\|>', -1), cast(n_context as int) + 2, cast(n_turns as int))")
     parsed = formatted.withColumn("__p", pieces)
     role = lambda p: unescape_role(F.substring_index(p, "\n", 1))
     text = lambda p: unescape(F.substr(p, F.locate("\n", p) + 1, F.length(p) - F.locate("\n", p) - F.lit(len(END) + 1)))
@@ -126,13 +146,13 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     read = read_back(windows(turns.unionByName(planted)))
     window = read.select(
-        "conv_id", "segment", "window", "n_turns", F.length("formatted").cast("long").alias("chars"),
+        "conv_id", "window", "n_turns", F.length("formatted").cast("long").alias("chars"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
         F.array_join("targets", "").alias("loss"),
     )
     whole = window.groupBy("conv_id").agg(
         F.sum("n_turns").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("segment", "window", "said", "loss"))).alias("w"),
+        F.sort_array(F.collect_list(F.struct("window", "said", "loss"))).alias("w"),
     )
     whole = whole.select("conv_id", "n_turns", "formatted_chars", F.array_join("w.said", "").alias("said"), F.array_join("w.loss", "").alias("loss"))
     return whole.select(
@@ -141,7 +161,7 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same digests from the texts themselves. Its windows are those of conversations of one segment (turns 0 to 255).
+#: The same digests from the texts themselves, the windows by a walk over the turns.
 OP5_SQL = r"""
 WITH RECURSIVE base AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -46,26 +46,53 @@ TURNS = [
 ] + [(9, i, "assistant" if i % 2 else "user", f"turn {i} " + "w " * (i % 7)) for i in range(700)]
 
 
+def plain_windows(turns, budget=1024, history_turns=4, history_budget=256):
+    """(start, stop, history, system) of one conversation's windows by a walk over its turns (head + body + end, role)."""
+    tok = [math.ceil(len(text.encode()) / 4) for text, _ in turns]
+    sys = next((i for i, (_, role) in enumerate(turns) if role == "system"), None)
+    room = max(1, budget - history_budget - (tok[sys] if sys is not None else 0))
+    out, start, used = [], 0, 0
+    for i, n in enumerate(tok + [None]):
+        if n is None or i > start and used + n > room:
+            history = [j for j in range(max(0, start - history_turns), start) if sum(tok[j:start]) <= history_budget and j != sys]
+            out.append((start + 1, i, len(history) + (sys is not None and not start <= sys < i)))
+            start, used = i, 0
+        used += n or 0
+    return out
+
+
 def test_chat_windows_round_trip(spark):
     turns = spark.createDataFrame([(*t, 1) for t in TURNS], "conv_id long, turn long, role string, text string, window int")
     made = chat.windows(turns)
-    read = chat.read_back(made).orderBy("conv_id", "segment", "window").collect()
+    read = chat.read_back(made).orderBy("conv_id", "window").collect()
     expected = {}
     for c, n, role, text in sorted(TURNS, key=lambda t: (t[0] or 0, t[1] if t[1] is not None else -1, t[2] or "", t[3] or "")):
         expected.setdefault(c, []).append((role or "", text or ""))
+    head = lambda role: "<|im_start|>" + role.replace("%", "%25").replace("\n", "%0A").replace("<", "%3C") + "\n"
     for c, said in expected.items():
         own = [r for r in read if r.conv_id == c]
         assert [(t.role, t.text) for r in own for t in r.turns] == said
         assert [x for r in own for x in r.targets] == [x for role, x in said if role == "assistant"]
+        shaped = [(head(role) + re.sub(r"<(\\*)\|", r"<\\\1|", text) + "<|im_end|>\n", role) for role, text in said]
+        assert [(r.window, r.window + r.n_turns - 1, r.n_context) for r in own] == plain_windows(shaped)
     for r in read:
         assert r.formatted.count(chat.START) == r.formatted.count(chat.END) == r.n_context + r.n_turns
         assert r.n_tokens <= 1024 or r.n_turns == 1
     repeated = [r for r in read if r.conv_id == 1][1:]
     assert repeated and all(r.formatted.startswith("<|im_start|>system\nbe <\\|im_start|> kind") for r in repeated)
-    assert [r for r in read if r.conv_id == 9 and r.segment == 1 and r.window == 0][0].n_context > 0  # history crosses segments
+    assert all(r.n_context > 0 for r in read if r.conv_id == 9 and r.window > 1)  # history crosses segments
     assert chat.windows(turns.limit(0)).count() == 0
 
 
+def test_thousands_of_rows_of_one_turn_number(spark):
+    rows = [(1, None if i % 2 else 7, "user" if i % 3 else "assistant", f"said {i:05d} " + "x " * (i % 40)) for i in range(5000)]
+    made = chat.read_back(chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).orderBy("window").collect()
+    said = sorted(rows, key=lambda t: (-1 if t[1] is None else t[1], t[2], t[3]))
+    assert [(t.role, t.text) for r in made for t in r.turns] == [t[2:] for t in said]
+    shaped = [(f"<|im_start|>{role}\n{text}<|im_end|>\n", role) for _, _, role, text in said]
+    assert [(r.window, r.window + r.n_turns - 1, r.n_context) for r in made] == plain_windows(shaped)
+
+
 def plain_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
