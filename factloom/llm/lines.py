@@ -22,12 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, same, table
+from .common import cut, join_sizes, pieces, same, table
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Filters of up to so many bytes in all are broadcast; beyond it, line occurrences are dealt to the shards' tasks.
 BROADCAST_BYTES = 16 << 20
 KEYS_PER_SHARD = 100_000
+#: Occurrences of a shard's keys that one task asks a filter, where filters are not broadcast.
+PART_ROWS = 500_000
+#: Up to so many keys (16 bytes each) of at least the limit are broadcast.
+BROADCAST_KEYS = 500_000
+#: A shard's filter that is fuller than this is built again, larger.
+FULL = 0.85
 
 
 class Cuckoo:
@@ -55,10 +61,16 @@ class Cuckoo:
     def has(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         f, a, b = self.places(k1, k2)
         found = (self.slots[a] == f[:, None]).any(1) | (self.slots[b] == f[:, None]).any(1)
-        for bucket, p in self.overflow:
-            found |= (f == p) & ((a == bucket) | (b == bucket))
+        if self.overflow:
+            bucket, p = np.array(self.overflow, np.int64).T
+            spilled = np.concatenate([bucket * 65536 + p])
+            found |= np.isin(a * 65536 + f, spilled) | np.isin(b * 65536 + f, spilled)
         return found
 
+    def load(self) -> float:
+        """The share of slots in use; above 1 where keys overflowed."""
+        return float((self.slots != 0).mean()) + bool(self.overflow)
+
     def add(self, k1: np.ndarray, k2: np.ndarray) -> None:
         f, a, b = self.places(k1, k2)
         slots = self.slots
@@ -172,13 +184,17 @@ def _build(frames: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(frames.shard.iloc[0])], "blob": [own.pack()]})
 
 
-def new_state(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> State:
-    """The state after inserting ``docs`` into nothing."""
-    counts = cut(_counted(docs, min_chars))
+def _filters(counts: DataFrame, min_docs: int) -> tuple[DataFrame, int]:
+    """The filters over the keys of at least ``min_docs``, and their number of shards."""
     known = counts.where(F.col("n_docs") >= min_docs)
     n = max(1, -(-known.count() // KEYS_PER_SHARD))
-    filters = cut(known.select(_shard(n), "k1", "k2").groupBy("shard").applyInPandas(_build, "shard int, blob binary"))
-    return State(counts, filters, n, min_docs, min_chars)
+    return cut(known.select(_shard(n), "k1", "k2").groupBy("shard").applyInPandas(_build, "shard int, blob binary")), n
+
+
+def new_state(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> State:
+    """The state after inserting ``docs`` into nothing. Rows with one doc_id are one document; null texts have one empty line; an empty table gives an empty state."""
+    counts = cut(_counted(docs, min_chars))
+    return State(counts, *_filters(counts, min_docs), min_docs, min_chars)
 
 
 def _moved(state: State, docs: DataFrame, sign: int) -> State:
@@ -187,17 +203,23 @@ def _moved(state: State, docs: DataFrame, sign: int) -> State:
     sums = cut(both.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.sum("before").alias("before")))
     counts = sums.where("n_docs > 0").drop("before")
     crossing = sums.where((F.col("n_docs") >= state.min_docs) != (F.col("before") >= state.min_docs))
-    moves = crossing.select(_shard(state.n_shards), "k1", "k2", (F.col("n_docs") >= state.min_docs).alias("enters"))
+    moves = cut(crossing.select(_shard(state.n_shards), "k1", "k2", (F.col("n_docs") >= state.min_docs).alias("enters")))
+    # A shard that gains as many keys as it was sized for is built again from the counts, with more shards.
+    if moves.where("enters").groupBy("shard").count().where(F.col("count") > KEYS_PER_SHARD // 4).isEmpty():
 
-    def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        own = Cuckoo.unpack(old.blob.iloc[0]) if len(old) else Cuckoo.sized(len(new) * 2)
-        gone, come = new[~new.enters.astype(bool)], new[new.enters.astype(bool)]
-        own.remove(gone.k1.to_numpy(np.int64), gone.k2.to_numpy(np.int64))
-        own.add(come.k1.to_numpy(np.int64), come.k2.to_numpy(np.int64))
-        return pd.DataFrame({"shard": [int((old if len(old) else new).shard.iloc[0])], "blob": [own.pack()]})
+        def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            own = Cuckoo.unpack(old.blob.iloc[0]) if len(old) else Cuckoo.sized(len(new) * 2)
+            gone, come = new[~new.enters.astype(bool)], new[new.enters.astype(bool)]
+            own.remove(gone.k1.to_numpy(np.int64), gone.k2.to_numpy(np.int64))
+            room = own.slots.size * FULL - (own.slots != 0).sum()
+            if len(come) <= room:
+                own.add(come.k1.to_numpy(np.int64), come.k2.to_numpy(np.int64))
+            return pd.DataFrame({"shard": [int((old if len(old) else new).shard.iloc[0])], "blob": [own.pack()], "load": [own.load() if len(come) <= room else 2.0]})
 
-    filters = cut(state.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(update, "shard int, blob binary"))
-    return State(counts, filters, state.n_shards, state.min_docs, state.min_chars)
+        made = cut(state.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInPandas(update, "shard int, blob binary, load double"))
+        if made.where(F.col("load") > 1).isEmpty():
+            return State(counts, made.drop("load"), state.n_shards, state.min_docs, state.min_chars)
+    return State(counts, *_filters(counts, state.min_docs), state.min_docs, state.min_chars)
 
 
 def insert(state: State, docs: DataFrame) -> State:
@@ -231,17 +253,38 @@ def suspects(state: State, found: DataFrame, broadcast_bytes: int = BROADCAST_BY
                 yield batch.filter(pa.array(hit)).select(schema.names)
 
         return found.select(*schema.names, _shard(n)).mapInArrow(ask, schema)
-    parts = 16  # a hot line's occurrences are dealt by document as well
-    dealt = found.select("*", _shard(n), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
-    copies = state.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def ask_shard(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[schema.names]
-        if not len(rows) or not len(own):
-            return rows[:0]
-        return rows[Cuckoo.unpack(own.blob.iloc[0]).has(rows.k1.to_numpy(np.int64), rows.k2.to_numpy(np.int64))]
-
-    return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(ask_shard, schema)
+    # Each shard's occurrences are dealt by document over as many tasks as their number asks for, each after the shard's filter.
+    held = cut(found.select("*", _shard(n)))
+    parts = held.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("size"))
+    dealt = join_sizes(held.withColumn("key", F.col("shard").cast("long")), "key", "doc_id", parts.select(F.col("shard").cast("long").alias("key"), "size"))
+    rows = dealt.select("shard", F.pmod(F.xxhash64("doc_id"), F.col("size")).cast("int").alias("part"), F.lit(1).alias("turn"), F.lit(None).cast("binary").alias("blob"), *schema.names)
+    copies = state.filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("part"), F.lit(0).alias("turn"), "blob", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+    def ask_in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shard = None, None
+        for batch in pieces(batches, 1 << 14):
+            numbers, turns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "turn"))
+            hit = np.zeros(batch.num_rows, bool)
+            edges = np.flatnonzero(np.r_[True, (numbers[1:] != numbers[:-1]) | (turns[1:] != turns[:-1]), True]) if batch.num_rows else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if turns[a] == 0:
+                    own, shard = Cuckoo.unpack(batch.column("blob")[a].as_py()), numbers[a]
+                elif shard == numbers[a]:
+                    hit[a:b] = own.has(*(batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k1", "k2")))
+            yield batch.filter(pa.array(hit)).select(schema.names)
+
+    return copies.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", "turn").mapInArrow(ask_in_turn, schema)
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` joined with ``keys`` (k1, k2, size, ...), one row a key: by broadcast up to BROADCAST_KEYS, else with hot keys dealt by document."""
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        named = keys.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), *[c for c in keys.columns if c not in ("k1", "k2")])
+        return rows.join(F.broadcast(named), (F.col("k1") == F.col("__a")) & (F.col("k2") == F.col("__b"))).drop("__a", "__b")
+    # The first half of a key nearly always names it; the second has the last word.
+    named = keys.groupBy("k1").agg(F.sum("size").alias("size"), F.collect_list(F.struct("k2", *[c for c in keys.columns if c not in ("k1", "k2", "size")])).alias("of"))
+    met = join_sizes(rows, "k1", "doc_id", named)
+    return met.withColumn("own", F.expr("get(filter(of, x -> x.k2 = k2), 0)")).where("own is not null").select(*rows.columns, "size", *[F.col(f"own.{c}").alias(c) for c in keys.columns if c not in ("k1", "k2", "size")])
 
 
 def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_BYTES, spare_first: bool = False, text_name: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
@@ -249,15 +292,17 @@ def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_B
 
     Lines are split at line feeds; a null or empty text is one empty line, which is never dropped (its key is
     empty) and gives the empty text. What stays is joined by line feeds, as it was. Rows that share a doc_id lose lines
-    by their own texts. With ``spare_first``, the smallest doc_id keeps such a line. An empty table gives an empty table.
+    by their own texts. With ``spare_first``, the smallest doc_id keeps such a line. Columns named like the two counts are
+    replaced by them, so give other names to keep those. An empty table gives an empty table.
     """
     # Written first, so that one worker a task is enough for either function.
     doomed = suspects(state, cut(occurrences(docs, state.min_chars)), broadcast_bytes)
-    exact = state.counts.where(F.col("n_docs") >= state.min_docs).select(F.col("k1").alias("__a"), F.col("k2").alias("__b"))
-    doomed = doomed.join(exact, (F.col("k1") == F.col("__a")) & (F.col("k2") == F.col("__b")), "left_semi")
+    exact = state.counts.where(F.col("n_docs") >= state.min_docs).select("k1", "k2", F.col("n_docs").alias("size"))
+    doomed = _of_keys(doomed, exact).drop("size")
     if spare_first:
-        first = doomed.groupBy("k1", "k2").agg(F.min("doc_id").alias("__first")).select(F.col("k1").alias("__c"), F.col("k2").alias("__d"), "__first")
-        doomed = doomed.join(first, (F.col("k1") == F.col("__c")) & (F.col("k2") == F.col("__d"))).where(~same(F.col("doc_id"), F.col("__first"))).drop("__c", "__d", "__first")
+        doomed = cut(doomed)
+        first = doomed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("__first"))
+        doomed = _of_keys(doomed, first).where(~same(F.col("doc_id"), F.col("__first"))).drop("size", "__first")
     by_doc = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__gone"))
     rest = [c for c in docs.columns if c not in (text_name, n_lines, n_dropped)]
     joined = docs.join(by_doc, same(F.col("doc_id"), F.col("__id")), "left").select(
