@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, table
+from .common import cut, join_sizes, pieces, table
 
 #: Identifiers of up to so many documents are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Levels that all large nodes are branched before candidates are confirmed.
 LEVELS_AT_ONCE = 3
+#: A node that has not come apart by this level holds sets that agree nearly everywhere: it is compared whole, whatever its size.
+LAST_LEVEL = 40
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -115,10 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), F.least("u", "low").alias("low"))
-        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("w"), "low")
-        small = large.join(low, F.col("u") == F.col("w")).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("low").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("low")).select("u", "size", F.least("u", "low").alias("low"))
+        large = join_sizes(both, "u", "v", low).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("low"))
+        small = join_sizes(large, "u", "v", low).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct()
         now = cut(small)
         before, seen = seen, mark(now)
         if before == seen:
@@ -177,7 +179,7 @@ def _branch(nodes: DataFrame, classes: DataFrame, how: Join, level: int) -> Data
 def _compare(nodes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (u, v) to compare in nodes (node, rep), and the nodes that are too large for comparing all."""
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).where("size > 1")
-    kept = cut(nodes.join(sizes.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).select("node", "rep", "size", "low"))
+    kept = cut(join_sizes(nodes, "node", "rep", sizes))
     few, many = kept.where(F.col("size") <= small), kept.where(F.col("size") > small)
     right = few.select(F.col("node").alias("__node"), F.col("rep").alias("v"))
     inside = few.select("node", F.col("rep").alias("u")).join(right, (F.col("node") == F.col("__node")) & (F.col("u") < F.col("v"))).select("u", "v")
@@ -219,7 +221,7 @@ def links(docs: DataFrame, classes: DataFrame, how: Join, repeated: bool = False
         home = cut(home.join(mixed, F.col("node") == F.col("__node"), "left_semi"))
         held = home.join(classes.select(F.col("rep").alias("__r"), "n"), F.col("rep") == F.col("__r"))
         sizes = held.groupBy("node").agg((F.count(F.lit(1)) <= how.whole).alias("few"), (F.sum("n") <= how.whole_shingles).alias("short"))
-        within = cut(sizes.select(F.col("node").alias("__node"), (F.col("few") & F.col("short")).alias("fits")))
+        within = cut(sizes.select(F.col("node").alias("__node"), (F.col("few") & F.col("short") | F.lit(level >= LAST_LEVEL)).alias("fits")))
         fits = lambda yes: home.join(within.where(F.col("fits") == yes), F.col("node") == F.col("__node"), "left_semi")
         if not within.where("fits").isEmpty():
             stars = _joined(stars, cut(exhaust(fits(True), docs, how)))
@@ -227,7 +229,7 @@ def links(docs: DataFrame, classes: DataFrame, how: Join, repeated: bool = False
         if rest.isEmpty():
             break
         level += 1
-        pairs, large = _compare(_branch(rest, classes, how, level).distinct(), 1)
+        large = _branch(rest, classes, how, level).distinct()
     return stars
 
 
