@@ -79,7 +79,8 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, temperature:
 
     A null source is a source of its own. Null texts have no bytes. Rows with one id (or null ids) of one source share
     their number of copies. No rate is too large: a tiny source beside a huge one is repeated as often as its weight
-    says. An empty table gives an empty table.
+    says. Columns with the names of the two numbers are replaced by them, so give other names to keep those. An empty
+    table gives an empty table.
     """
     table_of_rates = rates(df, weights, temperature, epochs)
     few = len(table_of_rates.select("__source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES

@@ -195,6 +195,8 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], limit: int = 4096,
 
     ``fit_chars`` is the length of the longest prefix of at most ``limit`` tokens. ``prefix_counts[i]`` is the exact
     token count of the first i code points. A null text counts as empty: no bytes, no tokens.
+    Every row gives one, repeated rows and rows without id, too; an empty table gives an empty table. Columns of ``docs``
+    that are not in ``keep`` may have any name. Texts of any length are read whole.
     """
     chosen = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "n_bytes long, n_tokens long, fit_chars long", *(["prefix_counts array<int>"] if prefixes else [])])
@@ -221,8 +223,12 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], limit: int = 4096,
 
 
 def within_budget(counted: DataFrame, budget: str) -> DataFrame:
-    """``counted`` (with prefix_counts) plus budget_chars: the longest prefix within the row's own ``budget`` tokens, without encoding."""
-    return counted.withColumn("budget_chars", F.expr(f"size(prefix_counts) - 1 - coalesce(array_position(transform(reverse(prefix_counts), c -> c <= `{budget}`), true), 1) + 1"))
+    """``counted`` (with prefix_counts) plus budget_chars: the longest prefix within the row's own ``budget`` tokens, without encoding.
+
+    A null budget or a negative one, which not even the empty prefix keeps, gives null.
+    """
+    longest = F.expr(f"size(prefix_counts) - array_position(transform(reverse(prefix_counts), c -> c <= `{budget}`), true)")
+    return counted.withColumn("budget_chars", F.when(F.col(f"`{budget}`") >= 0, longest))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

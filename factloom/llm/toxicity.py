@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import by_size
-from .common import pieces, table
+from .common import cut, pieces, table
 
 BUCKETS = 1 << 18
 #: Words in a window, and from one window's start to the next.
@@ -197,12 +197,17 @@ def held_out():
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """At most ``per_class`` texts of either label, of at most ``max_chars`` code points, in an order that a hash of the id gives."""
+    """At most ``per_class`` texts of either label, of at most ``max_chars`` code points, in an order that a hash of the id gives.
+
+    Only documents that qualify are drawn, so long texts leave no gaps. Of labels that contradict each other, toxic holds.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select(F.col("doc_id").alias("__id"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    picked = known.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
-    few = docs.select(F.col("doc_id").alias("__id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    joined = few.join(F.broadcast(picked), F.col("__id") == F.col("doc_id"))  # at most 2 * per_class ids
+    fits = known.join(short, F.col("__id") == F.col("doc_id"), "left_semi")
+    picked = cut(fits.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(fits.where("toxic = 0").orderBy(*order).limit(per_class)))
+    texts = docs.select(F.col("doc_id").alias("__id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    joined = texts.join(F.broadcast(picked), F.col("__id") == F.col("doc_id"))  # at most 2 * per_class ids
     rows = joined.select("doc_id", "text", "toxic").orderBy(*order, "text").limit(2 * per_class).collect()
     return [r.text for r in rows], np.array([r.toxic for r in rows], int)
 
@@ -213,7 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, score_name: str = "score") -> DataFrame:
-    """The columns ``keep`` (None: all) and the score of each row's whole text. A null text scores as an empty one."""
+    """The columns ``keep`` (None: all) and the score of each row's whole text, of any length; a column of the score's name is replaced.
+
+    A null text scores as an empty one. Every row gives one: repeated rows and rows without id score by their text, equal
+    texts equally. An empty table gives an empty table.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.threshold, model.slope))
     rest = [c for c in (docs.columns if keep is None else keep) if c != score_name]
@@ -231,7 +240,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, score_na
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose whole text scores under ``limit``."""
+    """The rows of ``docs``, all columns, whose whole text scores under ``limit``; repeated rows stay or go together. An empty table gives an empty table."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias, model.threshold, model.slope))
     at = docs.columns.index("text")
