@@ -1,9 +1,7 @@
 """The training-data queries and their SQL."""
 
-import corpus_pipeline
-
-from . import bpe, chat, lines, mixing, neardup, neighbours, quality, sharding, tokens, toxicity
+from . import bpe, chat, lines, mixing, neardup, neighbours, pipeline, quality, sharding, tokens, toxicity
 
 MODULES = (tokens, neighbours, toxicity, sharding, chat, quality, neardup, lines, mixing, bpe)
-QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()} | {"pipeline": pipeline.run}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
