@@ -1,82 +1,9 @@
 """From raw documents to token ids: toxicity, line dedup, near duplicates, source mix, byte-level BPE.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-one's ``docs``. All but the last return the columns that they were given.
+The stages are in ``factloom.llm.pipeline``; each takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next one's ``docs``.
 """
 
-from __future__ import annotations
+from factloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from factloom.llm import bpe, lines, mixing, neardup, toxicity
-from factloom.llm.common import shared_folder, table
-
-
-#: Rows in an Arrow batch: whole texts go to Python and back here, and batches lie outside the heap on both sides.
-ROWS_PER_BATCH = 1_000
-
-
-def in_small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
-
-
-def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose most toxic window scores under 0.5 stay, as they are; the model learns from the labelled ones among them."""
-    in_small_batches(spark)
-    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more different texts stay only in the first document that has them; every document stays.
-
-    Copies of one text count once here, or a group of ten copies would lose its whole text: they are the next stage's.
-    """
-    in_small_batches(spark)
-    different = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    kept = lines.drop_lines(docs, lines.new_state(different), spare_first=True).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8, directly or through others, the one with the smallest id stays."""
-    in_small_batches(spark)
-    return neardup.drop_near_duplicates(docs, neardup.Join(words=5, percent=80))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weighed by the square root of their bytes, to one epoch's bytes in all."""
-    return mixing.mix(docs).select(*docs.columns)
-
-
-def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's ids (little-endian 32-bit integers), their number, and the digest of the text decoded from them."""
-    in_small_batches(spark)
-    encoded = bpe.encode(docs, bpe.public_path("byte_bpe_50k.json"), [c for c in ("doc_id", "lang", "source") if c in docs.columns], forget=True)
-    whole = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    return encoded.select(*[c for c in encoded.columns if c != "decoded"], (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), whole)
-
-
-STAGES = [
-    ("toxicity", reject_toxic),
-    ("line dedup", drop_common_lines),
-    ("near duplicates", one_of_each_group),
-    ("source mix", mix_sources),
-    ("BPE encoding", encode_texts),
-]
-
-#: Learning and byte-pair merging have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/corpus_pipeline-{uuid.uuid4()}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
