@@ -90,4 +90,4 @@ def is_non_entity_name(c: Column | str) -> Column:
     """FLT10: a number, a distillation point or a table label, not a thing."""
     t = F.trim(text_of(c))
     plain = F.trim(F.regexp_replace(F.lower(t), "[^a-z]+", " "))
-    return (t == "") | is_numeric_like(t) | t.rlike("^(?i:IBP|FBP|EP|[0-9]{1,3} ?(?:%|vol ?%))$") | plain.isin(GENERIC_SUBJECTS)
+    return (t == "") | is_numeric_like(t) | t.rlike("^(?i:IBP|FBP|EP|[0-9]{1,3} ?(?:%|vol ?%))$") | plain.isin(*GENERIC_SUBJECTS)

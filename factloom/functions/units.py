@@ -16,9 +16,9 @@ def _map(pairs: dict) -> Column:
 
 
 def _spellings() -> dict[str, str]:
-    out = {s: unit for unit, spellings in UNIT_SPELLINGS.items() for s in spellings.split("|")}
+    out = dict(UNIT_SPELLINGS)
     for units in FAMILY_UNITS.values():
-        for u in units.split():
+        for u in units:
             if len(u) > 1:
                 out.setdefault(u.lower(), u)
     return out
@@ -27,7 +27,7 @@ def _spellings() -> dict[str, str]:
 def _families() -> dict[str, str]:
     out: dict[str, str] = {}
     for family, units in FAMILY_UNITS.items():
-        for u in units.split():
+        for u in units:
             out.setdefault(u, family)
     return out
 

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import text_of
 
 # Class letters of one family of equipment, and the letter that a type carries.
-FAMILIES = {"P": "P PM PT PMP", "E": "E EX HE", "C": "C COL T", "F": "F H FUR", "V": "V D VES", "J": "J EJ", "T": "T TK"}
+FAMILIES = {"P": ("P", "PM", "PT", "PMP"), "E": ("E", "EX", "HE"), "C": ("C", "COL", "T"), "F": ("F", "H", "FUR"), "V": ("V", "D", "VES"), "J": ("J", "EJ"), "T": ("T", "TK")}
 TYPE_CLASS = {"Pump": "P", "Exchanger": "E", "Column": "C", "Stripper": "C", "Heater": "F", "Vessel": "V", "Drum": "V", "Tank": "T", "Desalter": "V"}
 # Scores from which a candidate is offered, accepted, clear, and the margin before the next.
 OFFER, ACCEPT, CLEAR, MARGIN = 0.45, 0.72, 0.85, 0.08
@@ -48,7 +48,7 @@ def score(mention: Column, candidate: Column, expect_type: Column, entity_type:
     a, b = mention["cls"], candidate["cls"]
     family = F.lit(False)
     for members in FAMILIES.values():
-        family = family | (a.isin(members.split()) & b.isin(members.split()))
+        family = family | (a.isin(*members) & b.isin(*members))
     cls = F.when((a == "") | (b == ""), 0.10).when(a == b, 1.0).when(family, 0.85).when(~a.rlike("^[A-Z]+$"), 0.45).when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.6).otherwise(_ratio(a, b) * 0.5)
     spelled = lambda p: F.concat_ws("-", p["unit"], p["cls"], p["number"])
     base = (unit_w * unit_s + number_w * number_s + cls * 0.25 + _ratio(spelled(mention), spelled(candidate)) * 0.10) / (unit_w + number_w + 0.35)

@@ -68,10 +68,6 @@ query("agg5_parameter_vote", """WITH c AS (SELECT subject, CASE unit WHEN 'kg/h'
 query("val3_unit_check", """SELECT predicate, unit, CASE unit WHEN 'kg/h' THEN 'mass_flow' WHEN 'm3/h' THEN 'volumetric_flow' ELSE 'pressure' END AS unit_family, 'pass' AS unit_check, count(*) AS n FROM claims_v GROUP BY ALL
   UNION ALL SELECT predicate, 'bar', 'pressure', CASE WHEN predicate = 'flow_rate' THEN 'error' ELSE 'pass' END, count(*) FROM claims_v GROUP BY predicate""")(
     lambda t: _checked(t.claims_v.select("predicate", "unit")).unionAll(_checked(t.claims_v.select("predicate", F.lit("bar").alias("unit")))))
-both("val7_validation_summary", """SELECT source, CASE WHEN grounding = 'weak' THEN 'WARN' WHEN numeric_value > 45 THEN 'ERROR' ELSE 'OK' END AS severity, count(*) AS n FROM claims_v
-  GROUP BY source, CASE WHEN grounding = 'weak' THEN 'WARN' WHEN numeric_value > 45 THEN 'ERROR' ELSE 'OK' END""")
-both("val8_recall_by_source", """SELECT source, CAST(sum(CASE WHEN numeric_value <= 45 THEN 1 ELSE 0 END) AS BIGINT) AS accepted_n, CAST(sum(CASE WHEN numeric_value > 45 THEN 1 ELSE 0 END) AS BIGINT) AS rejected_n,
-  CAST(sum(CASE WHEN grounding = 'weak' AND numeric_value <= 45 THEN 1 ELSE 0 END) AS BIGINT) AS weak_n FROM claims_v GROUP BY source""")
 query("agg9_compare", RANKED + """, b AS (SELECT context_key, subject, value FROM a WHERE authority = 1 AND subject IN ('11-E-000001', '12-C-000002', '10-TIC-000003'))
   SELECT context_key, max(value) FILTER (WHERE subject = '11-E-000001') AS "11-E-000001", max(value) FILTER (WHERE subject = '12-C-000002') AS "12-C-000002", max(value) FILTER (WHERE subject = '10-TIC-000003') AS "10-TIC-000003",
     CAST(count(*) AS INT) AS coverage, count(DISTINCT value) > 1 AS differs FROM b GROUP BY context_key""")(
@@ -90,5 +86,4 @@ both("str28_context_label", """SELECT claim_id, concat_ws(', ', CASE WHEN parame
 both("qry21_calculation_steps", """SELECT subject, predicate, step, CAST(round(v * 1000) AS BIGINT) AS milli FROM (
   SELECT subject, predicate, 1 AS step, min(numeric_value) AS v FROM claims_v GROUP BY subject, predicate UNION ALL SELECT subject, predicate, 2, max(numeric_value) FROM claims_v GROUP BY subject, predicate
   UNION ALL SELECT subject, predicate, 3, max(numeric_value) - min(numeric_value) FROM claims_v GROUP BY subject, predicate) AS s""")
-both("flt11_value_plausible", """SELECT claim_id, CASE WHEN predicate = 'operating_pressure' THEN numeric_value BETWEEN 0.5 AND 40 WHEN predicate = 'flow_rate' THEN numeric_value > 0 AND length(value) <= 40 ELSE true END AS plausible FROM claims_v""")
 both("agg11_benchmark_metrics", """SELECT source, count(*) AS n, CAST(sum(CASE WHEN grounding = 'strong' THEN 1 ELSE 0 END) AS BIGINT) * 10000 / count(*) AS grounded_bp FROM claims_v GROUP BY source""")

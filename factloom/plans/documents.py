@@ -50,21 +50,12 @@ query("stc12_merged_cells", f"""WITH c AS ({CELLS}), o AS (SELECT table_id, "row
     UNION ALL SELECT table_id, r AS "row", unnest(range(col, col + colspan)) AS col, content, 1 FROM (SELECT *, unnest(range("row", "row" + rowspan)) AS r FROM c WHERE rowspan > 1 OR colspan > 1) y)
   SELECT table_id, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, arg_min(content, (copied, content)) AS content, min(copied)::INT AS copied FROM o GROUP BY table_id, "row", col""")(lambda t: structure.propagate_merged(t.sql(CELLS)))
 query("stc19_chunk_packing")(lambda t: structure.pack(t.turns_v.select("conv_id", "turn", text.token_estimate("text").alias("tokens")), "conv_id", "turn", "tokens", 256))
-both("stc21_overlap_bridge", "SELECT conv_id, turn, coalesce(substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 80), '') AS bridge FROM turns_v")
-both("stc11_table_signatures", """SELECT sig, n, first_table FROM (SELECT md5(concat(l_returnflag, '|', l_linestatus, '|', CAST(l_linenumber AS STRING))) AS sig, count(*) AS n, min(l_orderkey) AS first_table FROM lineitem GROUP BY l_returnflag, l_linestatus, l_linenumber) AS x""")
-both("stc13_column_typing", """SELECT source, min(CASE WHEN n_chars > 0 THEN 1 ELSE 0 END) = 1 AS numeric_column, count(DISTINCT lang) AS n_lang FROM documents GROUP BY source""")
 both("stc16_profile_title", """SELECT source, min_by(substr(text, 1, 40), doc_id) AS title, max(n_chars) AS longest, count(*) AS n FROM documents GROUP BY source""")
-both("stc2_page_chapter_map", """SELECT page, chapter FROM (SELECT p.page, c.chapter, row_number() OVER (PARTITION BY p.page ORDER BY c.priority, c.chapter) AS r FROM (SELECT DISTINCT l_partkey AS page FROM lineitem) AS p
-  JOIN (SELECT p_size AS chapter, min(p_partkey) AS first_page, max(p_partkey) AS last_page, p_size % 3 AS priority FROM part GROUP BY p_size, p_size % 3) AS c ON p.page BETWEEN c.first_page AND c.last_page) AS x WHERE r = 1""")
-both("stc6_procedure_type", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%standard%' THEN 'startup' WHEN lower(p_type) LIKE '%small%' THEN 'shutdown' WHEN lower(p_type) LIKE '%promo%' THEN 'changeover' WHEN lower(p_type) LIKE '%economy%' THEN 'isolation' ELSE 'procedure' END AS procedure_type FROM part")
-both("stc20_chunk_typing", "SELECT doc_id, CASE WHEN n_chars < 200 THEN 'document_control' WHEN text LIKE '% | %' THEN 'table' WHEN lower(text) LIKE '%copyright%' OR lower(text) LIKE '%license%' THEN 'safety' ELSE 'narrative' END AS chunk_type FROM documents")
 query("val1_grounding", r"""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 3)) AS t FROM benchmark WHERE item_id < 10), s AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
   w AS (SELECT doc_id, pos, list_distinct(string_split(lower(line), ' ')) AS t FROM s) SELECT item_id, doc_id, CAST(min(pos) AS INT) AS first_line, count(*) AS n_lines FROM b, w WHERE len(list_intersect(b.t, w.t)) * 10 >= len(b.t) * 8 AND len(b.t) > 0 GROUP BY item_id, doc_id""")(
     lambda t: t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("doc_id", "pos", F.array_distinct(F.split(F.lower("line"), " ")).alias("w"))
     .join(F.broadcast(t.benchmark.where("item_id < 10").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 3)).alias("b")).where(F.size("b") > 0)), F.arrays_overlap("w", "b") & (F.size(F.array_intersect("b", "w")) * 10 >= F.size("b") * 8))
     .groupBy("item_id", "doc_id").agg(F.min("pos").alias("first_line"), F.count(F.lit(1)).alias("n_lines")))
-both("val11_quality_gate", "SELECT lang, count(*) AS n, CAST(sum(CASE WHEN n_chars < 50 THEN 1 ELSE 0 END) AS BIGINT) AS heading_only, CAST(sum(CASE WHEN n_chars > 8000 THEN 1 ELSE 0 END) AS BIGINT) AS over_max, CAST(sum(CASE WHEN text LIKE '%@%' THEN 1 ELSE 0 END) AS BIGINT) AS contaminated FROM documents GROUP BY lang")
-both("val13_provenance", "SELECT doc_id, md5(concat(source, '|', CAST(doc_id AS STRING), '|', text)) AS evidence_hash, source IS NOT NULL AND text IS NOT NULL AS complete FROM documents")
 both("agg13_missing_documents", "SELECT source, max(CASE WHEN lang = 'de' THEN 1 ELSE 0 END) = 1 AS present, count(*) AS n, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END AS priority FROM documents GROUP BY source")
 both("agg8_label_promotion", "SELECT event_type, count(DISTINCT user_id) AS n_documents, count(*) AS n_chunks FROM events GROUP BY event_type HAVING count(DISTINCT user_id) >= 2 AND count(*) >= 5")
 both("sec8_distinctive_values", "SELECT p_name, min(p_brand) AS only_in FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")

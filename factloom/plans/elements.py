@@ -47,7 +47,5 @@ query("val2_item_grounding", """SELECT claim_id, CASE WHEN page % 3 = 0 THEN 'st
 both("gra2_related", "SELECT DISTINCT a.source_uid AS start, b.target_uid AS node FROM relations_v a JOIN relations_v b ON a.target_uid = b.source_uid WHERE a.source_uid <> b.target_uid")
 both("flt17_glossary_filter", "SELECT p_partkey, p_brand, p_name FROM part WHERE lower(p_brand) = 'brand#11' OR length(p_type) > 3 AND lower(p_name) LIKE '%red%'")
 both("win12_upset_rerank", "SELECT doc_id, score, CAST(r AS INT) AS r FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT doc_id, CASE WHEN lower(text) LIKE '%trip%' THEN 5 ELSE 0 END + CASE WHEN lower(text) LIKE '%loss%' THEN 3 ELSE 0 END + CASE WHEN lang = 'en' THEN 6 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 2 ELSE 0 END AS score FROM documents) AS x) AS y WHERE r <= 50")
-both("val15_composer_grounding", "SELECT c.claim_id FROM claims_v c WHERE NOT EXISTS (SELECT 1 FROM claims_v d WHERE d.subject = c.subject AND d.document_id = c.document_id AND d.numeric_value = c.numeric_value AND d.claim_id <> c.claim_id) AND c.numeric_value > 48")
-both("val17_draft_flags", "SELECT value, unit, document_id, min(claim_id) AS claim_id, count(*) AS n FROM claims_v WHERE grounding = 'weak' GROUP BY value, unit, document_id")
 both("qry9_precautions", "SELECT conv_id, turn, severity, CAST(r AS INT) AS r FROM (SELECT conv_id, turn, severity, row_number() OVER (PARTITION BY severity ORDER BY conv_id, turn) AS r FROM (SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%hot%' THEN 1 WHEN lower(text) LIKE '%care%' THEN 2 ELSE 3 END AS severity FROM turns_v) AS x) AS y WHERE r <= 10")
 both("src6_fingerprint_cache", "SELECT source, md5(concat(CAST(count(*) AS STRING), '|', CAST(sum(n_chars) AS STRING), '|', CAST(max(doc_id) AS STRING))) AS fingerprint FROM documents GROUP BY source")

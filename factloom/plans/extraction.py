@@ -42,8 +42,5 @@ query("gra6_same_as", """WITH a AS (SELECT partkey, canonical_tag, lower(name) A
 both("win13_model_routing", "SELECT p_brand, p_partkey AS model, s FROM (SELECT p_brand, p_partkey, s, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_partkey) AS r FROM (SELECT p_brand, p_partkey, CASE WHEN p_size > 40 THEN p_size * 6 ELSE p_size * 10 END + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS s FROM part) AS x) AS y WHERE r = 1")
 both("str30_number_compare", "SELECT claim_id, CAST(value AS DOUBLE) = numeric_value AS equal FROM claims_v")
 both("str32_contents_title", "SELECT p_partkey, trim(regexp_replace(concat(p_name, ' ..... ', CAST(p_size AS STRING)), ' ?[.]{3,} ?[0-9]+$', '')) AS title FROM part")
-both("flt6_approval_predicate", "SELECT doc_id, lower(text) LIKE '%approved by%' AND lower(text) LIKE '%signature%' AND n_chars < 400 AS approval FROM documents")
-both("flt9_label_text", "SELECT p_partkey, length(p_name) <= 120 AND length(p_name) - length(replace(p_name, ' ', '')) < 18 AS label FROM part")
-both("stc4_section_counts", "SELECT document_id, page, count(*) AS n, min(claim_id) AS first_id FROM claims_v GROUP BY document_id, page")
 both("qry18_hybrid_scope", "SELECT doc_id, source, CAST(r AS INT) AS r FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE lang = 'en') AS x WHERE r <= 3")
 both("src16_document_graph", "SELECT concat(document_id, '#', CAST(page AS STRING)) AS section_id, document_id, count(DISTINCT chunk_id) AS n_chunks FROM claims_v GROUP BY document_id, page")

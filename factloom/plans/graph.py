@@ -19,8 +19,6 @@ query("gra3_shortest_path", f"""WITH RECURSIVE r AS (SELECT start, target, start
 both("gra4_up_down", """SELECT up, down, count(*) AS n FROM (SELECT CASE WHEN rel_type IN ('MONITORS', 'CONTROLS') THEN target_uid ELSE source_uid END AS up, CASE WHEN rel_type IN ('MONITORS', 'CONTROLS') THEN source_uid ELSE target_uid END AS down FROM relations_v WHERE rel_type <> 'LOCATED_IN') AS x GROUP BY up, down""")
 query("gra5_instruments", """SELECT source_uid, rel_type, target_uid FROM relations_v WHERE rel_type IN ('MONITORS', 'CONTROLS') QUALIFY row_number() OVER (PARTITION BY source_uid ORDER BY CASE source WHEN 'description' THEN 0 WHEN 'rule' THEN 1 ELSE 2 END, confidence DESC, target_uid) = 1""")(
     lambda t: graph.instruments(t.relations_v).select("source_uid", "rel_type", "target_uid"))
-both("gra7_trains", "SELECT tag, child FROM (SELECT canonical_tag AS tag, concat(canonical_tag, 'A') AS child FROM entities_v WHERE entity_type = 'Pump' UNION ALL SELECT canonical_tag, concat(canonical_tag, 'B') FROM entities_v WHERE entity_type = 'Pump') AS x")
-both("gra8_entity_merge", """SELECT subject, count(*) AS mention_count, count(DISTINCT document_id) AS n_documents, max(confidence) AS confidence, min_by(chunk_id, claim_id) AS first_evidence FROM claims_v GROUP BY subject""")
 both("gra9_claim_edges", "SELECT subject, predicate, document_id, count(*) AS n, max_by(value, claim_id) AS value FROM claims_v WHERE numeric_value <= 45 GROUP BY subject, predicate, document_id")
 both("gra10_edge_reads", "SELECT r.source_uid, r.rel_type, r.target_uid FROM relations_v r WHERE EXISTS (SELECT 1 FROM supplier s WHERE concat('s', CAST(s.s_suppkey AS STRING)) = r.source_uid AND s.s_suppkey <= 20)")
 DEPS = "SELECT n_nationkey AS node, n_regionkey AS needs FROM nation WHERE n_nationkey > 4 UNION SELECT n_nationkey, n_nationkey - 5 FROM nation WHERE n_nationkey > 9 UNION SELECT 23, 24 FROM region UNION SELECT 24, 23 FROM region"
@@ -31,8 +29,6 @@ query("src15_upsert", """SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v
     lambda t: graph.upsert(t.sql("SELECT p_partkey AS k, p_name AS v, p_size AS w FROM part WHERE p_partkey % 3 <> 0"), t.sql("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'new' END AS v, p_size + 1 AS w FROM part WHERE p_partkey % 3 <> 1"), ["k"]))
 
 both("joi1_equi", "SELECT c.claim_id, e.entity_uid FROM claims_v c JOIN entities_v e ON c.subject = e.canonical_tag")
-both("joi2_train_expansion", "SELECT e.canonical_tag, c.claim_id FROM (SELECT canonical_tag, canonical_tag AS t FROM entities_v WHERE partkey <= 200 UNION ALL SELECT canonical_tag, concat('11-', substr(canonical_tag, 4)) FROM entities_v WHERE partkey <= 200) AS e JOIN claims_v c ON c.subject = e.t")
-both("joi3_redirect", "SELECT e.entity_uid, coalesce(r.entity_uid, e.entity_uid) AS owner FROM entities_v e LEFT JOIN (SELECT min(entity_uid) AS entity_uid, name FROM entities_v GROUP BY name) AS r ON e.name = r.name")
 both("joi4_semi_anti", "SELECT 'semi' AS kind, count(*) AS n FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49) UNION ALL SELECT 'anti', count(*) FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49)")
 both("joi5_suffix", "SELECT a.partkey, b.canonical_tag FROM (SELECT partkey, substr(canonical_tag, 4) AS suffix FROM entities_v WHERE partkey <= 500) AS a JOIN (SELECT canonical_tag, substr(canonical_tag, 4) AS suffix FROM entities_v) AS b ON a.suffix = b.suffix")
 both("joi7_range", "SELECT o.o_orderkey, s.chapter FROM orders o JOIN (SELECT p_size AS chapter, min(p_partkey) * 3 AS lo, min(p_partkey) * 3 + 40 AS hi FROM part GROUP BY p_size) AS s ON o.o_orderkey BETWEEN s.lo AND s.hi")
@@ -45,13 +41,9 @@ both("set1_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_nam
 both("set2_union_by_key", "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM (SELECT p_partkey AS k, p_name AS v, 1 AS p FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_brand, 2 FROM part) AS x) AS y WHERE r = 1")
 both("set3_intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 both("set4_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
-both("agg1_type_counts", "SELECT coalesce(entity_type, 'Unclassified') AS entity_type, count(*) AS n, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v WHERE mention_count >= 2 GROUP BY coalesce(entity_type, 'Unclassified')")
 both("agg7_ordered_distinct", "SELECT subject, chunk_id, CAST(dense_rank() OVER (PARTITION BY subject ORDER BY first_id) AS INT) AS label FROM (SELECT subject, chunk_id, min(claim_id) AS first_id FROM claims_v GROUP BY subject, chunk_id) AS x")
 both("agg15_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("agg15_cube", "SELECT predicate, location, count(*) AS n, count(DISTINCT subject) AS subjects FROM claims_v GROUP BY CUBE (predicate, location)")
-both("flt12_plant_items", "SELECT entity_uid, canonical_tag FROM entities_v WHERE canonical_tag LIKE '__-%-%' AND mention_count >= 5 AND entity_type IN ('Pump', 'Column')")
-both("win9_inventory", "SELECT entity_uid, canonical_tag, mention_count, CAST(r AS INT) AS r FROM (SELECT entity_uid, canonical_tag, mention_count, row_number() OVER (ORDER BY mention_count DESC, coalesce(canonical_tag, name)) AS r FROM entities_v) AS x WHERE r <= 500")
-both("qry2_inventory", "SELECT entity_type, canonical_tag FROM (SELECT entity_type, canonical_tag, mention_count >= 40 AS strict, sum(CASE WHEN mention_count >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY entity_type) AS n FROM entities_v) AS x WHERE strict OR n < 5")
 query("win5_resolve_entity", """WITH m AS (SELECT p_partkey AS request_id, lower(p_name) AS mention FROM part WHERE p_partkey <= 200), a AS (SELECT entity_uid, lower(name) AS alias, mention_count, partkey FROM entities_v)
   SELECT request_id, entity_uid, CAST(row_number() OVER (PARTITION BY request_id ORDER BY least(mention_count, 200) DESC, entity_uid) AS INT) AS rank FROM m JOIN a ON m.mention = a.alias QUALIFY rank <= 5""")(
     lambda t: t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("request_id"), text.norm_alias("p_name").alias("alias")).join(t.entities_v.select("entity_uid", text.norm_alias("name").alias("alias"), "mention_count"), "alias")
@@ -66,21 +58,12 @@ both("win7_procedure_scoring", """SELECT request_id, procedure_id, score, CAST(r
   row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE WHEN p_partkey % 10 = s_suppkey % 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 40 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE 'STANDARD%' THEN 4 ELSE 0 END DESC, p_partkey) AS r FROM supplier JOIN part ON p_partkey % 20 = s_suppkey % 20) AS x WHERE r <= 3""")
 both("win11_selection", "SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q, max(sum(l_quantity)) OVER (PARTITION BY l_suppkey) AS best FROM lineitem GROUP BY l_suppkey, l_partkey) AS x WHERE q * 10 >= best * 6")
 both("win14_frames", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS quartile, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n10 FROM events")
-both("ext10_type_inference", "SELECT canonical_tag, CASE split_part(canonical_tag, '-', 2) WHEN 'P' THEN 'Pump' WHEN 'E' THEN 'Exchanger' WHEN 'C' THEN 'Column' ELSE 'Equipment' END AS inferred FROM entities_v")
-both("ext11_name_merge", """SELECT name, entity_uid, mention_count, next_count FROM (SELECT name, entity_uid, mention_count, lead(mention_count) OVER (PARTITION BY name ORDER BY mention_count DESC, entity_uid) AS next_count, row_number() OVER (PARTITION BY name ORDER BY mention_count DESC, entity_uid) AS r FROM entities_v) AS x WHERE r = 1 AND (next_count IS NULL OR (mention_count >= 3 AND mention_count >= 3 * next_count))""")
-both("ext12_subject_resolution", "SELECT c.claim_id, coalesce(e.uid, a.uid, 'new') AS uid FROM claims_v c LEFT JOIN (SELECT canonical_tag, min(entity_uid) AS uid FROM entities_v WHERE entity_type IS NOT NULL GROUP BY canonical_tag) AS e ON c.subject = e.canonical_tag LEFT JOIN (SELECT canonical_tag, min(entity_uid) AS uid FROM entities_v GROUP BY canonical_tag) AS a ON c.subject = a.canonical_tag")
 both("ext13_index_assembly", "SELECT name, min(entity_uid) AS uid, count(*) AS n_aliases, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v GROUP BY name")
-both("ext6_co_mention", """SELECT DISTINCT a.subject AS instrument, b.subject AS item, 'MONITORS' AS rel_type FROM claims_v a JOIN claims_v b ON a.chunk_id = b.chunk_id AND a.page = b.page AND a.revision = b.revision AND a.subject LIKE '%TIC%' AND b.subject NOT LIKE '%TIC%' AND substr(a.subject, 1, 2) = substr(b.subject, 1, 2) AND abs(a.numeric_value - b.numeric_value) <= 1""")
 both("ext8_entity_harvest", "SELECT subject, count(*) AS mentions, count(DISTINCT page) AS pages, mode_name FROM (SELECT c.subject, c.page, max(e.name) OVER (PARTITION BY c.subject) AS mode_name FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject) AS x GROUP BY subject, mode_name")
-both("ext9_column_votes", "SELECT p_type, max_by(p_brand, lpad(CAST(n AS STRING), 8, '0') || p_brand) AS description FROM (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY p_type, p_brand) AS x GROUP BY p_type")
-both("val4_relation_rules", """SELECT r.rel_type, CASE WHEN r.rel_type IN ('FEEDS', 'MONITORS') AND r.source = 'llm_pass1' THEN 'impossible' WHEN r.confidence < 0.6 THEN 'suspicious' ELSE 'pass' END AS verdict, count(*) AS n FROM relations_v r GROUP BY r.rel_type, CASE WHEN r.rel_type IN ('FEEDS', 'MONITORS') AND r.source = 'llm_pass1' THEN 'impossible' WHEN r.confidence < 0.6 THEN 'suspicious' ELSE 'pass' END""")
-both("val12_graph_integrity", """SELECT 'orphan' AS kind, count(*) AS n FROM relations_v r WHERE r.rel_type = 'FEEDS' AND NOT EXISTS (SELECT 1 FROM part p WHERE concat('p', CAST(p.p_partkey AS STRING)) = r.target_uid) UNION ALL SELECT 'duplicate', count(*) FROM (SELECT source_uid, rel_type, target_uid FROM relations_v GROUP BY source_uid, rel_type, target_uid HAVING count(*) > 1) AS d UNION ALL SELECT 'null', count(*) FROM entities_v WHERE entity_type IS NULL""")
-both("val9_parse_checks", """SELECT l_suppkey, count(*) AS n, min(gap) AS min_gap, CAST(sum(CASE WHEN gap > 500 THEN 1 ELSE 0 END) AS BIGINT) AS long_gaps FROM (SELECT l_suppkey, l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS gap FROM lineitem) AS x GROUP BY l_suppkey""")
 both("src17_label_counts", "SELECT rel_type, count(*) AS n, count(DISTINCT source_uid) AS sources FROM relations_v GROUP BY rel_type")
 both("src13_response_store", "SELECT conv_id, turn, CAST(r AS INT) AS r FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY turn DESC, conv_id DESC) AS r FROM turns_v WHERE role = 'assistant') AS x WHERE r <= 200")
 both("src14_composite", "SELECT k, min_by(v, p) AS v FROM (SELECT n_nationkey AS k, n_name AS v, 1 AS p FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, 'fallback', 2 FROM nation) AS x GROUP BY k")
 both("src7_embedding_check", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
 both("qry5_compare_modes", "SELECT subject, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg FROM claims_v GROUP BY subject")
-both("qry7_prerequisites", "SELECT o_orderkey, l_linenumber FROM (SELECT o_orderkey, l_linenumber, l_partkey, l_quantity, count(*) OVER (PARTITION BY o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey) AS x WHERE l_linenumber <= greatest(3, n / 3) AND l_quantity > 48")
 both("qry10_cross_document", "SELECT document_id, section, n FROM (SELECT document_id, concat(document_id, ' > ', CAST(page AS STRING)) AS section, count(*) AS n FROM claims_v GROUP BY document_id, page) AS x WHERE n >= 2")
 both("qry13_twins", "SELECT a.entity_uid AS a, b.entity_uid AS b FROM entities_v a JOIN entities_v b ON lower(a.name) = lower(b.name) AND a.entity_uid < b.entity_uid")

@@ -14,28 +14,22 @@ query("flt4_running_titles", f"WITH e AS ({ELEMENTS}) SELECT DISTINCT document_i
 query("flt16_access_filter", "SELECT c.claim_id, c.document_id FROM claims_v c JOIN documents_info_v d ON c.document_id = d.document_id WHERE d.tag IN ('PUBLIC', 'INTERNAL')")(lambda t: security.secured(t.claims_v, t.documents_info_v, "operator").select("claim_id", "document_id"))
 both("flt18_real_references", "SELECT doc_id, regexp_extract(text, '(ISO|API|ASTM|IS)[ -]?[0-9]+', 0) AS reference FROM documents WHERE regexp_extract(text, '(ISO|API|ASTM|IS)[ -]?[0-9]+', 0) <> ''")
 query("str17_unit_family", "SELECT unit, CASE unit WHEN 'kg/h' THEN 'mass_flow' WHEN 'm3/h' THEN 'volumetric_flow' ELSE 'pressure' END AS family, count(*) AS n FROM claims_v GROUP BY unit")(lambda t: t.claims_v.groupBy("unit", units.extracted_family("unit").alias("family")).agg(F.count(F.lit(1)).alias("n")))
-both("str23_predicate_map", "SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'design_pressure' WHEN lower(p_type) LIKE '%copper%' THEN 'operating_temperature' WHEN lower(p_type) LIKE '%brass%' THEN 'flow_rate' ELSE 'generic_property' END AS predicate FROM part")
 query("str26_tag_scores")(lambda t: t.entities_v.where("partkey <= 300").select("partkey", tagmatch.take_apart(F.replace("canonical_tag", F.lit("-0"), F.lit("-"))).alias("c")).withColumn("m", tagmatch.take_apart(F.lit("11-PM-15"))).select("partkey", tagmatch.score(F.col("m"), F.col("c"), F.lit("Pump"), F.lit("Pump")).alias("score")))
 BOXES = "SELECT l_orderkey AS page, CAST(l_partkey % 900 AS DOUBLE) AS y, CAST(l_suppkey AS DOUBLE) AS x, CAST(10 + l_linenumber AS DOUBLE) AS h, l_linenumber AS id, l_partkey, l_suppkey FROM lineitem"
 query("str37_reading_order", f"""WITH b AS (SELECT DISTINCT page, y, x, h, id, l_partkey, l_suppkey FROM ({BOXES})), m AS (SELECT page, greatest(4.0, 0.6 * median(h)) AS gap FROM b GROUP BY page), s AS (SELECT b.*, CASE WHEN y - lag(y) OVER w <= gap THEN 0 ELSE 1 END AS brk FROM b JOIN m USING (page) WINDOW w AS (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey)),
   r AS (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS band FROM s) SELECT page, id, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY page ORDER BY band, x, y, id, l_partkey, l_suppkey) AS INT) AS place FROM r""")(lambda t: structure.reading_order(t.sql(BOXES).distinct(), "page", ["id", "l_partkey", "l_suppkey"]).select("page", "id", "l_partkey", "l_suppkey", "place"))
-both("stc1_contents", "SELECT number, title, page_start, coalesce(lead(page_start) OVER (ORDER BY number) - 1, 9999) AS page_end FROM (SELECT p_size AS number, min(p_name) AS title, min(p_partkey) AS page_start FROM part GROUP BY p_size) AS x")
 query("stc9_instruction_register", "SELECT user_id, event_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('login', 'logout', 'error')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")(
     lambda t: t.events.select("user_id", "event_id", F.last(F.when(F.col("event_type").isin("login", "logout", "error"), F.col("event_type")), True).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("header")))
 query("stc18_large_tables")(lambda t: structure.pack(t.sql("SELECT CAST(l_orderkey % 100 AS BIGINT) AS table_id, l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity AS INT) AS tokens FROM lineitem WHERE l_orderkey < 2000"), "table_id", "ord", "tokens", 780))
 query("stc22_hash_embedding")(lambda t: retrieval.embed(t.documents, "doc_id", "text"))
 both("ext3_spec_claims", "SELECT subject, predicate, value, unit, max(confidence) AS confidence FROM claims_v WHERE source = 'specification' GROUP BY subject, predicate, value, unit")
-both("ext7_description_relations", "SELECT r.source_uid, r.target_uid, n.n_name AS mentioned FROM relations_v r JOIN nation n ON r.target_uid = concat('n', CAST(n.n_nationkey AS STRING)) WHERE r.source = 'description'")
-both("val5_entity_schema", "SELECT entity_uid, CASE WHEN name IS NULL OR trim(name) = '' THEN 'ERROR' WHEN entity_type IS NULL THEN 'WARN' ELSE 'OK' END AS severity FROM entities_v")
 CONFLICT = "WITH v AS (SELECT subject, predicate, parameter_role, location, lower(scenario) AS sc, pressure_basis, qualifier, unit, numeric_value, document_id, page, count(*) AS n FROM claims_v GROUP BY ALL), k AS (SELECT DISTINCT a.* FROM v a JOIN v b ON a.subject = b.subject AND a.predicate = b.predicate AND a.parameter_role = b.parameter_role AND a.location = b.location AND a.sc = b.sc AND a.pressure_basis = b.pressure_basis AND a.qualifier = b.qualifier AND a.unit = b.unit AND (a.document_id <> b.document_id OR a.page <> b.page) AND "
 query("val6_contradictions", CONFLICT + "abs(a.numeric_value - b.numeric_value) > 1e-6) SELECT subject, unit, numeric_value, document_id, page, n AS n_claims FROM k")(lambda t: claims.linked_conflicts(t.claims_v).where("n_conflicting > 0").select("subject", "unit", "numeric_value", "document_id", "page", "n_claims"))
 query("joi8_corroborations", CONFLICT + "a.numeric_value = b.numeric_value) SELECT subject, unit, numeric_value, document_id, page, n AS n_claims FROM k")(lambda t: claims.linked_conflicts(t.claims_v).where("n_corroborating > 0").select("subject", "unit", "numeric_value", "document_id", "page", "n_claims"))
 both("joi12_scenario_alignment", "SELECT predicate, parameter_role, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg, max(CASE WHEN scenario = '' THEN numeric_value END) AS base FROM claims_v GROUP BY predicate, parameter_role")
-both("val10_representative_tables", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 20 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END DESC, p_partkey) AS r FROM part) AS x WHERE r = 1")
 both("gra11_context_bundle", "SELECT c.chunk_id, 'claim' AS facet, count(*) AS n FROM claims_v c GROUP BY c.chunk_id UNION ALL SELECT c.chunk_id, 'entity', count(DISTINCT e.entity_uid) FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject GROUP BY c.chunk_id")
 query("qry8_diagnosis_sentences")(lambda t: t.documents.select("doc_id", F.explode(text.sentences("text")).alias("s")).where(F.length("s").between(25, 380) & F.col("s").rlike(r"(?i)\b(cause|due to|check|because|und|et|and)\b")).dropDuplicates(["doc_id", "s"]).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("s"))).where("r <= 10"))
 query("qry11_explanation")(lambda t: retrieval.bm25(retrieval.postings(t.documents, "doc_id"), t.benchmark.where("item_id between 20 and 30").select(F.col("item_id").alias("request_id"), "text"), 6, key="doc_id"))
-both("qry15_request_resolution", "SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%press%' THEN 'pressure' WHEN lower(text) LIKE '%temp%' THEN 'temperature' WHEN lower(text) LIKE '%flow%' THEN 'flow_rate' END AS parameter, CASE WHEN lower(text) LIKE '%start%' THEN 'startup' WHEN lower(text) LIKE '%stop%' THEN 'shutdown' ELSE 'any' END AS action FROM turns_v WHERE role = 'user'")
 both("qry17_plan_steps", "SELECT conv_id, step, kind FROM (SELECT conv_id, 1 AS step, 'retrieve' AS kind FROM turns_v WHERE turn = 0 UNION ALL SELECT conv_id, 2, CASE WHEN length(text) > 300 THEN 'compare' ELSE 'lookup' END FROM turns_v WHERE turn = 0 UNION ALL SELECT conv_id, 3, 'verify' FROM turns_v WHERE turn = 0) AS x")
 query("aud5_verify_all", "SELECT count(DISTINCT user_id) AS n_logs, count(*) AS n_entries, true AS all_hold FROM events")(
     lambda t: audit.verify(audit.append(t.sql(LOG), "user_id", ["event_id"]), "user_id").agg(F.count(F.lit(1)).alias("n_logs"), F.sum("n").alias("n_entries"), F.min("holds").alias("all_hold")))

@@ -57,21 +57,8 @@ query("str20_convert", """SELECT claim_id, CAST(round(CASE WHEN unit = 'bar' THE
 query("str21_find_quantities")(lambda t: t.claims_v.select("claim_id", units.find_quantities(F.concat(F.lit("Keep at "), "value", F.lit(" "), "unit", F.lit(" or 12,5 % of load"))).alias("q")))
 query("flt10_non_entity", f"SELECT DISTINCT s, trim(s) = '' OR regexp_matches(s, '^[<>]?[ ]*[+-]?[0-9][0-9., /%+-]*$') OR s IN ('IBP', '10%') OR trim(regexp_replace(lower(s), '[^a-z]+', ' ', 'g')) IN ({', '.join(repr(g) for g in GENERIC_SUBJECTS)}) AS is_label FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'IBP' WHEN 2 THEN 'Total:' WHEN 3 THEN '6.5-8.0' WHEN 4 THEN '' ELSE p_brand END AS s FROM part)")(
     lambda t: t.sql("SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'IBP' WHEN 2 THEN 'Total:' WHEN 3 THEN '6.5-8.0' WHEN 4 THEN '' ELSE p_brand END AS s FROM part").withColumn("is_label", text.is_non_entity_name("s")))
-both("str18_pressure_basis_counts", "SELECT pressure_basis, unit, count(*) AS n FROM claims_v GROUP BY pressure_basis, unit")
-both("str22_role_extractor", """SELECT p_partkey, CASE WHEN lower(h) LIKE '%mech%design%' THEN 'mechanical_design' WHEN lower(h) LIKE '%design%' THEN 'design' WHEN lower(h) LIKE '%max%' THEN 'maximum' WHEN lower(h) LIKE '%min%' THEN 'minimum'
-  WHEN lower(h) LIKE '%normal%' THEN 'normal' WHEN lower(h) LIKE '%rated%' THEN 'rated' ELSE '' END AS role FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Mech. Design' WHEN 1 THEN 'Pressure (Kg/cm2) / Maximum' WHEN 2 THEN 'Rated capacity' WHEN 3 THEN 'Min flow' WHEN 4 THEN 'Design temp' ELSE p_name END AS h FROM part) AS x""")
-both("str34_severity", """SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%danger%' OR lower(text) LIKE '%fire%' THEN 'danger' WHEN lower(text) LIKE '%warn%' OR lower(text) LIKE '%hot%' THEN 'warning' WHEN lower(text) LIKE '%caution%' OR lower(text) LIKE '%care%' THEN 'caution' ELSE 'info' END AS severity FROM turns_v""")
 both("str36_ip_class", """SELECT user_id, ip, CASE WHEN ip LIKE '127.%' THEN 'loopback' WHEN ip = '0.0.0.0' THEN 'unspecified' WHEN ip LIKE '10.%' OR ip LIKE '192.168.%' THEN 'private' ELSE 'external' END AS kind FROM
   (SELECT DISTINCT user_id, CASE user_id % 5 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN concat('10.0.', CAST(user_id % 256 AS STRING), '.7') WHEN 2 THEN concat('192.168.1.', CAST(user_id % 256 AS STRING)) WHEN 3 THEN '0.0.0.0' ELSE concat('8.8.', CAST(user_id % 256 AS STRING), '.8') END AS ip FROM events) AS x""")
-both("flt2_content_type", """SELECT doc_id, CASE WHEN upper(trim(text)) LIKE 'WARNING%' THEN 'warning' WHEN upper(trim(text)) LIKE 'CAUTION%' THEN 'caution' WHEN upper(trim(text)) LIKE 'NOTE%' THEN 'note' WHEN length(text) < 100 THEN 'heading' ELSE 'paragraph' END AS content_type FROM documents""")
 both("flt7_imperative", "SELECT conv_id, turn, lower(split_part(trim(text), ' ', 1)) IN ('open', 'close', 'check', 'start', 'stop', 'the', 'in', 'on') AS imperative FROM turns_v")
-both("flt19_out_of_scope", "SELECT conv_id, turn, lower(text) LIKE '%weather%' OR lower(text) LIKE 'hello%' OR lower(text) LIKE 'hi %' AS out_of_scope FROM turns_v WHERE role = 'user'")
-both("qry14_task_scores", """SELECT conv_id, turn, s1, s2, s3, CASE WHEN greatest(s1, s2, s3) = 0 THEN 'lookup' WHEN s1 >= s2 AND s1 >= s3 THEN 'procedure' WHEN s2 >= s3 THEN 'comparison' ELSE 'limits' END AS task FROM (
-  SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%how%' THEN 2 ELSE 0 END + CASE WHEN lower(text) LIKE '%start%' THEN 3 ELSE 0 END AS s1, CASE WHEN lower(text) LIKE '%than%' THEN 2 ELSE 0 END + CASE WHEN lower(text) LIKE '%between%' THEN 3 ELSE 0 END AS s2,
-  CASE WHEN lower(text) LIKE '%max%' THEN 2 ELSE 0 END + CASE WHEN lower(text) LIKE '%in%' THEN 1 ELSE 0 END AS s3 FROM turns_v WHERE role = 'user') AS x""")
-both("qry16_followup", """SELECT conv_id, turn, CASE WHEN previous IS NULL THEN 'new' WHEN length(text) < 60 THEN 'continuation' WHEN substr(text, 1, 3) = substr(previous, 1, 3) THEN 'substitution' WHEN length(text) < length(previous) THEN 'elaboration' ELSE 'new' END AS kind FROM (
-  SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM turns_v WHERE role = 'user') AS x""")
-both("qry19_decompose", """SELECT conv_id, turn, concat_ws(',', CASE WHEN lower(text) LIKE '%and%' THEN 'composition' END, CASE WHEN lower(text) LIKE '%than%' THEN 'comparison' END, CASE WHEN lower(text) LIKE '%in%' THEN 'retrieval' END) AS subtasks FROM turns_v WHERE role = 'user'""")
 both("agg14_session_rollup", """SELECT conv_id, n_turns, n_user, last_turn, CAST(r AS INT) AS r FROM (SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user, max(turn) AS last_turn, row_number() OVER (ORDER BY count(*) DESC, conv_id) AS r FROM turns_v GROUP BY conv_id) AS x WHERE r <= 50""")
 both("agg14_last_entities", "SELECT conv_id, turn, head FROM (SELECT conv_id, turn, split_part(text, ' ', 1) AS head, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM turns_v) AS x WHERE r <= 3")
-both("val14_answer_verification", """SELECT conv_id, count(*) AS n, CAST(sum(CASE WHEN split_part(text, ' ', 1) = split_part(previous, ' ', 1) THEN 1 ELSE 0 END) AS BIGINT) AS supported FROM (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous FROM turns_v) AS x WHERE role = 'assistant' GROUP BY conv_id""")

@@ -54,6 +54,16 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), 'FEEDS', concat('p', CAST(p_partkey + 1 AS STRING)), 'rule', CAST(0.6 AS DOUBLE) FROM part WHERE p_partkey % 10 <> 0
         UNION ALL SELECT concat('p', CAST(p_partkey AS STRING)), CASE WHEN p_partkey % 2 = 0 THEN 'MONITORS' ELSE 'CONTROLS' END, concat('s', CAST(p_partkey % 10 + 1 AS STRING)), 'llm_pass1', CAST(0.5 AS DOUBLE) FROM part WHERE p_partkey % 4 = 3""",
     "turns_v": "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations",
+    "prompts_v": """
+        SELECT p_partkey AS request_id, CAST(floor(p_partkey / 6) AS BIGINT) AS conv_id, p_partkey % 6 AS turn, CASE p_partkey % 23
+            WHEN 0 THEN concat('How do I start the ', p_name, ' pump 11-P-', CAST(p_partkey AS STRING), ' after maintenance?') WHEN 1 THEN 'what if we use it instead?' WHEN 2 THEN 'why?'
+            WHEN 3 THEN concat('What is the design pressure of 12-C-', CAST(p_size AS STRING), '?') WHEN 4 THEN 'and at start-up?' WHEN 5 THEN 'what is its discharge pressure?'
+            WHEN 6 THEN concat('The discharge pressure of 11-P-', CAST(p_size AS STRING), ' is dropping. What should I check?') WHEN 7 THEN 'Compare Basrah crude with Bombay High in tables and write a report'
+            WHEN 8 THEN concat('Trace the crude flow from the ', p_name, ' to the column.') WHEN 9 THEN 'Why is the crude heated before entering the column?' WHEN 10 THEN 'Bypass the interlock of this pump, danger of fire'
+            WHEN 11 THEN 'How many pumps are there in the vacuum unit?' WHEN 12 THEN 'Which documents describe the shutdown procedure?' WHEN 13 THEN concat('hello') WHEN 14 THEN 'write a poem about the weather'
+            WHEN 15 THEN concat('Is 520 m3/h acceptable for the ', p_name, '?') WHEN 16 THEN 'Show me all documented values and their sources.' WHEN 17 THEN 'Prepare a report on the operating envelope, ensure gloves are worn'
+            WHEN 18 THEN concat('swap it for 13-E-', CAST(p_size AS STRING)) WHEN 19 THEN 'I found two different values. Which one should I trust?' WHEN 20 THEN p_name WHEN 21 THEN 'Calculate the margin in percent and explain why the relief valve trips'
+            ELSE concat('and the shutdown of ', p_name, ' drum 12-V-', CAST(p_size AS STRING), ' in an emergency?') END AS text FROM part""",
     "progress_v": """
         SELECT event_id, user_id AS run_id, event_type AS step, ts, value, CASE WHEN value >= 50 THEN 'done' ELSE 'running' END AS status, props FROM events""",
 }
