@@ -139,5 +139,34 @@ def canonical_json(m: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
 
 
+def contents_title(c: Column | str) -> Column:
+    """STR32: a contents line without leaders and page number."""
+    return F.trim(F.regexp_replace(text_of(c), r"\s*\.{3,}\s*\d*\s*$", ""))
+
+
+def ip_class(c: Column | str) -> Column:
+    """STR36: loopback, unspecified, private, external; invalid for what is no IPv4 address."""
+    octets = F.transform(F.split(text_of(c), r"\."), lambda x: F.when(x.rlike(r"^\d{1,3}$"), x.cast("int")))
+    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
+    valid = (F.size(octets) == 4) & F.forall(octets, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
+    private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+    return F.when(~valid, "invalid").when(a == 127, "loopback").when(F.forall(octets, lambda x: x == 0), "unspecified").when(private, "private").otherwise("external")
+
+
+def json_number(c: Column | str, name: str) -> Column:
+    """STR35: a number out of a JSON object, by its parser; null where there is none."""
+    return F.get_json_object(text_of(c), f"$.{name}").cast("int")
+
+
+#: A fixed value: standards as texts write them.
+REFERENCE = r"\b(?:ISO|API|ASTM|IS)[ -]?\d+"
+
+
+def real_reference(c: Column | str) -> Column:
+    """FLT18: the first standard whose prefix is written in capitals; 'is 482' in prose is none."""
+    found = F.regexp_extract(text_of(c), REFERENCE, 0)
+    return F.when(found != "", found)
+
+
 def shared_tokens(a: Column | str, b: Column | str) -> Column:
     return F.size(F.array_intersect(tokenize(a), tokenize(b)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import text_of
@@ -98,6 +98,44 @@ def convert(value: Column, unit: Column | str, to: Column | str, known_basis: Co
     return F.when(kind == family(to), F.when(kind == "temperature", temperature).when(kind == "pressure", pressure).when(kind == "volumetric_flow", volume).when(kind == "mass_flow", mass).when(a == b, value))
 
 
+def with_converted(rows: DataFrame, value: str, unit: str, to: str, name: str, known_basis: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, the value in unit ``to``, as ``convert`` gives it for a constant target.
+
+    The source unit is worked out in projections of its own, once a row, so the expressions of a plan do not multiply.
+    """
+    target, base = _plain(to), _plain_basis(to)
+    key = target if target in PRESSURE_FACTORS else target.rstrip("ag")
+    out = rows.withColumn("__a", F.lower(normalize(unit))).withColumn("__p", _pressure_key(F.col("__a")))
+    v = F.col(value)
+    if target in ("°c", "c", "°f", "f", "k"):
+        celsius = F.when(F.col("__a").isin("°c", "c"), v).when(F.col("__a").isin("°f", "f"), (v - 32) * 5 / 9).when(F.col("__a") == "k", v - 273.15)
+        made = out.withColumn("__m", celsius)
+        done = F.col("__m") if target in ("°c", "c") else F.col("__m") * 9 / 5 + 32 if target in ("°f", "f") else F.col("__m") + 273.15
+    elif key in PRESSURE_FACTORS:
+        own = F.coalesce(F.when(F.col(known_basis) != "", F.col(known_basis)), basis(unit)) if known_basis else basis(unit)
+        made = out.withColumn("__b", own).withColumn("__m", v * F.try_element_at(_map(PRESSURE_FACTORS), F.col("__p")))
+        shift = F.when(F.col("__b") != base, -ATMOSPHERE if base == "gauge" else ATMOSPHERE).otherwise(0.0) if base else F.lit(0.0)
+        done = (F.col("__m") + F.coalesce(shift, F.lit(0.0))) / PRESSURE_FACTORS[key]
+    else:
+        table = next((t for t in (VOLUME_FLOW_FACTORS, MASS_FLOW_FACTORS) if target in t), None)
+        made = out
+        done = v * F.try_element_at(_map(table), F.col("__a")) / table[target] if table else F.when(F.col("__a") == target, v)
+    return made.withColumn(name, done).drop("__a", "__p", "__b", "__m")
+
+
+def _plain(unit: str) -> str:
+    """A constant unit in the query side's spelling, lower case."""
+    u = unit.strip().lower().replace(" ", "").replace("²", "2").replace("³", "3").replace("kgf", "kg").replace("deg", "").replace("°", "")
+    return {"c": "°c", "f": "°f", "k": "k", "m3/hr": "m3/h", "kg/hr": "kg/h", "m3h": "m3/h", "℃": "°c"}.get(u, u)
+
+
+def _plain_basis(unit: str) -> str | None:
+    u = unit.lower().replace(" ", "")
+    if (u.endswith("a") and u not in ("mpa", "kpa", "ata")) or "ata" in u:
+        return "absolute"
+    return "gauge" if u.endswith("g") else None
+
+
 #: A fixed value: a number and a unit in running text.
 QUANTITY = (
     r"(?i)(?<![\w.])(-?\d+(?:[.,]\d+)?)\s*(kg/cm2\s*[ag]?|kg/cm²\s*[ag]?|kgf/cm2|bar[ag]?|kpa|mpa|psi[ag]?|mmhg|mmwc|m3/h|m³/h|m3/hr|kg/h|kg/hr|t/h|tph|mtpa|mmtpa|"

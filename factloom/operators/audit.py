@@ -14,25 +14,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import ordered_fold
+
 
 def entry_hash(seq: Column, ts: Column, prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat_ws("|", seq.cast("string"), ts.cast("string"), F.coalesce(prev, F.lit("")), payload), 256)
 
 
 def append(rows: DataFrame, chain: str, order: list[str]) -> DataFrame:
-    """AUD1: rows (chain, ts as text, payload) with seq, prev_hash and hash."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        prev, prevs, hashes = "", [], []
-        for seq, (ts, payload) in enumerate(zip(part.ts, part.payload)):
-            prevs.append(prev)
-            prev = hashlib.sha256(f"{seq}|{ts}|{prev}|{payload}".encode()).hexdigest()
-            hashes.append(prev)
-        return part.assign(seq=range(len(part)), prev_hash=prevs, hash=hashes)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", seq long, prev_hash string, hash string"
-    return rows.groupBy(chain).applyInPandas(fold, schema)
+    """AUD1: rows (chain, ts as text, payload) with seq, prev_hash and hash. The order within a chain is inherent; a chain streams through one task."""
+
+    def step(state: dict, part: pd.DataFrame) -> pd.DataFrame:
+        first, prevs, hashes = state["seq"], [], []
+        for seq, (ts, payload) in enumerate(zip(part.ts, part.payload), first):
+            prevs.append(state["prev"])
+            state["prev"] = hashlib.sha256(f"{seq}|{ts}|{state['prev']}|{payload}".encode()).hexdigest()
+            hashes.append(state["prev"])
+        state["seq"] += len(part)
+        return part.assign(seq=range(first, state["seq"]), prev_hash=prevs, hash=hashes)
+
+    return ordered_fold(rows, chain, order, "seq long, prev_hash string, hash string", lambda: {"seq": 0, "prev": ""}, step)
 
 
 def verify(log: DataFrame, chain: str) -> DataFrame:

@@ -92,8 +92,9 @@ def role_of(role: Column, predicate: Column, qualifier: Column) -> Column:
 
 def markers(ranked: DataFrame, by: list[str], target_unit: str) -> DataFrame:
     """AGG6: one value a role, in ``target_unit``; other families are left out; the claim of best authority speaks."""
-    value = F.when(F.lower("unit") == target_unit.lower(), F.col("numeric_value")).otherwise(units.convert(F.col("numeric_value"), "unit", F.lit(target_unit), F.col("pressure_basis")))
-    usable = ranked.where("numeric_value is not null and unit <> ''").withColumn("role", role_of(F.col("parameter_role"), F.col("predicate"), F.col("qualifier"))).withColumn("marker", value).where("marker is not null")
+    told = ranked.where("numeric_value is not null and unit <> ''").withColumn("role", role_of(F.col("parameter_role"), F.col("predicate"), F.col("qualifier")))
+    converted = units.with_converted(told, "numeric_value", "unit", target_unit, "__marker", "pressure_basis")
+    usable = converted.withColumn("marker", F.when(F.lower("unit") == target_unit.lower(), F.col("numeric_value")).otherwise(F.col("__marker"))).where("marker is not null").drop("__marker")
     first = usable.groupBy(*by, "role").agg(F.min_by("marker", "authority").alias("marker"))
     return first.withColumn("role_order", F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLE_ORDER]), F.col("role")), F.lit(99)))
 
@@ -151,3 +152,165 @@ def compare(claims: DataFrame, subjects: list[str], documents: DataFrame) -> Dat
     best = authority(claims.where(F.col("subject").isin(subjects)), documents, ["subject", "context_key"]).where("authority = 1")
     wide = best.groupBy("context_key").pivot("subject", subjects).agg(F.first("value"))
     return wide.withColumn("coverage", sum((F.col(f"`{s}`").isNotNull()).cast("int") for s in subjects)).withColumn("differs", F.size(F.array_distinct(F.array_compact(F.array(*[F.col(f"`{s}`") for s in subjects])))) > 1)
+
+
+def claim_filter(claims: DataFrame, predicate: str | None = None, **context: str) -> DataFrame:
+    """FLT13: claims whose predicate is or contains ``predicate`` and whose context says what is asked, whatever the case; what is not asked does not filter. Each claim once."""
+    out = claims
+    if predicate:
+        out = out.where(F.lower("predicate").contains(predicate.lower()))
+    for name, value in context.items():
+        out = out.where(F.lower(text.text_of(name)) == value.lower())
+    return out.dropDuplicates(["claim_id"])
+
+
+def search_claims(claims: DataFrame, subject: str = "", predicate: str = "", scenario: str = "", limit: int = 50) -> DataFrame:
+    """FLT14: by parts of subject, predicate and scenario (or qualifier), in the order of claim_id."""
+    has = lambda c, part: F.lower(text.text_of(c)).contains(part.lower())
+    found = claims.where(has("subject", subject) & has("predicate", predicate) & (has("scenario", scenario) | has("qualifier", scenario)))
+    return found.orderBy("claim_id", "subject", "predicate").limit(limit)
+
+
+def duplicates(rows: DataFrame, of: str, key: str) -> DataFrame:
+    """Texts that several rows share: their hash, how many, and the first."""
+    return rows.groupBy(F.md5(of).alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_doc")).where("n > 1")
+
+
+def context_label() -> Column:
+    """STR28: the parts of a claim's context that are filled, joined by commas; the qualifier up to 40 characters, unless said already."""
+    filled = lambda c: F.when(text.text_of(c) != "", F.col(c))
+    parts = F.concat_ws(", ", *[filled(c) for c in ("parameter_role", "location", "scenario", "pressure_basis")])
+    short = F.substring("qualifier", 1, 40)
+    return F.concat_ws(", ", F.when(parts != "", parts), F.when((text.text_of("qualifier") != "") & ~parts.contains(short), short))
+
+
+def same_number(a: Column | str, b: Column) -> Column:
+    """STR30: whether a written number and a value are equal, as numbers."""
+    return text.leading_number(a) == b
+
+
+def index_statistics(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """AGG4: of each readable document, its claims, subjects, chunks and pages."""
+    return claims.join(documents.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.countDistinct("subject").alias("n_subjects"), F.countDistinct("chunk_id").alias("n_chunks"), F.countDistinct("page").alias("n_pages"))
+
+
+def merge_extractions(claims: DataFrame) -> DataFrame:
+    """EXT14: of equal claims of several extractors, the one of the best source, then of the smallest id; an aggregate, so hot claims are no sorted group."""
+    key = ["subject", "predicate", "parameter_role", "location", "scenario", "value", "unit"]
+    place = F.when(F.col("source") == "table", 0).when(F.col("source") == "specification", 1).when(F.col("source") == "rule", 2).otherwise(3)
+    return claims.groupBy(*key).agg(F.min(F.struct(place.alias("p"), "claim_id", "source")).alias("b")).select("b.claim_id", "subject", "value", "unit", "b.source")
+
+
+def lookup(claims: DataFrame, by: str = "subject", most: int = 24) -> DataFrame:
+    """QRY1: the first ``most`` claims of each subject, by time, confidence and page."""
+    rank = F.when(F.col("temporal_status") == "current", 3).when(F.col("temporal_status") == "historical", 1).when(F.col("temporal_status") == "defunct", 0).otherwise(2)
+    w = Window.partitionBy(by).orderBy(F.desc(rank), F.desc("confidence"), F.desc("page"), "claim_id")
+    return claims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+
+
+def resolve_conflicts(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """QRY6: (subject, context_key, n_claims, n_values, status, preferred, reason) of contexts with several claims.
+
+    corroborated: one value; resolved: the best claim beats the next one of another value by time, document, revision or
+    source; unresolved: nothing tells them apart. ``preferred`` is the best claim's value.
+    """
+    ranked = authority(with_context_key(claims), documents, ["subject", "context_key"])
+    first = F.min(F.struct("authority", "value", "reason"))
+    out = ranked.groupBy("subject", "context_key").agg(F.count(F.lit(1)).alias("n_claims"), F.countDistinct(F.round("numeric_value", 4)).alias("n_values"), first.alias("b")).where("n_claims > 1")
+    status = F.when(F.col("n_values") <= 1, "corroborated").when(F.col("b.reason") == "equal", "unresolved").otherwise("resolved")
+    return out.select("subject", "context_key", "n_claims", "n_values", status.alias("status"), F.col("b.value").alias("preferred"), F.col("b.reason").alias("reason"))
+
+
+def different_context(claims: DataFrame) -> DataFrame:
+    """QRY6: (subject, predicate, n_contexts): parameters whose values differ because their contexts do, which is no conflict."""
+    return with_context_key(claims).groupBy("subject", "predicate").agg(F.countDistinct("context_key").alias("n_contexts")).where("n_contexts > 1")
+
+
+def weighted_confidence(rows: DataFrame, by: str, weight: Column) -> DataFrame:
+    """AGG10: the mean confidence by weight, in thousandths of a percent."""
+    weighed = rows.withColumn("__w", weight)
+    return weighed.groupBy(by).agg(F.round(F.sum(F.col("__w") * F.col("confidence") * 100) * 1000 / F.sum("__w")).cast("long").alias("weighted"))
+
+
+def grounded_share(rows: DataFrame, by: str) -> DataFrame:
+    """AGG11: cases by ``by`` and the share that is strongly grounded, in basis points."""
+    strong = F.sum((F.col("grounding") == "strong").cast("long"))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.floor(strong * 10000 / F.count(F.lit(1))).cast("long").alias("grounded_bp"))
+
+
+def calculation_steps(claims: DataFrame, by: list[str]) -> DataFrame:
+    """QRY21: the steps of a margin: the least value, the largest, and the difference; one aggregate."""
+    low, high = F.min("numeric_value"), F.max("numeric_value")
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), v.alias("v")) for k, v in ((1, low), (2, high), (3, high - low))])
+    return claims.groupBy(*by).agg(steps.alias("s")).select(*by, F.explode("s").alias("x")).select(*by, "x.step", "x.v")
+
+
+def side_by_side(claims: DataFrame, by: list[str], of: str, names: dict[str, str], value: str = "numeric_value") -> DataFrame:
+    """QRY5, JOI12: the largest value under each of the listed contexts (value of ``of`` -> column name), one row a ``by``."""
+    return claims.groupBy(*by).agg(*[F.max(F.when(F.col(of) == v, F.col(value))).alias(name) for v, name in names.items()])
+
+
+def cited_sections(claims: DataFrame, least: int = 2) -> DataFrame:
+    """QRY10: sections of documents with at least ``least`` claims."""
+    return claims.groupBy("document_id", F.concat("document_id", F.lit(" > "), "page").alias("section")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def assemble_index(entities: DataFrame) -> DataFrame:
+    """EXT13: one index entry a name: the first uid, its aliases and mentions."""
+    return entities.groupBy("name").agg(F.min("entity_uid").alias("uid"), F.count(F.lit(1)).alias("n_aliases"), F.sum("mention_count").cast("long").alias("mentions"))
+
+
+def claim_edges(claims: DataFrame, accepted: Column) -> DataFrame:
+    """GRA9: edges from subject to document by predicate, with how many accepted claims carry them and the last one's value."""
+    return claims.where(accepted).groupBy("subject", "predicate", "document_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("value", "claim_id").alias("value"))
+
+
+def context_bundle(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """GRA11: (chunk_id, facet, n): what is known around a chunk: its claims and the entities that they name."""
+    told = claims.groupBy("chunk_id").agg(F.lit("claim").alias("facet"), F.count(F.lit(1)).alias("n"))
+    named = claims.select("chunk_id", "subject").distinct().join(entities.select(F.col("canonical_tag").alias("subject"), "entity_uid"), "subject")
+    return told.unionByName(named.groupBy("chunk_id").agg(F.lit("entity").alias("facet"), F.countDistinct("entity_uid").alias("n")))
+
+
+def document_graph(claims: DataFrame) -> DataFrame:
+    """SRC16: the sections of a document and how many chunks hang from each."""
+    return claims.groupBy(F.concat("document_id", F.lit("#"), "page").alias("section_id"), "document_id").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+
+
+def ordered_labels(claims: DataFrame) -> DataFrame:
+    """AGG7: a subject's chunks numbered in the order of their first claims."""
+    first = claims.groupBy("subject", "chunk_id").agg(F.min("claim_id").alias("first_id"))
+    return first.select("subject", "chunk_id", F.dense_rank().over(Window.partitionBy("subject").orderBy("first_id")).alias("label"))
+
+
+def promoted_labels(mentions: DataFrame, label: str, document: str, documents: int = 2, chunks: int = 5) -> DataFrame:
+    """AGG8: labels that enough documents and chunks use."""
+    return mentions.groupBy(label).agg(F.countDistinct(document).alias("n_documents"), F.count(F.lit(1)).alias("n_chunks")).where((F.col("n_documents") >= documents) & (F.col("n_chunks") >= chunks))
+
+
+def best_of_chunk(claims: DataFrame, most: int = 20) -> DataFrame:
+    """JOI10: the first ``most`` claims of each section, by confidence."""
+    w = Window.partitionBy("chunk_id").orderBy(F.desc("confidence"), "claim_id")
+    return claims.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+def missing_documents(documents: DataFrame, by: str, needed: Column, priority: Column) -> DataFrame:
+    """AGG13: of each kind, whether a document that is ``needed`` is there, how many there are, and its priority."""
+    return documents.groupBy(by).agg(F.max(needed).alias("present"), F.count(F.lit(1)).alias("n"), F.max(priority).alias("priority"))
+
+
+def spec_claims(pairs: DataFrame, headings: DataFrame) -> DataFrame:
+    """EXT3: (document_id, subject, label, value, confidence) of specification pairs (document_id, reading_order, label, value).
+
+    The subject is the tag in the nearest heading before the pair, else the heading itself unless it is generic; a pair
+    without either gives none. Headings and pairs are put in one order and the last heading is carried along.
+    """
+    from ..functions.tags import find_tags
+
+    named = F.coalesce(F.get(find_tags("content"), F.lit(0)), F.when(~text.is_non_entity_name("content"), F.trim(F.regexp_replace("content", r"^\s*\d+(?:\.\d+)*\.?\s+", ""))))
+    heads = headings.select("document_id", "reading_order", F.lit(0).alias("kind"), named.alias("subject"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("value"))
+    rows = heads.unionByName(pairs.select("document_id", "reading_order", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("subject"), "label", "value"))
+    w = Window.partitionBy("document_id").orderBy("reading_order", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumn("subject", F.last("subject", ignorenulls=True).over(w)).where("kind = 1 and subject is not null")
+    return told.select("document_id", "subject", "label", "value", F.lit(0.8).alias("confidence"))

@@ -165,3 +165,26 @@ def abbreviations(cells: DataFrame) -> DataFrame:
 def mention_counts(texts: DataFrame) -> DataFrame:
     """EXT8: tags mentioned in texts (document_id, content), with how often and in how many documents."""
     return texts.select("document_id", F.explode(find_tags("content")).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("document_id").alias("documents"))
+
+
+def repeated_lines(texts: DataFrame, by: str, key: str, of: str, least: int = 3, percent: int = 10) -> DataFrame:
+    """FLT3 over texts: (by, hash, n_docs, docs) of lines that at least ``least`` texts of a source have, and ``percent`` of them."""
+    lines = texts.select(by, key, F.explode(F.split(of, "\n", -1)).alias("line")).withColumn("__k", F.lower(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " ")))).where(F.length("__k") >= 3)
+    seen = lines.groupBy(by, text.content_hash("line").alias("hash")).agg(F.countDistinct(key).alias("n_docs"))
+    sizes = texts.groupBy(by).agg(F.countDistinct(key).alias("docs"))
+    return seen.join(sizes, by).where((F.col("n_docs") * 100 >= F.col("docs") * percent) & (F.col("n_docs") >= least))
+
+
+def profiles(elements: DataFrame, early: int = 5) -> DataFrame:
+    """STC16: (document_id, title, n_headings, n_elements): the title is the first heading of level 1 on the first ``early`` pages, else the first heading."""
+    heads = F.col("heading_level") > 0
+    first = lambda c: F.min(F.when(c, F.struct("reading_order", "content")))["content"]
+    return elements.groupBy("document_id").agg(
+        F.coalesce(first((F.col("heading_level") == 1) & (F.col("page") <= early)), first(heads)).alias("title"), F.sum(heads.cast("long")).alias("n_headings"), F.count(F.lit(1)).alias("n_elements"))
+
+
+def harvest(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """EXT8: of each subject that is a known tag, its mentions, pages and name. Claims are counted before they meet the entities."""
+    counted = claims.groupBy("subject").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("page").alias("pages"))
+    named = entities.groupBy(F.col("canonical_tag").alias("subject")).agg(F.max("name").alias("mode_name"))
+    return counted.join(named, "subject")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..functions.claim_rules import GENERIC_PROPERTY, PROPERTY_PRESSURE
 from ..functions.tags import find_tags
+from ..functions.vocabulary import GENERIC_SUBJECTS
+from .folds import ordered_fold
 
 # Words that say which value of a parameter a cell gives, and the property words with predicate and default unit.
 CONDITIONS = (
@@ -18,13 +22,14 @@ CONDITIONS = (
     (r"\brated\b", "rated"), (r"\boperating\b", "operating"), (r"\btrip\b", "trip"), (r"\balarm\b", "alarm"), (r"\brelief\b", "relief"), (r"\btest\b", "test"),
 )
 PROPERTIES = (
-    (r"cut\s*range", "cut_range", ""), (r"sp(?:ecific)?\.?\s*gr(?:avity)?", "specific_gravity", ""), (r"viscosity", "viscosity", ""), (r"density", "density", ""), (r"yield", "yield", "%"),
+    (PROPERTY_PRESSURE, "generic_property", ""), (r"cut\s*range", "cut_range", ""), (r"sp(?:ecific)?\.?\s*gr(?:avity)?", "specific_gravity", ""), (r"viscosity", "viscosity", ""), (r"density", "density", ""), (r"yield", "yield", "%"),
     (r"flash\s*point", "flash_point", "°C"), (r"pour\s*point", "pour_point", "°C"), (r"temp(?:erature)?", "temperature", "°C"), (r"press(?:ure)?", "pressure", ""), (r"\bkg\s*/\s*hr?\b", "mass_flow_rate", "kg/h"),
-    (r"\bm3\s*/\s*hr?\b", "volumetric_flow_rate", "m3/h"), (r"flow|capacity", "flow_rate", ""), (r"power", "power", ""), (r"speed", "speed", ""), (r"material|moc", "material", ""),
+    (r"\bm3\s*/\s*hr?\b", "volumetric_flow_rate", "m3/h"), (r"flow|capacity", "flow_rate", ""), (r"power", "power", ""), (r"speed", "speed", ""), (r"material|moc", "material", ""), (GENERIC_PROPERTY, "generic_property", ""),
 )
 UNITS = ((r"kg\s*/\s*cm\s*[2²]", "kg/cm2"), (r"°\s*c|deg\s*c", "°C"), (r"kg\s*/\s*hr?\b", "kg/h"), (r"m3\s*/\s*hr?\b", "m3/h"), (r"\bbar\b", "bar"), (r"\bmm\b", "mm"), (r"\bkw\b", "kW"), (r"\brpm\b", "rpm"), (r"%", "%"))
 NUMBER = re.compile(r"^[<>≤≥~]?\s*[+-]?\d[\d,]*(?:\.\d+)?")
 TAG = re.compile(r"^\d{1,3}-[A-Z]{1,4}-\d{1,5}[A-Z]?$")
+RANGE = re.compile(r"^[<>≤≥~]?\s*[+-]?\d[\d,]*(?:\.\d+)?(?:\s*-\s*\d[\d,]*(?:\.\d+)?)?")
 CLAIMS = "table_id string, subject string, predicate string, value string, unit string, parameter_role string, qualifier string, layout string"
 
 
@@ -32,16 +37,28 @@ def _first(rules, s: str, empty=None):
     return next((r[1:] if len(r) > 2 else r[1] for r in rules if re.search(r[0], s, re.I)), empty)
 
 
+def _plain(s: str) -> str:
+    return re.sub(r"[^a-z]+", " ", s.lower()).strip()
+
+
+def _subject(hint: str) -> str:
+    """What a label above a table names: its tag, else its words without number and colon."""
+    tag = re.search(r"\b\d{1,3}-[A-Z]{1,4}-\d{1,5}[A-Z]?\b", hint)
+    return tag[0] if tag else re.sub(r"^\s*\d+(?:\.\d+)*\.?\s+", "", hint).strip().rstrip(":")
+
+
 def _cells_of(grid: list[list[str]], hint: str) -> list[tuple]:
     """(subject, predicate, value, unit, role, qualifier, layout) of one table: rows are subjects (B), properties by condition (A) or properties by subject (C)."""
     if len(grid) < 2:
         return []
+    hint = _subject(hint)
     width = max(map(len, grid))
     rows = [[c.strip() for c in r] + [""] * (width - len(r)) for r in grid]
-    n = 1
-    while n < len(rows) - 1 and n < 3 and not any(NUMBER.match(c) for c in rows[n][1:]) and not TAG.match(rows[n][0]):
+    n = 0 if width > 1 and _first(PROPERTIES, rows[0][0]) and NUMBER.match(rows[0][1]) else 1  # a list of properties may have no header
+    while n and n < len(rows) - 1 and n < 3 and not any(NUMBER.match(c) for c in rows[n][1:]) and not TAG.match(rows[n][0]):
         n += 1
     heads = [" ".join(dict.fromkeys(r[k] for r in rows[:n] if r[k])) for k in range(width)]
+    generic = [_plain(h) in GENERIC_SUBJECTS or not h for h in heads]
     body = rows[n:]
     props = [_first(PROPERTIES, h) for h in heads]
     out = []
@@ -49,7 +66,12 @@ def _cells_of(grid: list[list[str]], hint: str) -> list[tuple]:
     def add(subject, prop, value, where, role, qualifier, layout):
         if subject and prop and (NUMBER.match(value) or prop[0] in ("cut_range", "material")) and len(value) <= 40 and value.lower() not in ("nil", "-", "na"):
             role = role or ""
-            name = f"{role}_{prop[0]}" if role in ("minimum", "normal", "maximum", "design", "operating") and prop[0] in ("pressure", "temperature") else prop[0]
+            stated = {"mechanical_design": "design", "rated": "operating", "": "operating"}.get(role, role)
+            name = f"{stated}_{prop[0]}" if prop[0] in ("pressure", "temperature") and stated in ("minimum", "normal", "maximum", "design", "operating", "test", "relief") else prop[0]
+            if prop[0] not in ("cut_range", "material"):
+                value = re.sub(r"\s+", "", RANGE.match(value)[0])
+            if prop[0] == "generic_property" and not qualifier:
+                qualifier = re.sub(r"\s*\([^)]*\)\s*$", "", where).strip()
             out.append((subject, name, value, _first(UNITS, where, prop[1]) or prop[1], role, qualifier, layout))
 
     tags = sum(bool(TAG.match(r[0])) for r in body)
@@ -69,7 +91,8 @@ def _cells_of(grid: list[list[str]], hint: str) -> list[tuple]:
         for r in body:
             for k in range(1, width):
                 at = re.search(r"@\s*\S.*$", r[0])
-                add(heads[k], _first(PROPERTIES, r[0]), r[k], re.sub(r"@.*$", "", r[0]), "", at[0] if at else "", "C")
+                subject, role = (hint, _first(CONDITIONS, r[0])) if generic[k] else (heads[k], "")
+                add(subject, _first(PROPERTIES, r[0]), r[k], re.sub(r"@.*$", "", r[0]), role, at[0] if at else "", "C")
     return out
 
 
@@ -143,17 +166,18 @@ def rule_relations(sentences: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def table_labels(elements: DataFrame) -> DataFrame:
-    """STC14: (document_id, table_id, label): label lines wait in a queue; each table takes the oldest, a heading empties it. An ordered fold a document."""
+    """STC14: (document_id, table_id, label): label lines wait in a queue; each table takes the oldest, a heading empties it. A document streams through one task."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        queue, out = [], []
-        for r in part.sort_values("reading_order", kind="stable").itertuples():
+    def step(state: dict, part: pd.DataFrame) -> pd.DataFrame:
+        queue, out = state["queue"], []
+        for r in part.itertuples():
+            content = (r.content or "").strip()
             if r.element_type == "heading":
                 queue.clear()
             elif r.element_type == "table":
-                out.append((r.document_id, r.table_id, queue.pop(0) if queue else ""))
-            elif r.element_type == "text" and len(r.content or "") <= 120 and len((r.content or "").split()) <= 18 and (r.content or "").strip():
-                queue.append(r.content.strip().rstrip(":"))
+                out.append((r.document_id, r.table_id, queue.popleft() if queue else ""))
+            elif r.element_type == "text" and content and len(r.content) <= 120 and len(content.split()) <= 18:
+                queue.append(content.rstrip(":"))
         return pd.DataFrame(out, columns=["document_id", "table_id", "label"])
 
-    return elements.groupBy("document_id").applyInPandas(fold, "document_id string, table_id string, label string")
+    return ordered_fold(elements, "document_id", ["reading_order"], "", lambda: {"queue": deque()}, step, "document_id string, table_id string, label string")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import request_rules as rules
 from ..functions.tags import find_tags
-from ..functions.text import text_of
+from ..functions.text import sentences, text_of
 
 
 def matches(c: Column | str, pattern: str) -> Column:
@@ -129,3 +129,12 @@ def prerequisites(steps: DataFrame, by: str = "procedure_id", sequence: str = "s
     found = steps.withColumn("__early", early).where(matches(text, rules.PREREQUISITE) & (F.col("__early") | matches(text, rules.PREREQUISITE_CUE)))
     first = found.withColumn("__n", F.row_number().over(Window.partitionBy(by, text).orderBy(sequence))).where("__n = 1")
     return first.withColumn("__n", F.row_number().over(whole.orderBy(sequence))).where(F.col("__n") <= most).drop("__n", "__early")
+
+
+def diagnosis(chunks: DataFrame, key: str, of: str, most: int = 10) -> DataFrame:
+    """QRY8: (key, sentence, kind, rank): sentences of 25 to 380 characters that give a cause, a check or an action, the first wording that fits; equal ones once, ``most`` of a kind and chunk in order."""
+    told = chunks.select(key, F.posexplode(sentences(of)).alias("__pos", "sentence")).where(F.length("sentence").between(25, 380))
+    kind = F.when(matches("sentence", rules.CAUSE), "cause").when(matches("sentence", rules.CHECK), "check").when(matches("sentence", rules.ACTION), "action")
+    first = told.withColumn("kind", kind).where("kind is not null").groupBy(key, "kind", "sentence").agg(F.min("__pos").alias("__pos"))
+    w = Window.partitionBy(key, "kind").orderBy("__pos")
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(key, "sentence", "kind", "rank")

@@ -8,29 +8,25 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from .graph import settle, settled
+from .joins import few
 
 #: Up to so many query vectors are broadcast at once.
 BROADCAST_QUERIES = 1_000
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", of: str = "text") -> DataFrame:
-    """(key, token, tf, length): tokenized once, reused by every ranking."""
-    tokens = chunks.select(key, text.tokenize(of).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("token"))
-    return tokens.groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+def bm25(chunks: DataFrame, requests: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, key: str = "chunk_id", of: str = "text") -> DataFrame:
+    """WIN1: (request_id, key, score, rank): Okapi BM25 of chunks (key, of) for requests (request_id, text), positive scores, ties by key.
 
-
-def bm25(posted: DataFrame, requests: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, key: str = "chunk_id") -> DataFrame:
-    """WIN1: (request_id, key, score, rank): Okapi BM25 of requests (request_id, text), positive scores, ties by key.
-
-    Only the requests' own tokens leave the postings: document frequencies are counted for these, and negative inverse
-    frequencies are raised to ``epsilon`` times the mean over them.
+    Chunks are tokenized once; only the requests' own tokens, and one empty token a chunk that carries its length, leave
+    the scan. Negative inverse frequencies are raised to ``epsilon`` times the mean over the requests' tokens.
     """
     asked = requests.select("request_id", F.explode(F.array_distinct(text.tokenize("text"))).alias("token"))
-    wanted = asked.select("token").distinct()
-    totals = posted.select(key, "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    hits = posted.join(wanted, "token")
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # totals: one row
+    wanted = few(asked.select("token").union(requests.sparkSession.range(1).select(F.lit("").alias("token"))).distinct())
+    tokens = chunks.select(key, text.tokenize(of).alias("t")).select(key, F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("token")).where("length > 0")
+    hits = tokens.join(wanted, "token", "left_semi").groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean"))
+    totals = df.where("token = ''").select(F.col("df").alias("n"), F.col("mean").alias("mean_length"))
+    idf = df.where("token <> ''").crossJoin(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # totals: one row
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = idf.crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).select("token", "idf", "mean_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
@@ -98,3 +94,90 @@ def embed(rows: DataFrame, key: str, of: str, dimension: int = 64) -> DataFrame:
     sums = hashed.groupBy(key, (F.col("h") % dimension).alias("at")).agg(F.sum(F.when(~F.col("is"), 0.0).when(F.col("h") < dimension, 1.0).otherwise(-1.0)).alias("v"))
     maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return maps.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)).alias("embedding"))
+
+
+def hybrid(chunks: DataFrame, requests: DataFrame, k: int, key: str, of: str, depth: int = 24, anchors: DataFrame | None = None) -> DataFrame:
+    """QRY18: (request_id, key, score, rank): keyword and vector rankings of the ``depth`` best, fused; both sides embedded alike."""
+    words = bm25(chunks, requests, depth, key=key, of=of)
+    vectors = embed(chunks, key, of)
+    asked = embed(requests.select(F.col("request_id"), F.col("text")), "request_id", "text").select("request_id", F.col("embedding").alias("q"))
+    near = vector_top_k(vectors, asked, depth, key).where("score > 0")
+    return fuse([words.select("request_id", key, "rank"), near.select("request_id", key, "rank")], k, anchors, key=key)
+
+
+def best_names(mentions: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
+    """WIN5: (request_id, entity_uid, rank): entities (entity_uid, name, mention_count) whose normal name is the mention's (request_id, mention), most mentioned first."""
+    asked = mentions.select("request_id", text.norm_alias("mention").alias("__k"))
+    known = entities.select("entity_uid", text.norm_alias("name").alias("__k"), "mention_count")
+    w = Window.partitionBy("request_id").orderBy(F.desc(F.least("mention_count", F.lit(200))), "entity_uid")
+    return asked.join(known, "__k").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("request_id", "entity_uid", "rank")
+
+
+def search_names(requests: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
+    """WIN6: (request_id, entity_uid, score, rank): the share of a request's words (request_id, text) in an entity's name, in millionths, and its mentions."""
+    asked = requests.select("request_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w")).select("request_id", F.size("w").alias("n"), F.explode("w").alias("token"))
+    known = entities.select("entity_uid", "mention_count", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("token"))
+    scored = asked.join(known, "token").groupBy("request_id", "entity_uid").agg((F.floor(F.count(F.lit(1)) * 1000000 / F.max("n")) + F.max(F.least("mention_count", F.lit(50))) * 2000).cast("long").alias("score"))
+    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "entity_uid")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def score_procedures(procedures: DataFrame, requests: DataFrame, most: int = 3) -> DataFrame:
+    """WIN7: (request_id, procedure_id, score, rank): procedures that apply to a request's entity or name it in steps, by how well they fit.
+
+    ``procedures``: procedure_id, procedure_type, applies_to, step_tags, head_tokens, step_tokens (arrays), page.
+    ``requests``: request_id, entity, procedure_type, tokens. 2 for the entity, 1 and a fifth of up to five steps that name
+    it; 4 for the type, a fifth of 1 for a request without one, less 1 for another; 1.2 and 0.5 times the shares of the
+    request's tokens in head and steps. Candidates meet by entity, so nothing is compared with all.
+    """
+    named = procedures.withColumn("__e", F.explode(F.array_distinct(F.concat("applies_to", "step_tags"))))
+    met = requests.join(named, F.col("entity") == F.col("__e")).withColumn("__rt", requests["procedure_type"]).withColumn("__pt", procedures["procedure_type"])
+    steps = F.size(F.filter("step_tags", lambda x: x == F.col("entity")))
+    share = lambda c: F.size(F.array_intersect("tokens", c)) / F.greatest(F.size("tokens"), F.lit(1))
+    score = (
+        F.when(F.array_contains("applies_to", F.col("entity")), 2.0).otherwise(0.0) + F.when(steps > 0, 1 + 0.2 * F.least(steps, F.lit(5))).otherwise(0.0)
+        + F.when(F.col("__rt").isNull(), 0.2).when(F.col("__rt") == F.col("__pt"), 4.0).otherwise(-1.0) + 1.2 * share("head_tokens") + 0.5 * share("step_tokens")
+    )
+    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "page", "procedure_id")
+    return met.withColumn("score", F.round(score, 4)).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("request_id", "procedure_id", "score", "rank")
+
+
+def near_best(rows: DataFrame, by: str, score: str, percent: int = 60) -> DataFrame:
+    """WIN11: the rows of each ``by`` that score at least ``percent`` of its best."""
+    best = rows.groupBy(by).agg(F.max(score).alias("__best"))
+    return rows.join(best, by).where(F.col(score) * 100 >= F.col("__best") * percent).drop("__best")
+
+
+def rerank_upsets(chunks: DataFrame, keywords: list[str], synonyms: list[str], symptom: str, class_word: str, chapters: list[int], limit: int = 5) -> DataFrame:
+    """WIN12: (chunk_id, score): chunks (chunk_id, chunk_type, chapter, section_path, text, score) by their score and what speaks for an upset.
+
+    0.5 for an upset section, 0.3 for its chapters, 0.6 for a keyword in the text, 0.8 for one in the path or the class of
+    equipment in its last part, 0.4 for a synonym of the symptom, 0.2 for the symptom. Ties go to the smaller id.
+    """
+    low, head = F.lower(text.text_of("text")), F.lower(text.text_of("section_path"))
+    some = lambda c, words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(c, w)) if words else F.lit(False)
+    boost = lambda c, n: F.when(c, n).otherwise(0.0)
+    score = (
+        F.col("score") + boost(F.col("chunk_type") == "upset", 0.5) + boost(F.col("chapter").isin(*chapters), 0.3) + boost(some(low, keywords), 0.6)
+        + boost(some(head, keywords) | F.substring_index(head, " > ", -1).contains(class_word.lower()), 0.8) + boost(some(low, synonyms), 0.4) + boost(low.contains(symptom.lower()), 0.2)
+    )
+    return chunks.select("chunk_id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
+def route(models: DataFrame, resident: DataFrame, by: str, margin: float) -> DataFrame:
+    """WIN13: (by, model): the best model (by, model, score) of each kind, but the resident one (by, resident) while it is less than ``margin`` behind. Ties go to the smaller name."""
+    best = models.groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("model").alias("m"))).alias("b")).select(by, F.col("b.m").alias("__best"), (-F.col("b.s")).alias("__top"))
+    held = models.join(resident, [by]).where("model = resident").select(by, F.col("model").alias("__held"), F.col("score").alias("__own"))
+    return best.join(held, by, "left").select(by, F.when(F.col("__top") - F.col("__own") < margin, F.col("__held")).otherwise(F.col("__best")).alias("model"))
+
+
+def glossary_search(entries: DataFrame, term: str, least: int = 3) -> DataFrame:
+    """FLT17: entries whose term is ``term``, or whose meaning contains it if it is longer than ``least``."""
+    hit = F.lower("term") == term.lower()
+    return entries.where(hit | F.lower("meaning").contains(term.lower())) if len(term) > least else entries.where(hit)
+
+
+def precautions(rows: DataFrame, severity, order: list[str], most: int = 10) -> DataFrame:
+    """QRY9: the first ``most`` rows of each severity, info left out."""
+    w = Window.partitionBy("severity").orderBy(*order)
+    return rows.withColumn("severity", severity).where("severity <> 'info'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)

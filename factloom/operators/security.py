@@ -33,3 +33,38 @@ def withheld(rows: DataFrame, documents: DataFrame, role: str) -> DataFrame:
     """SEC3, SEC5: how many rows of each document stay closed."""
     closed = documents.where(~can_read(F.lit(role), F.col("tag"))).select("document_id")
     return rows.join(closed, "document_id", "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("n_withheld"))
+
+
+def classify_documents(documents: DataFrame, pins: DataFrame, rules: tuple[tuple[str, str], ...], upload: str = "CONFIDENTIAL") -> DataFrame:
+    """SEC2: ``classified``: the tag pinned to a document (document_id, pin), else that of uploads, else the first rule (pattern, tag) that its type matches, else SECRET."""
+    ruled = F.lit("SECRET")
+    for pattern, tag in reversed(rules):
+        ruled = F.when(F.col("document_type").rlike(pattern), tag).otherwise(ruled)
+    told = documents.join(pins.select("document_id", "pin"), "document_id", "left")
+    return told.withColumn("classified", F.coalesce("pin", F.when(F.col("origin") == "upload", upload).otherwise(ruled))).drop("pin")
+
+
+def grant_reason(revoked: Column, spent: Column, expired: Column, wrong_requester: Column, wrong_question: Column) -> Column:
+    """SEC6: why a grant cannot be redeemed, the first reason that holds; granted if none does. An unknown (null) counts against it."""
+    bad = lambda c: F.coalesce(c, F.lit(True))
+    return F.when(bad(revoked), "revoked").when(bad(spent), "spent").when(bad(expired), "expired").when(bad(wrong_requester), "requester").when(bad(wrong_question), "question").otherwise("granted")
+
+
+def scope_hash(parts: Column) -> Column:
+    """SEC6: the hash of a grant's scope, whatever the order and repetition of its parts."""
+    return F.sha2(F.concat_ws("\n", F.array_sort(F.array_distinct(parts))), 256)
+
+
+def release_level(rows: DataFrame, documents: DataFrame, by: str) -> DataFrame:
+    """SEC7: the highest level among the documents behind each ``by``: who must release it."""
+    return rows.join(documents.select("document_id", level(F.col("tag"), TAGS, 3).alias("__l")), "document_id").groupBy(by).agg(F.max("__l").alias("needs"))
+
+
+def distinctive(rows: DataFrame, value: str, owner: str) -> DataFrame:
+    """SEC8: values that only one owner has: a leak of one tells where it comes from."""
+    return rows.groupBy(value).agg(F.countDistinct(owner).alias("n"), F.min(owner).alias("only_in")).where("n = 1").drop("n")
+
+
+def leaks(rows: DataFrame, documents: DataFrame, role: str) -> DataFrame:
+    """VAL16: rows shown whose document the role cannot read or that has no document at all."""
+    return rows.join(documents.where(can_read(F.lit(role), F.col("tag"))).select("document_id"), "document_id", "left_anti")

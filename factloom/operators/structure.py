@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import ordered_fold
+
 
 def html_elements(pages: DataFrame) -> DataFrame:
     """SRC3: (page_id, position, element_type, content) of headings, paragraphs and list items, in order, without furniture."""
@@ -46,20 +48,18 @@ def propagate_merged(cells: DataFrame) -> DataFrame:
 
 
 def pack(rows: DataFrame, doc: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """STC18, STC19: chunk numbers by greedy filling: a row that would pass the budget opens the next chunk. Ordered fold, one document a task."""
+    """STC18, STC19: chunk numbers by greedy filling: a row that would pass the budget opens the next chunk. A document streams through one task."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        chunk, used, out = 0, 0, []
+    def step(state: dict, part: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for n in part[tokens]:
-            if used and used + n > budget:
-                chunk, used = chunk + 1, 0
-            used += n
-            out.append(chunk)
+            if state["used"] and state["used"] + n > budget:
+                state["chunk"], state["used"] = state["chunk"] + 1, 0
+            state["used"] += n
+            out.append(state["chunk"])
         return part.assign(chunk=out)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", chunk long"
-    return rows.groupBy(doc).applyInPandas(fold, schema)
+    return ordered_fold(rows, doc, [order], "chunk long", lambda: {"chunk": 0, "used": 0}, step)
 
 
 def reading_order(lines: DataFrame, page: str, ties: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import claims as op
-from .registry import both, query
+from .registry import query
 
 KEY = "concat(predicate, '|', parameter_role, '|', location, '|', operating_mode, '|', lower(scenario), '|', pressure_basis, '|', qualifier)"
 K = f"WITH k AS (SELECT *, {KEY} AS context_key FROM claims_v) "
@@ -56,10 +56,10 @@ SELECT subject, CASE WHEN coalesce(lo, hi, normal, design) IS NULL THEN 'unknown
   WHEN hi IS NOT NULL AND v <= hi THEN 'within_normal' WHEN design IS NOT NULL THEN 'within_design' ELSE 'unknown' END AS verdict FROM v""")(
     lambda t: op.verdict(op.envelope(PRESSURE(t), ["subject"]), F.length("subject") * 3 + F.coalesce("normal", F.lit(1.0))).select("subject", "verdict"))
 
-both("flt13_claim_context", """SELECT claim_id, subject, predicate, parameter_role, location FROM claims_v
-  WHERE (predicate = 'operating_pressure' OR predicate LIKE '%pressure%') AND lower(location) = 'discharge' AND lower(parameter_role) = 'normal'""")
-both("flt14_claim_search", """SELECT claim_id, subject, predicate, scenario FROM claims_v
-  WHERE subject LIKE '11-p-%' OR (lower(subject) LIKE '%p-0000%' AND predicate LIKE '%flow%' AND (lower(scenario) LIKE '%bh%' OR lower(qualifier) LIKE '%bh%'))""")
+query("flt13_claim_context", """SELECT claim_id, any_value(subject) AS subject, any_value(predicate) AS predicate, 'normal' AS parameter_role, 'discharge' AS location FROM claims_v WHERE predicate LIKE '%pressure%' AND location = 'discharge' AND parameter_role = 'normal' GROUP BY claim_id""")(
+    lambda t: op.claim_filter(t.claims_v, "pressure", location="discharge", parameter_role="normal").select("claim_id", "subject", "predicate", "parameter_role", "location"))
+query("flt14_claim_search", "SELECT claim_id, subject, predicate, scenario FROM claims_v WHERE subject LIKE '11-P-%' AND predicate = 'flow_rate' AND scenario = 'BH' ORDER BY claim_id, subject, predicate LIMIT 50")(
+    lambda t: op.search_claims(t.claims_v, "11-p-", "flow", "bh").select("claim_id", "subject", "predicate", "scenario"))
 query("flt15_soft_filter", """WITH m AS (SELECT claim_id, subject, location, max(CASE WHEN location = 'suction' THEN 1 ELSE 0 END) OVER (PARTITION BY subject) AS hit FROM claims_v)
   SELECT claim_id, subject, location FROM m WHERE location = 'suction' OR hit = 0""")(lambda t: op.soft_filter(t.claims_v.select("claim_id", "subject", "location"), ["subject"], F.col("location") == "suction"))
 query("agg5_parameter_vote", """WITH c AS (SELECT subject, CASE unit WHEN 'kg/h' THEN 'mass_flow' WHEN 'm3/h' THEN 'volumetric_flow' ELSE 'pressure' END AS family, unit, count(*) AS n FROM claims_v GROUP BY ALL),
@@ -72,18 +72,26 @@ query("agg9_compare", RANKED + """, b AS (SELECT context_key, subject, value FRO
   SELECT context_key, max(value) FILTER (WHERE subject = '11-E-000001') AS "11-E-000001", max(value) FILTER (WHERE subject = '12-C-000002') AS "12-C-000002", max(value) FILTER (WHERE subject = '10-TIC-000003') AS "10-TIC-000003",
     CAST(count(*) AS INT) AS coverage, count(DISTINCT value) > 1 AS differs FROM b GROUP BY context_key""")(
     lambda t: op.compare(op.with_context_key(t.claims_v), ["11-E-000001", "12-C-000002", "10-TIC-000003"], t.documents_info_v))
-both("agg4_index_statistics", """SELECT c.document_id, count(*) AS n_claims, count(DISTINCT subject) AS n_subjects, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT page) AS n_pages
-  FROM claims_v c JOIN documents_info_v d ON c.document_id = d.document_id WHERE d.tag <> 'SECRET' GROUP BY c.document_id""")
-both("ext14_merge_extractions", """SELECT claim_id, subject, value, unit, source FROM (SELECT claim_id, subject, value, unit, source, row_number() OVER (PARTITION BY subject, predicate, parameter_role, location, scenario, value, unit
-  ORDER BY CASE source WHEN 'table' THEN 0 WHEN 'specification' THEN 1 WHEN 'rule' THEN 2 ELSE 3 END, claim_id) AS r FROM claims_v) AS x WHERE r = 1""")
-both("qry1_lookup", """SELECT claim_id, subject, predicate, CAST(r AS INT) AS r FROM (SELECT claim_id, subject, predicate, row_number() OVER (PARTITION BY subject ORDER BY CASE temporal_status WHEN 'current' THEN 3 WHEN 'historical' THEN 1 WHEN 'defunct' THEN 0 ELSE 2 END DESC,
-  confidence DESC, page DESC, claim_id) AS r FROM claims_v) AS x WHERE r <= 24""")
-both("qry6_conflict_resolution", """SELECT subject, predicate, parameter_role, count(*) AS n, count(DISTINCT numeric_value) AS n_values, max_by(value, concat(CASE temporal_status WHEN 'current' THEN '3' WHEN 'historical' THEN '1' WHEN 'defunct' THEN '0' ELSE '2' END, lpad(CAST(page AS STRING), 4, '0'), claim_id)) AS preferred,
-  CASE WHEN count(DISTINCT numeric_value) = 1 THEN 'corroborated' WHEN count(DISTINCT temporal_status) > 1 THEN 'resolved' ELSE 'unresolved' END AS status FROM claims_v GROUP BY subject, predicate, parameter_role HAVING count(*) > 1""")
-both("agg10_verdict_confidence", """SELECT document_id, CAST(round(sum(w * confidence * 100) * 1000 / sum(w)) AS BIGINT) AS weighted FROM (SELECT document_id, confidence, CASE WHEN grounding = 'weak' THEN 3 WHEN qualifier = '' THEN 5 ELSE 10 END AS w FROM claims_v) AS x GROUP BY document_id""")
-both("str28_context_label", """SELECT claim_id, concat_ws(', ', CASE WHEN parameter_role <> '' THEN parameter_role END, CASE WHEN location <> '' THEN location END, CASE WHEN scenario <> '' THEN scenario END,
-  CASE WHEN pressure_basis <> '' THEN pressure_basis END, CASE WHEN qualifier <> '' THEN substr(qualifier, 1, 40) END) AS label FROM claims_v""")
-both("qry21_calculation_steps", """SELECT subject, predicate, step, CAST(round(v * 1000) AS BIGINT) AS milli FROM (
+query("agg4_index_statistics", """SELECT c.document_id, count(*) AS n_claims, count(DISTINCT subject) AS n_subjects, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT page) AS n_pages
+  FROM claims_v c JOIN documents_info_v d ON c.document_id = d.document_id WHERE d.tag <> 'SECRET' GROUP BY c.document_id""")(
+    lambda t: op.index_statistics(t.claims_v, t.documents_info_v.where("tag <> 'SECRET'")))
+query("ext14_merge_extractions", """SELECT claim_id, subject, value, unit, source FROM (SELECT claim_id, subject, value, unit, source, row_number() OVER (PARTITION BY subject, predicate, parameter_role, location, scenario, value, unit
+  ORDER BY CASE source WHEN 'table' THEN 0 WHEN 'specification' THEN 1 WHEN 'rule' THEN 2 ELSE 3 END, claim_id) AS r FROM claims_v) AS x WHERE r = 1""")(
+    lambda t: op.merge_extractions(t.claims_v))
+query("qry1_lookup", """SELECT claim_id, subject, predicate, CAST(r AS INT) AS r FROM (SELECT claim_id, subject, predicate, row_number() OVER (PARTITION BY subject ORDER BY CASE temporal_status WHEN 'current' THEN 3 WHEN 'historical' THEN 1 WHEN 'defunct' THEN 0 ELSE 2 END DESC,
+  confidence DESC, page DESC, claim_id) AS r FROM claims_v) AS x WHERE r <= 24""")(
+    lambda t: op.lookup(t.claims_v).select("claim_id", "subject", "predicate", "r"))
+query("qry6_conflict_resolution", RANKED + """ SELECT subject, context_key, count(*) AS n_claims, count(DISTINCT numeric_value) AS n_values, CASE WHEN count(DISTINCT numeric_value) <= 1 THEN 'corroborated' WHEN max(reason) FILTER (WHERE authority = 1) = 'equal' THEN 'unresolved' ELSE 'resolved' END AS status,
+  max(value) FILTER (WHERE authority = 1) AS preferred, max(reason) FILTER (WHERE authority = 1) AS reason FROM a GROUP BY subject, context_key HAVING count(*) > 1""")(
+    lambda t: op.resolve_conflicts(t.claims_v, t.documents_info_v))
+query("agg10_verdict_confidence", """SELECT document_id, CAST(round(sum(w * confidence * 100) * 1000 / sum(w)) AS BIGINT) AS weighted FROM (SELECT document_id, confidence, CASE WHEN grounding = 'weak' THEN 3 WHEN qualifier = '' THEN 5 ELSE 10 END AS w FROM claims_v) AS x GROUP BY document_id""")(
+    lambda t: op.weighted_confidence(t.claims_v, "document_id", F.when(F.col("grounding") == "weak", 3).when(F.col("qualifier") == "", 5).otherwise(10)))
+query("str28_context_label", """SELECT claim_id, concat_ws(', ', CASE WHEN parameter_role <> '' THEN parameter_role END, CASE WHEN location <> '' THEN location END, CASE WHEN scenario <> '' THEN scenario END,
+  CASE WHEN pressure_basis <> '' THEN pressure_basis END, CASE WHEN qualifier <> '' THEN substr(qualifier, 1, 40) END) AS label FROM claims_v""")(
+    lambda t: t.claims_v.select("claim_id", op.context_label().alias("label")))
+query("qry21_calculation_steps", """SELECT subject, predicate, step, CAST(round(v * 1000) AS BIGINT) AS milli FROM (
   SELECT subject, predicate, 1 AS step, min(numeric_value) AS v FROM claims_v GROUP BY subject, predicate UNION ALL SELECT subject, predicate, 2, max(numeric_value) FROM claims_v GROUP BY subject, predicate
-  UNION ALL SELECT subject, predicate, 3, max(numeric_value) - min(numeric_value) FROM claims_v GROUP BY subject, predicate) AS s""")
-both("agg11_benchmark_metrics", """SELECT source, count(*) AS n, CAST(sum(CASE WHEN grounding = 'strong' THEN 1 ELSE 0 END) AS BIGINT) * 10000 / count(*) AS grounded_bp FROM claims_v GROUP BY source""")
+  UNION ALL SELECT subject, predicate, 3, max(numeric_value) - min(numeric_value) FROM claims_v GROUP BY subject, predicate) AS s""")(
+    lambda t: op.calculation_steps(t.claims_v, ["subject", "predicate"]).select("subject", "predicate", "step", F.round(F.col("v") * 1000).cast("long").alias("milli")))
+query("agg11_benchmark_metrics", "SELECT source, count(*) AS n, count(*) FILTER (WHERE grounding = 'strong') * 10000 // count(*) AS grounded_bp FROM claims_v GROUP BY source")(
+    lambda t: op.grounded_share(t.claims_v, "source"))

@@ -3,8 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import elements, tagmatch
-from .registry import both, query
+from ..functions import request_rules as rules
+from ..operators import elements, graph, requests, retrieval, tagmatch
+from ..sources import files
+from .registry import query
+from .requests import first
+
+UPSETS = "SELECT p_partkey AS chunk_id, CASE WHEN p_partkey % 4 = 0 THEN 'upset' ELSE 'narrative' END AS chunk_type, p_size AS chapter, concat('Chapter > ', CASE WHEN p_partkey % 3 = 0 THEN 'the Anvil > x' WHEN p_partkey % 5 = 0 THEN 'Feed pumps' ELSE 'General' END) AS section_path, concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' is Losing suction' ELSE '' END, CASE WHEN p_partkey % 2 = 0 THEN ' at Pressure' ELSE '' END) AS text, p_size / 100.0D AS score FROM part"
 
 VERBS = ", ".join(f"'{v}'" for v in elements.IMPERATIVE_VERBS)
 LINES = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN concat('1) Open the ', p_name) WHEN 1 THEN concat('Slowly close ', p_name) WHEN 2 THEN concat(CAST(p_partkey % 9 + 1 AS STRING), '.2 ', p_name) WHEN 3 THEN concat('CHAPTER ', CAST(p_size AS STRING), ' ', p_name)
@@ -29,13 +34,13 @@ TABLES = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Abbreviation, Mean
   CASE p_partkey % 6 WHEN 1 THEN '11-P-01 11-P-02 12-E-01' WHEN 2 THEN 'feed 5 kg/h' WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN '11-P-01 at 5 bar' ELSE 'at 5 bar' END ELSE p_name END AS content, CAST(p_size % 5 AS INT) AS num_rows, 2 AS num_cols, p_partkey % 100 = 99 AS is_repeated FROM part"""
 query("stc10_table_classes", f"""SELECT p_partkey, CASE WHEN is_repeated THEN 'header' WHEN p_partkey % 6 = 0 THEN 'abbreviation' WHEN p_partkey % 6 = 1 THEN 'equipment' WHEN p_partkey % 6 = 2 THEN 'material_balance' WHEN p_partkey % 6 = 3 THEN CASE WHEN content LIKE '11-P%' THEN 'unknown' ELSE 'operating_limit' END
   WHEN p_partkey % 6 = 4 THEN 'toc' WHEN num_rows <= 1 THEN 'decorative' ELSE 'unknown' END AS classification FROM ({TABLES})""")(lambda t: elements.classify_tables(t.sql(TABLES)).select("p_partkey", "classification"))
-query("stc15_abbreviations", "SELECT concat('t', CAST(p_partkey AS STRING)) AS table_id, p_brand AS term, p_name AS meaning FROM part WHERE p_partkey <= 500")(
-    lambda t: elements.abbreviations(t.sql("SELECT concat('t', CAST(p_partkey AS STRING)) AS table_id, 1 AS row, 0 AS col, p_brand AS content, false AS is_header FROM part WHERE p_partkey <= 500 UNION ALL SELECT concat('t', CAST(p_partkey AS STRING)), 1, 1, p_name, false FROM part WHERE p_partkey <= 500 UNION ALL SELECT concat('t', CAST(p_partkey AS STRING)), 0, 0, 'Term', true FROM part WHERE p_partkey <= 500")))
+query("stc15_abbreviations", "SELECT concat('t', CAST(p_partkey AS STRING)) AS table_id, p_brand AS term, p_name AS meaning FROM part")(
+    lambda t: elements.abbreviations(t.sql("SELECT concat('t', CAST(p_partkey AS STRING)) AS table_id, 1 AS row, 0 AS col, p_brand AS content, false AS is_header FROM part UNION ALL SELECT concat('t', CAST(p_partkey AS STRING)), 1, 1, p_name, false FROM part UNION ALL SELECT concat('t', CAST(p_partkey AS STRING)), 0, 0, 'Term', true FROM part")))
 query("stc17_glossary", """SELECT p_brand AS document_id, upper(substr(p_type, 1, 3)) AS term, min(p_name) AS meaning, 'table' AS source FROM part GROUP BY p_brand, upper(substr(p_type, 1, 3))""")(
     lambda t: elements.glossary(t.part.select(F.col("p_brand").alias("document_id"), F.upper(F.substring("p_type", 1, 3)).alias("term"), F.col("p_name").alias("meaning")), t.part.select(F.col("p_brand").alias("document_id"), F.lit(1).alias("reading_order"), F.lit("").alias("content"))))
 query("ext8_tag_mentions", "SELECT subject AS tag, count(*) AS mentions, count(DISTINCT document_id) AS documents FROM (SELECT replace(subject, '-0', '-') AS subject, document_id FROM claims_v) GROUP BY subject")(
     lambda t: elements.mention_counts(t.claims_v.select("document_id", F.concat(F.lit("Check "), F.replace("subject", F.lit("-0"), F.lit("-")), F.lit(" now.")).alias("content"))))
-query("win10_tag_suggestions")(lambda t: tagmatch.suggest(t.entities_v.where("partkey <= 200").select(F.col("partkey").alias("request_id"), F.concat_ws(" ", F.lit("pump"), F.replace(F.replace("canonical_tag", F.lit("-0"), F.lit("-")), F.lit("-P-"), F.lit("-PM-"))).alias("mention"), F.lit("Pump").alias("expect_type")),
+query("win10_tag_suggestions")(lambda t: tagmatch.suggest(t.entities_v.where("partkey % 100 = 0").select(F.col("partkey").alias("request_id"), F.concat_ws(" ", F.lit("pump"), F.replace(F.replace("canonical_tag", F.lit("-0"), F.lit("-")), F.lit("-P-"), F.lit("-PM-"))).alias("mention"), F.lit("Pump").alias("expect_type")),
                                                                         t.entities_v.select(F.replace("canonical_tag", F.lit("-0"), F.lit("-")).alias("canonical_tag"), "entity_type", "mention_count")))
 query("str25_take_apart", "SELECT partkey, split_part(canonical_tag, '-', 1) AS unit, split_part(canonical_tag, '-', 2) AS cls, substr(split_part(canonical_tag, '-', 3), 2) AS number FROM entities_v")(
     lambda t: t.entities_v.select("partkey", tagmatch.take_apart(F.concat(F.lit("see "), F.replace("canonical_tag", F.lit("-0"), F.lit("-")))).alias("p")).select("partkey", "p.unit", "p.cls", "p.number"))
@@ -44,8 +49,13 @@ query("val2_item_grounding", """SELECT claim_id, CASE WHEN page % 3 = 0 THEN 'st
     .withColumn("s", text.sentences("chunk")).withColumn("found", F.when(F.exists("s", lambda x: x.contains(F.col("subject")) & F.array_contains(text.numbers(F.replace(x, F.col("subject"), F.lit(""))), F.col("numeric_value"))), "strong")
                                                           .when(F.array_contains(text.numbers(F.replace("chunk", F.col("subject"), F.lit(""))), F.col("numeric_value")), "weak").otherwise("none"))
     .select("claim_id", "found", F.when(F.col("found") == "strong", F.col("confidence")).when(F.col("found") == "weak", F.least("confidence", F.lit(0.5))).alias("confidence")))
-both("gra2_related", "SELECT DISTINCT a.source_uid AS start, b.target_uid AS node FROM relations_v a JOIN relations_v b ON a.target_uid = b.source_uid WHERE a.source_uid <> b.target_uid")
-both("flt17_glossary_filter", "SELECT p_partkey, p_brand, p_name FROM part WHERE lower(p_brand) = 'brand#11' OR length(p_type) > 3 AND lower(p_name) LIKE '%red%'")
-both("win12_upset_rerank", "SELECT doc_id, score, CAST(r AS INT) AS r FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM (SELECT doc_id, CASE WHEN lower(text) LIKE '%trip%' THEN 5 ELSE 0 END + CASE WHEN lower(text) LIKE '%loss%' THEN 3 ELSE 0 END + CASE WHEN lang = 'en' THEN 6 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 2 ELSE 0 END AS score FROM documents) AS x) AS y WHERE r <= 50")
-both("qry9_precautions", "SELECT conv_id, turn, severity, CAST(r AS INT) AS r FROM (SELECT conv_id, turn, severity, row_number() OVER (PARTITION BY severity ORDER BY conv_id, turn) AS r FROM (SELECT conv_id, turn, CASE WHEN lower(text) LIKE '%hot%' THEN 1 WHEN lower(text) LIKE '%care%' THEN 2 ELSE 3 END AS severity FROM turns_v) AS x) AS y WHERE r <= 10")
-both("src6_fingerprint_cache", "SELECT source, md5(concat(CAST(count(*) AS STRING), '|', CAST(sum(n_chars) AS STRING), '|', CAST(max(doc_id) AS STRING))) AS fingerprint FROM documents GROUP BY source")
+query("gra2_related", "SELECT DISTINCT a.source_uid AS start, b.target_uid AS node FROM relations_v a JOIN relations_v b ON a.target_uid = b.source_uid WHERE a.source_uid <> b.target_uid")(
+    lambda t: graph.related(t.relations_v))
+query("flt17_glossary_filter", "SELECT p_partkey, p_brand AS term, p_name AS meaning FROM part WHERE contains(p_name, 'anvil')")(
+    lambda t: retrieval.glossary_search(t.part.select("p_partkey", F.col("p_brand").alias("term"), F.col("p_name").alias("meaning")), "anvil"))
+query("win12_upset_rerank", "SELECT chunk_id, round(score, 4) AS score FROM (SELECT p_partkey AS chunk_id, p_size / 100.0 + CASE WHEN p_partkey % 4 = 0 THEN 0.5 ELSE 0 END + CASE WHEN p_size IN (17, 18) THEN 0.3 ELSE 0 END + CASE WHEN contains(p_name, 'anvil') THEN 0.6 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 0.8 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 0.4 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 0.2 ELSE 0 END AS score FROM part) x ORDER BY 2 DESC, 1 LIMIT 50")(
+    lambda t: retrieval.rerank_upsets(t.sql(UPSETS), ["anvil"], ["losing suction"], "pressure", "pump", [17, 18], 50))
+query("qry9_precautions", f"SELECT * FROM (SELECT request_id, severity, CAST(row_number() OVER (PARTITION BY severity ORDER BY request_id) AS INT) AS r FROM (SELECT request_id, {first(rules.SEVERITIES, 'text')} AS severity FROM prompts_v) WHERE severity IS NOT NULL) WHERE r <= 10")(
+    lambda t: retrieval.precautions(t.prompts_v, requests.severity("text"), ["request_id"]).select("request_id", "severity", "r"))
+query("src6_fingerprint_cache", "SELECT source, md5(count(*) || '|' || sum(n_chars) || '|' || max(doc_id)) AS fingerprint FROM documents GROUP BY source")(
+    lambda t: files.fingerprints(t.documents, "source", "n_chars", "doc_id"))

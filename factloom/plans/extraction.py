@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from ..functions import phrases, text
-from ..operators import audit, extract
+from ..operators import audit, claims, extract, joins, retrieval
 from .registry import both, query
 
 GRID = """SELECT concat('t', CAST(p_partkey AS STRING)) AS table_id, p_name AS hint, r AS row, CASE r WHEN 0 THEN array('', 'Minimum', 'Normal', 'Maximum') WHEN 1 THEN array('Pressure (Kg/cm2)', CAST(p_size AS STRING), CAST(p_size + 1 AS STRING), CAST(p_size + 2 AS STRING)) ELSE array('Temperature (°C)', 'Saturated', CAST(p_size * 2 AS STRING), '-') END AS cells
-  FROM part LATERAL VIEW explode(sequence(0, 2)) AS r WHERE p_partkey <= 1000"""
-query("ext1_table_claims", """SELECT p_name AS subject, predicate, value, unit, count(*) AS n FROM (SELECT p_name, 'minimum_pressure' AS predicate, CAST(p_size AS VARCHAR) AS value, 'kg/cm2' AS unit FROM part WHERE p_partkey <= 1000 UNION ALL SELECT p_name, 'normal_pressure', CAST(p_size + 1 AS VARCHAR), 'kg/cm2' FROM part WHERE p_partkey <= 1000
-  UNION ALL SELECT p_name, 'maximum_pressure', CAST(p_size + 2 AS VARCHAR), 'kg/cm2' FROM part WHERE p_partkey <= 1000 UNION ALL SELECT p_name, 'normal_temperature', CAST(p_size * 2 AS VARCHAR), '°C' FROM part WHERE p_partkey <= 1000) GROUP BY ALL""")(
+  FROM part LATERAL VIEW explode(sequence(0, 2)) AS r"""
+query("ext1_table_claims", """SELECT p_name AS subject, predicate, value, unit, count(*) AS n FROM (SELECT p_name, 'minimum_pressure' AS predicate, CAST(p_size AS VARCHAR) AS value, 'kg/cm2' AS unit FROM part UNION ALL SELECT p_name, 'normal_pressure', CAST(p_size + 1 AS VARCHAR), 'kg/cm2' FROM part
+  UNION ALL SELECT p_name, 'maximum_pressure', CAST(p_size + 2 AS VARCHAR), 'kg/cm2' FROM part UNION ALL SELECT p_name, 'normal_temperature', CAST(p_size * 2 AS VARCHAR), '°C' FROM part) GROUP BY ALL""")(
     lambda t: extract.table_claims(t.sql(GRID)).groupBy("subject", "predicate", "value", "unit").agg(F.count(F.lit(1)).alias("n")))
 PAIRS = """SELECT concat('d', CAST(l_orderkey AS STRING)) AS document_id, CAST(k AS BIGINT) AS reading_order, CASE k WHEN 0 THEN concat('Make: KSB ', CAST(s AS STRING)) WHEN 1 THEN 'Model:' WHEN 2 THEN 'Speed:' WHEN 3 THEN CAST(s AS STRING) WHEN 4 THEN CAST(s + 1 AS STRING) ELSE 'Text' END AS content
   FROM (SELECT l_orderkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_orderkey) AS x LATERAL VIEW explode(sequence(0, 5)) AS k"""
@@ -24,23 +24,28 @@ query("ext5_rule_relations", """SELECT CAST(p_partkey AS VARCHAR) AS chunk_id, '
     lambda t: extract.rule_relations(t.sql(SENTENCES), t.part.select(F.concat(F.lit("11-P-"), "p_partkey").alias("name"))))
 query("stc14_table_labels")(lambda t: extract.table_labels(t.turns_v.select(F.concat(F.lit("d"), "conv_id").alias("document_id"), F.col("turn").alias("reading_order"), F.when(F.col("turn") % 2 == 1, "table").otherwise("text").alias("element_type"), F.substring("text", 1, 60).alias("content"), F.concat_ws("_", "conv_id", "turn").alias("table_id"))))
 query("str3_alias_phrase", "SELECT p_partkey, split_part(p_name, ' ', 2) AS alias FROM part")(lambda t: t.part.select("p_partkey", phrases.clean_alias_phrase(F.concat(F.lit("feeds the "), F.regexp_replace("p_name", "^([^ ]+) ", "the ")), ["the", "feeds"]).alias("alias")))
-query("str7_contained_passages", "SELECT item_id, count(*) AS n FROM benchmark, documents WHERE item_id < 8 AND contains(trim(regexp_replace(lower(documents.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(benchmark.text), '\\s+', ' ', 'g'))) GROUP BY item_id")(
-    lambda t: t.documents.select(F.col("text").alias("hay")).join(F.broadcast(t.benchmark.where("item_id < 8")), F.expr("contains(trim(regexp_replace(lower(hay), '\\\\s+', ' ')), trim(regexp_replace(lower(text), '\\\\s+', ' ')))")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
+query("str7_contained_passages", "SELECT item_id, count(DISTINCT doc_id) AS n FROM benchmark, documents WHERE contains(trim(regexp_replace(lower(documents.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(benchmark.text), '\\s+', ' ', 'g'))) GROUP BY item_id")(
+    lambda t: joins.contained(t.benchmark, t.documents, "doc_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
 query("str15_value_unit", "SELECT claim_id, value, unit FROM (SELECT claim_id, CAST(CAST(numeric_value AS INT) AS VARCHAR) AS value, unit FROM claims_v)")(
     lambda t: t.claims_v.select("claim_id", phrases.split_value_unit(F.concat("value", F.lit(" "), "unit", F.lit(" @ 20 °C*"))).alias("s")).select("claim_id", "s.value", "s.unit"))
 query("str24_qualifier", "SELECT p_partkey, p_brand || ' / ' || p_name AS q FROM part")(lambda t: t.part.select("p_partkey", phrases.ordered_distinct(F.array("p_brand", F.lower("p_brand"), F.lit(""), "p_name", F.upper("p_name"))).alias("q")))
 query("str27_instruments", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'pressure indicator controller' WHEN 1 THEN 'flow transmitter' END AS d FROM part")(
     lambda t: t.part.select("p_partkey", phrases.describe_instrument(F.concat(F.element_at(F.array(F.lit("PIC-"), F.lit("11-FT-"), F.lit("11-XX-")), (F.col("p_partkey") % 3 + 1).cast("int")), F.col("p_partkey") % 1000)).alias("d")))
-query("str29_excerpt")(lambda t: t.documents.select("doc_id", phrases.excerpt("text", F.array(F.lit("the"), F.lit("les"))).alias("excerpt")))
+query("str29_excerpt", r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, [x for x in [instr(lower(coalesce(text, '')), 'the'), instr(lower(coalesce(text, '')), 'les')] if x > 0] AS hits FROM documents), s AS (SELECT doc_id, t, greatest(1, coalesce(list_min(hits), 1) - 100) AS start FROM p)
+  SELECT doc_id, trim(CASE WHEN length(t) > start + 200 THEN regexp_replace(substr(t, start, 200), '[\x20\x09-\x0D]+[^\x20\x09-\x0D]*$', '') ELSE substr(t, start, 200) END) AS excerpt FROM s""")(lambda t: t.documents.select("doc_id", phrases.excerpt("text", F.array(F.lit("the"), F.lit("les"))).alias("excerpt")))
 query("str31_evaluate", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST((CAST(l_quantity AS INT) + 2) * 3 - 1 AS DOUBLE) AS v FROM lineitem")(lambda t: t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", phrases.evaluate(F.concat(F.lit("("), F.col("l_quantity").cast("int"), F.lit(" + 2) * 3 - 1"))).alias("v")))
 query("str35_salvage_json", """SELECT event_id, '{"k": ' || regexp_extract(props, '([0-9]+)', 1) || '}' AS j FROM events""")(lambda t: t.events.select("event_id", phrases.salvage_json(F.concat(F.lit("```json\n"), F.regexp_replace("props", "\\}$", ","))).alias("j")))
 query("str38_canonical_json", """SELECT p_partkey, '{"brand":"' || p_brand || '","name":"' || p_name || '"}' AS j FROM part""")(lambda t: t.part.select("p_partkey", phrases.canonical_json(F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))).alias("j")))
 query("aud3_rechain", "SELECT user_id, count(*) + 1 AS n, true AS holds FROM events GROUP BY user_id")(
     lambda t: audit.verify(audit.append(t.sql("SELECT user_id, event_id, CAST(event_id AS STRING) AS ts, event_type AS payload FROM events").unionByName(t.sql("SELECT DISTINCT user_id, CAST(9223372036854775807 AS BIGINT) AS event_id, 'end' AS ts, 'migrated' AS payload FROM events")), "user_id", ["event_id"]), "user_id").select("user_id", "n", "holds"))
-query("gra6_same_as", """WITH a AS (SELECT partkey, canonical_tag, lower(name) AS k FROM entities_v WHERE partkey <= 400), b AS (SELECT partkey, canonical_tag, lower(name) AS k FROM entities_v) SELECT a.partkey AS a, b.partkey AS b, 85 AS confidence FROM a JOIN b ON a.k = b.k AND a.partkey < b.partkey QUALIFY row_number() OVER (PARTITION BY a.partkey ORDER BY b.partkey) <= 5""")(
-    lambda t: t.entities_v.where("partkey <= 400").select(F.col("partkey").alias("a"), text.norm_alias("name").alias("k")).join(t.entities_v.select(F.col("partkey").alias("b"), text.norm_alias("name").alias("k")), "k").where("a < b").withColumn("r", F.expr("row_number() over (partition by a order by b)")).where("r <= 5").select("a", "b", F.lit(85).alias("confidence")))
-both("win13_model_routing", "SELECT p_brand, p_partkey AS model, s FROM (SELECT p_brand, p_partkey, s, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_partkey) AS r FROM (SELECT p_brand, p_partkey, CASE WHEN p_size > 40 THEN p_size * 6 ELSE p_size * 10 END + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS s FROM part) AS x) AS y WHERE r = 1")
-both("str30_number_compare", "SELECT claim_id, CAST(value AS DOUBLE) = numeric_value AS equal FROM claims_v")
-both("str32_contents_title", "SELECT p_partkey, trim(regexp_replace(concat(p_name, ' ..... ', CAST(p_size AS STRING)), ' ?[.]{3,} ?[0-9]+$', '')) AS title FROM part")
-both("qry18_hybrid_scope", "SELECT doc_id, source, CAST(r AS INT) AS r FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE lang = 'en') AS x WHERE r <= 3")
-both("src16_document_graph", "SELECT concat(document_id, '#', CAST(page AS STRING)) AS section_id, document_id, count(DISTINCT chunk_id) AS n_chunks FROM claims_v GROUP BY document_id, page")
+query("gra6_same_as", "SELECT a.partkey AS a, b.partkey AS b, 85 AS confidence FROM entities_v a JOIN entities_v b ON lower(a.name) = lower(b.name) AND a.partkey < b.partkey QUALIFY row_number() OVER (PARTITION BY a.partkey ORDER BY b.partkey) <= 5")(
+    lambda t: joins.same_names(t.entities_v.select(F.col("partkey").alias("uid"), "name"), 5).select("a", "b", F.lit(85).alias("confidence")))
+query("win13_model_routing", "WITH b AS (SELECT p_brand, arg_min('m' || p_partkey, (-p_size, 'm' || p_partkey)) AS best, max(p_size) AS top, 'm' || min(p_partkey) AS held, arg_min(p_size, p_partkey) AS own FROM part GROUP BY p_brand) SELECT p_brand, CASE WHEN top - own < 10 THEN held ELSE best END AS model FROM b")(
+    lambda t: retrieval.route(t.part.select("p_brand", F.concat(F.lit("m"), "p_partkey").alias("model"), F.col("p_size").alias("score")), t.part.groupBy("p_brand").agg(F.concat(F.lit("m"), F.min("p_partkey")).alias("resident")), "p_brand", 10))
+query("str30_number_compare", "SELECT claim_id, CAST(value AS DOUBLE) = numeric_value AS equal FROM claims_v")(
+    lambda t: t.claims_v.select("claim_id", claims.same_number("value", F.col("numeric_value")).alias("equal")))
+query("str32_contents_title", "SELECT p_partkey, p_name AS title FROM part")(
+    lambda t: t.sql("SELECT p_partkey, concat(p_name, ' ..... ', CAST(p_size AS STRING)) AS line FROM part").select("p_partkey", phrases.contents_title("line").alias("title")))
+query("qry18_hybrid_scope")(lambda t: retrieval.hybrid(t.documents, t.benchmark.select(F.col("item_id").alias("request_id"), "text"), 10, "doc_id", "text").select("request_id", "doc_id", "rank"))
+query("src16_document_graph", "SELECT concat(document_id, '#', CAST(page AS STRING)) AS section_id, document_id, count(DISTINCT chunk_id) AS n_chunks FROM claims_v GROUP BY document_id, page")(
+    lambda t: claims.document_graph(t.claims_v))

@@ -2,25 +2,32 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import graph
+from ..operators import claims, elements, graph, joins, retrieval
+from ..sources import files
+from ..streaming import progress
 from .registry import both, query
 
 EDGES = "SELECT source_uid AS a, target_uid AS b FROM relations_v UNION SELECT target_uid, source_uid FROM relations_v"
-STARTS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS start FROM part WHERE p_partkey % 100 = 7"
+STARTS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS start FROM part WHERE p_partkey % 100 = 0"
+SPANS = "SELECT p_size AS chapter, min(p_partkey) * 3 AS lo, min(p_partkey) * 3 + 40 AS hi FROM part GROUP BY p_size"
+PROCS = "SELECT p_partkey AS procedure_id, CAST(p_size % 4 AS STRING) AS procedure_type, array(concat('e', CAST(p_partkey % 40 AS STRING))) AS applies_to, array(concat('e', CAST(p_partkey % 30 AS STRING)), concat('e', CAST(p_size % 30 AS STRING))) AS step_tags, array(split_part(p_name, ' ', 1)) AS head_tokens, array(split_part(p_name, ' ', 2)) AS step_tokens, p_partkey AS page FROM part"
+ASKS = "SELECT s_suppkey AS request_id, concat('e', CAST(s_suppkey % 40 AS STRING)) AS entity, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 4 AS STRING) END AS procedure_type, array('red', 'anvil') AS tokens FROM supplier"
 query("gra1_neighbours", f"""WITH RECURSIVE e AS ({EDGES}), r AS (SELECT start, start AS node, 0 AS hop FROM ({STARTS}) s UNION SELECT r.start, e.b, r.hop + 1 FROM r JOIN e ON r.node = e.a WHERE r.hop < 2)
   SELECT start, node, CAST(min(hop) AS INT) AS hop FROM r GROUP BY start, node HAVING min(hop) > 0""")(lambda t: graph.neighbours(t.relations_v, t.sql(STARTS), 2))
 query("gra1_out_feeds", f"""WITH RECURSIVE e AS (SELECT source_uid AS a, target_uid AS b FROM relations_v WHERE rel_type = 'FEEDS'), r AS (SELECT start, start AS node, 0 AS hop FROM ({STARTS}) s UNION SELECT r.start, e.b, r.hop + 1 FROM r JOIN e ON r.node = e.a WHERE r.hop < 3)
   SELECT start, node, CAST(min(hop) AS INT) AS hop FROM r GROUP BY start, node HAVING min(hop) > 0""")(lambda t: graph.neighbours(t.relations_v, t.sql(STARTS), 3, "out", ["FEEDS"]))
-PAIRS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS start, concat('p', CAST(p_partkey + 1 + p_partkey % 5 AS STRING)) AS target FROM part WHERE p_partkey % 50 < 8"
+PAIRS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS start, concat('p', CAST(p_partkey + 1 + p_partkey % 5 AS STRING)) AS target FROM part"
 query("gra3_shortest_path", f"""WITH RECURSIVE r AS (SELECT start, target, start AS node, 0 AS n, [start] AS path FROM ({PAIRS}) p UNION ALL SELECT r.start, r.target, v.target_uid, r.n + 1, list_append(r.path, v.target_uid) FROM r JOIN relations_v v ON v.source_uid = r.node AND v.rel_type = 'FEEDS' WHERE r.n < 6 AND r.node <> r.target)
   SELECT start, target, CAST(n AS INT) AS length, array_to_string(path, '>') AS path FROM r WHERE node = target""")(
     lambda t: graph.shortest_paths(t.relations_v, t.sql(PAIRS), 6, ["FEEDS"]).withColumn("path", F.array_join("path", ">")))
-both("gra4_up_down", """SELECT up, down, count(*) AS n FROM (SELECT CASE WHEN rel_type IN ('MONITORS', 'CONTROLS') THEN target_uid ELSE source_uid END AS up, CASE WHEN rel_type IN ('MONITORS', 'CONTROLS') THEN source_uid ELSE target_uid END AS down FROM relations_v WHERE rel_type <> 'LOCATED_IN') AS x GROUP BY up, down""")
+query("gra4_up_down", """SELECT up, down, count(*) AS n FROM (SELECT CASE WHEN rel_type IN ('MONITORS', 'CONTROLS') THEN target_uid ELSE source_uid END AS up, CASE WHEN rel_type IN ('MONITORS', 'CONTROLS') THEN source_uid ELSE target_uid END AS down FROM relations_v WHERE rel_type <> 'LOCATED_IN') AS x GROUP BY up, down""")(
+    lambda t: graph.up_down(t.relations_v))
 query("gra5_instruments", """SELECT source_uid, rel_type, target_uid FROM relations_v WHERE rel_type IN ('MONITORS', 'CONTROLS') QUALIFY row_number() OVER (PARTITION BY source_uid ORDER BY CASE source WHEN 'description' THEN 0 WHEN 'rule' THEN 1 ELSE 2 END, confidence DESC, target_uid) = 1""")(
     lambda t: graph.instruments(t.relations_v).select("source_uid", "rel_type", "target_uid"))
-both("gra9_claim_edges", "SELECT subject, predicate, document_id, count(*) AS n, max_by(value, claim_id) AS value FROM claims_v WHERE numeric_value <= 45 GROUP BY subject, predicate, document_id")
-both("gra10_edge_reads", "SELECT r.source_uid, r.rel_type, r.target_uid FROM relations_v r WHERE EXISTS (SELECT 1 FROM supplier s WHERE concat('s', CAST(s.s_suppkey AS STRING)) = r.source_uid AND s.s_suppkey <= 20)")
+query("gra9_claim_edges", "SELECT subject, predicate, document_id, count(*) AS n, max_by(value, claim_id) AS value FROM claims_v WHERE numeric_value <= 45 GROUP BY subject, predicate, document_id")(
+    lambda t: claims.claim_edges(t.claims_v, F.col("numeric_value") <= 45))
+query("gra10_edge_reads", "SELECT source_uid, rel_type, target_uid FROM relations_v WHERE source_uid LIKE 's%'")(
+    lambda t: graph.edges_of(t.relations_v, t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("uid"))))
 DEPS = "SELECT n_nationkey AS node, n_regionkey AS needs FROM nation WHERE n_nationkey > 4 UNION SELECT n_nationkey, n_nationkey - 5 FROM nation WHERE n_nationkey > 9 UNION SELECT 23, 24 FROM region UNION SELECT 24, 23 FROM region"
 query("gra12_dag_layers", f"""WITH RECURSIVE d AS ({DEPS}), l AS (SELECT n_nationkey AS node, 0 AS layer FROM nation WHERE n_nationkey NOT IN (SELECT node FROM d) UNION SELECT d.node, l.layer + 1 FROM l JOIN d ON d.needs = l.node WHERE d.node NOT IN (23, 24))
   SELECT node, CAST(max(layer) AS INT) AS layer FROM l GROUP BY node UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey IN (23, 24)""")(
@@ -30,40 +37,55 @@ query("src15_upsert", """SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v
 
 both("joi1_equi", "SELECT c.claim_id, e.entity_uid FROM claims_v c JOIN entities_v e ON c.subject = e.canonical_tag")
 both("joi4_semi_anti", "SELECT 'semi' AS kind, count(*) AS n FROM part p WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49) UNION ALL SELECT 'anti', count(*) FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 49)")
-both("joi5_suffix", "SELECT a.partkey, b.canonical_tag FROM (SELECT partkey, substr(canonical_tag, 4) AS suffix FROM entities_v WHERE partkey <= 500) AS a JOIN (SELECT canonical_tag, substr(canonical_tag, 4) AS suffix FROM entities_v) AS b ON a.suffix = b.suffix")
-both("joi7_range", "SELECT o.o_orderkey, s.chapter FROM orders o JOIN (SELECT p_size AS chapter, min(p_partkey) * 3 AS lo, min(p_partkey) * 3 + 40 AS hi FROM part GROUP BY p_size) AS s ON o.o_orderkey BETWEEN s.lo AND s.hi")
-both("joi9_alias_scoped", "SELECT DISTINCT n.k, e.entity_uid FROM (SELECT p_partkey AS k, lower(p_name) AS alias FROM part WHERE p_partkey <= 100 UNION ALL SELECT p_partkey, lower(p_brand) FROM part WHERE p_partkey <= 100) AS n JOIN (SELECT entity_uid, lower(name) AS alias, brand FROM entities_v UNION ALL SELECT entity_uid, lower(canonical_tag), brand FROM entities_v) AS e ON n.alias = e.alias")
-both("joi10_section_lookup", "SELECT chunk_id, claim_id FROM (SELECT chunk_id, claim_id, row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, claim_id) AS r FROM claims_v WHERE document_id LIKE 'doc%') AS x WHERE r <= 20")
-both("joi11_zip", """SELECT CAST(coalesce(a.i, b.i) AS INT) AS i, a.k AS startup, b.k AS shutdown FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name AS k FROM nation WHERE n_regionkey = 1) AS a FULL OUTER JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_name AS k FROM nation WHERE n_regionkey <= 2 AND n_regionkey <> 1) AS b ON a.i = b.i""")
+query("joi5_suffix", "SELECT a.partkey, b.canonical_tag FROM entities_v AS a JOIN entities_v AS b ON substr(a.canonical_tag, 4) = substr(b.canonical_tag, 4)")(
+    lambda t: joins.suffix_join(t.entities_v.select("partkey", "canonical_tag"), t.entities_v, "canonical_tag").select("partkey", F.col("matched_tag").alias("canonical_tag")))
+query("joi7_range", f"SELECT o.o_orderkey, s.chapter FROM orders o JOIN ({SPANS}) AS s ON o.o_orderkey BETWEEN s.lo AND s.hi")(
+    lambda t: joins.range_join(t.orders.select("o_orderkey"), t.sql(SPANS), "o_orderkey", "lo", "hi", 64).select("o_orderkey", "chapter"))
+query("joi9_alias_scoped", "SELECT DISTINCT n.k, e.entity_uid FROM (SELECT p_partkey AS k, lower(p_name) AS alias FROM part UNION ALL SELECT p_partkey, lower(p_brand) FROM part) AS n JOIN (SELECT entity_uid, lower(name) AS alias FROM entities_v UNION ALL SELECT entity_uid, lower(canonical_tag) FROM entities_v) AS e ON n.alias = e.alias")(
+    lambda t: joins.alias_join(t.part.select(F.col("p_partkey").alias("k"), F.explode(F.array("p_name", "p_brand")).alias("name")), t.entities_v.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias"))))
+query("joi10_section_lookup", "SELECT chunk_id, claim_id FROM claims_v QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, claim_id) <= 20")(
+    lambda t: claims.best_of_chunk(t.claims_v).select("chunk_id", "claim_id"))
+query("joi11_zip", """SELECT CAST(coalesce(a.i, b.i) AS INT) AS i, coalesce(a.p_size, b.p_size) AS p_size, a.k AS startup, b.k AS shutdown FROM (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i, p_partkey AS k FROM part WHERE p_partkey % 2 = 0) AS a FULL OUTER JOIN (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i, p_partkey AS k FROM part WHERE p_partkey % 3 = 0) AS b ON a.i = b.i AND a.p_size = b.p_size""")(
+    lambda t: joins.zip_rows(t.sql("SELECT p_size, p_partkey FROM part WHERE p_partkey % 2 = 0"), t.sql("SELECT p_size, p_partkey FROM part WHERE p_partkey % 3 = 0"), "p_size", "p_partkey", ("startup", "shutdown")))
 query("joi13_as_of", """SELECT e.event_id, max(f.event_id) AS last_error FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') e LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error') f ON e.user_id = f.user_id AND (f.ts < e.ts OR f.ts = e.ts AND f.event_id < e.event_id) AND NOT EXISTS (SELECT 1 FROM events g WHERE g.event_type = 'error' AND g.user_id = e.user_id AND (g.ts < e.ts OR g.ts = e.ts AND g.event_id < e.event_id) AND (g.ts > f.ts OR g.ts = f.ts AND g.event_id > f.event_id)) GROUP BY e.event_id""")(
-    lambda t: t.sql("SELECT event_id, event_type, last(CASE WHEN event_type = 'error' THEN event_id END, true) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_error FROM events WHERE event_type IN ('error', 'purchase')").where("event_type = 'purchase'").select("event_id", "last_error"))
+    lambda t: joins.as_of(t.events, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "error", "event_id", "last_error").select("event_id", "last_error"))
 both("set1_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 0")
 both("set2_union_by_key", "SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM (SELECT p_partkey AS k, p_name AS v, 1 AS p FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_brand, 2 FROM part) AS x) AS y WHERE r = 1")
 both("set3_intersect", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 both("set4_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
-both("agg7_ordered_distinct", "SELECT subject, chunk_id, CAST(dense_rank() OVER (PARTITION BY subject ORDER BY first_id) AS INT) AS label FROM (SELECT subject, chunk_id, min(claim_id) AS first_id FROM claims_v GROUP BY subject, chunk_id) AS x")
+query("agg7_ordered_distinct", "SELECT subject, chunk_id, CAST(dense_rank() OVER (PARTITION BY subject ORDER BY first_id) AS INT) AS label FROM (SELECT subject, chunk_id, min(claim_id) AS first_id FROM claims_v GROUP BY subject, chunk_id) AS x")(
+    lambda t: claims.ordered_labels(t.claims_v))
 both("agg15_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("agg15_cube", "SELECT predicate, location, count(*) AS n, count(DISTINCT subject) AS subjects FROM claims_v GROUP BY CUBE (predicate, location)")
-query("win5_resolve_entity", """WITH m AS (SELECT p_partkey AS request_id, lower(p_name) AS mention FROM part WHERE p_partkey <= 200), a AS (SELECT entity_uid, lower(name) AS alias, mention_count, partkey FROM entities_v)
+query("win5_resolve_entity", """WITH m AS (SELECT p_partkey AS request_id, lower(p_name) AS mention FROM part), a AS (SELECT entity_uid, lower(name) AS alias, mention_count, partkey FROM entities_v)
   SELECT request_id, entity_uid, CAST(row_number() OVER (PARTITION BY request_id ORDER BY least(mention_count, 200) DESC, entity_uid) AS INT) AS rank FROM m JOIN a ON m.mention = a.alias QUALIFY rank <= 5""")(
-    lambda t: t.part.where("p_partkey <= 200").select(F.col("p_partkey").alias("request_id"), text.norm_alias("p_name").alias("alias")).join(t.entities_v.select("entity_uid", text.norm_alias("name").alias("alias"), "mention_count"), "alias")
-    .withColumn("rank", F.expr("row_number() over (partition by request_id order by least(mention_count, 200) desc, entity_uid)")).where("rank <= 5").select("request_id", "entity_uid", "rank"))
-query("win6_search_entities", """WITH q AS (SELECT DISTINCT p_partkey AS request_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part WHERE p_partkey <= 30), e AS (SELECT DISTINCT entity_uid, mention_count, unnest(string_split(lower(name), ' ')) AS token FROM entities_v), n AS (SELECT request_id, count(*) AS n FROM q GROUP BY request_id),
+    lambda t: retrieval.best_names(t.part.select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("mention")), t.entities_v))
+query("win6_search_entities", """WITH q AS (SELECT DISTINCT p_partkey AS request_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part WHERE p_partkey % 100 = 0), e AS (SELECT DISTINCT entity_uid, mention_count, unnest(string_split(lower(name), ' ')) AS token FROM entities_v), n AS (SELECT request_id, count(*) AS n FROM q GROUP BY request_id),
   s AS (SELECT request_id, entity_uid, count(*) * 1000000 // any_value(n) + any_value(least(mention_count, 50)) * 2000 AS score FROM q JOIN e USING (token) JOIN n USING (request_id) GROUP BY request_id, entity_uid)
   SELECT request_id, entity_uid, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, entity_uid) AS INT) AS rank FROM s QUALIFY rank <= 10""")(
-    lambda t: t.part.where("p_partkey <= 30").select(F.col("p_partkey").alias("request_id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("token")).withColumn("n", F.expr("count(1) over (partition by request_id)"))
-    .join(t.entities_v.select("entity_uid", "mention_count", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("token")), "token").groupBy("request_id", "entity_uid").agg((F.floor(F.count(F.lit(1)) * 1000000 / F.max("n")) + F.max(F.least("mention_count", F.lit(50))) * 2000).cast("long").alias("score"))
-    .withColumn("rank", F.expr("row_number() over (partition by request_id order by score desc, entity_uid)")).where("rank <= 10"))
-both("win7_procedure_scoring", """SELECT request_id, procedure_id, score, CAST(r AS INT) AS r FROM (SELECT s_suppkey AS request_id, p_partkey AS procedure_id, CASE WHEN p_partkey % 10 = s_suppkey % 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 40 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE 'STANDARD%' THEN 4 ELSE 0 END AS score,
-  row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE WHEN p_partkey % 10 = s_suppkey % 10 THEN 2 ELSE 0 END + CASE WHEN p_size > 40 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE 'STANDARD%' THEN 4 ELSE 0 END DESC, p_partkey) AS r FROM supplier JOIN part ON p_partkey % 20 = s_suppkey % 20) AS x WHERE r <= 3""")
-both("win11_selection", "SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q, max(sum(l_quantity)) OVER (PARTITION BY l_suppkey) AS best FROM lineitem GROUP BY l_suppkey, l_partkey) AS x WHERE q * 10 >= best * 6")
+    lambda t: retrieval.search_names(t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("text")), t.entities_v))
+query("win7_procedure_scoring", f"""WITH p AS (SELECT p_partkey AS procedure_id, p_size % 4 AS pt, 'e' || (p_partkey % 40) AS a, 'e' || (p_partkey % 30) AS s1, 'e' || (p_size % 30) AS s2, split_part(p_name, ' ', 1) AS head, split_part(p_name, ' ', 2) AS step, p_partkey AS page FROM part), r AS (SELECT s_suppkey AS request_id, 'e' || (s_suppkey % 40) AS e, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 4 END AS rt FROM supplier),
+  x AS (SELECT request_id, procedure_id, page, CASE WHEN a = e THEN 2 ELSE 0 END + CASE WHEN s1 = e OR s2 = e THEN 1 + 0.2 * ((s1 = e)::INT + (s2 = e)::INT) ELSE 0 END + CASE WHEN rt IS NULL THEN 0.2 WHEN rt = pt THEN 4 ELSE -1 END + 1.2 * (head IN ('red', 'anvil'))::INT / 2.0 + 0.5 * (step IN ('red', 'anvil'))::INT / 2.0 AS score FROM r JOIN p ON e IN (a, s1, s2))
+  SELECT request_id, procedure_id, CAST(round(score, 4) AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 4) DESC, page, procedure_id) AS INT) AS rank FROM x WHERE round(score, 4) > 0 QUALIFY rank <= 3""")(
+    lambda t: retrieval.score_procedures(t.sql(PROCS), t.sql(ASKS)))
+query("win11_selection", "SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q, max(sum(l_quantity)) OVER (PARTITION BY l_suppkey) AS best FROM lineitem GROUP BY l_suppkey, l_partkey) AS x WHERE q * 10 >= best * 6")(
+    lambda t: retrieval.near_best(t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("q")), "l_suppkey", "q"))
 both("win14_frames", "SELECT event_id, CAST(ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS quartile, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n10 FROM events")
-both("ext13_index_assembly", "SELECT name, min(entity_uid) AS uid, count(*) AS n_aliases, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v GROUP BY name")
-both("ext8_entity_harvest", "SELECT subject, count(*) AS mentions, count(DISTINCT page) AS pages, mode_name FROM (SELECT c.subject, c.page, max(e.name) OVER (PARTITION BY c.subject) AS mode_name FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject) AS x GROUP BY subject, mode_name")
-both("src17_label_counts", "SELECT rel_type, count(*) AS n, count(DISTINCT source_uid) AS sources FROM relations_v GROUP BY rel_type")
-both("src13_response_store", "SELECT conv_id, turn, CAST(r AS INT) AS r FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY turn DESC, conv_id DESC) AS r FROM turns_v WHERE role = 'assistant') AS x WHERE r <= 200")
-both("src14_composite", "SELECT k, min_by(v, p) AS v FROM (SELECT n_nationkey AS k, n_name AS v, 1 AS p FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, 'fallback', 2 FROM nation) AS x GROUP BY k")
-both("src7_embedding_check", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label")
-both("qry5_compare_modes", "SELECT subject, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg FROM claims_v GROUP BY subject")
-both("qry10_cross_document", "SELECT document_id, section, n FROM (SELECT document_id, concat(document_id, ' > ', CAST(page AS STRING)) AS section, count(*) AS n FROM claims_v GROUP BY document_id, page) AS x WHERE n >= 2")
-both("qry13_twins", "SELECT a.entity_uid AS a, b.entity_uid AS b FROM entities_v a JOIN entities_v b ON lower(a.name) = lower(b.name) AND a.entity_uid < b.entity_uid")
+query("ext13_index_assembly", "SELECT name, min(entity_uid) AS uid, count(*) AS n_aliases, CAST(sum(mention_count) AS BIGINT) AS mentions FROM entities_v GROUP BY name")(
+    lambda t: claims.assemble_index(t.entities_v))
+query("ext8_entity_harvest", "SELECT c.subject, count(*) AS mentions, count(DISTINCT c.page) AS pages, max(e.name) AS mode_name FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject GROUP BY c.subject")(
+    lambda t: elements.harvest(t.claims_v, t.entities_v))
+query("src17_label_counts", "SELECT rel_type, count(*) AS n, count(DISTINCT source_uid) AS sources FROM relations_v GROUP BY rel_type")(
+    lambda t: graph.label_counts(t.relations_v))
+query("src13_response_store", "SELECT conv_id, turn, CAST(row_number() OVER (ORDER BY turn DESC, conv_id DESC, text DESC) AS INT) AS r FROM turns_v WHERE role = 'assistant' QUALIFY r <= 200")(
+    lambda t: progress.newest(t.turns_v.where("role = 'assistant'"), ["turn", "conv_id", "text"], 200).select("conv_id", "turn", "r"))
+query("src14_composite", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 2 THEN n_name ELSE 'fallback' END AS v FROM nation")(
+    lambda t: files.composite([t.sql("SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_regionkey = 2"), t.sql("SELECT n_nationkey AS k, 'fallback' AS v FROM nation")], "k"))
+query("src7_embedding_check", "SELECT label, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 GROUP BY label")(
+    lambda t: files.usable_embeddings(t.embeddings, 64).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id")))
+query("qry5_compare_modes", "SELECT subject, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg FROM claims_v GROUP BY subject")(
+    lambda t: claims.side_by_side(t.claims_v, ["subject"], "scenario", {"BH": "bh", "PG": "pg"}))
+query("qry10_cross_document", "SELECT document_id, section, n FROM (SELECT document_id, concat(document_id, ' > ', CAST(page AS STRING)) AS section, count(*) AS n FROM claims_v GROUP BY document_id, page) AS x WHERE n >= 2")(
+    lambda t: claims.cited_sections(t.claims_v))
+query("qry13_twins", "SELECT a.entity_uid AS a, b.entity_uid AS b FROM entities_v a JOIN entities_v b ON lower(a.name) = lower(b.name) AND a.entity_uid < b.entity_uid")(
+    lambda t: joins.same_names(t.entities_v.select(F.col("entity_uid").alias("uid"), "name")))

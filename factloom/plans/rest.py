@@ -4,32 +4,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, units
-from ..operators import audit, claims, elements, retrieval, security, structure, tagmatch
+from ..functions import phrases
+from ..operators import audit, claims, elements, extract, plans, requests, retrieval, security, structure, tagmatch
+from ..streaming import progress
+from .documents import BM25, PACKED
 from .elements import ELEMENTS
-from .registry import both, query
+from .registry import query
+from .requests import RULES, values
 from .streams import LOG
 
+NAMED = "SELECT p_partkey, concat(CASE p_partkey % 4 WHEN 0 THEN 'see ISO ' WHEN 1 THEN 'as per API-' WHEN 2 THEN 'it is ' ELSE 'iso ' END, CAST(p_size AS STRING), ' of it') AS line FROM part"
+SHEETS = "SELECT concat('d', CAST(p_partkey AS STRING)) AS document_id, CAST(k AS BIGINT) AS reading_order, CASE k WHEN 0 THEN CASE p_partkey % 3 WHEN 0 THEN concat('3.1 Pump 11-P-', CAST(p_size AS STRING)) WHEN 1 THEN concat('2.4 ', p_name) ELSE 'Details' END ELSE concat('Make: ', p_brand) END AS content FROM part LATERAL VIEW explode(sequence(0, 1)) AS k"
+TASKS = f"coalesce((SELECT arg_max(task, (score, -k)) FROM (SELECT k, task, sum(w) AS score FROM {values(RULES, 'k, task, p, unless, w')} WHERE regexp_matches(trim(text), p, 'i') AND NOT regexp_matches(trim(text), unless, 'i') GROUP BY ALL)), 'lookup')"
+
 query("flt4_running_titles", f"WITH e AS ({ELEMENTS}) SELECT DISTINCT document_id, 'plant manual copy' AS key FROM e WHERE content = 'PLANT MANUAL COPY' GROUP BY document_id HAVING count(DISTINCT page) >= 5")(
     lambda t: elements.running_titles(t.sql(ELEMENTS).withColumn("element_type", F.when(F.col("content") == "PLANT MANUAL COPY", "heading").otherwise("text"))))
 query("flt16_access_filter", "SELECT c.claim_id, c.document_id FROM claims_v c JOIN documents_info_v d ON c.document_id = d.document_id WHERE d.tag IN ('PUBLIC', 'INTERNAL')")(lambda t: security.secured(t.claims_v, t.documents_info_v, "operator").select("claim_id", "document_id"))
-both("flt18_real_references", "SELECT doc_id, regexp_extract(text, '(ISO|API|ASTM|IS)[ -]?[0-9]+', 0) AS reference FROM documents WHERE regexp_extract(text, '(ISO|API|ASTM|IS)[ -]?[0-9]+', 0) <> ''")
+query("flt18_real_references", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ISO ' ELSE 'API-' END || p_size AS reference FROM part WHERE p_partkey % 4 < 2")(
+    lambda t: t.sql(NAMED).select("p_partkey", phrases.real_reference("line").alias("reference")).where("reference is not null"))
 query("str17_unit_family", "SELECT unit, CASE unit WHEN 'kg/h' THEN 'mass_flow' WHEN 'm3/h' THEN 'volumetric_flow' ELSE 'pressure' END AS family, count(*) AS n FROM claims_v GROUP BY unit")(lambda t: t.claims_v.groupBy("unit", units.extracted_family("unit").alias("family")).agg(F.count(F.lit(1)).alias("n")))
-query("str26_tag_scores")(lambda t: t.entities_v.where("partkey <= 300").select("partkey", tagmatch.take_apart(F.replace("canonical_tag", F.lit("-0"), F.lit("-"))).alias("c")).withColumn("m", tagmatch.take_apart(F.lit("11-PM-15"))).select("partkey", tagmatch.score(F.col("m"), F.col("c"), F.lit("Pump"), F.lit("Pump")).alias("score")))
+query("str26_tag_scores")(lambda t: t.entities_v.select("partkey", tagmatch.take_apart(F.replace("canonical_tag", F.lit("-0"), F.lit("-"))).alias("c")).withColumn("m", tagmatch.take_apart(F.lit("11-PM-15"))).select("partkey", tagmatch.score(F.col("m"), F.col("c"), F.lit("Pump"), F.lit("Pump")).alias("score")))
 BOXES = "SELECT l_orderkey AS page, CAST(l_partkey % 900 AS DOUBLE) AS y, CAST(l_suppkey AS DOUBLE) AS x, CAST(10 + l_linenumber AS DOUBLE) AS h, l_linenumber AS id, l_partkey, l_suppkey FROM lineitem"
 query("str37_reading_order", f"""WITH b AS (SELECT DISTINCT page, y, x, h, id, l_partkey, l_suppkey FROM ({BOXES})), m AS (SELECT page, greatest(4.0, 0.6 * median(h)) AS gap FROM b GROUP BY page), s AS (SELECT b.*, CASE WHEN y - lag(y) OVER w <= gap THEN 0 ELSE 1 END AS brk FROM b JOIN m USING (page) WINDOW w AS (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey)),
   r AS (SELECT *, sum(brk) OVER (PARTITION BY page ORDER BY y, x, id, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS band FROM s) SELECT page, id, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY page ORDER BY band, x, y, id, l_partkey, l_suppkey) AS INT) AS place FROM r""")(lambda t: structure.reading_order(t.sql(BOXES).distinct(), "page", ["id", "l_partkey", "l_suppkey"]).select("page", "id", "l_partkey", "l_suppkey", "place"))
 query("stc9_instruction_register", "SELECT user_id, event_id, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type IN ('login', 'logout', 'error')) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS header FROM events")(
-    lambda t: t.events.select("user_id", "event_id", F.last(F.when(F.col("event_type").isin("login", "logout", "error"), F.col("event_type")), True).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("header")))
-query("stc18_large_tables")(lambda t: structure.pack(t.sql("SELECT CAST(l_orderkey % 100 AS BIGINT) AS table_id, l_orderkey * 10 + l_linenumber AS ord, CAST(l_quantity AS INT) AS tokens FROM lineitem WHERE l_orderkey < 2000"), "table_id", "ord", "tokens", 780))
+    lambda t: progress.standing(t.events, "user_id", ["login", "logout", "error"]).select("user_id", "event_id", "header"))
+WEIGHED = "SELECT CAST(l_suppkey AS BIGINT) AS table_id, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS ord, CAST(max(l_quantity) AS INT) AS tokens FROM lineitem GROUP BY l_suppkey, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey"
+query("stc18_large_tables", PACKED.format(doc="table_id", order="ord", rows=WEIGHED, budget=780))(lambda t: structure.pack(t.sql(WEIGHED), "table_id", "ord", "tokens", 780))
 query("stc22_hash_embedding")(lambda t: retrieval.embed(t.documents, "doc_id", "text"))
-both("ext3_spec_claims", "SELECT subject, predicate, value, unit, max(confidence) AS confidence FROM claims_v WHERE source = 'specification' GROUP BY subject, predicate, value, unit")
+query("ext3_spec_claims", "SELECT 'd' || p_partkey AS document_id, CASE WHEN p_partkey % 3 = 0 THEN '11-P-' || p_size ELSE p_name END AS subject, 'Make' AS label, p_brand AS value, CAST(0.8 AS DOUBLE) AS confidence FROM part WHERE p_partkey % 3 < 2")(
+    lambda t: claims.spec_claims(extract.spec_pairs(t.sql(SHEETS)), t.sql(SHEETS).where("content not like '%:%'")))
 CONFLICT = "WITH v AS (SELECT subject, predicate, parameter_role, location, lower(scenario) AS sc, pressure_basis, qualifier, unit, numeric_value, document_id, page, count(*) AS n FROM claims_v GROUP BY ALL), k AS (SELECT DISTINCT a.* FROM v a JOIN v b ON a.subject = b.subject AND a.predicate = b.predicate AND a.parameter_role = b.parameter_role AND a.location = b.location AND a.sc = b.sc AND a.pressure_basis = b.pressure_basis AND a.qualifier = b.qualifier AND a.unit = b.unit AND (a.document_id <> b.document_id OR a.page <> b.page) AND "
 query("val6_contradictions", CONFLICT + "abs(a.numeric_value - b.numeric_value) > 1e-6) SELECT subject, unit, numeric_value, document_id, page, n AS n_claims FROM k")(lambda t: claims.linked_conflicts(t.claims_v).where("n_conflicting > 0").select("subject", "unit", "numeric_value", "document_id", "page", "n_claims"))
 query("joi8_corroborations", CONFLICT + "a.numeric_value = b.numeric_value) SELECT subject, unit, numeric_value, document_id, page, n AS n_claims FROM k")(lambda t: claims.linked_conflicts(t.claims_v).where("n_corroborating > 0").select("subject", "unit", "numeric_value", "document_id", "page", "n_claims"))
-both("joi12_scenario_alignment", "SELECT predicate, parameter_role, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg, max(CASE WHEN scenario = '' THEN numeric_value END) AS base FROM claims_v GROUP BY predicate, parameter_role")
-both("gra11_context_bundle", "SELECT c.chunk_id, 'claim' AS facet, count(*) AS n FROM claims_v c GROUP BY c.chunk_id UNION ALL SELECT c.chunk_id, 'entity', count(DISTINCT e.entity_uid) FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject GROUP BY c.chunk_id")
-query("qry8_diagnosis_sentences")(lambda t: t.documents.select("doc_id", F.explode(text.sentences("text")).alias("s")).where(F.length("s").between(25, 380) & F.col("s").rlike(r"(?i)\b(cause|due to|check|because|und|et|and)\b")).dropDuplicates(["doc_id", "s"]).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("s"))).where("r <= 10"))
-query("qry11_explanation")(lambda t: retrieval.bm25(retrieval.postings(t.documents, "doc_id"), t.benchmark.where("item_id between 20 and 30").select(F.col("item_id").alias("request_id"), "text"), 6, key="doc_id"))
-both("qry17_plan_steps", "SELECT conv_id, step, kind FROM (SELECT conv_id, 1 AS step, 'retrieve' AS kind FROM turns_v WHERE turn = 0 UNION ALL SELECT conv_id, 2, CASE WHEN length(text) > 300 THEN 'compare' ELSE 'lookup' END FROM turns_v WHERE turn = 0 UNION ALL SELECT conv_id, 3, 'verify' FROM turns_v WHERE turn = 0) AS x")
+query("joi12_scenario_alignment", "SELECT predicate, parameter_role, max(CASE WHEN scenario = 'BH' THEN numeric_value END) AS bh, max(CASE WHEN scenario = 'PG' THEN numeric_value END) AS pg, max(CASE WHEN scenario = '' THEN numeric_value END) AS base FROM claims_v GROUP BY predicate, parameter_role")(
+    lambda t: claims.side_by_side(t.claims_v, ["predicate", "parameter_role"], "scenario", {"BH": "bh", "PG": "pg", "": "base"}))
+query("gra11_context_bundle", "SELECT c.chunk_id, 'claim' AS facet, count(*) AS n FROM claims_v c GROUP BY c.chunk_id UNION ALL SELECT c.chunk_id, 'entity', count(DISTINCT e.entity_uid) FROM claims_v c JOIN entities_v e ON e.canonical_tag = c.subject GROUP BY c.chunk_id")(
+    lambda t: claims.context_bundle(t.claims_v, t.entities_v))
+FAULTS = "SELECT p_partkey AS chunk_id, concat(CASE p_partkey % 5 WHEN 0 THEN 'The low flow is caused by a choked strainer of ' WHEN 1 THEN 'Check the suction pressure gauge of ' WHEN 2 THEN 'The valve has to be opened slowly near ' WHEN 3 THEN 'Short ' ELSE 'The column stands quietly in the yard of ' END, p_name, '. Leak in ', p_brand) AS text FROM part"
+query("qry8_diagnosis", f"""SELECT chunk_id, s AS sentence, kind, CAST(1 AS INT) AS rank FROM (SELECT chunk_id, string_split(text, '. ')[1] || '.' AS s, ['cause', 'check', 'action'][chunk_id % 5 + 1] AS kind FROM ({FAULTS}) x WHERE chunk_id % 5 < 3)""")(
+    lambda t: requests.diagnosis(t.sql(FAULTS), "chunk_id", "text"))
+query("qry11_explanation", BM25.replace("rank <= 10", "rank <= 6"))(lambda t: retrieval.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("request_id"), "text"), 6, key="doc_id").select("request_id", "doc_id", "rank"))
+query("qry17_plan_steps", f"WITH p AS (SELECT request_id, {TASKS} AS task FROM prompts_v), s AS (SELECT * FROM {values(plans.template_rows(), 'task, step, agent, needs')}) SELECT request_id, p.task, CAST(step AS INT) AS step, agent, needs FROM p JOIN s ON s.task = CASE WHEN p.task IN (SELECT task FROM s) THEN p.task ELSE 'lookup' END")(
+    lambda t: plans.template_steps(requests.classify_tasks(t.prompts_v)))
 query("aud5_verify_all", "SELECT count(DISTINCT user_id) AS n_logs, count(*) AS n_entries, true AS all_hold FROM events")(
     lambda t: audit.verify(audit.append(t.sql(LOG), "user_id", ["event_id"]), "user_id").agg(F.count(F.lit(1)).alias("n_logs"), F.sum("n").alias("n_entries"), F.min("holds").alias("all_hold")))

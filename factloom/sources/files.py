@@ -47,3 +47,24 @@ def snapshot(spark: SparkSession, folder: str, fingerprint: str, build: Callable
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def fingerprints(rows: DataFrame, by: str, size: str, key: str) -> DataFrame:
+    """SRC6: a fingerprint of each ``by``: how many rows, their size and the last key; a snapshot is kept under it."""
+    parts = F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(size).cast("string"), F.max(key).cast("string"))
+    return rows.groupBy(by).agg(F.md5(parts).alias("fingerprint"))
+
+
+def usable_embeddings(vectors: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:
+    """SRC7: the vectors of a model: those of its dimension, without nulls; the others belong to another one."""
+    return vectors.where((F.size(vector) == dimension) & ~F.exists(vector, lambda x: x.isNull()))
+
+
+def composite(sources: list[DataFrame], key: str) -> DataFrame:
+    """SRC14: rows of several sources, one a key: the first source that has it speaks. One aggregate over their union."""
+    ranked = [s.withColumn("__p", F.lit(i)) for i, s in enumerate(sources)]
+    both = ranked[0]
+    for more in ranked[1:]:
+        both = both.unionByName(more)
+    others = [c for c in sources[0].columns if c != key]
+    return both.groupBy(key).agg(F.min(F.struct("__p", *others)).alias("__b")).select(key, *[F.col(f"__b.{c}").alias(c) for c in others])

@@ -57,3 +57,48 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """STM6: what is left after the steps already done."""
     return todo.join(done.select(key), key, "left_anti")
+
+
+def next_states(events: DataFrame, by: list[str], state: str) -> DataFrame:
+    """STM1: each event with the state that follows it, where one does (batch)."""
+    w = Window.partitionBy(*by).orderBy("ts", "event_id")
+    return events.withColumn("next_type", F.lead(state).over(w)).where("next_type is not null")
+
+
+def alive(events: DataFrame, by: str, since: str) -> DataFrame:
+    """STM7: keys seen after ``since``, with their last event and number; the others have expired."""
+    return events.groupBy(by).agg(F.max("event_id").alias("last_id"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("__last")).where(F.col("__last") > F.lit(since).cast(events.schema["ts"].dataType)).drop("__last")
+
+
+def counter_deltas(events: DataFrame, by: str, value: str = "value") -> DataFrame:
+    """AGG12: how much a counter moved since the event before; null for the first."""
+    return events.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(by).orderBy("ts", "event_id")))
+
+
+def roll_up(turns: DataFrame, limit: int = 50) -> DataFrame:
+    """AGG14: the longest conversations with their turns, the user's among them, and the last; the limit comes before the numbering."""
+    summed = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum((F.col("role") == "user").cast("long")).alias("n_user"), F.max("turn").alias("last_turn"))
+    order = [F.desc("n_turns"), "conv_id"]
+    return summed.orderBy(*order).limit(limit).withColumn("r", F.row_number().over(Window.orderBy(*order)))
+
+
+def last_of(turns: DataFrame, by: str, order: str, most: int = 3) -> DataFrame:
+    """AGG14: the last ``most`` rows of each ``by``."""
+    return turns.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("__r") <= most).drop("__r")
+
+
+def newest(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """AUD4, SRC13: the newest rows with their place ``r``; only these are numbered."""
+    by = [F.desc(c) for c in order]
+    return rows.orderBy(*by).limit(limit).withColumn("r", F.row_number().over(Window.orderBy(*by)))
+
+
+def counts(rows: DataFrame, by: str, user: str = "user_id") -> DataFrame:
+    """AUD4: entries and users by kind."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(user).alias("users"))
+
+
+def standing(events: DataFrame, by: str, holds: list[str], state: str = "event_type") -> DataFrame:
+    """STC9: each row with the last of the states in ``holds`` up to it: an instruction stands until the next."""
+    w = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("header", F.last(F.when(F.col(state).isin(*holds), F.col(state)), True).over(w))

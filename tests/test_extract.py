@@ -28,6 +28,20 @@ def test_subjects_across(spark):
     assert ("Basrah", "mass_flow_rate", "367647", "kg/h") in got and ("Bombay high", "specific_gravity", "0.8284", "") in got and not any(v == "Nil" for *_, v, _ in got)
 
 
+def test_properties_of_a_fluid_are_no_operating_pressure(spark):
+    rows = [["Parameter", "Specifications"], ["Electric power requirement", "20 Kv"], ["Pressure drop across the mixed valve (kg/cm2)", "0.7 - 1.0"], ["Operating temperature °C", "120-130 ° C"], ["Operating pressure (kg/cm2)", "10.5"]]
+    got = claims_of(spark, rows, "Desalter (11-V-02) Description")
+    assert {("11-V-02", "operating_pressure", "10.5", "kg/cm2"), ("11-V-02", "operating_temperature", "120-130", "°C"), ("11-V-02", "generic_property", "0.7-1.0", "kg/cm2")} <= got
+    assert not any(s == "Specifications" for s, *_ in got)
+    frame = spark.createDataFrame([("t", "Desalter (11-V-02)", i, r) for i, r in enumerate(rows)], "table_id string, hint string, row int, cells array<string>")
+    assert [c.qualifier for c in extract.table_claims(frame).where("predicate = 'generic_property'").collect()] == ["Pressure drop across the mixed valve"]
+
+
+def test_a_list_of_properties_without_header(spark):
+    got = claims_of(spark, [["pH", "6.5-8.0"], ["Pressure (Kg/cm 2 )at grade", "3.0"], ["Mech. Design Pressure (Kg/cm 2 )", "7.0"]], "3.5.4 Service water:")
+    assert {("Service water", "operating_pressure", "3.0", "kg/cm2"), ("Service water", "design_pressure", "7.0", "kg/cm2"), ("Service water", "generic_property", "6.5-8.0", "")} == got
+
+
 def test_spec_pairs_and_prose(spark):
     lines = ["Make: KSB", "Model:", "Speed:", "77", "2950", "text", "Power:", "text"]
     got = extract.spec_pairs(spark.createDataFrame([("d", i, c) for i, c in enumerate(lines)], "document_id string, reading_order int, content string"))

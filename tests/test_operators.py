@@ -63,8 +63,7 @@ def test_graph(spark):
 
 def test_retrieval(spark):
     chunks = spark.createDataFrame([("k1", "pump losing suction pressure"), ("k2", "column overhead"), ("k3", "suction strainer blocked, suction low"), ("k4", "safety valve")], "chunk_id string, text string")
-    posted = retrieval.postings(chunks)
-    ranked = retrieval.bm25(posted, spark.createDataFrame([(1, "pump suction")], "request_id int, text string"), 3)
+    ranked = retrieval.bm25(chunks, spark.createDataFrame([(1, "pump suction")], "request_id int, text string"), 3)
     assert [r.chunk_id for r in ranked.orderBy("rank").collect()][0] == "k1"
     fused = retrieval.fuse([ranked.select("request_id", "chunk_id", "rank")], 5, spark.createDataFrame([(1, "k4")], "request_id int, chunk_id string"))
     assert [r.chunk_id for r in fused.orderBy("rank").collect()][-1] == "k4"
