@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import cut, table
 
 #: Rows of a bucket in one task, queries of a bucket in one task, and rows of the sample that the model is fitted on.
-BLOCK, QUERY_BLOCK, SAMPLE = 16_384, 8_192, 4_096
+BLOCK, QUERY_BLOCK, SAMPLE = 32_768, 8_192, 4_096
 #: Cell coordinates are kept in -REACH to REACH - 1; those beyond share the outermost cells.
 REACH = 8
 #: Neighbours drawn from the fitted model to find a query's least success.
@@ -116,7 +116,7 @@ def build(rows: DataFrame, n: int, dimension: int, scale: float, tables: int = 3
     the success over all tables. The k nearest of n rows are about the k * SAMPLE / n nearest of the sample.
     """
     projections = int(np.clip(round(np.log2(max(1, n))) + cell_bits, 4, 28))
-    lead = min(projections, int(np.ceil(np.log2(max(1, n / BLOCK)))))
+    lead = min(projections, int(np.ceil(np.log(max(1, n / BLOCK)) / np.log(2.5))))  # a coordinate takes two or three values
     largest = max(float(rows.select(F.expr(f"sqrt(aggregate(v, 0D, (a, x) -> a + pow(cast(x as double) / {scale!r}D, 2)))").alias("m")).agg(F.max("m")).first()[0] or 0.0), 1e-300)
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(tables, dimension + 1, projections))
