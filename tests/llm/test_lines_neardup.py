@@ -41,6 +41,27 @@ def test_lines_equal_brute_force(spark, rows):
     assert lines.drop_lines(docs.limit(0), state).count() == 0 and lines.new_state(docs.limit(0)).counts.count() == 0
 
 
+def test_no_bound_changes_the_rows(spark, rows, monkeypatch):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plainly = sorted(map(tuple, lines.drop_lines(docs, lines.new_state(docs), spare_first=True).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(lines, "PART_ROWS", 7)
+    monkeypatch.setattr(lines, "KEYS_PER_SHARD", 2)
+    state = lines.new_state(docs)
+    assert state.n_shards > 1
+    assert sorted((r.doc_id, r.text, r.n_lines) for r in lines.drop_lines(docs, state, broadcast_bytes=0).collect()) == plain(rows, 10)
+    assert sorted(map(tuple, lines.drop_lines(docs, state, broadcast_bytes=0, spare_first=True).collect())) == plainly
+
+
+def test_filters_grow_with_what_is_inserted(spark):
+    few = spark.createDataFrame([(i, "one\ntwo") for i in range(3)], "doc_id long, text string")
+    many = spark.createDataFrame([(10 + i, "\n".join(f"line {k}" for k in range(2000))) for i in range(3)], "doc_id long, text string")
+    state = lines.insert(lines.new_state(few, min_docs=3), many)
+    held = [lines.Cuckoo.unpack(bytes(r.blob)) for r in state.filters.collect()]
+    assert all(f.load() <= 0.9 and not f.overflow for f in held) and sum(int((f.slots != 0).sum()) for f in held) == 2002
+    assert {r.text for r in lines.drop_lines(many, state).collect()} == {""}
+
+
 def test_insertion_and_deletion_are_reversible(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     first, second = docs.where("doc_id < 30"), docs.where("doc_id >= 30")

@@ -1,11 +1,17 @@
 """Nearest neighbours against brute force; toxicity on held-out texts; the pipeline's stages."""
 
+import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.llm import neighbours, toxicity
+from factloom.llm import bpe, neighbours, toxicity
+
+from test_lines_neardup import brute, key
+from test_rows import poisson
 
 
 def test_neighbours_recall_and_order(spark):
@@ -25,7 +31,48 @@ def test_neighbours_recall_and_order(spark):
         assert own == sorted(own, key=lambda r: (-r.score, r.vec_id))
         hit += len({r.vec_id for r in own} & set(np.lexsort((ids, -scores))[:20].tolist()))
         total += 20
-    assert hit / total >= 0.9 and {r.query_id for r in out} == set(range(0, 3000, 20))
+    assert hit / total >= 0.9 and {r.query_id for r in out} == set(range(0, 3000, 20))  # 9060 is alone among vectors of its length
+
+
+def test_many_buckets_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 4000)] + 0.25 * rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.usable(table, "vec_id", "embedding")
+    shape = neighbours.shapes(rows)[0]
+    index = neighbours.build(rows, shape.n, shape.d, shape.scale)
+    assert index.lead >= 3 and len(np.unique(index.codes(index.cells(x, 0)))) >= 8
+    out = neighbours.nearest(table, 20).collect()
+    hit = 0
+    for q in range(0, 4000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len({r.vec_id for r in out if r.query_id == q} & set(np.argsort(-scores)[:20].tolist()))
+    assert hit / (200 * 20) >= 0.9
+    assert neighbours.visited_share(rows, rows.where("id % 20 = 0"), index) < 0.3
+
+
+def test_probes_come_in_the_order_of_success_and_hold_their_share():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 8))
+    index = neighbours.Index(rng.normal(size=(2, 9, 6)), rng.random((2, 6)) * 9, 9.0, 3, 1.0, float(np.linalg.norm(x, axis=1).max()), 0.8, 1.5, 0.7, np.float64)
+    chance, least = index.success(x[:20], 0)
+    assert np.allclose(np.exp(chance).sum(2), 1, atol=1e-3)
+    for c, low in zip(chance, least):
+        codes = index.probes(c, low)
+        digits = (codes[:, None] // 16 ** np.arange(3)) % 16
+        best = c[np.arange(3), digits].sum(1) + c[3:].max(1).sum()
+        assert len(codes) and len(set(codes.tolist())) == len(codes) and (np.diff(best) <= 1e-12).all() and (best >= low).all()
+
+
+def test_components_of_any_finite_size_take_part(spark):
+    rows = [(0, [1e200, 1e-200]), (20, [2e200, 0.0]), (40, [-1e200, 5e199]), (60, [1e-200, 1e-200]), (80, [0.0, 0.0]), (100, [float("inf"), 1.0]), (120, [1.0, 2.0, 3.0]), (140, [2.0, 1.0, 0.0]), (5, [3e-200, 1.0])]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect()
+    assert {r.query_id: sum(x.query_id == r.query_id for x in out) for r in out} == {0: 4, 20: 4, 40: 4, 60: 4, 120: 1, 140: 1}
+    assert [r.score for r in out if r.query_id == 120] == [4.0] and {r.vec_id for r in out if r.query_id == 120} == {140}
 
 
 def test_few_vectors_and_split_buckets(spark, monkeypatch):
@@ -92,19 +139,57 @@ def sf_dir(spark, tmp_path):
     return str(tmp_path)
 
 
-def test_pipeline_stages(spark, sf_dir):
+def plain_pipeline(docs, toxic):
+    """The rows of the last stage, by loops: lists of (doc_id, lang, source, text)."""
+    rows = [r for r in docs if r[0] not in toxic]
+    having = {}
+    for text in {r[3] or "" for r in rows}:
+        for k in {key(x) for x in text.split("\n")} - {""}:
+            having.setdefault(k, set()).add(text)
+    hot = {k for k, v in having.items() if len(v) >= 10}
+    first = {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        for k in {key(x) for x in (r[3] or "").split("\n")} & hot:
+            first.setdefault(k, r[0])
+    rows = [(*r[:3], "\n".join(x for x in (r[3] or "").split("\n") if key(x) not in hot or first[key(x)] == r[0])) for r in rows]
+    classes = {d: c for d, _, c in brute([(r[0], r[3]) for r in rows], 5, 80)}
+    rows = [r for r in rows if classes[r[0]] == r[0]]
+    sizes = {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + len(r[3].encode())
+    weight, out = sum(math.sqrt(n) for n in sizes.values()), []
+    for r in rows:
+        rate = sum(sizes.values()) * math.sqrt(sizes[r[2]]) / weight / sizes[r[2]] if sizes[r[2]] else 1.0
+        out += [r] * poisson(rate, int(hashlib.md5(f"mix-1|{r[0]}".encode()).hexdigest()[:13], 16) / 2**52)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    n = docs.count()
+    library = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
+    clean = {r.doc_id for r in p.STAGES[0][1](spark, docs, sf_dir).select("doc_id").collect()}
+    toxic = {r.doc_id for r in docs.collect()} - clean
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    final = p.run(spark, sf_dir).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    want = sorted((d, np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) for d, _, _, t in plain_pipeline([(r.doc_id, r.lang, r.source, r.text) for r in docs.collect()], toxic))
+    assert sorted((r.doc_id, bytes(r.ids)) for r in final) == want and all(r.n_tokens * 4 == len(r.ids) for r in final)
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("n_lines", F.lit("KEEP")).withColumn("copy", F.col("doc_id"))
     for name, stage in p.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns, name
+        assert out.where("n_lines <> 'KEEP' or copy <> doc_id").count() == 0, name  # other columns keep their values
         if name == "line dedup":
             assert out.count() == docs.count()
         docs = spark.createDataFrame(out.collect(), out.schema)
-        if name == "near duplicates":
-            assert docs.where("doc_id between 500 and 502").count() == 0 or docs.where("doc_id = 0").count() == 0
-    assert 0 < docs.count() <= 3 * n
-    final = p.run(spark, sf_dir)
-    assert final.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(final.columns)
+    empty = spark.createDataFrame([], docs.schema)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name

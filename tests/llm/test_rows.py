@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import chat, mixing, quality, sharding
@@ -23,6 +24,28 @@ def test_lookup_table_is_balanced_and_stable():
             sharding.lookup_table(sharding.shard_names(10), bad)
 
 
+def plain_table(names, slots):
+    """Shards claim slots in turn, each by a list of its whole permutation."""
+    orders = []
+    for name in names:
+        d = hashlib.md5(name.encode()).digest()
+        first, stride = int.from_bytes(d[:8], "little") % slots, int.from_bytes(d[8:], "little") % (slots - 1) + 1
+        orders.append([(first + k * stride) % slots for k in range(slots)])
+    owner, at = {}, [0] * len(names)
+    while len(owner) < slots:
+        for k, order in enumerate(orders):
+            while at[k] < slots and order[at[k]] in owner:
+                at[k] += 1
+            if at[k] < slots:
+                owner[order[at[k]]] = k
+    return [owner[s] for s in range(slots)]
+
+
+def test_lookup_table_equals_plain_filling():
+    for names, slots in ((sharding.shard_names(7), 211), (["a"], 2), (["x", "y", "z"], 3)):
+        assert sharding.lookup_table(names, slots).tolist() == plain_table(names, slots)
+
+
 def test_placing_rows(spark):
     docs = spark.createDataFrame([(i, "x", i) for i in range(500)] + [(None, "y", 1), (None, "z", 2), (7, "x", 7)], "doc_id long, text string, slot long")
     out = sharding.place(docs, "doc_id", sharding.shard_names(5), 1009)
@@ -30,6 +53,9 @@ def test_placing_rows(spark):
     assert len(rows) == 503 and set(out.columns) == {"doc_id", "text", "slot", "shard"}
     owner = sharding.lookup_table(sharding.shard_names(5), 1009)
     assert all(r.shard == f"shard-{owner[r.slot]:04d}" for r in rows)
+    for r in rows:
+        h = xxhash.xxh64_intdigest("" if r.doc_id is None else str(r.doc_id), 42)
+        assert r.slot == (h if h < 2**63 else h - 2**64) % 1009
     assert len({r.shard for r in rows if r.doc_id is None}) == 1 and len({r.shard for r in rows if r.doc_id == 7}) == 1
     assert sharding.place(docs.limit(0), "doc_id", ["only"], 1009).count() == 0
 
