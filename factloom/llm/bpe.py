@@ -39,6 +39,9 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or spec["model"].get("ignore_merges") or spec["model"].get("dropout") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("this tokenizer normalises texts, splits them otherwise than by the byte-level pattern, or does not follow its merges")
         of_letter = {c: b for b, c in enumerate(byte_letters())}
         as_bytes = lambda letters: bytes(of_letter[c] for c in letters)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -206,7 +209,9 @@ def by_size(texts: Iterable[str | None], most: int = AT_ONCE) -> Iterator[list[s
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", decode: bool = True, forget: bool = False) -> DataFrame:
     """The columns ``keep`` with ``ids`` (little-endian 32-bit integers) and, if asked for, ``decoded``, for every row.
 
-    Null and empty texts give no ids. The tokenizer's file at ``path`` must be on every machine. Workers keep the
+    Null and empty texts give no ids. Every row gives one: repeated rows and rows without id, too; an empty table gives an
+    empty table; columns not in ``keep`` may have any name. Texts and words of any length are encoded whole, a failing word of n
+    bytes by exact merging in at most n rounds. The tokenizer's file at ``path`` must be on every machine. Workers keep the
     tokenizer and its words from task to task, or with ``forget`` only for one, which leaves more memory to other stages.
     """
     chosen = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))

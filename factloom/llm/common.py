@@ -50,20 +50,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_sizes(rows: DataFrame, key: str, own: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+def join_sizes(rows: DataFrame, key: str, own: str, sizes: DataFrame) -> DataFrame:
     """``rows`` with the other columns of ``sizes`` (key, size, ...), one row a key, joined by ``key`` without crowding a hot key's rows.
 
     The HOT keys of largest size, a number that does not depend on the data, are broadcast; the rows of hot keys are
-    dealt by ``own`` in the shuffle that joins the others, so any key left holds at most 1 / HOT of all rows.
+    dealt by ``own`` in the shuffle that joins the others, so any key left holds at most 1 / HOT of all rows. The sizes are
+    written first: they are read twice, and where they are few, Spark knows so and needs no shuffle.
     """
-    others = [c for c in sizes.columns if c != key]
-    named = sizes.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in others])
-    hot = named.orderBy(F.desc("__size"), "__k").limit(HOT).select(F.col("__k").alias("__hk"), *[F.col(f"__{c}").alias(f"__h{c}") for c in others])
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
-    dealt = marked.withColumn("__is_hot", F.col("__hk").isNotNull()).withColumn("__deal", F.when(F.col("__is_hot"), F.xxhash64(own)).otherwise(F.col(key)))
-    met = dealt.join(named.withColumn("__cold", F.lit(False)), (F.col("__deal") == F.col("__k")) & (F.col("__is_hot") == F.col("__cold")), "left")
-    out = met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"__h{c}", f"__{c}").alias(c) for c in others], (F.col("__is_hot") | F.col("__k").isNotNull()).alias("__met"))
-    return (out.where("__met") if how == "inner" else out).drop("__met")
+    others, sizes = sizes.columns[1:], cut(sizes)
+    named = sizes.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(others)])
+    hot = named.orderBy(F.desc("__c0"), "__k").limit(HOT).select(F.col("__k").alias("__hk"), *[F.col(f"__c{i}").alias(f"__h{i}") for i in range(len(others))])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left").withColumn("__is_hot", F.col("__hk").isNotNull())
+    elsewhere = F.xxhash64(own) if rows.schema[key].dataType.simpleString() == "bigint" else F.concat(F.lit("#"), F.xxhash64(own))
+    dealt = marked.withColumn("__deal", F.when(F.col("__is_hot"), elsewhere).otherwise(F.col(key)))
+    met = dealt.join(named.withColumn("__cold", F.lit(False)), (F.col("__deal") == F.col("__k")) & (F.col("__is_hot") == F.col("__cold")), "left").where(F.col("__is_hot") | F.col("__k").isNotNull())
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"__h{i}", f"__c{i}").alias(c) for i, c in enumerate(others)])
 
 
 def pieces(batches, rows: int = 256):

@@ -15,9 +15,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, same, table, unit_interval
+from .common import cut, join_sizes, same, table, unit_interval
 
-#: Up to so many sources, the table of rates is broadcast (about 1 KB a row, at most 7); beyond, it is joined with salt.
+#: Up to so many sources, the table of rates is broadcast (about 1 KB a row, at most 7); beyond, it is joined with hot sources dealt by document.
 BROADCAST_SOURCES = 5_000
 #: The largest mean of one draw: beyond it exp(-mean) nears the end of double precision, so a larger rate is drawn in parts.
 MAX_RATE = 500.0
@@ -44,7 +44,7 @@ def rates(df: DataFrame, weights: Mapping[str, float] | None = None, temperature
     weighed = sizes.withColumn("__weight", weight)
     total = weighed.agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("size"), F.coalesce(F.sum("__weight"), F.lit(0.0)).alias("weight")).first()
     rate = F.when(F.col("__size") == 0, 1.0).otherwise(F.lit(float(total.size) * epochs) * F.col("__weight") / F.lit(total.weight or 1.0) / F.col("__size"))
-    out = weighed.select("__source", rate.alias("__rate"))
+    out = weighed.select("__source", "__size", rate.alias("__rate"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / F.lit(MAX_RATE))).cast("long")
     return out.withColumn("__parts", parts).withColumn("__mean", F.col("__rate") / F.col("__parts")).withColumn("__cdf", F.expr(
         """aggregate(sequence(1, cast(ceil(__mean + 12 * sqrt(__mean) + 20) as int)),
@@ -87,11 +87,10 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, temperature:
     if few:
         rated = df.join(F.broadcast(table_of_rates), same(F.col("source"), F.col("__source")))
     else:
-        salts = 32
-        salted = table_of_rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rated = df.withColumn("__deal", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, same(F.col("source"), F.col("__source")) & (F.col("__deal") == F.col("__salt"))).drop("__salt", "__deal")
+        named = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("null"))
+        rated = join_sizes(df.withColumn("__name", named("source")), "__name", "doc_id", table_of_rates.select(named("__source").alias("__name"), "__size", "__parts", "__cdf")).drop("__name", "__size")
     point = unit_interval(F.lit(seed), F.col("doc_id"))
-    counted = rated.withColumn("__point", point).withColumn("__n", draws(seed)).drop("__cdf", "__parts", "__point")
+    counted = rated.withColumn("__point", point).withColumn("__n", draws(seed)).drop("__cdf", "__parts", "__point", "__source", "__size", "__rate")
     listed = counted.where("__n > 0").withColumn("__block", F.explode(blocks(F.col("__n"))))
     copies = listed.withColumn("__copy", F.explode(block(F.col("__block"), F.col("__n")))).drop("__block")
     keyed = copies.withColumn("__order", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__copy").cast("string"))))

@@ -99,7 +99,9 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row.
 
-    A null or empty text has no words and fails the base rule. Repeated rows are judged alike, each on its own.
+    A null or empty text has no words and fails the base rule. Texts are judged whole, however long: what a row
+    takes grows with its text. Repeated rows are judged alike, each on its own; other columns of ``docs``, whatever their
+    names, are left out; an empty table gives an empty table.
     """
     out = counted(docs).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
