@@ -69,7 +69,7 @@ def excerpt(c: Column | str, keywords: Column, width: int = 200) -> Column:
     at = F.array_min(F.filter(F.transform(keywords, lambda k: F.position(F.lower(k), F.lower(t))), lambda p: p > 0))
     start = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - width // 2)
     piece = F.substr(t, start, F.lit(width))
-    return F.trim(F.when(F.length(t) > start + width, F.regexp_replace(piece, r"\s+\S*$", "")).otherwise(piece))
+    return F.trim(F.when(F.length(t) > start + width, F.regexp_replace(piece, r"\s+\S*\z", "")).otherwise(piece))
 
 
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}

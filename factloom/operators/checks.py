@@ -114,3 +114,16 @@ def draft_flags(claims: DataFrame) -> DataFrame:
 def representative(tables: DataFrame, by: str, key: str, score: Column) -> DataFrame:
     """VAL10: of each kind the table that scores best, ties to the smaller key; an aggregate, not a sort of each kind."""
     return tables.groupBy(by).agg(F.min(F.struct((-score).alias("s"), F.col(key).alias("k")))["k"].alias(key))
+
+
+def ground_items(items: DataFrame, chunk: str, subject: str, value: str, confidence: str = "confidence", weak_limit: float = 0.5) -> DataFrame:
+    """VAL2: ``found`` and ``confidence`` of items: strong if a sentence of the chunk names the subject and states the value, weak (limited) if only the chunk states it, else none (null).
+
+    The subject's own digits are no statement of the value.
+    """
+    named = F.col(subject)
+    states = lambda c: F.array_contains(text.numbers(F.replace(c, named, F.lit(""))), F.col(value))
+    strong = F.exists(text.sentences(chunk), lambda x: x.contains(named) & states(x))
+    found = F.when(strong, "strong").when(states(F.col(chunk)), "weak").otherwise("none")
+    told = items.withColumn("found", found)
+    return told.withColumn(confidence, F.when(F.col("found") == "strong", F.col(confidence)).when(F.col("found") == "weak", F.least(confidence, F.lit(weak_limit))))

@@ -76,8 +76,9 @@ def co_mentions(sentences: DataFrame, most: int = 400, near: int = 160) -> DataF
     both plants agree where both tags carry one. Pairs are made within a sentence, so nothing is joined.
     """
     s = F.col("sentence")
-    part = lambda x: F.struct(x.alias("tag"), parse_tag(x)["prefix"].alias("prefix"), parse_tag(x)["plant"].alias("plant"), claim_rules.type_of_prefix(parse_tag(x)["prefix"]).alias("kind"), F.position(F.element_at(F.split(x, "-"), -1), s).alias("at"))
-    found = sentences.where(F.length(s) <= most).withColumn("__tags", F.transform(find_tags(s), part)).where(F.size("__tags") >= 2)
+    parsed = F.transform(find_tags(s), lambda x: F.struct(x.alias("tag"), parse_tag(x).alias("p")))  # once a tag
+    part = lambda x: F.struct(x["tag"].alias("tag"), x["p"]["prefix"].alias("prefix"), x["p"]["plant"].alias("plant"), claim_rules.type_of_prefix(x["p"]["prefix"]).alias("kind"), F.position(F.element_at(F.split(x["tag"], "-"), -1), s).alias("at"))
+    found = sentences.where((F.length(s) <= most) & s.rlike(r"\d.*\d")).withColumn("__tags", F.transform(parsed, part)).where(F.size("__tags") >= 2)
     acts = lambda x: x["kind"].isin(*claim_rules.INSTRUMENTS)
     one = found.select("__tags", F.explode(F.filter("__tags", acts)).alias("i"))
     both = one.select("i", F.explode(F.filter("__tags", lambda x: ~acts(x))).alias("e"))

@@ -10,14 +10,13 @@ import tempfile
 import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def settled(df: DataFrame) -> str:
-    """The path of ``df``, written to the shared checkpoint folder."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared checkpoint folder, removed when the application ends: results may read it until then."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +25,13 @@ def settled(df: DataFrame) -> str:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
     path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4()}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)  # results may read it until the application ends
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def settled(df: DataFrame) -> str:
+    """The path of ``df``, written to the shared checkpoint folder."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return path
 

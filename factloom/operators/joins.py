@@ -53,20 +53,21 @@ def normal(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(text.text_of(c)), r"\s+", " "))
 
 
-def contained(passages: DataFrame, texts: DataFrame, key: str, of: str, passage_key: str = "item_id", words: int = 5) -> DataFrame:
+def contained(passages: DataFrame, texts: DataFrame, key: str, of: str, passage_key: str = "item_id") -> DataFrame:
     """STR7: (passage_key, key) of texts that hold a passage, white space and case aside.
 
-    A passage's first whole ``words`` words after its first one are in every text that holds it: these meet first, then
-    the whole passage is looked for. Passages too short for that are compared with all texts.
+    A passage's longest word, the first and last aside, is a word of every text that holds it: these meet first, as
+    keys without texts, and then the whole passage is looked for. Passages of fewer than three words are compared with all texts.
     """
     shaped = passages.select(passage_key, normal("text").alias("__p")).where("__p <> ''").withColumn("__w", F.split("__p", " "))
-    long = shaped.where(F.size("__w") >= words + 2).select(passage_key, "__p", F.array_join(F.slice("__w", 2, words), " ").alias("__k"))
+    inner = F.slice("__w", 2, F.size("__w") - 2)
+    long = shaped.where(F.size("__w") >= 3).select(passage_key, "__p", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("__k"))
+    words = texts.select(key, F.explode(F.array_distinct(F.split(normal(of), " "))).alias("__g"))
+    met = words.join(few(long.select(passage_key, "__k")), F.col("__g") == F.col("__k")).select(passage_key, key).distinct()
     held = texts.select(key, normal(of).alias("__t"))
-    parts = F.split("__t", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - words + 1)), lambda i: F.array_join(F.slice(parts, i, words), " "))
-    met = held.withColumn("__g", F.explode(F.array_distinct(grams))).join(few(long), F.col("__g") == F.col("__k")).where(F.contains("__t", "__p")).select(passage_key, key)
-    short = shaped.where(F.size("__w") < words + 2).select(passage_key, "__p")
-    return met.unionByName(held.join(few(short), F.contains("__t", "__p")).select(passage_key, key)).distinct()
+    sure = held.join(met, key).join(long.select(passage_key, "__p"), passage_key).where(F.contains("__t", "__p")).select(passage_key, key)
+    short = shaped.where(F.size("__w") < 3).select(passage_key, "__p")
+    return sure.unionByName(held.join(few(short), F.contains("__t", "__p")).select(passage_key, key)).distinct()
 
 
 def grounded(passages: DataFrame, texts: DataFrame, key: str, of: str, passage_key: str = "item_id", percent: int = 80, least: int = 4) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import checks as op
 from ..operators import tables
 from .registry import query
-from .requests import literal
 
 query("val7_validation_summary", """WITH s AS (SELECT source, CASE WHEN grounding = 'weak' THEN 'WARN' WHEN numeric_value > 45 THEN 'ERROR' ELSE 'OK' END AS severity FROM claims_v)
   SELECT source, count(*) AS n, count(*) FILTER (WHERE severity = 'OK') AS ok, count(*) FILTER (WHERE severity = 'WARN') AS warn, count(*) FILTER (WHERE severity = 'ERROR') AS error, NOT bool_or(severity = 'ERROR') AS passed FROM s GROUP BY source""")(

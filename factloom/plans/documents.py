@@ -44,7 +44,7 @@ query("joi6_jaccard", f"""WITH a AS (SELECT p_partkey AS id, list_distinct(strin
 query("src3_html_elements")(lambda t: structure.html_elements(t.pages))
 query("src3_element_counts", r"""SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::INT AS h1, len(regexp_extract_all(html, '<li[ >]'))::INT AS li, len(regexp_extract_all(html, '<p[ >]'))::INT AS p FROM pages""")(
     lambda t: t.pages.select("page_id", *[F.size(F.regexp_extract_all("html", F.lit(f"<{e}[ >]"), F.lit(0))).alias(e) for e in ("h1", "li", "p")]))
-LEVELED = "SELECT l_orderkey % 500 AS doc, l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey AS ord, CAST(CASE WHEN l_quantity < 10 THEN 1 + l_partkey % 3 ELSE 0 END AS INT) AS lvl, concat('T', CAST(l_partkey AS STRING)) AS title FROM lineitem"
+LEVELED = "SELECT DISTINCT l_orderkey % 500 AS doc, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, CAST(CASE WHEN l_quantity < 10 THEN 1 + l_partkey % 3 ELSE 0 END AS INT) AS lvl, concat('T', CAST(l_partkey AS STRING)) AS title FROM lineitem"
 query("stc3_heading_path", f"""WITH e AS ({LEVELED}), h AS (SELECT *, coalesce(max(CASE WHEN lvl = 1 THEN ord END) OVER w, -1) AS a1, coalesce(max(CASE WHEN lvl = 2 THEN ord END) OVER w, -1) AS a2, coalesce(max(CASE WHEN lvl = 3 THEN ord END) OVER w, -1) AS a3,
     arg_max(title, CASE WHEN lvl = 1 THEN ord END) OVER w AS t1, arg_max(title, CASE WHEN lvl = 2 THEN ord END) OVER w AS t2, arg_max(title, CASE WHEN lvl = 3 THEN ord END) OVER w AS t3 FROM e WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS UNBOUNDED PRECEDING))
   SELECT doc, ord, lvl, title, concat_ws(' > ', CASE WHEN a1 >= 0 THEN t1 END, CASE WHEN a2 >= 0 AND a2 >= a1 THEN t2 END, CASE WHEN a3 >= 0 AND a3 >= greatest(a1, a2) THEN t3 END) AS section_path FROM h""")(

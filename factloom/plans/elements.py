@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..functions import request_rules as rules
-from ..operators import elements, graph, requests, retrieval, tagmatch
+from ..operators import checks, elements, graph, requests, retrieval, tagmatch
 from ..sources import files
 from .registry import query
 from .requests import first
@@ -45,10 +44,8 @@ query("win10_tag_suggestions")(lambda t: tagmatch.suggest(t.entities_v.where("pa
 query("str25_take_apart", "SELECT partkey, split_part(canonical_tag, '-', 1) AS unit, split_part(canonical_tag, '-', 2) AS cls, substr(split_part(canonical_tag, '-', 3), 2) AS number FROM entities_v")(
     lambda t: t.entities_v.select("partkey", tagmatch.take_apart(F.concat(F.lit("see "), F.replace("canonical_tag", F.lit("-0"), F.lit("-")))).alias("p")).select("partkey", "p.unit", "p.cls", "p.number"))
 query("val2_item_grounding", """SELECT claim_id, CASE WHEN page % 3 = 0 THEN 'strong' WHEN page % 3 = 1 THEN 'weak' ELSE 'none' END AS found, CASE WHEN page % 3 = 1 THEN least(confidence, 0.5) WHEN page % 3 = 0 THEN confidence END AS confidence FROM claims_v""")(
-    lambda t: t.claims_v.withColumn("chunk", F.when(F.col("page") % 3 == 0, F.concat(F.lit("The "), "subject", F.lit(" runs at "), "value", F.lit("."))).when(F.col("page") % 3 == 1, F.concat("subject", F.lit(".\nIt reads "), "value", F.lit("."))).otherwise(F.col("subject")))
-    .withColumn("s", text.sentences("chunk")).withColumn("found", F.when(F.exists("s", lambda x: x.contains(F.col("subject")) & F.array_contains(text.numbers(F.replace(x, F.col("subject"), F.lit(""))), F.col("numeric_value"))), "strong")
-                                                          .when(F.array_contains(text.numbers(F.replace("chunk", F.col("subject"), F.lit(""))), F.col("numeric_value")), "weak").otherwise("none"))
-    .select("claim_id", "found", F.when(F.col("found") == "strong", F.col("confidence")).when(F.col("found") == "weak", F.least("confidence", F.lit(0.5))).alias("confidence")))
+    lambda t: checks.ground_items(t.claims_v.withColumn("chunk", F.when(F.col("page") % 3 == 0, F.concat(F.lit("The "), "subject", F.lit(" runs at "), "value", F.lit("."))).when(F.col("page") % 3 == 1, F.concat("subject", F.lit(".\nIt reads "), "value", F.lit("."))).otherwise(F.col("subject"))), "chunk", "subject", "numeric_value")
+    .select("claim_id", "found", "confidence"))
 query("gra2_related", "SELECT DISTINCT a.source_uid AS start, b.target_uid AS node FROM relations_v a JOIN relations_v b ON a.target_uid = b.source_uid WHERE a.source_uid <> b.target_uid")(
     lambda t: graph.related(t.relations_v))
 query("flt17_glossary_filter", "SELECT p_partkey, p_brand AS term, p_name AS meaning FROM part WHERE contains(p_name, 'anvil')")(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import claim_rules
 from ..operators import entities as op
 from .registry import query
-from .requests import literal, values
+from .requests import values
 
 HEADS = """SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN 'Mech. Design Pressure (Kg/cm2 g)' WHEN 1 THEN 'Pressure, Kg/cm2 A / Maximum' WHEN 2 THEN 'Rated capacity' WHEN 3 THEN concat('Min suction flow, BH mode ', p_name) WHEN 4 THEN 'Design temp'
   WHEN 5 THEN 'Pressure drop across the valve (kg/cm2)' WHEN 6 THEN 'Vapour pressure' WHEN 7 THEN 'Sp. Gravity at flash  zone, Bombay  High' WHEN 8 THEN 'Normal operating speed rpm' WHEN 9 THEN concat('kg/hr, PG case, ', p_brand) ELSE p_name END AS h, p_size FROM part"""

@@ -1,11 +1,11 @@
 """Queries of single operators that fit no other group."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions import text, units
+from ..functions import units
 from ..functions import phrases
 from ..operators import audit, claims, elements, extract, plans, requests, retrieval, security, structure, tagmatch
+from ..sources import files
 from ..streaming import progress
 from .documents import BM25, PACKED
 from .elements import ELEMENTS
@@ -49,3 +49,8 @@ query("qry17_plan_steps", f"WITH p AS (SELECT request_id, {TASKS} AS task FROM p
     lambda t: plans.template_steps(requests.classify_tasks(t.prompts_v)))
 query("aud5_verify_all", "SELECT count(DISTINCT user_id) AS n_logs, count(*) AS n_entries, true AS all_hold FROM events")(
     lambda t: audit.verify(audit.append(t.sql(LOG), "user_id", ["event_id"]), "user_id").agg(F.count(F.lit(1)).alias("n_logs"), F.sum("n").alias("n_entries"), F.min("holds").alias("all_hold")))
+query("src12_log_appended", "SELECT event_id, event_type FROM events")(lambda t: files.appended(t.events.select("event_id", "event_type").where("event_id % 2 = 0"), t.events.select("event_id", "event_type").where("event_id % 2 = 1")))
+PIECES = "SELECT CAST(l_orderkey AS STRING) AS document_id, concat(CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS chunk_id, concat(CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING)) AS element_id, l_partkey AS reading_order FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey"
+query("src5_chunks_with_elements", f"SELECT chunk_id, count(*) AS n, string_agg(element_id, ',' ORDER BY reading_order, element_id) AS elements FROM ({PIECES}) x GROUP BY chunk_id")(
+    lambda t: files.stored_chunks(t.sql(PIECES).groupBy("document_id", "chunk_id").agg(F.collect_list("element_id").alias("element_ids")), t.sql(PIECES).select("document_id", "element_id", "reading_order", F.concat(F.lit("c"), "element_id").alias("content")).distinct())
+    .select("chunk_id", F.size("elements").cast("long").alias("n"), F.array_join(F.transform("elements", lambda e: e["element_id"]), ",").alias("elements")))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import new_folder
+
 ELEMENT = "element_id string, page int, position_in_page int, reading_order int, element_type string, content string, heading_level int, content_layer string, table_id string"
 PARSED = f"document_id string, source_hash string, total_pages int, pages array<struct<page_number: int, elements: array<struct<{', '.join(f'{n}: {t}' for n, t in (c.split() for c in ELEMENT.split(', ')))}>>>>"
 
@@ -68,3 +70,19 @@ def composite(sources: list[DataFrame], key: str) -> DataFrame:
         both = both.unionByName(more)
     others = [c for c in sources[0].columns if c != key]
     return both.groupBy(key).agg(F.min(F.struct("__p", *others)).alias("__b")).select(key, *[F.col(f"__b.{c}").alias(c) for c in others])
+
+
+def appended(*parts: DataFrame) -> DataFrame:
+    """SRC12: the parts appended to one new log in the shared folder, one after the other, and read back."""
+    spark = parts[0].sparkSession
+    path = new_folder(spark)
+    for part in parts:
+        append_log(part, path)
+    return spark.read.schema(parts[0].schema).json(path)
+
+
+def stored_chunks(chunks: DataFrame, elements: DataFrame) -> DataFrame:
+    """SRC5: chunks kept in a new folder of the shared one and read back with their elements."""
+    path = new_folder(chunks.sparkSession)
+    save_chunks(chunks, path)
+    return load_chunks(chunks.sparkSession, path, elements)
