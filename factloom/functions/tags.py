@@ -31,14 +31,17 @@ def parse_tag(c: Column | str) -> Column:
     Several suffixes name the trains of one item: the item is canonical and the trains are children. One suffix makes
     a child of its own.
     """
-    t = cleaned(c)
-    dashed = F.regexp_replace(t, "(?<=[A-Z0-9]) (?=[A-Z0-9])", "-")
+    dashed = F.regexp_replace(cleaned(c), "(?<=[A-Z0-9]) (?=[A-Z0-9])", "-")
+    return F.element_at(F.transform(F.array(dashed), _parsed), 1)  # the lambda's variable: the cleaning is done once
+
+
+def _parsed(dashed: Column) -> Column:
     group = lambda k: F.regexp_extract(dashed, PATTERN, k)
     plant, prefix, number, suffix = (group(k) for k in range(1, 5))
     base = F.concat(F.when(plant != "", F.concat(plant, F.lit("-"))).otherwise(""), prefix, F.lit("-"), number)
     suffixes = F.filter(F.split(suffix, "/"), lambda s: s != "")
     n = F.size(suffixes)
-    good = (t != "") & (F.length(t) <= 32) & dashed.rlike(PATTERN) & ~((plant == "") & prefix.isin(NON_TAG_PREFIXES))
+    good = (dashed != "") & (F.length(dashed) <= 32) & dashed.rlike(PATTERN) & ~((plant == "") & prefix.isin(NON_TAG_PREFIXES))
     return F.when(
         good,
         F.struct(
