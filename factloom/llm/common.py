@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(*frames: DataFrame) -> Callable[[str], str]:
+    """Names for inner columns: each ends in more underscores than any column of ``frames``, so none can clash."""
+    tail = "_" * (1 + max([0, *(len(c) - len(c.rstrip("_")) for f in frames for c in f.columns)]))
+    return lambda name: name + tail
+
+
 def join_sizes(rows: DataFrame, key: str, own: str, sizes: DataFrame) -> DataFrame:
     """``rows`` with the other columns of ``sizes`` (key, size, ...), one row a key, joined by ``key`` without crowding a hot key's rows.
 
@@ -57,14 +64,16 @@ def join_sizes(rows: DataFrame, key: str, own: str, sizes: DataFrame) -> DataFra
     dealt by ``own`` in the shuffle that joins the others, so any key left holds at most 1 / HOT of all rows. The sizes are
     written first: they are read twice, and where they are few, Spark knows so and needs no shuffle.
     """
-    others, sizes = sizes.columns[1:], cut(sizes)
-    named = sizes.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(others)])
-    hot = named.orderBy(F.desc("__c0"), "__k").limit(HOT).select(F.col("__k").alias("__hk"), *[F.col(f"__c{i}").alias(f"__h{i}") for i in range(len(others))])
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left").withColumn("__is_hot", F.col("__hk").isNotNull())
+    others, name, sizes = sizes.columns[1:], own_names(rows, sizes), cut(sizes)
+    k, hk, is_hot, deal, cold = (name(c) for c in ("k", "hk", "is_hot", "deal", "cold"))
+    of_cold, of_hot = ([name(f"{side}{i}") for i in range(len(others))] for side in ("c", "h"))
+    named = sizes.select(F.col(key).alias(k), *[F.col(c).alias(of_cold[i]) for i, c in enumerate(others)])
+    hot = named.orderBy(F.desc(of_cold[0]), k).limit(HOT).select(F.col(k).alias(hk), *[F.col(c).alias(h) for c, h in zip(of_cold, of_hot)])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col(hk), "left").withColumn(is_hot, F.col(hk).isNotNull())
     elsewhere = F.xxhash64(own) if rows.schema[key].dataType.simpleString() == "bigint" else F.concat(F.lit("#"), F.xxhash64(own))
-    dealt = marked.withColumn("__deal", F.when(F.col("__is_hot"), elsewhere).otherwise(F.col(key)))
-    met = dealt.join(named.withColumn("__cold", F.lit(False)), (F.col("__deal") == F.col("__k")) & (F.col("__is_hot") == F.col("__cold")), "left").where(F.col("__is_hot") | F.col("__k").isNotNull())
-    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"__h{i}", f"__c{i}").alias(c) for i, c in enumerate(others)])
+    dealt = marked.withColumn(deal, F.when(F.col(is_hot), elsewhere).otherwise(F.col(key)))
+    met = dealt.join(named.withColumn(cold, F.lit(False)), (F.col(deal) == F.col(k)) & (F.col(is_hot) == F.col(cold)), "left").where(F.col(is_hot) | F.col(k).isNotNull())
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(h, c).alias(o) for h, c, o in zip(of_hot, of_cold, others)])
 
 
 def pieces(batches, rows: int = 256):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_sizes, pieces, same, table
+from .common import cut, join_sizes, own_names, pieces, same, table
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Filters of up to so many bytes in all are broadcast; beyond it, line occurrences are dealt to the shards' tasks.
@@ -303,10 +303,11 @@ def drop_lines(docs: DataFrame, state: State, broadcast_bytes: int = BROADCAST_B
         doomed = cut(doomed)
         first = doomed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("__first"))
         doomed = _of_keys(doomed, first).where(~same(F.col("doc_id"), F.col("__first"))).drop("size", "__first")
-    by_doc = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__gone"))
+    name = own_names(docs)
+    by_doc = doomed.groupBy(F.col("doc_id").alias(name("id"))).agg(F.collect_set(F.struct("k1", "k2")).alias(name("gone")))
     rest = [c for c in docs.columns if c not in (text_name, n_lines, n_dropped)]
-    joined = docs.join(by_doc, same(F.col("doc_id"), F.col("__id")), "left").select(
-        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(rest)], F.col(f"`{text_name}`").alias("t"), F.col("__gone.k1").alias("g1"), F.col("__gone.k2").alias("g2"))
+    joined = docs.join(by_doc, same(F.col("doc_id"), F.col(name("id"))), "left").select(
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(rest)], F.col(f"`{text_name}`").alias("t"), F.col(f"{name('gone')}.k1").alias("g1"), F.col(f"{name('gone')}.k2").alias("g2"))
     schema = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)), "t string, n long, d long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_sizes, same, table, unit_interval
+from .common import cut, join_sizes, own_names, same, table, unit_interval
 
 #: Up to so many sources, the table of rates is broadcast (about 1 KB a row, at most 7); beyond, it is joined with hot sources dealt by document.
 BROADCAST_SOURCES = 5_000
@@ -64,14 +64,13 @@ def block(k: Column, n: Column) -> Column:
     return F.sequence(k * BLOCK + 1, F.least(n, (k + 1) * BLOCK))
 
 
-def draws(seed: str) -> Column:
-    """How many copies a row with its source's rate gets: the first part is drawn at the hash of seed and id, part k at that of seed, id and k."""
-    parts, cdf = F.col("__parts"), F.col("__cdf")
-    at = lambda point: F.size(F.filter(cdf, lambda c: c <= point)).cast("long")
-    part = lambda k: F.when(k == 1, at(F.col("__point"))).otherwise(at(unit_interval(F.lit(seed), F.col("doc_id"), k)))
+def draws(seed: str, parts: Column, cdf: Column, point: Column) -> Column:
+    """How many copies a row with its source's rate gets: the first part is drawn at ``point``, the hash of seed and id, part k at that of seed, id and k."""
+    at = lambda u: F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
+    part = lambda k: F.when(k == 1, at(point)).otherwise(at(unit_interval(F.lit(seed), F.col("doc_id"), k)))
     zero = F.lit(0).cast("long")
     several = F.aggregate(blocks(parts), zero, lambda a, b: a + F.aggregate(block(b, parts), zero, lambda n, k: n + part(k)))
-    return F.when(parts == 1, at(F.col("__point"))).otherwise(several)
+    return F.when(parts == 1, at(point)).otherwise(several)
 
 
 def mix(df: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: str = "mix-1", copy_name: str = "copy", n_copies_name: str = "n_copies") -> DataFrame:
@@ -82,21 +81,25 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, temperature:
     says. Columns with the names of the two numbers are replaced by them, so give other names to keep those. An empty
     table gives an empty table.
     """
-    table_of_rates = rates(df, weights, temperature, epochs)
-    few = len(table_of_rates.select("__source").limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
+    name = own_names(df)
+    inner = [name(c) for c in ("source", "size", "rate", "parts", "cdf")]
+    source, _, _, parts, cdf = inner
+    number, point, n, at, copy, order = (name(c) for c in ("name", "point", "n", "block", "copy", "order"))
+    table_of_rates = rates(df, weights, temperature, epochs).toDF(*inner)
+    few = len(table_of_rates.select(source).limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
     if few:
-        rated = df.join(F.broadcast(table_of_rates), same(F.col("source"), F.col("__source")))
+        rated = df.join(F.broadcast(table_of_rates), same(F.col("source"), F.col(source)))
     else:
         named = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("null"))
-        rated = join_sizes(df.withColumn("__name", named("source")), "__name", "doc_id", table_of_rates.select(named("__source").alias("__name"), "__size", "__parts", "__cdf")).drop("__name", "__size")
-    point = unit_interval(F.lit(seed), F.col("doc_id"))
-    counted = rated.withColumn("__point", point).withColumn("__n", draws(seed)).drop("__cdf", "__parts", "__point", "__source", "__size", "__rate")
-    listed = counted.where("__n > 0").withColumn("__block", F.explode(blocks(F.col("__n"))))
-    copies = listed.withColumn("__copy", F.explode(block(F.col("__block"), F.col("__n")))).drop("__block")
-    keyed = copies.withColumn("__order", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("__copy").cast("string"))))
-    shuffled = keyed.repartition(F.col("__order")).sortWithinPartitions("__order")
+        rated = join_sizes(df.withColumn(number, named("source")), number, "doc_id", table_of_rates.select(named(source).alias(number), name("size"), parts, cdf)).drop(number)
+    drawn = rated.withColumn(point, unit_interval(F.lit(seed), F.col("doc_id")))
+    counted = drawn.withColumn(n, draws(seed, F.col(parts), F.col(cdf), F.col(point))).drop(point, *inner)
+    listed = counted.where(F.col(n) > 0).withColumn(at, F.explode(blocks(F.col(n))))
+    copies = listed.withColumn(copy, F.explode(block(F.col(at), F.col(n)))).drop(at)
+    keyed = copies.withColumn(order, F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy).cast("string"))))
+    shuffled = keyed.repartition(F.col(order)).sortWithinPartitions(order)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (copy_name, n_copies_name)]
-    return shuffled.select(*kept, F.col("__copy").cast("long").alias(copy_name), F.col("__n").cast("long").alias(n_copies_name))
+    return shuffled.select(*kept, F.col(copy).cast("long").alias(copy_name), F.col(n).cast("long").alias(n_copies_name))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

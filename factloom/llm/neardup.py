@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_sizes, pieces, table
+from .common import cut, join_sizes, own_names, pieces, table
 
 #: Identifiers of up to so many documents are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Levels that all large nodes are branched before candidates are confirmed.
 LEVELS_AT_ONCE = 3
-#: A node that has not come apart by this level holds sets that agree nearly everywhere: it is compared whole, whatever its size.
+#: A node that has not come apart by this level holds sets that agree nearly everywhere: it is compared whole, in pairs of blocks that fit in a task.
 LAST_LEVEL = 40
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -220,9 +220,11 @@ def links(docs: DataFrame, classes: DataFrame, how: Join, repeated: bool = False
         mixed = home.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(F.col("node").alias("__node"))
         home = cut(home.join(mixed, F.col("node") == F.col("__node"), "left_semi"))
         held = home.join(classes.select(F.col("rep").alias("__r"), "n"), F.col("rep") == F.col("__r"))
-        sizes = held.groupBy("node").agg((F.count(F.lit(1)) <= how.whole).alias("few"), (F.sum("n") <= how.whole_shingles).alias("short"))
-        within = cut(sizes.select(F.col("node").alias("__node"), (F.col("few") & F.col("short") | F.lit(level >= LAST_LEVEL)).alias("fits")))
-        fits = lambda yes: home.join(within.where(F.col("fits") == yes), F.col("node") == F.col("__node"), "left_semi")
+        share = F.greatest(F.count(F.lit(1)) / how.whole, F.sum("n") / how.whole_shingles)  # of what fits in a task
+        sizes = held.groupBy("node").agg(share.alias("share"))
+        parts = F.when(F.col("share") <= 1, 1).otherwise(F.ceil(2 * F.col("share"))).cast("int")
+        within = cut(sizes.select(F.col("node").alias("__node"), (F.col("share") <= 1) | F.lit(level >= LAST_LEVEL), parts).toDF("__node", "fits", "parts"))
+        fits = lambda yes: home.join(within.where(F.col("fits") == yes), F.col("node") == F.col("__node"))
         if not within.where("fits").isEmpty():
             stars = _joined(stars, cut(exhaust(fits(True), docs, how)))
         rest = cut(fits(False).select("node", "rep"))
@@ -306,9 +308,15 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def exhaust(nodes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
-    """(u, v): confirmed links between components within nodes (node, rep, comp), each node compared whole in one task."""
+    """(u, v): confirmed links between components within nodes (node, rep, comp, parts), each node compared whole.
+
+    A node of one part is one task's. The members of others are dealt into parts, and every two parts meet in a task of their own.
+    """
     texts = _texts(docs, nodes.select(F.col("rep").alias("id")).distinct())
-    rows = nodes.join(texts, F.col("rep") == F.col("id")).select("node", "rep", "comp", "text").repartition("node").sortWithinPartitions("node")
+    own = nodes.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    pairs = F.expr("transform(filter(sequence(0, parts - 1), x -> x <> own or parts = 1), x -> cast(least(x, own) as long) * parts + greatest(x, own))")
+    dealt = own.select("node", F.explode(pairs).alias("pair"), "rep", "comp")
+    rows = dealt.join(texts, F.col("rep") == F.col("id")).select("node", "pair", "rep", "comp", "text").repartition("node", "pair").sortWithinPartitions("node", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links_of(held: list) -> pa.RecordBatch:
@@ -317,10 +325,10 @@ def exhaust(nodes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
 
         node, held = None, []
         for batch in pieces(batches):
-            for name, rep, comp, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                if name != node:
+            for name, pair, rep, comp, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                if (name, pair) != node:
                     yield links_of(held)
-                    node, held = name, []
+                    node, held = (name, pair), []
                 held.append((rep, comp, shingles(text.as_py(), how.words)))
         yield links_of(held)
 
@@ -362,9 +370,10 @@ def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The rows of ``docs``, all columns, of the smallest doc_id of each component; of repeated rows of one doc_id and text, one."""
     judged = cut(near_duplicates(docs.select("doc_id", "text"), how))
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    name = own_names(docs)("gone")
+    gone = judged.where("not kept").select(F.col("doc_id").alias(name)).distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, lines, mixing, neardup, toxicity
-from .common import new_folder, table
+from .common import new_folder, own_names, table
 
 #: Rows in an Arrow batch: whole texts go to Python and back here, and batches lie outside the heap on both sides.
 ROWS_PER_BATCH = 1_000
@@ -39,8 +39,9 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts become empty ones; other columns stay, whatever their names; ``n_chars`` is counted again.
     """
     in_small_batches(spark)
-    different = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    kept = lines.drop_lines(docs, lines.new_state(different), spare_first=True, n_lines="__n_lines", n_dropped="__n_dropped").select(*docs.columns)
+    different = docs.select(F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("doc_id"), "text")  # 128 bits that name the text
+    name = own_names(docs)
+    kept = lines.drop_lines(docs, lines.new_state(different), spare_first=True, n_lines=name("n_lines"), n_dropped=name("n_dropped")).select(*[f"`{c}`" for c in docs.columns])
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
@@ -55,7 +56,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weighed by the square root of their bytes, to one epoch's bytes in all. A null source is a source of its own."""
-    return mixing.mix(docs, copy_name="__copy", n_copies_name="__n_copies").select(*docs.columns)
+    name = own_names(docs)
+    return mixing.mix(docs, copy_name=name("copy"), n_copies_name=name("n_copies")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import own_names, table
 
 #: The largest lookup table that is broadcast: about 12 MB of slot and shard numbers.
 MAX_SLOTS = 1_000_003
@@ -61,18 +61,20 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots: int = 65_537, s
     """
     owner = lookup_table(shards, slots)
     spark = df.sparkSession
-    slots_df = spark.createDataFrame(pa.table({"__slot": np.arange(slots, dtype=np.int32), "__owner": owner}))
+    name = own_names(df)
+    slots_df = spark.createDataFrame(pa.table({name("slot"): np.arange(slots, dtype=np.int32), name("owner"): owner}))
     names = F.array(*[F.lit(s) for s in shards])
     keyed = df.drop(slot_name, shard_name) if key not in (slot_name, shard_name) else df
-    keyed = keyed.withColumn("__key_slot", F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(slots)).cast("int"))
-    placed = keyed.join(F.broadcast(slots_df), F.col("__key_slot") == F.col("__slot"))
-    return placed.withColumn(slot_name, F.col("__slot")).withColumn(shard_name, F.element_at(names, F.col("__owner") + 1)).drop("__key_slot", "__slot", "__owner")
+    keyed = keyed.withColumn(name("key"), F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(slots)).cast("int"))
+    placed = keyed.join(F.broadcast(slots_df), F.col(name("key")) == F.col(name("slot")))
+    return placed.withColumn(slot_name, F.col(name("slot"))).withColumn(shard_name, F.element_at(names, F.col(name("owner")) + 1)).drop(name("key"), name("slot"), name("owner"))
 
 
 def write_shards(placed: DataFrame, path: str, shard_name: str = "shard", files_per_shard: int = 8) -> None:
     """One folder a shard. The rows of a shard are dealt to several writers, so a large shard is no single task."""
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard))
-    placed.withColumn("__salt", salt).repartition(F.col(shard_name), F.col("__salt")).drop("__salt").write.partitionBy(shard_name).parquet(path)
+    name = own_names(placed)("salt")
+    placed.withColumn(name, salt).repartition(F.col(shard_name), F.col(name)).drop(name).write.partitionBy(shard_name).parquet(path)
 
 
 def shard_names(n: int) -> list[str]:

@@ -36,9 +36,7 @@ REMEMBERED = 200_000
 def subwords(token: str) -> list[int]:
     word = "<" + (token.strip(EDGES) or token) + ">"
     n = len(word)
-    if n > 64:  # a run without spaces: its n-grams, each once
-        return list({crc32(word[i : i + k].encode()) % BUCKETS for k in (3, 4, 5) for i in range(n - k + 1)})
-    return [crc32(word[i : i + k].encode()) % BUCKETS for k in (3, 4, 5) for i in range(n - k + 1)] + [crc32(word.encode()) % BUCKETS]
+    return sorted({crc32(word[i : i + k].encode()) % BUCKETS for k in (3, 4, 5) for i in range(n - k + 1)} | {crc32(word.encode()) % BUCKETS})
 
 
 def windows(n: int) -> np.ndarray:

@@ -73,6 +73,19 @@ def test_op3_on_labels_that_it_never_saw(spark):
     assert found[1] >= 0.75 and found[0] <= 0.03, found
 
 
+def test_op12_equals_the_library(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.public_path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op12_rank_bpe"](spark, DATA).collect()}
+    for d, t in texts():
+        ids = library.encode_ordinary(t)
+        assert got[d] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
 def test_op4_equals_a_plain_lookup(spark):
     owner = sharding.lookup_table(sharding.shard_names(64))
     for r in QUERIES["op4_sharding"](spark, DATA).collect():
