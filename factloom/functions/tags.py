@@ -41,7 +41,7 @@ def _parsed(dashed: Column) -> Column:
     base = F.concat(F.when(plant != "", F.concat(plant, F.lit("-"))).otherwise(""), prefix, F.lit("-"), number)
     suffixes = F.filter(F.split(suffix, "/"), lambda s: s != "")
     n = F.size(suffixes)
-    good = (dashed != "") & (F.length(dashed) <= 32) & dashed.rlike(PATTERN) & ~((plant == "") & prefix.isin(NON_TAG_PREFIXES))
+    good = (dashed != "") & (F.length(dashed) <= 32) & dashed.rlike(PATTERN) & ~((plant == "") & prefix.isin(*NON_TAG_PREFIXES))
     return F.when(
         good,
         F.struct(

@@ -15,7 +15,7 @@ def text_of(c: Column | str) -> Column:
 def tokenize(c: Column | str) -> Column:
     """STR1: lower-case runs of ASCII letters and digits, with inner - and /, without stop words and single characters."""
     words = F.regexp_extract_all(F.replace(F.lower(text_of(c)), F.lit("–"), F.lit("-")), F.lit("[a-z0-9]+(?:[-/][a-z0-9]+)*"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def norm_alias(c: Column | str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import request_rules as rules
 from ..functions.tags import find_tags
 from ..functions.text import sentences, text_of
+from ..functions.units import family, find_quantities
 
 
 def matches(c: Column | str, pattern: str) -> Column:
@@ -75,8 +76,34 @@ def subtasks(c: Column | str) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("composition"))).when((F.size(found) > 1) & ~F.array_contains(found, "composition"), F.concat(found, F.array(F.lit("composition")))).otherwise(found)
 
 
+def symptom(c: Column | str) -> Column:
+    """QRY15: struct(variable, direction) of what a request says is wrong, null if nothing: a variable and how it changes, else a plainer wording."""
+    found = lambda k: F.regexp_extract(text_of(c), f"(?i){rules.SYMPTOM}", k)
+    variable = F.regexp_replace(F.trim(found(1)), r"(?i)^\s*(the|its|a|an)\s+", "")
+    said = lambda words: F.lower(found(2)).rlike("|".join(words))
+    direction = F.when(said(rules.DOWNWARD), "low").when(said(rules.UPWARD), "high").otherwise("fluctuating")
+    plain = F.when(first_match(c, rules.SIMPLE_SYMPTOMS).isNotNull(), F.struct(first_match(c, rules.SIMPLE_SYMPTOMS).alias("variable"), first_match(c, rules.SIMPLE_SYMPTOMS, None, 2).alias("direction")))
+    return F.when(found(2) != "", F.struct(variable.alias("variable"), direction.alias("direction"))).otherwise(plain)
+
+
+def quantities(c: Column | str) -> Column:
+    """QRY15: array of struct(value, unit, parameter) of a request: its quantities, or else a bare number after at, to or of, without unit."""
+    named = F.transform(find_quantities(c), lambda q: F.struct(q["value"].alias("value"), q["unit"].alias("unit"), first_family(family(q["unit"])).alias("parameter")))
+    bare = F.regexp_extract(text_of(c), rules.BARE_NUMBER, 1)
+    alone = F.array(F.struct(bare.try_cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("parameter")))
+    return F.when((F.size(named) == 0) & (bare != ""), alone).otherwise(named)
+
+
+def first_family(c: Column) -> Column:
+    """The parameter that quantities of a family are of, null for others."""
+    out = F.when(c == rules.FAMILY_PARAMETERS[0][0], rules.FAMILY_PARAMETERS[0][1])
+    for name, parameter in rules.FAMILY_PARAMETERS[1:]:
+        out = out.when(c == name, parameter)
+    return out
+
+
 def resolve_requests(requests: DataFrame, text: str = "text") -> DataFrame:
-    """QRY15: what a request names: tags, parameter and where, action, scenario, mode, class of equipment, scope, and whether it is restricted.
+    """QRY15: what a request names: tags, parameter and where, action, scenario, mode, class of equipment, scope, symptom, quantities, and whether it is restricted.
 
     Asking to get round a protection is restricted, whatever else is asked.
     """
@@ -84,7 +111,7 @@ def resolve_requests(requests: DataFrame, text: str = "text") -> DataFrame:
     return requests.select(
         "*", find_tags(c).alias("tags"), first_match(c, rules.PARAMETERS).alias("parameter"), first_match(c, rules.PARAMETERS, None, 2).alias("location"),
         first_match(c, rules.ACTIONS).alias("action"), first_match(c, rules.REQUEST_SCENARIOS).alias("scenario"), first_match(c, rules.OPERATING_MODES).alias("mode"),
-        first_match(c, rules.SUBJECT_TYPES).alias("subject_type"), first_match(c, rules.SCOPES).alias("scope"),
+        first_match(c, rules.SUBJECT_TYPES).alias("subject_type"), first_match(c, rules.SCOPES).alias("scope"), symptom(c).alias("symptom"), quantities(c).alias("quantities"),
         F.coalesce(first_match(c, rules.ACTIONS) == "bypass", F.lit(False)).alias("restricted"),
     )
 

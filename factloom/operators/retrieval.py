@@ -70,24 +70,6 @@ def fuse(ranked: list[DataFrame], k: int, anchors: DataFrame | None = None, cons
     return summed.select("request_id", key, (F.col("part") + bonus).alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def jaccard_join(left: DataFrame, right: DataFrame, least: float, key: str = "id", tokens: str = "tokens") -> DataFrame:
-    """JOI6: (left_id, right_id, common, union) of token sets whose Jaccard similarity is at least ``least``.
-
-    Prefix filter: in the order of global frequency, two such sets share one of their rarest tokens; only these meet.
-    """
-    rows = left.select(F.lit("l").alias("side"), key, tokens).unionByName(right.select(F.lit("r").alias("side"), key, tokens))
-    exploded = rows.select("side", key, F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
-    frequency = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = exploded.join(frequency, "token").withColumn("place", F.row_number().over(Window.partitionBy("side", key).orderBy("df", "token")))
-    prefix = ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a = prefix.where("side = 'l'").select("token", F.col(key).alias("left_id"))
-    b = prefix.where("side = 'r'").select("token", F.col(key).alias("right_id"))
-    met = a.join(b, "token").select("left_id", "right_id").distinct()
-    sized = met.join(left.select(F.col(key).alias("left_id"), F.col(tokens).alias("x")), "left_id").join(right.select(F.col(key).alias("right_id"), F.col(tokens).alias("y")), "right_id")
-    out = sized.select("left_id", "right_id", F.size(F.array_intersect("x", "y")).alias("common"), F.size(F.array_union("x", "y")).alias("union"))
-    return out.where(F.col("common") >= F.col("union") * least)
-
-
 def embed(rows: DataFrame, key: str, of: str, dimension: int = 64) -> DataFrame:
     """STC22: (key, embedding): a deterministic embedding where no model is at hand, signed hashed token counts of length one."""
     hashed = rows.select(key, F.explode_outer(text.tokenize(of)).alias("w")).select(key, F.pmod(F.xxhash64("w"), F.lit(2 * dimension)).alias("h"), F.col("w").isNotNull().alias("is"))
@@ -105,14 +87,6 @@ def hybrid(chunks: DataFrame, requests: DataFrame, k: int, key: str, of: str, de
     return fuse([words.select("request_id", key, "rank"), near.select("request_id", key, "rank")], k, anchors, key=key)
 
 
-def best_names(mentions: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
-    """WIN5: (request_id, entity_uid, rank): entities (entity_uid, name, mention_count) whose normal name is the mention's (request_id, mention), most mentioned first."""
-    asked = mentions.select("request_id", text.norm_alias("mention").alias("__k"))
-    known = entities.select("entity_uid", text.norm_alias("name").alias("__k"), "mention_count")
-    w = Window.partitionBy("request_id").orderBy(F.desc(F.least("mention_count", F.lit(200))), "entity_uid")
-    return asked.join(known, "__k").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("request_id", "entity_uid", "rank")
-
-
 def search_names(requests: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
     """WIN6: (request_id, entity_uid, score, rank): the share of a request's words (request_id, text) in an entity's name, in millionths, and its mentions."""
     asked = requests.select("request_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w")).select("request_id", F.size("w").alias("n"), F.explode("w").alias("token"))

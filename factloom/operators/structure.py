@@ -48,7 +48,7 @@ def propagate_merged(cells: DataFrame) -> DataFrame:
 
 
 def pack(rows: DataFrame, doc: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """STC18, STC19: chunk numbers by greedy filling: a row that would pass the budget opens the next chunk. A document streams through one task."""
+    """STC18: chunk numbers by greedy filling: a row that would pass the budget opens the next chunk. A document streams through one task."""
 
     def step(state: dict, part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -62,6 +62,68 @@ def pack(rows: DataFrame, doc: str, order: str, tokens: str, budget: int) -> Dat
     return ordered_fold(rows, doc, [order], "chunk long", lambda: {"chunk": 0, "used": 0}, step)
 
 
+def chunk_elements(elements: DataFrame, doc: str, order: str, target: int = 800, most: int = 1200) -> DataFrame:
+    """STC19: ``elements`` with ``chunk`` (from 0), whether the element ``moved`` on with a procedure, and the ``chunk_heading`` and ``chunk_path`` in force at it.
+
+    Columns used: is_heading, level (null: 2), procedure, step, table (null: none), title, path, parent_heading, tokens (null: 0). A chunk ends
+    before: a heading of level 1 or 2, or a deeper one once it holds half of ``target``, unless it is made of headings alone; a
+    procedure's label (step 0), or its first step without one, once it holds a quarter, a heading right before going with
+    the procedure; an element that would pass ``most``, unless that cuts a table or a procedure, which are cut only beyond twice
+    as much. In force is the last heading's title and path; a chunk that opens without one has its first element's path and parent heading.
+
+    One ordered pass a document: a window tells each element whether it, and the next, starts a procedure, so nothing read
+    has to be taken back; then a fold keeps the open chunk's size and last element, whatever the document's length.
+    """
+    w = Window.partitionBy(doc).orderBy(order)
+    first_step = (F.col("step") == 1) & ~F.coalesce(F.lag("procedure").over(w) == F.col("procedure"), F.lit(False))
+    starts = F.coalesce(F.col("procedure").isNotNull() & ((F.col("step") == 0) | first_step), F.lit(False))
+    told = elements.withColumn("__starts", starts).withColumn("__next", F.coalesce(F.lead("__starts").over(w), F.lit(False)))
+    names = ["is_heading", "level", "procedure", "table", "title", "path", "parent_heading", "tokens", "__starts", "__next"]
+
+    def step(s: dict, part: pd.DataFrame) -> pd.DataFrame:
+        clean = part[names].astype(object)
+        out = []
+        for heading, level, procedure, table, title, path, parent, tokens, begins, before in clean.where(clean.notna(), None).itertuples(index=False, name=None):
+            tokens, heading, moved = tokens or 0, bool(heading), False
+            ends = heading and s["body"] and ((level or 2) <= 2 or s["used"] >= target * 0.5)
+            ends = ends or (begins and s["count"] > 0 and s["used"] >= target * 0.25 and not s["carried"])
+            whole = (s["table"] is not None and s["table"] == table) or (s["procedure"] is not None and s["procedure"] == procedure)
+            ends = ends or (s["count"] > 0 and s["used"] + tokens > most and (not whole or s["used"] + tokens > 2 * most))
+            s["carried"] = False
+            if ends:
+                s.update(chunk=s["chunk"] + 1, used=0, count=0, body=False)
+            if heading:
+                s.update(heading=title, path=path)
+                if before and s["count"] and s["used"] + tokens >= target * 0.25:
+                    moved = True
+                    s.update(chunk=s["chunk"] + 1, used=0, count=0, body=False, carried=True)
+            elif not s["count"]:
+                s.update(heading=parent or s["heading"], path=path)
+            s.update(used=s["used"] + tokens, count=s["count"] + 1, body=s["body"] or not heading, table=table, procedure=procedure)
+            out.append((s["chunk"], moved, s["heading"], s["path"]))
+        chunk, moved, heading, path = zip(*out)
+        return part.assign(chunk=chunk, moved=moved, chunk_heading=heading, chunk_path=path)
+
+    new = lambda: {"chunk": 0, "used": 0, "count": 0, "body": False, "carried": False, "table": None, "procedure": None, "heading": "", "path": ""}
+    return ordered_fold(told, doc, [order], "chunk long, moved boolean, chunk_heading string, chunk_path string", new, step).drop("__starts", "__next")
+
+
+def chunks(placed: DataFrame, doc: str, order: str, page: str | None = None) -> DataFrame:
+    """STC19: a row a chunk of ``chunk_elements``: its ``heading`` and ``path``, number of elements, tokens, first and last of ``page``, tables and procedures.
+
+    A heading that moves on with a procedure has already named the chunk that it leaves.
+    """
+    last = F.struct(F.col(order).alias("at"), F.col("chunk_heading").alias("heading"), F.col("chunk_path").alias("path"))
+    first = F.min(F.struct(F.col(order).alias("at"), "moved", F.col("title").alias("heading"), "path"))
+    pages = [F.min(page).alias("page_start"), F.max(page).alias("page_end")] if page else []
+    made = placed.groupBy(doc, "chunk").agg(
+        F.max(last).alias("__last"), first.alias("__first"), F.count(F.lit(1)).alias("n_elements"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), *pages,
+        F.array_sort(F.collect_set("table")).alias("tables"), F.array_sort(F.collect_set("procedure")).alias("procedures"))
+    after = F.lead("__first").over(Window.partitionBy(doc).orderBy("chunk"))
+    named = made.withColumn("__next", after).withColumn("__named", F.when(F.col("__next.moved"), F.struct(F.col("__next.heading").alias("heading"), F.col("__next.path").alias("path"))).otherwise(F.struct("__last.heading", "__last.path")))
+    return named.withColumn("heading", F.col("__named.heading")).withColumn("path", F.col("__named.path")).drop("__last", "__first", "__next", "__named")
+
+
 def reading_order(lines: DataFrame, page: str, ties: list[str]) -> DataFrame:
     """STR37: ``place`` of text lines (x, y, h) on a page: bands of rows a gap of max(4, 0.6 of the median height) apart, then from the left."""
     gaps = lines.groupBy(page).agg(F.greatest(F.lit(4.0), 0.6 * F.median("h")).alias("__gap"))

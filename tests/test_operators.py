@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import audit, claims, graph, retrieval, security, structure
+from factloom.operators import audit, claims, graph, matching, retrieval, security, structure
 from factloom.streaming import progress
 
 CLAIM = "claim_id string, subject string, predicate string, parameter_role string, location string, operating_mode string, scenario string, pressure_basis string, qualifier string, unit string, numeric_value double, value string, document_id string, page int, chunk_id string, source string, temporal_status string, revision string, confidence double"
@@ -68,7 +68,7 @@ def test_retrieval(spark):
     fused = retrieval.fuse([ranked.select("request_id", "chunk_id", "rank")], 5, spark.createDataFrame([(1, "k4")], "request_id int, chunk_id string"))
     assert [r.chunk_id for r in fused.orderBy("rank").collect()][-1] == "k4"
     sets = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "d"]), (3, ["x"])], "id int, tokens array<string>")
-    assert {(r.left_id, r.right_id) for r in retrieval.jaccard_join(sets, sets, 0.5).collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
+    assert {(r.left_id, r.right_id) for r in matching.similar_sets(sets, sets, 0.5).collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
 
 
 def test_vector_search_takes_any_number_of_queries(spark):
