@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..functions.tags import parse_tag
 from ..functions.vocabulary import STOP_WORDS
+from .graph import settle
 
 #: So many rows of one token meet the other side in one task; a token of more is dealt over several.
 TOKEN_ROWS = 4_096
@@ -81,23 +82,23 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     """
     asked = mentions.select("request_id", F.trim(text.text_of("mention")).alias("mention")).where("mention <> ''").distinct()
     tag = parse_tag(F.replace(F.regexp_replace("mention", r"\s*-\s*", "-"), F.lit(" "), F.lit("")))
-    parsed = asked.withColumn("tag", tag).withColumn("own", F.when(F.col("tag").isNotNull(), text.norm_alias(F.col("tag.canonical")))).withColumn("name", text.norm_alias("mention"))
+    read = settle(asked.withColumn("tag", tag).select("request_id", "mention", "tag.canonical", "tag.parent", (F.col("tag").isNotNull() & F.col("tag.plant").isNull()).alias("bare")))  # parsed once
+    parsed = settle(read.select("request_id", "bare", text.norm_alias("mention").alias("name"), *[F.when(F.col(c).isNotNull(), text.norm_alias(c)).alias(n) for c, n in (("canonical", "own"), ("parent", "parent"))]))
     tier = lambda key, kind, score: F.struct(key.alias("key"), F.lit(kind).alias("tier"), F.lit(score).alias("score"))
-    parent = F.when(F.col("tag.parent").isNotNull(), text.norm_alias(F.col("tag.parent")))
-    ending = F.when(F.col("tag").isNotNull() & F.col("tag.plant").isNull(), F.concat(F.lit("\t"), F.col("own")))
-    tiers = F.array(tier(F.col("own"), "tag", 1.0), tier(parent, "parent", 0.9), tier(F.col("name"), "alias", 0.95), tier(ending, "suffix", 0.8))
+    ending = F.when(F.col("bare"), F.concat(F.lit("\t"), F.col("own")))
+    tiers = F.array(tier(F.col("own"), "tag", 1.0), tier(F.col("parent"), "parent", 0.9), tier(F.col("name"), "alias", 0.95), tier(ending, "suffix", 0.8))
     keys = parsed.select("request_id", F.explode(tiers).alias("t")).select("request_id", "t.*").where("key is not null and key <> ''")
-    known = aliases.select("entity_uid", text.norm_alias("alias").alias("key")).where("key <> ''").distinct()
+    known = settle(aliases.select("entity_uid", text.norm_alias("alias").alias("key")).where("key <> ''").distinct())
     parts = F.split("key", "-")
     endings = known.where(F.size(parts) > 1).select("entity_uid", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("\t"), F.array_join(F.slice(parts, i, 64), "-")))).alias("key"))
     hits = keys.join(known.unionByName(endings).distinct(), "key").select("request_id", "entity_uid", "tier", "score")
     exact = F.max(F.col("tier").isin("tag", "parent")).over(Window.partitionBy("request_id"))
-    direct = hits.withColumn("exact", exact).where("tier <> 'suffix' or not exact").drop("exact")
+    direct = settle(hits.withColumn("exact", exact).where("tier <> 'suffix' or not exact").drop("exact"))
     lacking = parsed.join(direct.select("request_id").distinct(), "request_id", "left_anti")
     wanted = set_classes(lacking.select("request_id", F.array_except(words_of_key(F.col("name")), F.array(*[F.lit(w) for w in STOP_WORDS])).alias("tokens")), "request_id").where("size(tokens) > 0")
     offered = set_classes(known.where(~F.contains("key", F.lit("-")) | (F.size(words_of_key(F.col("key"))) > 2)).select("key", words_of_key(F.col("key")).alias("tokens")).distinct(), "key")
     sets = lambda df: df.select(F.col("class_id").alias("id"), "tokens").distinct()
-    pairs = similar_sets(sets(wanted), sets(offered), 0.5, contained=2)
+    pairs = similar_sets(settle(sets(wanted)), settle(sets(offered)), 0.5, contained=2)
     near = pairs.join(wanted.select("request_id", F.col("class_id").alias("left_id")), "left_id").join(offered.select("key", F.col("class_id").alias("right_id")), "right_id")
     fuzzy = near.join(known, "key").select("request_id", "entity_uid", F.lit("fuzzy").alias("tier"), (0.5 + 0.4 * F.col("common") / F.col("union")).alias("score"))
     best = direct.unionByName(fuzzy).groupBy("request_id", "entity_uid").agg(F.max("score").alias("score"), F.max_by("tier", "score").alias("tier"))

@@ -45,8 +45,32 @@ FAULTS = "SELECT p_partkey AS chunk_id, concat(CASE p_partkey % 5 WHEN 0 THEN 'T
 query("qry8_diagnosis", f"""SELECT chunk_id, s AS sentence, kind, CAST(1 AS INT) AS rank FROM (SELECT chunk_id, string_split(text, '. ')[1] || '.' AS s, ['cause', 'check', 'action'][chunk_id % 5 + 1] AS kind FROM ({FAULTS}) x WHERE chunk_id % 5 < 3)""")(
     lambda t: requests.diagnosis(t.sql(FAULTS), "chunk_id", "text"))
 query("qry11_explanation", BM25.replace("rank <= 10", "rank <= 6"))(lambda t: retrieval.bm25(t.documents, t.benchmark.select(F.col("item_id").alias("request_id"), "text"), 6, key="doc_id").select("request_id", "doc_id", "rank"))
-query("qry17_plan_steps", f"WITH p AS (SELECT request_id, {TASKS} AS task FROM prompts_v), s AS (SELECT * FROM {values(plans.template_rows(), 'task, step, agent, needs')}) SELECT request_id, p.task, CAST(step AS INT) AS step, agent, needs FROM p JOIN s ON s.task = CASE WHEN p.task IN (SELECT task FROM s) THEN p.task ELSE 'lookup' END")(
-    lambda t: plans.template_steps(requests.classify_tasks(t.prompts_v)))
+TASK_LIST = list(plans.TEMPLATES)
+SECONDARY = ["", "procedure", "safety,cross_document,provenance", "limits", "conflict,planning", "troubleshooting,procedure,report", "provenance,cross_document", "safety,limits,planning"]
+ASKED = f"""SELECT p_partkey AS request_id, CASE p_partkey % 16 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TASK_LIST))} ELSE 'poetry' END AS task, CASE p_size % 8 {' '.join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(SECONDARY))} END AS listed,
+  p_partkey % 3 = 0 AS has_entity, p_size % 5 < 2 AS has_value, p_partkey % 4 = 0 AS has_mentions, p_size % 7 = 0 AS wants_report FROM part"""
+needs_text = lambda needs: ",".join(needs)
+STEP_ROWS = [(t, i, s[0], s[1], needs_text(s[2]), s[3], s[4]) for t, steps in plans.TEMPLATES.items() for i, s in enumerate(steps)]
+EXTRA_ROWS = [(t, key, i, s[0], s[1], needs_text(s[2]), s[3], s[4]) for i, (t, key, s) in enumerate(plans.EXTENSIONS)]
+PLANNED = f"""WITH q AS ({ASKED}), t0 AS (SELECT request_id, q.task, i, step, agent, needs, mode, flags FROM q JOIN {values(STEP_ROWS, 'task, i, step, agent, needs, mode, flags')} ON r.task = CASE WHEN q.task = 'poetry' THEN 'lookup' ELSE q.task END
+    WHERE (NOT contains(flags, 'e') OR has_entity) AND (NOT contains(flags, 'v') OR has_value) AND (NOT contains(flags, 'n') OR NOT has_value)),
+  a AS (SELECT request_id, coalesce(arg_min(step, i) FILTER (WHERE agent IN ('lookup', 'procedure', 'diagnostic')), arg_max(step, i)) AS anchor, list(agent) AS agents FROM t0 GROUP BY request_id),
+  l AS (SELECT request_id, unnest(string_split(listed, ',')) AS task, generate_subscripts(string_split(listed, ','), 1) AS pos FROM q WHERE listed <> '' AND q.task <> 'ambiguous'),
+  x AS (SELECT l.request_id, pos, r.i, r.key, r.step, r.agent, replace(r.needs, '@', anchor) AS needs, r.mode, r.flags FROM l JOIN {values(EXTRA_ROWS, 'task, key, i, step, agent, needs, mode, flags')} ON r.task = l.task JOIN a ON a.request_id = l.request_id JOIN q ON q.request_id = l.request_id
+    WHERE NOT list_contains(agents, r.key) AND (NOT contains(r.flags, 'e') OR q.has_entity) QUALIFY pos = min(pos) OVER (PARTITION BY l.request_id, r.key)),
+  u AS (SELECT request_id, i AS o, step, agent, needs, mode, flags FROM t0 UNION ALL SELECT request_id, 100 + pos * 20 + i, step, agent, needs, mode, flags FROM x),
+  m AS (SELECT * FROM u UNION ALL SELECT q.request_id, 900, 'assemble2', 'planner', (SELECT string_agg(step, ',' ORDER BY o) FROM (SELECT step, o FROM u WHERE u.request_id = q.request_id AND agent <> 'planner' ORDER BY o DESC LIMIT 6) z), 'assemble', 'o' FROM q
+    WHERE q.task NOT IN ('ambiguous', 'planning') AND list_contains(string_split(listed, ','), 'planning')),
+  n AS (SELECT * FROM m UNION ALL SELECT q.request_id, 901, 'report2', 'report', (SELECT string_agg(step, ',' ORDER BY o) FROM (SELECT step, o FROM m WHERE m.request_id = q.request_id AND agent <> 'report' ORDER BY o DESC LIMIT 8) z), 'assemble', 'o' FROM q
+    WHERE q.task NOT IN ('ambiguous', 'report') AND (list_contains(string_split(listed, ','), 'report') OR wants_report)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY o)::INT AS place FROM n QUALIFY place <= 12), ids AS (SELECT request_id, list(step) AS ids FROM p GROUP BY request_id)
+  SELECT p.request_id, place, step, agent, array_to_string(list_filter(string_split(needs, ','), lambda d: list_contains(ids, d)), ',') AS needs, mode, contains(flags, 'o') OR (agent IN ('graph', 'procedure', 'calculation') AND NOT has_entity AND NOT has_mentions) AS optional, contains(flags, 's') AS safety
+  FROM p JOIN ids ON ids.request_id = p.request_id JOIN q ON q.request_id = p.request_id"""
+query("qry17_plan_steps", PLANNED)(
+    lambda t: plans.plan_steps(t.sql(ASKED).withColumn("secondary", F.expr("filter(split(listed, ','), x -> x <> '')"))).withColumn("needs", F.array_join("needs", ",")))
+query("qry17_task_plans", f"WITH p AS (SELECT request_id, {TASKS} AS task FROM prompts_v), s AS (SELECT * FROM {values(STEP_ROWS, 'task, i, step, agent, needs, mode, flags')}) SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY i) AS INT) AS place, step, needs FROM p JOIN s ON s.task = p.task WHERE NOT contains(flags, 'e') AND NOT contains(flags, 'v')")(
+    lambda t: plans.plan_steps(requests.classify_tasks(t.prompts_v).select("request_id", "task", F.lit(None).cast("array<string>").alias("secondary"), *[F.lit(False).alias(x) for x in ("has_entity", "has_value", "has_mentions", "wants_report")]))
+    .select("request_id", "place", "step", F.array_join("needs", ",").alias("needs")))
 query("aud5_verify_all", "SELECT count(DISTINCT user_id) AS n_logs, count(*) AS n_entries, true AS all_hold FROM events")(
     lambda t: audit.verify(audit.append(t.sql(LOG), "user_id", ["event_id"]), "user_id").agg(F.count(F.lit(1)).alias("n_logs"), F.sum("n").alias("n_entries"), F.min("holds").alias("all_hold")))
 query("src12_log_appended", "SELECT event_id, event_type FROM events")(lambda t: files.appended(t.events.select("event_id", "event_type").where("event_id % 2 = 0"), t.events.select("event_id", "event_type").where("event_id % 2 = 1")))

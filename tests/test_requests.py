@@ -73,12 +73,37 @@ def test_procedures_and_prerequisites(spark):
     assert sorted((r.sequence, r.text) for r in out.collect()) == [(1, "Check the level"), (10, "Confirm it is lined up before start")]
 
 
-def test_plans(spark):
-    steps = plans.template_steps(spark.createDataFrame([(1, "limits"), (2, "poetry")], "request_id int, task string"))
-    assert steps.where("request_id = 1").count() == 5 and [r.agent for r in steps.where("request_id = 2").orderBy("step").collect()] == ["resolve", "retrieve", "lookup", "verify"]
-    states = spark.createDataFrame([(1, 1, "done"), (1, 2, "failed")], "request_id int, step int, state string")
-    assert {(r.request_id, r.step) for r in plans.ready(steps, states).collect()} == {(1, 3), (2, 1)}
+PLAN = "request_id int, task string, secondary array<string>, has_entity boolean, has_value boolean, has_mentions boolean, wants_report boolean"
+
 
+def test_plans(spark):
+    asked = [
+        (1, "limits", None, True, True, False, False), (2, "poetry", [], False, False, None, None), (3, "limits", [], False, False, False, False), (4, "troubleshooting", ["procedure", "conflict", "cross_document", "provenance", "planning", "report"], False, False, False, False),
+        (5, "lookup", ["procedure", "safety", "limits"], True, False, False, True), (6, "ambiguous", ["safety"], False, False, False, True), (7, "graph", ["limits"], False, False, True, False), (8, "comparison", ["troubleshooting"], False, False, False, False),
+    ]
+    steps = plans.plan_steps(spark.createDataFrame(asked, PLAN))
+    out = {}
+    for r in steps.orderBy("request_id", "place").collect():
+        out.setdefault(r.request_id, []).append(r)
+    names = {k: [r.step for r in v] for k, v in out.items()}
+    assert names[1] == ["claims", "revision", "compare", "safety"] and names[3] == ["claims", "revision", "consequences"] and names[2] == ["lookup"]
+    assert [r.place for r in out[4]] == list(range(1, 13)) and names[4][9:] == ["conf2", "refs2", "assemble2"]  # the report would be the thirteenth
+    assert out[4][11].needs == ["actions", "topology", "procs", "safety", "conf2", "refs2"] and out[4][9].needs == ["identify"]
+    assert {r.step for r in out[4] if r.optional} == {"normal", "topology", "procs", "conf2", "refs2", "assemble2"}
+    assert names[5] == ["lookup", "conflicts", "procs2", "steps2", "safety2", "limits2", "report2"] and out[5][6].needs == names[5][:6] and out[5][3].needs == ["procs2"]
+    assert names[6] == ["clarify"] and names[7] == ["lookup"] and names[8][3:] == ["upset2", "causes2"] and out[8][3].needs == ["revision"]
+    assert all(set(r.needs) <= {x.step for x in v} for v in out.values() for r in v)
+    assert plans.plan_steps(spark.createDataFrame([], PLAN)).count() == 0
+    states = spark.createDataFrame([(1, "claims", "done"), (3, "claims", "failed")], "request_id int, step string, state string")
+    assert {(r.request_id, r.step) for r in plans.ready(steps, states).collect() if r.request_id in (1, 3)} == {(1, "revision"), (1, "compare"), (3, "revision"), (3, "consequences")}
+
+
+def test_a_failed_step_gets_a_fallback(spark):
+    steps = plans.plan_steps(spark.createDataFrame([(1, "procedure", [], True, False, False, False), (2, "lookup", [], True, False, False, False)], PLAN))
+    failed = spark.createDataFrame([(1, "find"), (2, "conflicts")], "request_id int, step string")  # the second is optional
+    out = {(r.request_id, r.step): r for r in plans.replan(steps, failed).collect()}
+    assert (out[1, "fb1"].agent, out[1, "fb1"].mode, out[1, "fb1"].place) == ("explanation", "support", 6) and (2, "fb1") not in out
+    assert all(out[1, s].needs == ["fb1"] and out[1, s].optional for s in ("prereq", "steps", "refs")) and out[1, "safety"].needs == ["prereq", "steps"] and not out[1, "safety"].optional
 
 def test_diagnosis(spark):
     text = "The low flow is caused by a choked strainer. Check the suction gauge of the pump. Short leak. The valve has to be opened very slowly. Check the suction gauge of the pump."
