@@ -121,11 +121,14 @@ def upsert_entities(mentions: DataFrame) -> DataFrame:
     known = F.when(~F.coalesce(F.lower("entity_type"), F.lit("unknown")).isin(*UNKNOWN_TYPES), F.struct("seq", "entity_type"))
     told = F.when(F.coalesce("evidence", F.lit("")) != "", F.struct("seq", "evidence"))
     out = mentions.groupBy("uid").agg(
-        F.min(F.struct("seq", "name"))["name"].alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name")))))).alias("aliases"),
+        F.min(F.struct("seq", "name"))["name"].alias("name"),
         F.coalesce(F.min(known)["entity_type"], F.min(F.struct("seq", "entity_type"))["entity_type"]).alias("entity_type"), F.array_sort(F.collect_set("document_id")).alias("document_ids"),
         F.max("confidence").alias("confidence"), F.min(told)["evidence"].alias("evidence"), F.count(F.lit(1)).alias("mention_count"),
     )
-    return out.withColumn("aliases", F.filter("aliases", lambda a: (a != "") & (a != F.col("name"))))
+    names = mentions.select(F.col("uid").alias("__uid"), F.explode(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))).alias("__a")).distinct()  # before any list is made
+    listed = names.groupBy("__uid").agg(F.array_sort(F.collect_set("__a")).alias("aliases"))
+    united = out.join(listed, F.col("uid").eqNullSafe(F.col("__uid")), "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    return united.select("uid", "name", F.filter("aliases", lambda a: (a != "") & (a != F.col("name"))).alias("aliases"), "entity_type", "document_ids", "confidence", "evidence", "mention_count")
 
 
 def schema_issues(entities: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from .graph import settle, settled
 from .joins import few
 
-#: Up to so many query vectors are broadcast at once.
-BROADCAST_QUERIES = 1_000
+#: Bytes of double-precision components in a block of vectors.
+BLOCK_BYTES = 8 << 20
 
 
 def bm25(chunks: DataFrame, requests: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, key: str = "chunk_id", of: str = "text") -> DataFrame:
@@ -36,24 +37,39 @@ def bm25(chunks: DataFrame, requests: DataFrame, k: int, k1: float = 1.5, b: flo
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """WIN2: exact dot products of all vectors with all query vectors (request_id, q), best k each.
+    """WIN2: (request_id, key, score, rank): exact dot products of all vectors (key, embedding) with all query vectors (request_id, q), best k each, ties by key.
 
-    Up to ``BROADCAST_QUERIES`` queries are broadcast; more are dealt by a hash of request_id into blocks of about half
-    as many, each broadcast in turn and its result written to the shared folder.
+    Vectors and queries are dealt into blocks of bounded bytes; a block of scores is one matrix product, and only its k best
+    a query leave it. Null vectors and those with null components take no part; vectors meet those of their length.
     """
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    ids = {"request_id": queries.schema["request_id"].dataType.simpleString(), key: vectors.schema[key].dataType.simpleString()}
+    sound = lambda df, own, v: df.select(F.col(own), F.col(v).cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)").withColumn("d", F.size("v"))
+    stored, asked = sound(vectors, key, "embedding"), sound(queries, "request_id", "q")
+    blocks = lambda df: max(1, -(-(df.agg(F.sum("d")).first()[0] or 0) * 8 // BLOCK_BYTES))
+    parts, asks = blocks(stored), blocks(asked)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda own, n: F.pmod(F.xxhash64(own), F.lit(n)).cast("int")
+    left = stored.withColumn("part", dealt(key, parts)).withColumn("ask", numbers(asks))
+    right = asked.withColumn("ask", dealt("request_id", asks)).withColumn("part", numbers(parts))
+
+    def best(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(rows) and len(some):
+            x, own = np.stack(rows.v.to_numpy()), rows[key].to_numpy()
+            for at in range(0, len(some), 256):
+                part = some.iloc[at : at + 256]
+                q = np.stack(part.v.to_numpy())
+                for request, v, near in zip(part.request_id, q, q @ x.T):
+                    least = np.partition(near, -k)[-k] if len(near) > k else -np.inf
+                    close = np.flatnonzero(near >= least - 1e-9 * (1 + abs(least))) if np.isfinite(least) else np.arange(len(near))
+                    exact = (x[close] * v).sum(1)  # in one order of additions, whatever the block
+                    first = np.lexsort((own[close], -exact))[:k]
+                    found.append(pd.DataFrame({"request_id": request, key: own[close][first], "score": exact[first]}))
+        return pd.concat(found) if found else pd.DataFrame({"request_id": some.request_id[:0], key: rows[key][:0], "score": np.empty(0)})
+
+    met = left.groupBy("d", "part", "ask").cogroup(right.groupBy("d", "part", "ask")).applyInPandas(best, ", ".join([*(f"`{n}` {t}" for n, t in ids.items()), "score double"]))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), key)
-
-    def best(some: DataFrame) -> DataFrame:
-        return vectors.crossJoin(F.broadcast(some)).select("request_id", key, dot.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        return best(queries)
-    asked = settle(queries.select("request_id", "q"))
-    n = -(-asked.count() * 2 // BROADCAST_QUERIES)
-    dealt = settle(asked.withColumn("block", F.pmod(F.xxhash64("request_id"), F.lit(n)).cast("int")))
-    paths = [settled(best(dealt.where(F.col("block") == i).drop("block"))) for i in range(n)]
-    return vectors.sparkSession.read.schema(best(asked).schema).parquet(*paths)
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(ranked: list[DataFrame], k: int, anchors: DataFrame | None = None, constant: int = 60, key: str = "chunk_id") -> DataFrame:

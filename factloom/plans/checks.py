@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import checks as op
+from ..operators import grounding
 from ..operators import tables
 from .registry import query
 
@@ -31,8 +32,17 @@ EVIDENCE = "SELECT chunk_id AS evidence_key, 'It reads 1 or 2 or 4, at 1250.0.'
 query("val14_answer_verification", """WITH s AS (SELECT document_id AS answer_id, page, CASE WHEN page % 3 = 0 THEN 1250 ELSE value::DOUBLE END AS claimed, value::DOUBLE AS cited FROM claims_v),
   h AS (SELECT answer_id, page <> 5 AND (page IN (1, 2, 4) OR page = cited OR page = 1250) AND (claimed IN (1, 2, 4, 1250) OR claimed = cited) AS holds FROM s) SELECT answer_id, count(*) AS checked, count(*) FILTER (WHERE holds) AS held, count(*) FILTER (WHERE holds) / count(*) AS score FROM h GROUP BY answer_id""")(
     lambda t: op.verify_answers(t.sql(STATEMENTS), t.sql(EVIDENCE)))
-query("val15_composer_grounding", "SELECT c.claim_id FROM claims_v c WHERE NOT EXISTS (SELECT 1 FROM claims_v d WHERE d.subject = c.subject AND d.document_id = c.document_id AND d.numeric_value = c.numeric_value AND d.claim_id <> c.claim_id) AND c.numeric_value > 48")(
+query("val15_uncorroborated", "SELECT c.claim_id FROM claims_v c WHERE NOT EXISTS (SELECT 1 FROM claims_v d WHERE d.subject = c.subject AND d.document_id = c.document_id AND d.numeric_value = c.numeric_value AND d.claim_id <> c.claim_id) AND c.numeric_value > 48")(
     lambda t: op.uncorroborated(t.claims_v, F.col("numeric_value") > 48).select("claim_id"))
+COMPOSED = """SELECT p_partkey AS answer_id, concat('The unit runs at ', CAST(p_size AS STRING), '.0 and ', CAST(60 + p_partkey % 5 AS STRING), ' with ', tag, ' (', CASE p_partkey % 5 WHEN 0 THEN 'boiler feed tank' WHEN 1 THEN p_name WHEN 2 THEN 'normal' WHEN 3 THEN concat('atmospheric ', p_name) ELSE 'A/B' END, ') and 99-X-1') AS answer,
+  concat('Rated ', CAST(p_size AS STRING), ', 61 at ', tag) AS brief, concat('e', CAST(p_partkey AS STRING)) AS entity_uid, tag AS canonical_tag, CASE WHEN p_partkey % 5 = 3 THEN concat('vacuum ', p_name) ELSE p_name END AS name, 'Pump' AS entity_type, 3 AS mention_count, p_size, p_partkey, p_name
+  FROM (SELECT *, concat(CAST(10 + p_partkey % 3 AS STRING), '-P-', lpad(CAST(p_partkey % 40000 AS STRING), 5, '0')) AS tag FROM part) t"""
+query("val15_composer_grounding", f"""SELECT answer_id, list_sort(list_filter(list_distinct([60.0 + p_partkey % 5, 99.0, 1.0]::DOUBLE[]), lambda x: x NOT IN (p_size, 61, 10 + p_partkey % 3, p_partkey % 40000))) AS figures, ['99-X-1'] AS tags FROM ({COMPOSED}) c""")(
+    lambda t: grounding.unsupported(t.sql(COMPOSED)).select("answer_id", "figures", "tags"))
+query("val15_misnamed_tags", f"""WITH c AS (SELECT *, list_distinct(regexp_extract_all(CASE p_partkey % 5 WHEN 0 THEN 'boiler feed tank' WHEN 1 THEN p_name WHEN 3 THEN 'atmospheric ' || p_name ELSE '' END, '[a-z]{{4,}}')) AS w, lower(name || ' pump ' || canonical_tag) AS documented FROM ({COMPOSED}) x),
+  s AS (SELECT *, len(list_filter(w, lambda v: contains(documented, v))) AS shared FROM c WHERE len(w) > 0)
+  SELECT answer_id, canonical_tag AS tag, CASE WHEN shared * 2 < len(w) THEN 'name' ELSE 'qualifier' END AS kind FROM s WHERE shared * 2 < len(w) OR p_partkey % 5 = 3""")(
+    lambda t: (lambda c: grounding.misnamed(c, c.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias")), c).select("answer_id", "tag", "kind"))(t.sql(COMPOSED)))
 query("val17_draft_flags", "SELECT value, unit, document_id, min(claim_id) AS claim_id, count(*) AS n FROM claims_v WHERE grounding = 'weak' GROUP BY value, unit, document_id")(lambda t: op.draft_flags(t.claims_v))
 query("val10_representative_tables", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 20 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END DESC, p_partkey) = 1")(
     lambda t: op.representative(t.part, "p_brand", "p_partkey", F.when(F.col("p_size") > 20, 3).otherwise(0) + F.when(F.col("p_type").contains("STEEL"), 1).otherwise(0)))
