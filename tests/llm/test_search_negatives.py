@@ -176,3 +176,14 @@ def test_crowd_is_compared_in_pairs_of_blocks(spark, monkeypatch):
     ids = spark.createDataFrame([(1, r[0], r[0], 5) for r in rows], "node long, rep long, comp long, parts int")
     found = {(r.u, r.v) for r in neardup.exhaust(ids, docs, neardup.Join(words=3, percent=85)).collect()}
     assert found == {(i, 1000 + i) for i in range(0, 240, 6)}
+
+
+def test_words_of_any_length_follow_one_rule():
+    """A word's subwords are its distinct n-grams of 3 to 5 characters and the word, however long it is."""
+    from zlib import crc32
+
+    from factloom.llm import toxicity
+
+    for word in ("a", "aaaa", "x" * 63, "x" * 64, "ab" * 60, "abc" * 30_000):
+        w = f"<{word}>"
+        assert toxicity.subwords(word) == sorted({crc32(x.encode()) % toxicity.BUCKETS for x in [w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1)] + [w]})
