@@ -91,3 +91,19 @@ def is_non_entity_name(c: Column | str) -> Column:
     t = F.trim(text_of(c))
     plain = F.trim(F.regexp_replace(F.lower(t), "[^a-z]+", " "))
     return (t == "") | is_numeric_like(t) | t.rlike("^(?i:IBP|FBP|EP|[0-9]{1,3} ?(?:%|vol ?%))$") | plain.isin(*GENERIC_SUBJECTS)
+
+
+def title_case(c: Column | str) -> Column:
+    """EXT13: every run of letters with a capital first and small letters after, null as null."""
+    col = F.col(c) if isinstance(c, str) else c
+    runs = F.regexp_extract_all(col, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.length(x))))), "")
+
+
+def display_name(c: Column | str, acronyms: tuple[str, ...]) -> Column:
+    """EXT13: a name all in capitals or all in small letters in title case, its words of ``acronyms`` in capitals again."""
+    col = F.col(c) if isinstance(c, str) else c
+    cased = F.lower(col) != F.upper(col)
+    shown = F.when(cased & ((col == F.upper(col)) | (col == F.lower(col))), title_case(col)).otherwise(col)
+    parts = F.regexp_extract_all(shown, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.isin(*acronyms), F.upper(x)).otherwise(x)), "")

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 
 def _registered():
-    from . import checks, claims, documents, elements, entities, extraction, graph, registry, requests, rest, streams, text  # noqa: F401
+    from . import checks, claims, documents, elements, entities, extraction, graph, index, registry, requests, rest, streams, text  # noqa: F401
 
     return registry
 
