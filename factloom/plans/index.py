@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import ACRONYMS
-from ..operators import index
+from ..functions.vocabulary import ACRONYMS, DOCUMENT_TYPES
+from ..operators import index, registers
 from .registry import query
 
 DRAFTS = "SELECT concat('e', CAST(p_partkey % 90 AS STRING)) AS entity_uid, max(CASE WHEN p_partkey % 90 % 4 > 0 THEN concat('11-P-', CAST(p_partkey % 90 AS STRING)) ELSE '' END) AS canonical_tag, min(p_name) AS name, min(p_type) AS entity_type FROM part GROUP BY p_partkey % 90"
@@ -38,3 +38,52 @@ query("gra11_context_facets", f"""WITH c AS ({AROUND}), e AS ({THINGS}), a AS ({
     lambda t: index.context_facets(t.sql(AROUND), t.sql(THINGS), t.sql(CALLED), t.sql(FACTS), t.relations_v, t.sql(TERMS)).withColumn("items", F.array_join("items", "|")))
 query("gra11_similar_chunks", """SELECT q.vec_id AS chunk_id, e.vec_id AS near, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS INT) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id QUALIFY rank <= 3""")(
     lambda t: (lambda v: index.nearest_chunks(v, v.where("chunk_id % 100 = 0")))(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")).select("chunk_id", "near", "rank"))
+
+REGISTER = """SELECT concat('d', CAST(l_suppkey % 20 AS STRING)) AS document_id, l_orderkey AS place, CAST(row_number() OVER (PARTITION BY l_suppkey % 20, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INT) AS row, l_orderkey % 90 AS page, CASE l_orderkey % 9 WHEN 0 THEN '1|Standing Instruction No|Remark status|Title of it|Date' WHEN 1 THEN 'SN|STANDING INSTRUCTION NO.|TITLE|DATE|Expired / Incorporated'
+    WHEN 2 THEN 'a|PROD / SI / 12' WHEN 3 THEN 'no number|here|at all' ELSE '' END AS head, concat(CAST(l_linenumber AS STRING), '|', CASE WHEN l_partkey % 7 > 0 THEN concat('ab / prod N / si/', CAST(100 + l_partkey % 300 AS STRING)) ELSE 'none' END, '| T  ', CAST(l_partkey AS STRING), '|D', CAST(l_suppkey AS STRING), '|', CASE l_partkey % 5 WHEN 0 THEN 'Expired' WHEN 1 THEN 'now INVALID' WHEN 2 THEN 'Incorporated in Chapter - 12' WHEN 3 THEN 'in force' ELSE 'see chapter7' END) AS line FROM lineitem"""
+REGISTER_ROWS = f"SELECT document_id, place, row, page, CASE WHEN row = 0 AND head <> '' THEN head ELSE line END AS line FROM ({REGISTER}) x"
+PLACED = "coalesce(nullif(list_position(list_transform(low, lambda x: {0}), true), 0), {1})"
+query("stc9_standing_instructions", f"""WITH r AS (SELECT document_id, place, "row", page, string_split(line, '|') AS cells FROM ({REGISTER_ROWS.replace(' row,', ' "row",').replace('WHEN row ', 'WHEN "row" ').replace('AS row,', 'AS "row",')}) y), f AS (SELECT *, list_transform(cells, lambda x: lower(x)) AS low FROM r WHERE "row" = 0 AND len(cells) >= 3),
+  h AS (SELECT document_id, place, len(list_filter(low, lambda x: contains(x, 'standing instruction'))) > 0 AS headed, len(list_filter(cells, lambda x: regexp_matches(x, '{registers.INSTRUCTION}'))) > 0 AS numbered,
+    [{PLACED.format("contains(x, 'title')", 3)}, {PLACED.format("contains(x, 'date')", 4)}, {PLACED.format("contains(x, 'expired') OR contains(x, 'incorporated') OR contains(x, 'status')", 'len(cells)')}] AS own FROM f),
+  u AS (SELECT *, last_value(CASE WHEN headed THEN own END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY place) AS pos FROM h), c AS (SELECT document_id, place, "row", page, list_transform(cells, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS cells FROM r),
+  n AS (SELECT c.*, pos, upper(regexp_replace(regexp_extract(list_filter(cells, lambda x: regexp_matches(x, '{registers.INSTRUCTION}'))[1], '{registers.INSTRUCTION}'), '\\s+', '', 'g')) AS number FROM c JOIN u ON u.document_id = c.document_id AND u.place = c.place WHERE (headed OR numbered AND pos IS NOT NULL) AND NOT (headed AND "row" = 0)),
+  k AS (SELECT document_id, number, coalesce(cells[pos[1]], '') AS title, coalesce(cells[pos[2]], '') AS issue_date, coalesce(cells[pos[3]], '') AS remark, page FROM n WHERE number <> '' QUALIFY row_number() OVER (PARTITION BY document_id, number ORDER BY place, "row") = 1)
+  SELECT *, CASE WHEN remark ILIKE '%expired%' THEN 'expired' WHEN remark ILIKE '%invalid%' OR remark ILIKE '%cancel%' THEN 'cancelled' WHEN remark ILIKE '%incorporated%' THEN 'incorporated' ELSE 'in_use' END AS status, coalesce(regexp_extract(remark, '{registers.IN_CHAPTER}', 1), '') AS chapter FROM k""")(
+    lambda t: registers.standing_instructions(t.sql(REGISTER_ROWS).withColumn("cells", F.split("line", "[|]"))))
+
+PAGED = """SELECT concat('d', CAST(o_custkey % 40 AS STRING)) AS document_id, CAST(1 + o_orderkey % 60 AS INT) AS page, o_orderkey AS reading_order, CAST(CASE WHEN o_custkey % 40 < 3 THEN 0 WHEN o_orderkey % 9 = 0 AND o_custkey % 40 > 20 THEN 1 WHEN o_orderkey % 9 < 3 THEN 2 ELSE 0 END AS INT) AS heading_level,
+  concat(CASE WHEN o_orderkey % 9 < 2 AND o_custkey % 3 = 0 THEN ' Section ' ELSE ' T' END, CAST(o_orderkey AS STRING), CASE WHEN o_custkey % 40 = 5 THEN ' Process Flow sheet' WHEN o_custkey % 40 = 6 AND o_orderkey % 3 = 0 THEN ' MSDS' WHEN o_orderkey % 271 = 1 THEN ' O&M Manual' WHEN o_orderkey % 50 = 3 THEN ' corrosion' ELSE '' END,
+  CASE o_orderkey % 7 WHEN 0 THEN concat(' P-', CAST(o_orderkey % 400 AS STRING), 'A') WHEN 1 THEN concat(' V-', CAST(o_orderkey % 90 AS STRING), ', P-12') ELSE '' END) AS content FROM orders"""
+BOXED = """SELECT document_id, place, CAST(k AS INT) AS row, CAST(row_number() OVER (PARTITION BY document_id, place, k ORDER BY p, s, q) - 1 AS INT) AS col, CASE p % 11 WHEN 0 THEN 'OPERATING  MANUAL' WHEN 1 THEN 'Plant Name' WHEN 2 THEN 'ATMOSPHERIC UNIT' WHEN 3 THEN 'Rev 3' WHEN 4 THEN 'ab' WHEN 5 THEN 'UNIT NO' WHEN 6 THEN 'Crude unit' ELSE CASE p % 13 WHEN 0 THEN 'Guide' ELSE 'OPERATING MANUAL' END END AS content
+  FROM (SELECT concat('d', CAST(l_orderkey % 45 AS STRING)) AS document_id, l_orderkey AS place, l_linenumber % 3 AS k, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem WHERE l_orderkey % 45 < 38) z"""
+KINDS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{w}') OR contains(opening, '{w}')" for w in words) + f" THEN '{name}'" for name, words in DOCUMENT_TYPES) + " ELSE 'unknown' END"
+query("stc16_profile", f"""WITH e AS ({PAGED}), fr AS (SELECT * FROM e WHERE page <= 5), ti AS (SELECT document_id, arg_min(trim(content), (CASE WHEN heading_level = 1 THEN 0 ELSE 1 END, reading_order)) AS title FROM fr WHERE heading_level > 0 GROUP BY document_id), op AS (SELECT document_id, lower(left(string_agg(content, ' ' ORDER BY reading_order, content), 2000)) AS opening FROM fr GROUP BY document_id),
+  d AS (SELECT document_id, coalesce(title, '') AS title, lower(coalesce(title, '')) AS low, coalesce(opening, '') AS opening FROM (SELECT DISTINCT document_id FROM e) x LEFT JOIN ti USING (document_id) LEFT JOIN op USING (document_id)), b AS ({BOXED.replace(' AS row,', ' AS "row",')}), t AS (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t, lead(content) OVER (PARTITION BY document_id, place, "row" ORDER BY col) AS nx FROM b),
+  n AS (SELECT document_id, count(DISTINCT place) AS tables FROM b GROUP BY document_id HAVING count(DISTINCT place) >= 3), o AS (SELECT document_id, place, t, min("row") AS r, min("row" * 1000 + col) AS spot FROM t WHERE length(t) >= 3 AND NOT regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '\\b(page|rev|chapter|plant|doc|document)\\b', 'i') GROUP BY ALL),
+  v AS (SELECT document_id, t, sum(CASE WHEN r = 0 THEN 3 ELSE 1 END) AS votes, min((place, spot)) AS f FROM o GROUP BY ALL), w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY votes DESC, f) = 1),
+  u AS (SELECT document_id, nx2 AS unit, count(*) AS c, min((place, "row", col)) AS f FROM (SELECT *, trim(regexp_replace(nx, '\\s+', ' ', 'g')) AS nx2 FROM t) y WHERE regexp_matches(content, 'plant\\s*(no|name)|unit\\s*(no|name)?', 'i') AND nx2 <> '' AND lower(nx2) <> lower(trim(content)) GROUP BY ALL), un AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY c DESC, f) = 1)
+  SELECT d.document_id, CASE WHEN votes * 2 >= tables AND (title = '' OR upper(title) LIKE 'SECTION%' OR upper(title) LIKE 'CHAPTER%') THEN CASE w.t WHEN 'OPERATING MANUAL' THEN 'Operating Manual' WHEN 'ATMOSPHERIC UNIT' THEN 'Atmospheric Unit' ELSE w.t END ELSE title END AS title, {KINDS} AS document_type, CASE WHEN tables >= 3 THEN unit END AS unit
+  FROM d LEFT JOIN n ON n.document_id = d.document_id LEFT JOIN w ON w.document_id = d.document_id LEFT JOIN un ON un.document_id = d.document_id""")(
+    lambda t: registers.profile(t.sql(PAGED), t.sql(BOXED)))
+query("stc16_conventions", f"""WITH t AS (SELECT document_id, unnest(regexp_extract_all(content, '{registers.EQUIPMENT_TAG}')) AS tag FROM ({PAGED}) e WHERE page <= 30) SELECT document_id, tag[1] AS kind, count(*) AS n, array_to_string(list_sort(list_distinct(list(tag)))[:5], '|') AS examples FROM t GROUP BY ALL HAVING count(*) >= 2""")(
+    lambda t: registers.conventions(t.sql(PAGED)).withColumn("examples", F.array_join("examples", "|")))
+
+CHAPTERS = "SELECT DISTINCT concat('d', CAST(p_size % 8 AS STRING)) AS document_id, CAST(p_partkey % 12 AS INT) AS number FROM part WHERE p_partkey % 12 > 2"
+SECTIONS = "SELECT concat('d', CAST(p_size % 9 AS STRING)) AS document_id, concat('s', CAST(p_partkey AS STRING)) AS section_id, p_brand AS path, concat(CAST(p_partkey % 12 AS STRING), '.', CAST(p_partkey % 5 AS STRING)) AS number, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 12 AS INT) END AS chapter_number, CASE WHEN p_partkey % 3 = 0 THEN concat('s', CAST(p_partkey + p_partkey % 11 AS STRING)) END AS parent_section_id, CAST(p_partkey AS INT) AS place FROM part"
+PROCEDURES = "SELECT concat('d', CAST(s_suppkey % 10 AS STRING)) AS document_id, concat('p', CAST(s_suppkey AS STRING)) AS procedure_id, CASE WHEN s_suppkey % 6 > 0 THEN concat('s', CAST(s_suppkey * 25 AS STRING)) END AS section_id FROM supplier"
+STEPS = "SELECT concat('p', CAST(l_suppkey AS STRING)) AS procedure_id, CAST(l_partkey % 97 AS INT) AS sequence FROM lineitem"
+REFERENCES = "SELECT concat('d', CAST(l_suppkey % 9 AS STRING)) AS document_id, CASE WHEN l_linenumber = 2 THEN 'unknown' ELSE p_brand END AS source_path, CASE WHEN l_linenumber % 2 = 0 THEN 'section' ELSE 'chapter' END AS target_kind, concat(CAST(l_orderkey % 14 AS STRING), '.', CAST(l_partkey % 6 AS STRING)) AS target_number FROM lineitem JOIN part ON p_partkey = l_partkey"
+TAKEN = "SELECT DISTINCT concat('d', CAST(o_custkey % 9 AS STRING)) AS document_id, concat('M/SI/', CAST(o_orderkey % 40 AS STRING)) AS number, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 13 AS STRING) ELSE '' END AS chapter FROM orders"
+HOLDERS = "SELECT DISTINCT concat('d', CAST(p_size % 8 AS STRING)) AS document_id FROM part"
+GRAPH = f"""WITH ch AS ({CHAPTERS}), se AS ({SECTIONS}), pr AS ({PROCEDURES}), st AS (SELECT DISTINCT * FROM ({STEPS}) x), re AS (SELECT DISTINCT * FROM ({REFERENCES}) x), si AS ({TAKEN}), pa AS (SELECT document_id, path AS source_path, arg_max(section_id, place) AS source_id FROM se GROUP BY ALL), nu AS (SELECT document_id, number AS target_number, arg_min(section_id, place) AS section FROM se GROUP BY ALL),
+  e AS (SELECT document_id AS source_id, 'HAS_CHAPTER' AS edge, document_id || '#ch' || number AS target_id FROM ch UNION SELECT document_id || '#ch' || chapter_number, 'HAS_SECTION', section_id FROM se WHERE parent_section_id IS NULL AND chapter_number IS NOT NULL UNION SELECT parent_section_id, 'HAS_SUBSECTION', section_id FROM se WHERE parent_section_id IS NOT NULL UNION SELECT document_id, 'HAS_PROCEDURE', procedure_id FROM pr
+    UNION SELECT procedure_id, 'IN_SECTION', section_id FROM pr WHERE section_id IS NOT NULL UNION SELECT procedure_id, 'HAS_STEP', procedure_id || '#s' || lpad(sequence::VARCHAR, 3, '0') FROM st UNION SELECT procedure_id || '#s' || lpad(sequence::VARCHAR, 3, '0'), 'NEXT', procedure_id || '#s' || lpad(nx::VARCHAR, 3, '0') FROM (SELECT *, lead(sequence) OVER (PARTITION BY procedure_id ORDER BY sequence) AS nx FROM st) y WHERE nx IS NOT NULL
+    UNION SELECT source_id, 'REFERENCES', CASE WHEN target_kind <> 'chapter' AND section IS NOT NULL THEN section ELSE re.document_id || '#ch' || split_part(re.target_number, '.', 1) END FROM re LEFT JOIN pa ON pa.document_id = re.document_id AND pa.source_path = re.source_path LEFT JOIN nu ON nu.document_id = re.document_id AND nu.target_number = re.target_number
+    UNION SELECT document_id, 'HAS_STANDING_INSTRUCTION', document_id || '#si:' || number FROM si UNION SELECT document_id || '#si:' || number, 'INCORPORATED_IN', document_id || '#ch' || chapter FROM si WHERE chapter <> ''),
+  n AS (SELECT document_id AS id FROM ({HOLDERS}) x UNION SELECT document_id || '#ch' || number FROM ch UNION SELECT section_id FROM se UNION SELECT procedure_id FROM pr UNION SELECT procedure_id || '#s' || lpad(sequence::VARCHAR, 3, '0') FROM st UNION SELECT document_id || '#si:' || number FROM si),
+  h AS (SELECT *, source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n) AND source_id IS NOT NULL AND NOT (edge = 'REFERENCES' AND source_id = target_id) AS held FROM e)"""
+graph_edges = lambda t: (lambda p: registers.held_edges(registers.document_edges(*p), registers.document_nodes(t.sql(HOLDERS), *p[:4], p[5])))([t.sql(x) for x in (CHAPTERS, SECTIONS, PROCEDURES, STEPS, REFERENCES, TAKEN)])
+query("src16_document_edges", f"{GRAPH} SELECT source_id, edge, target_id FROM h WHERE held")(lambda t: graph_edges(t).where("held").drop("held"))
+query("src15_dangling_edges", f"{GRAPH} SELECT edge, count(*) AS n, count(*) FILTER (WHERE coalesce(held, false)) AS held, count(*) FILTER (WHERE NOT coalesce(held, false)) AS dangling FROM h GROUP BY edge")(
+    lambda t: graph_edges(t).groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("held").cast("long")).alias("held"), F.sum((~F.col("held")).cast("long")).alias("dangling")))

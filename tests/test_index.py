@@ -1,6 +1,6 @@
 """Entity records, contexts of chunks, registers and document graphs, on small cases with known answers."""
 
-from factloom.operators import index
+from factloom.operators import index, registers
 
 
 def test_records_take_the_most_voted_name_and_bounded_lists(spark):
@@ -38,3 +38,46 @@ def test_nearest_chunks_leave_out_the_chunk_itself(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.5, None])], "chunk_id int, embedding array<double>")
     out = [(r.chunk_id, r.near, r.rank) for r in index.nearest_chunks(rows, rows.where("chunk_id < 3"), 2).orderBy("chunk_id", "rank").collect()]
     assert out == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2)]
+
+
+def test_register_columns_carry_over_tables_without_a_header(spark):
+    rows = [
+        ("d", 1, 0, ["x", "TITLE", "y"], 1), ("d", 2, 0, ["X/PROD/SI/9", "early", "z", "w"], 1),  # no register yet
+        ("d", 3, 0, ["SN", "Standing Instruction No.", "Title", "Date", "Expired/Incorporated"], 2), ("d", 3, 1, ["1", "Mr / prod N / SI / 002", " Use   of pumps", "1.1.90", "Incorporated in Chapter-12"], 2),
+        ("d", 3, 2, ["2", "no number", "t", "d", ""], 2), ("d", 4, 0, ["3", "MR/PROD/SI/3", "Second", None, "EXPIRED"], 3), ("d", 4, 1, ["4", "MR/PROD N/SI/002", "again", "", ""], 3),
+        ("d", 5, 0, ["a", "b", "c"], 4), ("d", 5, 1, ["x", "MR/PROD/SI/7", "not a register", "", ""], 4), ("d", 6, 0, ["x", "MR/SI/8"], 5), ("d", 7, 0, ["MR/SI/10", "five", "six"], 5),
+        ("e", 1, 0, ["1", "MR/PROD/SI/1", "other document", "", ""], 1), ("e", 2, 0, None, 1), ("e", 3, 0, [], 1),
+    ]
+    df = spark.createDataFrame(rows, "document_id string, place int, row int, cells array<string>, page int")
+    out = {(r.document_id, r.number): (r.title, r.issue_date, r.status, r.chapter, r.page) for r in registers.standing_instructions(df).collect()}
+    assert out == {("d", "MR/PRODN/SI/002"): ("Use of pumps", "1.1.90", "incorporated", "12", 2), ("d", "MR/PROD/SI/3"): ("Second", "", "expired", "", 3), ("d", "MR/SI/10"): ("six", "", "in_use", "", 5)}
+    assert registers.standing_instructions(df.limit(0)).count() == 0
+
+
+def test_profiles_take_headings_page_heads_and_tags(spark):
+    elements = spark.createDataFrame([
+        ("a", 1, 1, None, "x" * 1990), ("a", 1, 2, 2, "Section one"), ("a", 2, 3, 0, "an sop too late"), ("a", 3, 4, 0, "P-101 and P-101, V-12 A"), ("a", 31, 5, 0, "V-13"),
+        ("b", 1, 1, 2, "Low"), ("b", 5, 2, 1, " Vendor Manual "), ("b", 6, 3, 1, "late"), ("b", 6, 4, 0, None), ("c", 9, 1, 1, "too late"),
+    ], "document_id string, page int, reading_order int, heading_level int, content string")
+    cells = spark.createDataFrame([("a", p, r, c, t) for p in range(3) for r, c, t in ((0, 0, "OPERATING  MANUAL"), (1, 0, "Plant No"), (1, 1, "Crude Unit"), (1, 2, None), (2, 0, "Page 3"), (2, 1, "other"))] + [("b", 1, 0, 0, "GUIDE")], "document_id string, place int, row int, col int, content string")
+    out = {r.document_id: (r.title, r.document_type, r.unit) for r in registers.profile(elements, cells).collect()}
+    assert out == {"a": ("Operating Manual", "unknown", "Crude Unit"), "b": ("Vendor Manual", "vendor_manual", None), "c": ("", "unknown", None)}
+    assert [tuple(r) for r in registers.conventions(elements).collect()] == [("a", "P", 2, ["P-101"])]
+
+
+def test_edges_need_both_ends(spark):
+    documents = spark.createDataFrame([("d",)], "document_id string")
+    chapters = spark.createDataFrame([("d", 1), ("d", 2), ("x", 1)], "document_id string, number int")
+    sections = spark.createDataFrame([("d", "s1", "A", "1.1", 1, None, 1), ("d", "s2", "A", "1.2", 1, "s1", 2), ("d", "s3", "B", "1.2", 7, None, 3), ("d", "s4", "C", "", None, "gone", 4)], "document_id string, section_id string, path string, number string, chapter_number int, parent_section_id string, place int")
+    procedures = spark.createDataFrame([("d", "p1", "s1"), ("d", "p2", None)], "document_id string, procedure_id string, section_id string")
+    steps = spark.createDataFrame([("p1", 1), ("p1", 1203), ("p1", 1203)], "procedure_id string, sequence int")
+    references = spark.createDataFrame([("d", "A", "section", "1.1"), ("d", "A", "section", "2.9"), ("d", "B", "chapter", "1.2"), ("d", "nowhere", "section", "1.1"), ("d", "A", "section", "1.2"), ("d", "B", "section", "8"), ("d", None, None, None)], "document_id string, source_path string, target_kind string, target_number string")
+    instructions = spark.createDataFrame([("d", "M/SI/1", "2"), ("d", "M/SI/2", "9"), ("d", "M/SI/3", "")], "document_id string, number string, chapter string")
+    edges = registers.document_edges(chapters, sections, procedures, steps, references, instructions)
+    held = registers.held_edges(edges, registers.document_nodes(documents, chapters, sections, procedures, steps, instructions)).collect()
+    assert {(r.source_id, r.edge, r.target_id) for r in held if r.held} == {
+        ("d", "HAS_CHAPTER", "d#ch1"), ("d", "HAS_CHAPTER", "d#ch2"), ("d#ch1", "HAS_SECTION", "s1"), ("s1", "HAS_SUBSECTION", "s2"), ("d", "HAS_PROCEDURE", "p1"), ("d", "HAS_PROCEDURE", "p2"), ("p1", "IN_SECTION", "s1"),
+        ("p1", "HAS_STEP", "p1#s001"), ("p1", "HAS_STEP", "p1#s1203"), ("p1#s001", "NEXT", "p1#s1203"), ("s2", "REFERENCES", "s1"), ("s2", "REFERENCES", "d#ch2"), ("s3", "REFERENCES", "d#ch1"),
+        *(("d", "HAS_STANDING_INSTRUCTION", f"d#si:M/SI/{k}") for k in (1, 2, 3)), ("d#si:M/SI/1", "INCORPORATED_IN", "d#ch2"),
+    }
+    assert {(r.source_id, r.edge, r.target_id) for r in held if not r.held} == {("x", "HAS_CHAPTER", "x#ch1"), ("d#ch7", "HAS_SECTION", "s3"), ("gone", "HAS_SUBSECTION", "s4"), (None, "REFERENCES", "s1"), ("s2", "REFERENCES", "s2"), ("s3", "REFERENCES", "d#ch8"), (None, "REFERENCES", None), ("d#si:M/SI/2", "INCORPORATED_IN", "d#ch9")}
