@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases
 from ..operators import audit, security
-from ..streaming import progress
+from ..streaming import progress, stateful
 from .registry import query
 
 query("stm1_windowed_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(round(sum(value) * 1000) AS BIGINT) AS milli FROM events GROUP BY ALL")(
@@ -20,6 +20,12 @@ query("stm7_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts)
   SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, s""")(lambda t: progress.sessions(t.events).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start")))
 query("stm7_expiry", "SELECT user_id, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-29 12:00:00'")(
     lambda t: progress.alive(t.events, "user_id", "2024-01-29 12:00:00"))
+query("stm5_kept_runs", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id % 40 // 4 AS VARCHAR) AS run, event_type AS step, CASE WHEN value >= 50 THEN 'done' ELSE 'running' END AS status, ts, event_id FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL), l AS (SELECT key, run, step, arg_max(status, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, max((ts, event_id)) AS m FROM e GROUP BY ALL),
+  r AS (SELECT key, run, row_number() OVER (PARTITION BY key ORDER BY max(m) DESC, run DESC) <= 3 AS kept FROM l GROUP BY key, run) SELECT l.key, l.run, step, status, event_id, kept FROM l JOIN r ON r.key = l.key AND r.run = l.run""")(
+    lambda t: stateful.run_states(t.progress_v.withColumn("run", F.floor(F.col("event_id") % 40 / 4)), "run_id", "run", 3).select("key", "run", "step", "status", "event_id", "kept"))
+query("stm7_released", """WITH g AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200000000 THEN 0 ELSE 1 END AS brk FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(brk) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM g),
+  x AS (SELECT key, v, max((ts, event_id)) AS l, epoch_us(max(ts)) AS e, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM s GROUP BY key, v) SELECT key, event_id, n FROM x WHERE v < (SELECT max(v) FROM x y WHERE y.key = x.key) OR (e + 999) // 1000 + 7200000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")(
+    lambda t: stateful.released(t.events, "user_id", 7200).select("key", "event_id", "n"))
 query("agg12_counter_deltas", "SELECT event_id, CAST(round((value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) * 1000) AS BIGINT) AS delta FROM events")(
     lambda t: progress.counter_deltas(t.events, "user_id").select("event_id", F.round(F.col("delta") * 1000).cast("long").alias("delta")))
 query("str35_props_json", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")(
