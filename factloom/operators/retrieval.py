@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import phrases, text
 from .joins import few
 
 #: Bytes of double-precision components in a block of vectors.
@@ -171,3 +171,55 @@ def precautions(rows: DataFrame, severity, order: list[str], most: int = 10) ->
     """QRY9: the first ``most`` rows of each severity, info left out."""
     w = Window.partitionBy("severity").orderBy(*order)
     return rows.withColumn("severity", severity).where("severity <> 'info'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+
+
+def search_chunks(ranked: dict[str, DataFrame], requests: DataFrame, chunks: DataFrame, k: int = 8, anchors: DataFrame | None = None, constant: int = 60, key: str = "chunk_id") -> DataFrame:
+    """WIN3: (request_id, key, score, rank, reasons, soft): fused rankings, filtered after pooling, short ones refilled past their chapters.
+
+    ``ranked``: (request_id, key, rank) by reason, each at most ``depth(k)`` deep. ``requests``: request_id and the arrays chunk_types,
+    chapters, document_ids; a null or empty one does not filter. ``chunks``: key, chunk_type, chapter, document_id. A request with fewer
+    than ``k`` chunks in its chapters gets others of its types and documents after them (``soft``): documents always
+    filter, since access may hang on them. Equal scores go to the smaller key; a null type, chapter or document meets no filter.
+    """
+    fused = fuse(list(ranked.values()), 2**31 - 1, anchors, constant, key).drop("rank")
+    told = [df.select("request_id", key, F.lit(name).alias("__why")) for name, df in ranked.items()] + ([anchors.select("request_id", key, F.lit("entity").alias("__why"))] if anchors is not None else [])
+    why = told[0]
+    for more in told[1:]:
+        why = why.unionByName(more)
+    reasons = why.groupBy("request_id", key).agg(F.array_join(F.array_sort(F.collect_set("__why")), "+").alias("reasons"))
+    asked = requests.select("request_id", "chunk_types", "chapters", "document_ids")
+    met = fused.join(reasons, ["request_id", key]).join(chunks.select(key, "chunk_type", "chapter", "document_id"), key).join(asked, "request_id")
+    free = lambda wanted: F.coalesce(F.size(wanted), F.lit(0)) <= 0
+    holds = lambda wanted, own: free(wanted) | F.coalesce(F.array_contains(wanted, F.col(own)), F.lit(False))
+    sound = met.where(holds("chunk_types", "chunk_type") & holds("document_ids", "document_id")).withColumn("soft", ~holds("chapters", "chapter"))
+    w = Window.partitionBy("request_id").orderBy("soft", F.desc(F.round("score", 12)), key)
+    return sound.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request_id", key, F.round("score", 4).alias("score"), "rank", "reasons", "soft")
+
+
+def depth(k: int) -> int:
+    """WIN3: how deep rankings are pooled for ``k`` results."""
+    return max(4 * k, 24)
+
+
+#: Words of reasons and purposes (fixed values).
+WHY_WORDS = ("because", "in order to", "so that", "to prevent", "to avoid", "purpose", "to ensure", "this is done", "is used to", "is provided to", "helps", "improves", "otherwise")
+#: Modes of explanation: how many passages, of which types and chapters (fixed values).
+MODES = {"why": (5, ("narrative", "equipment", "control", "safety"), ()), "consequences": (4, ("safety", "narrative", "table", "control", "upset"), (14, 17, 18)), "support": (4, (), ())}
+
+
+def explanations(chunks: DataFrame, requests: DataFrame, mode: str = "why", anchors: DataFrame | None = None, width: int = 520, vectors: DataFrame | None = None, asked: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+    """QRY11: (request_id, key, rank, excerpt, reasons): the passages that answer a question, by fused search.
+
+    ``chunks``: key, text, chunk_type, chapter, document_id. ``requests``: request_id, text, keywords (array). ``vectors`` (key,
+    embedding) and ``asked`` (request_id, q) add a vector ranking. Excerpts stand around the first keyword, of a
+    question why also around the first word of a reason. A request that finds nothing gets no row.
+    """
+    k, types, chapters = MODES[mode]
+    ranked = {"keyword": bm25(chunks, requests, depth(k), key=key).select("request_id", key, "rank")}
+    if vectors is not None:
+        ranked["vector"] = vector_top_k(vectors, asked, depth(k), key).select("request_id", key, "rank")
+    filters = requests.select("request_id", F.array(*[F.lit(x) for x in types]).cast("array<string>").alias("chunk_types"), F.array(*[F.lit(x) for x in chapters]).cast("array<int>").alias("chapters"), F.array().cast("array<string>").alias("document_ids"))
+    found = search_chunks(ranked, filters, chunks, k, anchors, key=key).join(chunks.select(key, "text"), key).join(requests.select("request_id", "keywords"), "request_id")
+    own = F.coalesce("keywords", F.array().cast("array<string>"))
+    around = F.concat(F.array(*[F.lit(x) for x in WHY_WORDS]), own) if mode == "why" else own
+    return found.select("request_id", key, "rank", phrases.excerpt("text", around, width).alias("excerpt"), "reasons")

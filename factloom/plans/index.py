@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import ACRONYMS, DOCUMENT_TYPES
-from ..operators import index, registers
+from ..operators import index, registers, retrieval
+from .documents import BM25, FUSED
 from .registry import query
 
 DRAFTS = "SELECT concat('e', CAST(p_partkey % 90 AS STRING)) AS entity_uid, max(CASE WHEN p_partkey % 90 % 4 > 0 THEN concat('11-P-', CAST(p_partkey % 90 AS STRING)) ELSE '' END) AS canonical_tag, min(p_name) AS name, min(p_type) AS entity_type FROM part GROUP BY p_partkey % 90"
@@ -87,3 +88,20 @@ graph_edges = lambda t: (lambda p: registers.held_edges(registers.document_edges
 query("src16_document_edges", f"{GRAPH} SELECT source_id, edge, target_id FROM h WHERE held")(lambda t: graph_edges(t).where("held").drop("held"))
 query("src15_dangling_edges", f"{GRAPH} SELECT edge, count(*) AS n, count(*) FILTER (WHERE coalesce(held, false)) AS held, count(*) FILTER (WHERE NOT coalesce(held, false)) AS dangling FROM h GROUP BY edge")(
     lambda t: graph_edges(t).groupBy("edge").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("held").cast("long")).alias("held"), F.sum((~F.col("held")).cast("long")).alias("dangling")))
+
+FILTERS = "SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN 'table,narrative' WHEN 1 THEN 'safety' ELSE '' END AS types, CASE s_suppkey % 3 WHEN 0 THEN '1,2' WHEN 1 THEN '7' ELSE '' END AS chapters, CASE s_suppkey % 5 WHEN 0 THEN 'd1,d2,d3' ELSE '' END AS docs FROM supplier"
+PLACES = "SELECT p_partkey AS chunk_id, CASE p_size % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'narrative' WHEN 2 THEN 'safety' END AS chunk_type, CAST(p_size % 9 AS STRING) AS chapter, concat('d', CAST(p_partkey % 6 AS STRING)) AS document_id FROM part"
+listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+query("win3_filtered_search", FUSED + f""", q AS ({FILTERS}), c AS ({PLACES}), u AS (SELECT request_id, chunk_id, 1.0::DOUBLE / (59 + rank) AS part, 1 AS r, 'keyword' AS why FROM a WHERE rank <= 32 UNION ALL SELECT request_id, chunk_id, 1.0::DOUBLE / (59 + rank), 1, 'vector' FROM b WHERE rank <= 32 UNION ALL SELECT DISTINCT l_suppkey, l_partkey, 0, 0, 'entity' FROM lineitem WHERE l_quantity = 50),
+  s AS (SELECT request_id, chunk_id, sum(part) + CASE WHEN min(r) = 0 THEN CASE WHEN max(r) = 1 THEN 1.0::DOUBLE / 60 ELSE 0.5::DOUBLE / 60 END ELSE 0 END AS score, string_agg(why, '+' ORDER BY why) AS reasons FROM u GROUP BY ALL),
+  m AS (SELECT request_id, chunk_id, score, reasons, NOT (chapters = '' OR list_contains(string_split(chapters, ','), chapter)) AS soft FROM s JOIN c USING (chunk_id) JOIN q USING (request_id) WHERE (types = '' OR coalesce(list_contains(string_split(types, ','), chunk_type), false)) AND (docs = '' OR list_contains(string_split(docs, ','), document_id)))
+  SELECT request_id, chunk_id, CAST(round(score * 10000) AS BIGINT) AS basis_points, reasons, soft, CAST(row_number() OVER (PARTITION BY request_id ORDER BY soft, round(score, 12) DESC, chunk_id) AS INT) AS rank FROM m QUALIFY rank <= 8""")(
+    lambda t: retrieval.search_chunks({"keyword": t.sql(FUSED + "SELECT * FROM a WHERE rank <= 32"), "vector": t.sql(FUSED + "SELECT * FROM b WHERE rank <= 32")}, t.sql(FILTERS).select("request_id", listed("types").alias("chunk_types"), listed("chapters").alias("chapters"), listed("docs").alias("document_ids")), t.sql(PLACES), 8,
+        t.sql("SELECT DISTINCT l_suppkey AS request_id, l_partkey AS chunk_id FROM lineitem WHERE l_quantity = 50")).select("request_id", "chunk_id", F.round(F.col("score") * 10000).cast("long").alias("basis_points"), "reasons", "soft", "rank"))
+TYPED = "CASE doc_id % 6 WHEN 0 THEN 'narrative' WHEN 1 THEN 'equipment' WHEN 2 THEN 'control' WHEN 3 THEN 'safety' WHEN 4 THEN 'table' END"
+HITS = ", ".join(f"instr(lower(t), '{w}')" for w in retrieval.WHY_WORDS)
+query("qry11_explanations", f"""WITH k AS ({BM25.replace('rank <= 10', 'rank <= 24')}), f AS (SELECT request_id, doc_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY rank) AS INT) AS rank FROM k WHERE {TYPED} IN ('narrative', 'equipment', 'control', 'safety') QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY rank) <= 5),
+  p AS (SELECT f.*, coalesce(d.text, '') AS t, split_part(b.text, ' ', 1) AS kw FROM f JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = f.request_id), s AS (SELECT *, greatest(1, coalesce(list_min(list_filter([{HITS}, instr(lower(t), lower(kw))], lambda x: x > 0)), 1) - 260) AS start FROM p)
+  SELECT request_id, doc_id, rank, 'keyword' AS reasons, md5(trim(CASE WHEN length(t) > start + 520 THEN regexp_replace(substr(t, start, 520), '\\s+\\S*$', '') ELSE substr(t, start, 520) END)) AS excerpt FROM s""")(
+    lambda t: retrieval.explanations(t.documents.select("doc_id", "text", F.expr(TYPED).alias("chunk_type"), F.lit(None).cast("int").alias("chapter"), F.col("source").alias("document_id")), t.benchmark.select(F.col("item_id").alias("request_id"), "text", F.array(F.split_part("text", F.lit(" "), F.lit(1))).alias("keywords")), key="doc_id")
+    .select("request_id", "doc_id", "rank", "reasons", F.md5("excerpt").alias("excerpt")))
