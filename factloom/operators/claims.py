@@ -314,3 +314,20 @@ def spec_claims(pairs: DataFrame, headings: DataFrame) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("reading_order", "kind").rowsBetween(Window.unboundedPreceding, 0)
     told = rows.withColumn("subject", F.last("subject", ignorenulls=True).over(w)).where("kind = 1 and subject is not null")
     return told.select("document_id", "subject", "label", "value", F.lit(0.8).alias("confidence"))
+
+
+def answer_confidence(results: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """AGG10: (request_id, base, score): how far an answer is to be trusted.
+
+    ``results``: request_id, agent, score, ok, optional, n_missing, a row a step. ``verdicts``: request_id, verified, at most one a request; without
+    one the share is 1. The base is the mean score of the steps but for verification, governance and report, an optional one at
+    half weight, a failed one at three tenths of its weight; without steps it is 0.3. It is taken by 0.6 and 0.4 of the verified share, less
+    0.05 for each thing missing, 0.25 at most, and kept within 0 and 1. Null scores count as 0, null flags as not optional and as ok.
+    """
+    counts = ~F.col("agent").isin("verification", "governance", "report") | F.col("agent").isNull()
+    weight = F.when(F.coalesce("optional", F.lit(False)), 0.5).otherwise(1.0) * F.when(F.coalesce("ok", F.lit(True)), 1.0).otherwise(0.3)
+    w = F.when(counts, weight)
+    summed = results.groupBy("request_id").agg(F.coalesce(F.sum(w * F.coalesce("score", F.lit(0.0))) / F.sum(w), F.lit(0.3)).alias("base"), F.sum(F.coalesce("n_missing", F.lit(0))).alias("missing"))
+    met = summed.join(verdicts.select("request_id", "verified"), "request_id", "left")
+    score = F.col("base") * (0.6 + 0.4 * F.coalesce("verified", F.lit(1.0))) - F.least(F.lit(0.25), 0.05 * F.col("missing"))
+    return met.select("request_id", F.round("base", 2).alias("base"), F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 9), 2).alias("score"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The order of roles and of document tags.
 ROLES = {"guest": 0, "operator": 1, "engineer": 2, "manager": 3, "admin": 4}
@@ -68,3 +69,25 @@ def distinctive(rows: DataFrame, value: str, owner: str) -> DataFrame:
 def leaks(rows: DataFrame, documents: DataFrame, role: str) -> DataFrame:
     """VAL16: rows shown whose document the role cannot read or that has no document at all."""
     return rows.join(documents.where(can_read(F.lit(role), F.col("tag"))).select("document_id"), "document_id", "left_anti")
+
+
+def scope_probe(requests: DataFrame, records: DataFrame, documents: DataFrame, entities: DataFrame, most: dict[str, int]) -> DataFrame:
+    """SEC5: (request_id, document_id, record_id): what a request's role may not read of what bears on its entities, as ids only.
+
+    ``requests``: request_id, role, entity_uid, a row an entity. ``records``: entity_uid, document_id, kind, id, weight. ``documents``:
+    document_id, tag. ``entities``: entity_uid, document_id. Of each kind the first ``most`` a request by weight, then id; other kinds are
+    left out. An entity's own record joins where one of its documents is in the scope already, under the first of them. Records
+    are cut to ``most`` by entity, kind and tag before requests meet them, which loses none: a role is shut out of whole tags.
+    """
+    limit = F.create_map(*[F.lit(x) for p in most.items() for x in p])
+    tagged = records.join(documents.select("document_id", F.coalesce("tag", F.lit("SECRET")).alias("tag")), "document_id").select("entity_uid", "document_id", "tag", "kind", "id", "weight").where(F.col("kind").isin(*most) & F.col("id").isNotNull()).distinct()
+    near = Window.partitionBy("entity_uid", "kind", "tag").orderBy(F.desc("weight"), "id")
+    cut = tagged.withColumn("__r", F.row_number().over(near)).where(F.col("__r") <= max(most.values())).drop("__r")
+    asked = requests.select("request_id", "role", "entity_uid").distinct()
+    met = asked.join(cut, "entity_uid").where(~can_read(F.col("role"), F.col("tag"))).groupBy("request_id", "document_id", "kind", "id").agg(F.max("weight").alias("weight"))
+    first = Window.partitionBy("request_id", "kind").orderBy(F.desc("weight"), "id", "document_id")
+    found = met.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= limit[F.col("kind")]).select("request_id", "document_id", F.concat_ws(":", "kind", "id").alias("record_id"))
+    scope = found.select("request_id", "document_id").distinct()
+    own = asked.join(entities.select("entity_uid", "document_id").distinct(), "entity_uid").join(scope, ["request_id", "document_id"], "left_semi")
+    named = own.groupBy("request_id", F.concat(F.lit("entity:"), "entity_uid").alias("record_id")).agg(F.min("document_id").alias("document_id"))
+    return found.unionByName(named)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import ACRONYMS, DOCUMENT_TYPES
-from ..operators import index, registers, retrieval
+from ..operators import claims, index, registers, retrieval, security
 from .documents import BM25, FUSED
 from .registry import query
 
@@ -105,3 +105,17 @@ query("qry11_explanations", f"""WITH k AS ({BM25.replace('rank <= 10', 'rank <=
   SELECT request_id, doc_id, rank, 'keyword' AS reasons, md5(trim(CASE WHEN length(t) > start + 520 THEN regexp_replace(substr(t, start, 520), '\\s+\\S*$', '') ELSE substr(t, start, 520) END)) AS excerpt FROM s""")(
     lambda t: retrieval.explanations(t.documents.select("doc_id", "text", F.expr(TYPED).alias("chunk_type"), F.lit(None).cast("int").alias("chapter"), F.col("source").alias("document_id")), t.benchmark.select(F.col("item_id").alias("request_id"), "text", F.array(F.split_part("text", F.lit(" "), F.lit(1))).alias("keywords")), key="doc_id")
     .select("request_id", "doc_id", "rank", "reasons", F.md5("excerpt").alias("excerpt")))
+
+RESULTS = "SELECT l_orderkey AS request_id, CASE l_partkey % 7 WHEN 0 THEN 'verification' WHEN 1 THEN 'report' WHEN 2 THEN NULL ELSE 'lookup' END AS agent, CAST(l_quantity / 64 AS DOUBLE) AS score, CASE WHEN l_suppkey % 5 > 0 THEN l_suppkey % 5 > 1 END AS ok, l_linenumber % 2 = 0 AS optional, CAST(CASE WHEN l_suppkey % 9 = 0 THEN 2 WHEN l_suppkey % 9 = 1 THEN NULL ELSE 0 END AS INT) AS n_missing FROM lineitem"
+VERDICTS = "SELECT o_orderkey AS request_id, CAST(o_custkey % 9 AS DOUBLE) / 8 AS verified FROM orders WHERE o_orderkey % 3 > 0"
+query("agg10_answer_confidence", f"""WITH r AS (SELECT *, CASE WHEN agent IN ('verification', 'report') THEN NULL ELSE (CASE WHEN optional THEN 0.5::DOUBLE ELSE 1 END) * (CASE WHEN ok = false THEN 0.3::DOUBLE ELSE 1 END) END AS w FROM ({RESULTS}) x), b AS (SELECT request_id, coalesce(sum(w * score) / sum(w), 0.3::DOUBLE) AS base, sum(coalesce(n_missing, 0)) AS missing FROM r GROUP BY request_id)
+  SELECT request_id, CAST(round(CAST(round(greatest(0, least(1, base * (0.6::DOUBLE + 0.4::DOUBLE * coalesce(verified, 1)) - least(0.25::DOUBLE, 0.05::DOUBLE * missing))), 9) AS DECIMAL(18, 9)), 2) * 100 AS INT) AS percent FROM b LEFT JOIN ({VERDICTS}) v USING (request_id)""")(
+    lambda t: claims.answer_confidence(t.sql(RESULTS), t.sql(VERDICTS)).select("request_id", F.round(F.col("score") * 100).cast("int").alias("percent")))
+PROBES = "SELECT DISTINCT o_orderkey AS request_id, CASE o_custkey % 4 WHEN 0 THEN 'guest' WHEN 1 THEN 'operator' WHEN 2 THEN 'engineer' ELSE 'admin' END AS role, concat('s', CAST(o_custkey % 100 + k AS STRING)) AS entity_uid FROM orders, (SELECT 0 AS k UNION ALL SELECT 7 AS k) y WHERE o_orderkey % 100 = 0"
+BEARING = "SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS entity_uid, concat('doc', CAST(l_partkey % 7 AS STRING)) AS document_id, CASE l_linenumber % 3 WHEN 0 THEN 'relation' WHEN 1 THEN 'claim' ELSE 'note' END AS kind, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, CAST(l_quantity AS INT) AS weight FROM lineitem"
+HOMES = "SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS entity_uid, concat('doc', CAST(l_orderkey % 7 AS STRING)) AS document_id FROM lineitem WHERE l_linenumber = 1"
+SEES = "CASE role WHEN 'guest' THEN 0 WHEN 'operator' THEN 1 WHEN 'engineer' THEN 2 ELSE 4 END >= CASE tag WHEN 'PUBLIC' THEN 0 WHEN 'INTERNAL' THEN 1 WHEN 'CONFIDENTIAL' THEN 2 ELSE 3 END"
+query("sec5_scope_of_requests", f"""WITH p AS ({PROBES}), m AS (SELECT request_id, b.document_id, kind, id, max(weight) AS weight FROM p JOIN ({BEARING}) b ON b.entity_uid = p.entity_uid JOIN documents_info_v d ON d.document_id = b.document_id WHERE kind IN ('claim', 'relation') AND NOT ({SEES}) GROUP BY ALL),
+  f AS (SELECT request_id, document_id, kind || ':' || id AS record_id FROM m QUALIFY row_number() OVER (PARTITION BY request_id, kind ORDER BY weight DESC, id, document_id) <= CASE kind WHEN 'claim' THEN 40 ELSE 10 END)
+  SELECT * FROM f UNION ALL SELECT p.request_id, min(h.document_id), 'entity:' || p.entity_uid FROM p JOIN ({HOMES}) h ON h.entity_uid = p.entity_uid JOIN (SELECT DISTINCT request_id, document_id FROM f) s ON s.request_id = p.request_id AND s.document_id = h.document_id GROUP BY p.request_id, p.entity_uid""")(
+    lambda t: security.scope_probe(t.sql(PROBES), t.sql(BEARING), t.documents_info_v, t.sql(HOMES), {"claim": 40, "relation": 10}))

@@ -1,6 +1,6 @@
 """Filters after fusion, and explanations."""
 
-from factloom.operators import retrieval
+from factloom.operators import claims, retrieval, security
 
 
 def test_chapters_are_soft_and_documents_are_not(spark):
@@ -26,3 +26,22 @@ def test_explanations_stand_around_reasons_and_keywords(spark):
     assert {r.chunk_id for r in out} == {1, 3} and {r.request_id for r in out} == {1}
     assert "because light ends" in [r.excerpt for r in out if r.chunk_id == 1][0] and [r.excerpt for r in out if r.chunk_id == 3] == ["Column trays hold liquid."]
     assert {r.chunk_id for r in retrieval.explanations(chunks, requests, "support").collect()} == {1, 2, 3}
+
+
+def test_confidence_of_answers(spark):
+    results = spark.createDataFrame([(1, "lookup", 0.8, True, False, 0), (1, "graph", 0.4, False, True, 2), (1, "verification", 0.0, True, False, 1), (2, "report", 0.9, True, False, 9), (3, None, None, None, None, None), (4, "lookup", 1.0, True, False, 0)], "request_id int, agent string, score double, ok boolean, optional boolean, n_missing int")
+    verdicts = spark.createDataFrame([(1, 0.5), (2, 0.0), (4, None)], "request_id int, verified double")
+    out = {r.request_id: (r.base, r.score) for r in claims.answer_confidence(results, verdicts).collect()}
+    base = (0.8 + 0.15 * 0.4) / 1.15
+    assert out == {1: (round(base, 2), round(base * 0.8 - 0.15, 2)), 2: (0.3, 0.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
+
+
+def test_scope_of_a_request_holds_ids_of_closed_documents_only(spark):
+    requests = spark.createDataFrame([(1, "operator", "e1"), (1, "operator", "e2"), (2, "admin", "e1"), (3, None, "e1"), (4, "guest", None)], "request_id int, role string, entity_uid string")
+    documents = spark.createDataFrame([("open", "PUBLIC"), ("shut", "CONFIDENTIAL"), ("unknown", None)], "document_id string, tag string")
+    records = spark.createDataFrame([("e1", d, "claim", f"{d[0]}{i}", i) for d in ("open", "shut") for i in range(5)] + [("e2", "shut", "claim", "s4", 4), ("e2", "unknown", "chunk", "u", 1), ("e1", "shut", "note", "n", 1), ("e1", "lost", "claim", "l", 9), ("e1", "shut", "claim", None, 9)], "entity_uid string, document_id string, kind string, id string, weight int")
+    entities = spark.createDataFrame([("e1", "open"), ("e1", "unknown"), ("e1", "shut"), ("e2", "open")], "entity_uid string, document_id string")
+    out = {}
+    for r in security.scope_probe(requests, records, documents, entities, {"claim": 2, "chunk": 3}).collect():
+        out.setdefault(r.request_id, set()).add((r.document_id, r.record_id))
+    assert out == {1: {("shut", "claim:s4"), ("shut", "claim:s3"), ("unknown", "chunk:u"), ("shut", "entity:e1")}, 3: {("shut", "claim:s4"), ("shut", "claim:s3"), ("shut", "entity:e1")}}
