@@ -107,10 +107,10 @@ def chapter_pages(pages: DataFrame, ranges: DataFrame, bin_size: int = 32) -> Da
 
 def section_ends(headings: DataFrame, last_page: int, deepest: int = 6) -> DataFrame:
     """STC4: ``page_end`` of sections (document_id, ord, level, page): the page before the next heading that is no deeper, never before the start; ``last_page`` without one."""
-    after = Window.partitionBy("document_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("document_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # from the end, so a frame only grows
     out = None
     for level in range(1, deepest + 1):
-        nxt = F.first(F.when(F.col("level") <= level, F.col("page")), ignorenulls=True).over(after)
+        nxt = F.last(F.when(F.col("level") <= level, F.col("page")), ignorenulls=True).over(after)
         out = F.when(F.col("level") == level, nxt) if out is None else out.when(F.col("level") == level, nxt)
     return headings.withColumn("page_end", F.greatest(F.col("page"), F.coalesce(out - 1, F.lit(last_page))))
 

@@ -132,3 +132,11 @@ def test_small_functions(spark, one):
     assert [r.x for r in spark.range(1).select(security.grant_reason(F.lit(False), F.lit(None).cast("boolean"), F.lit(True), F.lit(False), F.lit(False)).alias("x")).collect()] == ["spent"]
     same = spark.range(1).select((security.scope_hash(F.array(F.lit("b"), F.lit("a"), F.lit("b"))) == security.scope_hash(F.array(F.lit("a"), F.lit("b")))).alias("s"))
     assert same.first().s
+
+
+def test_section_ends_in_one_pass(spark):
+    heads = spark.range(40_000).selectExpr("'d' AS document_id", "id AS ord", "CAST(1 + id % 4 AS INT) AS level", "id AS page")
+    out = tables.section_ends(heads, 99_999)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()  # such a frame is read anew for every row
+    ends = {r.ord: r.page_end for r in out.where("ord < 4 or ord > 39995").collect()}
+    assert ends == {0: 3, 1: 3, 2: 3, 3: 3, 39_996: 99_999, 39_997: 99_999, 39_998: 99_999, 39_999: 99_999}
