@@ -118,18 +118,26 @@ def score_procedures(procedures: DataFrame, requests: DataFrame, most: int = 3)
     ``procedures``: procedure_id, procedure_type, applies_to, step_tags, head_tokens, step_tokens (arrays), page.
     ``requests``: request_id, entity, procedure_type, tokens. 2 for the entity, 1 and a fifth of up to five steps that name
     it; 4 for the type, a fifth of 1 for a request without one, less 1 for another; 1.2 and 0.5 times the shares of the
-    request's tokens in head and steps. Candidates meet by entity, so nothing is compared with all.
+    request's tokens in head and steps. Candidates meet by entity, so nothing is compared with all. Of procedures that are alike to an
+    entity, in type, words and steps, only the first ``most`` by page can be among the best; they are cut before they meet a request, and equal requests are ranked once.
     """
-    named = procedures.withColumn("__e", F.explode(F.array_distinct(F.concat("applies_to", "step_tags"))))
-    met = requests.join(named, F.col("entity") == F.col("__e")).withColumn("__rt", requests["procedure_type"]).withColumn("__pt", procedures["procedure_type"])
-    steps = F.size(F.filter("step_tags", lambda x: x == F.col("entity")))
+    kind = ["__e", "__pt", "__applies", "__steps", "__head", "__words"]
+    plain = lambda c: F.array_sort(F.array_distinct(c)).alias
+    named = procedures.withColumn("__e", F.explode(F.array_distinct(F.concat("applies_to", "step_tags")))).select(
+        "procedure_id", "page", "__e", F.col("procedure_type").alias("__pt"), F.array_contains("applies_to", F.col("__e")).alias("__applies"),
+        F.least(F.size(F.filter("step_tags", lambda x: x == F.col("__e"))), F.lit(5)).alias("__steps"), plain("head_tokens")("__head"), plain("step_tokens")("__words"))
+    first = named.withColumn("__r", F.row_number().over(Window.partitionBy(*kind).orderBy("page", "procedure_id"))).where(F.col("__r") <= most).drop("__r")
+    asked = requests.select("entity", F.col("procedure_type").alias("__rt"), "tokens")
+    met = asked.distinct().join(first, F.col("entity") == F.col("__e"))
     share = lambda c: F.size(F.array_intersect("tokens", c)) / F.greatest(F.size("tokens"), F.lit(1))
     score = (
-        F.when(F.array_contains("applies_to", F.col("entity")), 2.0).otherwise(0.0) + F.when(steps > 0, 1 + 0.2 * F.least(steps, F.lit(5))).otherwise(0.0)
-        + F.when(F.col("__rt").isNull(), 0.2).when(F.col("__rt") == F.col("__pt"), 4.0).otherwise(-1.0) + 1.2 * share("head_tokens") + 0.5 * share("step_tokens")
+        F.when(F.col("__applies"), 2.0).otherwise(0.0) + F.when(F.col("__steps") > 0, 1 + 0.2 * F.col("__steps")).otherwise(0.0)
+        + F.when(F.col("__rt").isNull(), 0.2).when(F.col("__rt") == F.col("__pt"), 4.0).otherwise(-1.0) + 1.2 * share("__head") + 0.5 * share("__words")
     )
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "page", "procedure_id")
-    return met.withColumn("score", F.round(score, 4)).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("request_id", "procedure_id", "score", "rank")
+    w = Window.partitionBy("entity", "__rt", "tokens").orderBy(F.desc("score"), "page", "procedure_id")
+    best = met.withColumn("score", F.round(score, 4)).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(*[F.col(c).alias(f"__{c}") for c in asked.columns], "procedure_id", "score", "rank")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in asked.columns]
+    return requests.select("request_id", *[F.col(c) for c in ("entity", "tokens")], F.col("procedure_type").alias("__rt")).join(best, same).select("request_id", "procedure_id", "score", "rank")
 
 
 def near_best(rows: DataFrame, by: str, score: str, percent: int = 60) -> DataFrame:

@@ -45,3 +45,11 @@ def test_scope_of_a_request_holds_ids_of_closed_documents_only(spark):
     for r in security.scope_probe(requests, records, documents, entities, {"claim": 2, "chunk": 3}).collect():
         out.setdefault(r.request_id, set()).add((r.document_id, r.record_id))
     assert out == {1: {("shut", "claim:s4"), ("shut", "claim:s3"), ("unknown", "chunk:u"), ("shut", "entity:e1")}, 3: {("shut", "claim:s4"), ("shut", "claim:s3"), ("shut", "entity:e1")}}
+
+
+def test_equal_procedures_are_cut_before_requests(spark):
+    procedures = spark.range(50).selectExpr("id AS procedure_id", "CAST(id % 2 AS STRING) AS procedure_type", "array('a') AS applies_to", "array('a', 'b') AS step_tags", "array('x') AS head_tokens", "array('y') AS step_tokens", "100 - id AS page")
+    requests = spark.createDataFrame([(1, "a", "1", ["x"]), (2, "a", "1", ["x"]), (3, "b", None, []), (4, "c", None, ["x"])], "request_id int, entity string, procedure_type string, tokens array<string>")
+    out = retrieval.score_procedures(procedures, requests, 2)
+    assert "windowspecdefinition(__e" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 47, 8.4, 2), (1, 49, 8.4, 1), (2, 47, 8.4, 2), (2, 49, 8.4, 1), (3, 48, 1.4, 2), (3, 49, 1.4, 1)]
