@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,9 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..functions.tags import parse_tag
 from .elements import APPROVAL
+from .folds import ordered_fold
+from .graph import settle
+from .joins import few
 
 # Content types of element types; openings that override them.
 CONTENT_TYPES = {"heading": "heading", "text": "paragraph", "list_item": "list_item", "table": "table", "equation": "equation", "caption": "figure_caption", "figure": "figure_caption"}
@@ -95,14 +101,40 @@ def contents(rows: DataFrame, last_page: int = 9999) -> DataFrame:
     return first.withColumn("page_end", F.coalesce(after - 1, F.lit(last_page)))
 
 
-def chapter_pages(pages: DataFrame, ranges: DataFrame, bin_size: int = 32) -> DataFrame:
+def chapter_pages(pages: DataFrame, ranges: DataFrame, bin_size: int = 4_096, most_bins: int = 1_024) -> DataFrame:
     """STC2, JOI7: (document_id, page, chapter): of the ranges (document_id, chapter, first_page, last_page, priority) that hold a page, the one of lowest priority number, then chapter.
 
-    Ranges are listed by the bins that they touch, so the join is by document and bin, not by comparing all.
+    An ordered pass over a document's ranges cuts it into stretches that each have one chapter; there are at most twice as
+    many as ranges, and they do not overlap. Only these are listed by the bins that they touch, of ``bin_size`` pages or so wide that a
+    document has ``most_bins``, and pages meet them by document and bin: neither long ranges nor many over one page add rows.
     """
-    bins = ranges.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("first_page") / bin_size), F.floor(F.col("last_page") / bin_size)))).withColumnRenamed("document_id", "__d")
-    held = pages.withColumn("__b", F.floor(F.col("page") / bin_size)).join(bins, (F.col("document_id") == F.col("__d")) & (F.col("__b") == F.col("__bin")) & F.col("page").between(F.col("first_page"), F.col("last_page")))
-    return held.groupBy("document_id", "page").agg(F.min(F.struct("priority", "chapter"))["chapter"].alias("chapter"))
+    best = Window.partitionBy("document_id").orderBy("priority", "chapter")
+    placed = settle(ranges.where("first_page <= last_page and document_id is not null").withColumn("__r", F.row_number().over(best)))
+    opens = placed.select("document_id", F.col("first_page").cast("long").alias("at"), F.col("last_page").cast("long").alias("last"), F.col("__r").cast("long").alias("r"))
+    ends = opens.groupBy("document_id").agg((F.max("last") + 1).alias("at"), (F.max("last") + 1).alias("last"), F.lit(0).cast("long").alias("r"))
+
+    def step(s: dict, part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for document, at, last, r in part[["document_id", "at", "last", "r"]].itertuples(index=False, name=None):
+            while s["open"] and s["from"] < at:
+                own, until = s["open"][0]
+                if until < s["from"]:
+                    heapq.heappop(s["open"])
+                    continue
+                out.append((document, s["from"], min(until, at - 1), own))
+                s["from"] = out[-1][2] + 1
+            s["from"] = at
+            heapq.heappush(s["open"], (r, last))
+        return pd.DataFrame(out, columns=["document_id", "lo", "hi", "r"])
+
+    kind = ranges.schema["document_id"].dataType.simpleString()
+    stretches = ordered_fold(opens.unionByName(ends), "document_id", ["at", "r"], "", lambda: {"open": [], "from": 0}, step, f"document_id {kind}, lo long, hi long, r long")
+    whole = Window.partitionBy("document_id")
+    width = F.greatest(F.lit(bin_size), F.ceil((F.max("hi").over(whole) - F.min("lo").over(whole) + 1) / most_bins))
+    named = settle(stretches.join(placed.select("document_id", F.col("__r").cast("long").alias("r"), "chapter"), ["document_id", "r"]).drop("r").withColumn("__w", width))
+    bins = settle(named.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / F.col("__w")), F.floor(F.col("hi") / F.col("__w"))))).drop("__w"))
+    asked = pages.select("document_id", "page").distinct().join(few(named.select("document_id", "__w").distinct()), "document_id").withColumn("__bin", F.floor(F.col("page") / F.col("__w")))
+    return asked.join(few(bins), ["document_id", "__bin"]).where(F.col("page").between(F.col("lo"), F.col("hi"))).select("document_id", "page", "chapter")
 
 
 def section_ends(headings: DataFrame, last_page: int, deepest: int = 6) -> DataFrame:

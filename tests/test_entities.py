@@ -140,3 +140,9 @@ def test_section_ends_in_one_pass(spark):
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()  # such a frame is read anew for every row
     ends = {r.ord: r.page_end for r in out.where("ord < 4 or ord > 39995").collect()}
     assert ends == {0: 3, 1: 3, 2: 3, 3: 3, 39_996: 99_999, 39_997: 99_999, 39_998: 99_999, 39_999: 99_999}
+
+
+def test_long_chapters_are_not_listed_by_page(spark):
+    pages = spark.createDataFrame([("d", 5), ("d", 2**37), ("d", 2**36), ("e", 7), (None, 7)], "document_id string, page long")
+    spans = spark.createDataFrame([("d", 1, 0, 2**37, 2), ("d", 2, 2**36, 2**36, 1), ("d", 3, 2**36 - 9, 2**36 + 9, 1), ("d", 4, 9, 5, 0), ("e", 5, 1, 9, None), ("e", 6, 1, 9, 0)], "document_id string, chapter int, first_page long, last_page long, priority int")
+    assert sorted(tuple(r) for r in tables.chapter_pages(pages.union(pages), spans).collect()) == [("d", 5, 1), ("d", 2**36, 2), ("d", 2**37, 1), ("e", 7, 5)]
