@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import phrases, text
+from .graph import settle
 from .joins import few
 
 #: Bytes of double-precision components in a block of vectors.
@@ -104,12 +105,22 @@ def hybrid(chunks: DataFrame, requests: DataFrame, k: int, key: str, of: str, de
 
 
 def search_names(requests: DataFrame, entities: DataFrame, most: int = 10) -> DataFrame:
-    """WIN6: (request_id, entity_uid, score, rank): the share of a request's words (request_id, text) in an entity's name, in millionths, and its mentions."""
-    asked = requests.select("request_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w")).select("request_id", F.size("w").alias("n"), F.explode("w").alias("token"))
-    known = entities.select("entity_uid", "mention_count", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("token"))
-    scored = asked.join(known, "token").groupBy("request_id", "entity_uid").agg((F.floor(F.count(F.lit(1)) * 1000000 / F.max("n")) + F.max(F.least("mention_count", F.lit(50))) * 2000).cast("long").alias("score"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "entity_uid")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    """WIN6: (request_id, entity_uid, score, rank): the share of a request's words (request_id, text) in an entity's name, in millionths, and its mentions.
+
+    Equal sets of words score alike: of the entities with one set only the ``most`` most mentioned can be among the best of
+    any request, so sets meet by word instead of rows, and equal requests are ranked once.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("token")
+    asked = requests.select("request_id", words("text")).groupBy("request_id").agg(F.array_sort(F.collect_set("token")).alias("x"))
+    known = entities.select("entity_uid", "mention_count", words("name")).distinct().groupBy("entity_uid").agg(F.array_sort(F.collect_list("token")).alias("y"), F.max(F.least("mention_count", F.lit(50))).alias("m"))
+    first = Window.partitionBy("y").orderBy(F.desc("m"), "entity_uid")
+    kept = settle(known.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).drop("__r"))
+    sets = kept.select("y").distinct().select("y", F.explode("y").alias("token"))
+    shared = asked.select("x").distinct().select("x", F.explode("x").alias("token")).join(sets, "token").groupBy("x", "y").agg(F.count(F.lit(1)).alias("common"))
+    scored = shared.join(kept, "y").select("x", "entity_uid", (F.floor(F.col("common") * 1000000 / F.size("x")) + F.col("m") * 2000).cast("long").alias("score"))
+    w = Window.partitionBy("x").orderBy(F.desc("score"), "entity_uid")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return asked.join(best, "x").select("request_id", "entity_uid", "score", "rank")
 
 
 def score_procedures(procedures: DataFrame, requests: DataFrame, most: int = 3) -> DataFrame:

@@ -47,6 +47,15 @@ def test_scope_of_a_request_holds_ids_of_closed_documents_only(spark):
     assert out == {1: {("shut", "claim:s4"), ("shut", "claim:s3"), ("unknown", "chunk:u"), ("shut", "entity:e1")}, 3: {("shut", "claim:s4"), ("shut", "claim:s3"), ("shut", "entity:e1")}}
 
 
+def test_equal_names_meet_requests_once(spark):
+    requests = spark.createDataFrame([(1, "red Pump"), (2, "pump red"), (3, "blue")], "request_id int, text string")
+    entities = spark.range(300).selectExpr("concat('e', id) AS entity_uid", "id AS mention_count", "CASE WHEN id % 2 = 0 THEN 'Red pump' ELSE 'pump' END AS name")
+    out = retrieval.search_names(requests, entities, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(request_id" not in plan and "windowspecdefinition(x" in plan  # ranked by set of words, not by request
+    assert sorted(tuple(r) for r in out.collect()) == [(r, u, 1_100_000, k) for r in (1, 2) for k, u in ((1, "e100"), (2, "e102"))]
+
+
 def test_equal_procedures_are_cut_before_requests(spark):
     procedures = spark.range(50).selectExpr("id AS procedure_id", "CAST(id % 2 AS STRING) AS procedure_type", "array('a') AS applies_to", "array('a', 'b') AS step_tags", "array('x') AS head_tokens", "array('y') AS step_tokens", "100 - id AS page")
     requests = spark.createDataFrame([(1, "a", "1", ["x"]), (2, "a", "1", ["x"]), (3, "b", None, []), (4, "c", None, ["x"])], "request_id int, entity string, procedure_type string, tokens array<string>")
