@@ -52,8 +52,8 @@ def merge_named(entities: DataFrame, aliases: DataFrame, dominance: int = 3) ->
 
 
 def redirect(rows: DataFrame, redirects: DataFrame, uid: str = "uid") -> DataFrame:
-    """JOI3: ``rows`` with ``uid`` replaced by its target, where it has one."""
-    to = redirects.select(F.col("uid").alias("__from"), F.col("target_uid").alias("__to"))
+    """JOI3: ``rows`` with ``uid`` replaced by its target, where it has one; of several targets of one uid, the smallest."""
+    to = redirects.groupBy(F.col("uid").alias("__from")).agg(F.min("target_uid").alias("__to"))
     joined = rows.join(to, F.col(uid) == F.col("__from"), "left")
     return joined.select(*[F.coalesce("__to", uid).alias(uid) if c == uid else F.col(c) for c in rows.columns])
 
