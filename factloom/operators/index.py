@@ -15,12 +15,15 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..functions.vocabulary import ACRONYMS
 from . import retrieval
+from .graph import settle
 from .joins import few
 
 #: Equipment and instrument tags as texts write them (a fixed value).
 NAME_PATTERN = r"\b[A-Z]{1,4}-?\d{2,5}[A-Z]?\b"
 #: Longest key by which glossary terms and texts meet.
 GRAM = 3
+#: Up to so many rows with lists are broadcast.
+BROADCAST_LISTS = 20_000
 
 
 def first_items(rows: DataFrame, by: list[str], item: str, order: list[Column | str], most: int) -> DataFrame:
@@ -73,6 +76,12 @@ def nearest_chunks(vectors: DataFrame, asked: DataFrame, k: int = 3) -> DataFram
     return others.select(F.col("request_id").alias("chunk_id"), F.col("chunk_id").alias("near"), "score", "rank")
 
 
+def listed(rows: DataFrame) -> DataFrame:
+    """``rows`` of lists, made once; broadcast if they are few, else joined by sorting: what tables' sizes let the planner guess of them is far too small."""
+    made = settle(rows)
+    return F.broadcast(made) if made.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS else made.hint("merge")
+
+
 def names_in(c: Column | str, most: int = 30) -> Column:
     """GRA11: the first ``most`` distinct tags of a text, in its order."""
     return F.slice(F.array_distinct(F.regexp_extract_all(text.text_of(c), F.lit(NAME_PATTERN), F.lit(0))), 1, most)
@@ -107,24 +116,28 @@ def context_facets(chunks: DataFrame, entities: DataFrame, aliases: DataFrame, c
     those not listed. Null or empty texts and sections give nothing; of rows that share a chunk_id the last by text counts.
     """
     own = chunks.groupBy("chunk_id").agg(F.max(F.struct("text", "section_path")).alias("c")).select("chunk_id", "c.text", "c.section_path")
-    named = own.select("chunk_id", F.posexplode(names_in("text")).alias("pos", "via"))
+    named = settle(own.select("chunk_id", F.posexplode(names_in("text")).alias("pos", "via")))
     names = named.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_set(F.struct("pos", "via"))), lambda x: x["via"]).alias("items"))
     row = lambda df, facet, via: df.select("chunk_id", F.lit(facet).alias("facet"), (F.col(via) if via else F.lit("")).alias("via"), F.col("n").cast("long").alias("n"), F.col("items").cast("array<string>").alias("items"))
 
     said = entities.select("entity_uid", F.col("name").alias("key")).union(aliases.select("entity_uid", "alias")).where("key <> ''")
-    called = first_items(said.select("entity_uid", F.lower("key").alias("key")).distinct(), ["key"], "entity_uid", [], 40)
-    loose = said.union(entities.select("entity_uid", "canonical_tag")).where("key <> ''").select("entity_uid", F.lower("key").alias("key")).distinct()
-    known = first_items(loose, ["key"], "entity_uid", [], 40)
+    keys = settle(named.select(F.lower("via").alias("key")).distinct())
+    of_keys = lambda df: df.select("entity_uid", F.lower("key").alias("key")).join(few(keys), "key", "left_semi").distinct()
+    called = listed(first_items(of_keys(said), ["key"], "entity_uid", [], 40))
+    reached = few(settle(called.select(F.explode("items").alias("entity_uid")).distinct()))  # no other entity brings lists
+    loose = of_keys(said.union(entities.select("entity_uid", "canonical_tag")).where("key <> ''"))
+    known = listed(first_items(loose, ["key"], "entity_uid", [], 40))
     of_name = lambda found: named.select("chunk_id", "via", F.lower("via").alias("key")).join(found, "key")
     met = of_name(called).select("chunk_id", F.explode("items").alias("entity_uid")).distinct()
 
-    told = first_items(claims.select("entity_uid", "claim_id", "confidence").where("entity_uid is not null").dropDuplicates(["entity_uid", "claim_id"]), ["entity_uid"], "claim_id", [F.desc("confidence")], 20)
+    met_by = lambda df: df.join(reached, "entity_uid", "left_semi")
+    told = listed(first_items(met_by(claims.select("entity_uid", "claim_id", "confidence")).dropDuplicates(["entity_uid", "claim_id"]), ["entity_uid"], "claim_id", [F.desc("confidence")], 20))
     edge = F.concat_ws(">", "source_uid", "rel_type", "target_uid")
     ends = relations.select(F.explode(F.array_distinct(F.array(F.struct(F.col("source_uid").alias("a"), F.col("target_uid").alias("b")), F.struct(F.col("target_uid").alias("a"), F.col("source_uid").alias("b"))))).alias("e"), edge.alias("edge"))
     sides = ends.where("e.a is not null and e.b is not null").select(F.col("e.a").alias("entity_uid"), F.col("e.b").alias("other"), "edge")
-    edges = first_items(sides.select("entity_uid", "edge").distinct(), ["entity_uid"], "edge", [], 20)
-    related = first_items(sides.where("entity_uid <> other").select("entity_uid", "other").distinct(), ["entity_uid"], "other", [], 15)
-    placed = first_items(entities.where("section <> ''").select("section", "entity_uid").distinct(), ["section"], "entity_uid", [], 20)
+    edges = listed(first_items(met_by(sides).select("entity_uid", "edge").distinct(), ["entity_uid"], "edge", [], 20))
+    related = listed(first_items(met_by(sides.where("entity_uid <> other")).select("entity_uid", "other").distinct(), ["entity_uid"], "other", [], 15))
+    placed = listed(first_items(entities.where("section <> ''").select("section", "entity_uid").distinct(), ["section"], "entity_uid", [], 20))
     out = [
         row(names, "name", None), row(of_name(called), "entity", "via"), row(of_name(known), "identity", "via"),
         *[row(met.join(found, "entity_uid"), facet, "entity_uid") for facet, found in (("claim", told), ("relation", edges), ("related", related))],

@@ -81,3 +81,20 @@ def test_edges_need_both_ends(spark):
         *(("d", "HAS_STANDING_INSTRUCTION", f"d#si:M/SI/{k}") for k in (1, 2, 3)), ("d#si:M/SI/1", "INCORPORATED_IN", "d#ch2"),
     }
     assert {(r.source_id, r.edge, r.target_id) for r in held if not r.held} == {("x", "HAS_CHAPTER", "x#ch1"), ("d#ch7", "HAS_SECTION", "s3"), ("gone", "HAS_SUBSECTION", "s4"), (None, "REFERENCES", "s1"), ("s2", "REFERENCES", "s2"), ("s3", "REFERENCES", "d#ch8"), (None, "REFERENCES", None), ("d#si:M/SI/2", "INCORPORATED_IN", "d#ch9")}
+
+
+def test_lists_around_chunks_are_broadcast_only_if_few(spark, monkeypatch):
+    chunks = spark.range(6).selectExpr("id AS chunk_id", "'P-12 and P-13' AS text", "'S' AS section_path")
+    entities = spark.createDataFrame([("a", "p-12", "P-12", "S"), ("b", None, "P-13", None), ("c", None, "P-14", None)], "entity_uid string, canonical_tag string, name string, section string")
+    aliases = spark.createDataFrame([("b", "p-12")], "entity_uid string, alias string")
+    claims = spark.createDataFrame([("k1", "a", 1), ("k2", "a", 2), ("k3", "c", 1), ("k4", None, 1)], "claim_id string, entity_uid string, confidence int")
+    relations = spark.createDataFrame([("a", "FEEDS", "b"), ("c", "FEEDS", "d")], "source_uid string, rel_type string, target_uid string")
+    terms = spark.createDataFrame([(1, "and", "both")], "place long, term string, meaning string")
+    rows = []
+    for most in (index.BROADCAST_LISTS, 0):
+        monkeypatch.setattr(index, "BROADCAST_LISTS", most)
+        out = index.context_facets(chunks, entities, aliases, claims, relations, terms)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan, "strategy=merge" in plan) == ((True, False) if most else (True, True))  # terms are few in both
+        rows.append(sorted((r.chunk_id, r.facet, r.via, r.n, ",".join(r["items"])) for r in out.collect()))
+    assert rows[0] == rows[1] and [r[1:] for r in rows[0] if r[0] == 0 and r[1] in ("claim", "related")] == [("claim", "a", 2, "k2,k1"), ("related", "a", 1, "b"), ("related", "b", 1, "a")]
