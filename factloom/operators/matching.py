@@ -78,7 +78,8 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     up to two parts stay out. Of several tiers the best counts. 0.02 for a tagged entity and a ten-thousandth a
     mention, up to 200, order equal scores; ties go to the smaller uid. Blank mentions get nothing.
 
-    The first tiers are one join of equality: a mention becomes a row a key, and tags are listed by their endings, too.
+    The first tiers are one join of equality: a mention becomes a row a key, and tags are listed by their endings, too. The owners of
+    one name count alike for a mention, so only the ``most`` of them that win a tie meet the mentions; mentions of equal words are compared once.
     """
     asked = mentions.select("request_id", F.trim(text.text_of("mention")).alias("mention")).where("mention <> ''").distinct()
     tag = parse_tag(F.replace(F.regexp_replace("mention", r"\s*-\s*", "-"), F.lit(" "), F.lit("")))
@@ -88,10 +89,14 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     ending = F.when(F.col("bare"), F.concat(F.lit("\t"), F.col("own")))
     tiers = F.array(tier(F.col("own"), "tag", 1.0), tier(F.col("parent"), "parent", 0.9), tier(F.col("name"), "alias", 0.95), tier(ending, "suffix", 0.8))
     keys = parsed.select("request_id", F.explode(tiers).alias("t")).select("request_id", "t.*").where("key is not null and key <> ''")
-    known = settle(aliases.select("entity_uid", text.norm_alias("alias").alias("key")).where("key <> ''").distinct())
+    weights = entities.select("entity_uid", F.coalesce(F.col("canonical_tag") != "", F.lit(False)).alias("tagged"), F.coalesce("mention_count", F.lit(0)).alias("n"))
+    first = Window.partitionBy("key").orderBy(F.desc_nulls_last(F.when(F.col("n").isNotNull(), F.when(F.col("tagged"), 200).otherwise(0) + F.least("n", F.lit(200)))), "entity_uid")
+    cut = lambda df: df.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).drop("__r")
+    owned = aliases.select("entity_uid", text.norm_alias("alias").alias("key")).where("key <> ''").distinct()
+    known = settle(cut(owned.join(weights, "entity_uid", "left")))
     parts = F.split("key", "-")
-    endings = known.where(F.size(parts) > 1).select("entity_uid", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("\t"), F.array_join(F.slice(parts, i, 64), "-")))).alias("key"))
-    hits = keys.join(known.unionByName(endings).distinct(), "key").select("request_id", "entity_uid", "tier", "score")
+    endings = known.where(F.size(parts) > 1).select("entity_uid", "tagged", "n", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("\t"), F.array_join(F.slice(parts, i, 64), "-")))).alias("key"))
+    hits = keys.join(cut(known.unionByName(endings).distinct()), "key").select("request_id", "entity_uid", "tier", "score")
     exact = F.max(F.col("tier").isin("tag", "parent")).over(Window.partitionBy("request_id"))
     direct = settle(hits.withColumn("exact", exact).where("tier <> 'suffix' or not exact").drop("exact"))
     lacking = parsed.join(direct.select("request_id").distinct(), "request_id", "left_anti")
@@ -99,11 +104,13 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     offered = set_classes(known.where(~F.contains("key", F.lit("-")) | (F.size(words_of_key(F.col("key"))) > 2)).select("key", words_of_key(F.col("key")).alias("tokens")).distinct(), "key")
     sets = lambda df: df.select(F.col("class_id").alias("id"), "tokens").distinct()
     pairs = similar_sets(settle(sets(wanted)), settle(sets(offered)), 0.5, contained=2)
-    near = pairs.join(wanted.select("request_id", F.col("class_id").alias("left_id")), "left_id").join(offered.select("key", F.col("class_id").alias("right_id")), "right_id")
-    fuzzy = near.join(known, "key").select("request_id", "entity_uid", F.lit("fuzzy").alias("tier"), (0.5 + 0.4 * F.col("common") / F.col("union")).alias("score"))
-    best = direct.unionByName(fuzzy).groupBy("request_id", "entity_uid").agg(F.max("score").alias("score"), F.max_by("tier", "score").alias("tier"))
-    weighed = best.join(entities.select("entity_uid", F.coalesce(F.col("canonical_tag") != "", F.lit(False)).alias("tagged"), F.coalesce("mention_count", F.lit(0)).alias("n")), "entity_uid")
+    near = pairs.join(offered.select("key", F.col("class_id").alias("right_id")), "right_id").join(known.where("n is not null"), "key")
     order = F.round(F.col("score") + F.when(F.col("tagged"), 0.02).otherwise(0.0) + F.least("n", F.lit(200)) / 10000, 9)
+    alike = near.groupBy("left_id", "entity_uid", "tagged", "n").agg(F.max(0.5 + 0.4 * F.col("common") / F.col("union")).alias("score"))
+    nearest = alike.withColumn("__r", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc(order), "entity_uid"))).where(F.col("__r") <= most)
+    fuzzy = nearest.join(wanted.select("request_id", F.col("class_id").alias("left_id")), "left_id").select("request_id", "entity_uid", F.lit("fuzzy").alias("tier"), "score")
+    best = direct.unionByName(fuzzy).groupBy("request_id", "entity_uid").agg(F.max("score").alias("score"), F.max_by("tier", "score").alias("tier"))
+    weighed = best.join(weights, "entity_uid")
     ranked = weighed.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc(order), "entity_uid")))
     return ranked.where(F.col("rank") <= most).select("request_id", "entity_uid", "tier", F.round("score", 6).alias("score"), "rank")
 
