@@ -30,11 +30,17 @@ def suffix_join(left: DataFrame, right: DataFrame, tag: str, skip: int = 3) -> D
     return own.join(other, F.col("__s") == F.col("__o")).drop("__s", "__o")
 
 
-def alias_join(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """JOI9: (k, entity_uid), each once: any of a key's names (k, name) is any of an entity's (entity_uid, alias), in their normal form. Either-or becomes rows, so the join is one of equality."""
-    a = names.select("k", text.norm_alias("name").alias("__n")).where("__n <> ''").distinct()
-    b = aliases.select("entity_uid", text.norm_alias("alias").alias("__a")).where("__a <> ''").distinct()
-    return a.join(b, F.col("__n") == F.col("__a")).select("k", "entity_uid").distinct()
+def alias_members(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """JOI9: (side, member, alias, first_k, first_uid): who has each normal name that keys (k, name) and entities (entity_uid, alias) share, and the smallest of either side.
+
+    A name's class is its ``alias``; its smallest key and entity stand for the pair, and every key with it is linked with
+    every entity with it. So no link is lost, and a name that thousands share takes a row a member, not their product.
+    """
+    a = names.select("k", text.norm_alias("name").alias("alias")).where("alias <> ''").distinct()
+    b = aliases.select("entity_uid", text.norm_alias("alias").alias("alias")).where("alias <> ''").distinct()
+    shared = a.groupBy("alias").agg(F.min("k").alias("first_k")).join(b.groupBy("alias").agg(F.min("entity_uid").alias("first_uid")), "alias")
+    both = a.select(F.lit("key").alias("side"), F.col("k").cast("string").alias("member"), "alias").unionByName(b.select(F.lit("entity").alias("side"), F.col("entity_uid").alias("member"), "alias"))
+    return both.join(shared, "alias").select("side", "member", "alias", "first_k", "first_uid")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, by: str, order: str, names: tuple[str, str]) -> DataFrame:
