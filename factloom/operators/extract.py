@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +36,13 @@ RANGE = re.compile(r"^[<>≤≥~]?\s*[+-]?\d[\d,]*(?:\.\d+)?(?:\s*-\s*\d[\d,]*(?
 CLAIMS = "table_id string, subject string, predicate string, value string, unit string, parameter_role string, qualifier string, layout string"
 
 
-def _first(rules, s: str, empty=None):
-    return next((r[1:] if len(r) > 2 else r[1] for r in rules if re.search(r[0], s, re.I)), empty)
+def _finder(rules: tuple) -> Callable:
+    """What the first rule that a text meets says. Headings recur from table to table, so the last few thousand answers are kept."""
+    compiled = [(re.compile(r[0], re.I), r[1:] if len(r) > 2 else r[1]) for r in rules]
+    return lru_cache(4096)(lambda s: next((said for pattern, said in compiled if pattern.search(s)), None))
+
+
+_condition, _property, _unit = map(_finder, (CONDITIONS, PROPERTIES, UNITS))
 
 
 def _plain(s: str) -> str:
@@ -54,13 +62,13 @@ def _cells_of(grid: list[list[str]], hint: str) -> list[tuple]:
     hint = _subject(hint)
     width = max(map(len, grid))
     rows = [[c.strip() for c in r] + [""] * (width - len(r)) for r in grid]
-    n = 0 if width > 1 and _first(PROPERTIES, rows[0][0]) and NUMBER.match(rows[0][1]) else 1  # a list of properties may have no header
+    n = 0 if width > 1 and _property(rows[0][0]) and NUMBER.match(rows[0][1]) else 1  # a list of properties may have no header
     while n and n < len(rows) - 1 and n < 3 and not any(NUMBER.match(c) for c in rows[n][1:]) and not TAG.match(rows[n][0]):
         n += 1
     heads = [" ".join(dict.fromkeys(r[k] for r in rows[:n] if r[k])) for k in range(width)]
     generic = [_plain(h) in GENERIC_SUBJECTS or not h for h in heads]
     body = rows[n:]
-    props = [_first(PROPERTIES, h) for h in heads]
+    props = [_property(h) for h in heads]
     out = []
 
     def add(subject, prop, value, where, role, qualifier, layout):
@@ -72,39 +80,45 @@ def _cells_of(grid: list[list[str]], hint: str) -> list[tuple]:
                 value = re.sub(r"\s+", "", RANGE.match(value)[0])
             if prop[0] == "generic_property" and not qualifier:
                 qualifier = re.sub(r"\s*\([^)]*\)\s*$", "", where).strip()
-            out.append((subject, name, value, _first(UNITS, where, prop[1]) or prop[1], role, qualifier, layout))
+            out.append((subject, name, value, _unit(where) or prop[1], role, qualifier, layout))
 
     tags = sum(bool(TAG.match(r[0])) for r in body)
     named = [k for k in range(1, width) if props[k]]
-    conditions = [k for k in range(1, width) if _first(CONDITIONS, heads[k])]
-    by_row = sum(_first(PROPERTIES, r[0]) is not None for r in body)
+    conditions = [k for k in range(1, width) if _condition(heads[k])]
+    by_row = sum(_property(r[0]) is not None for r in body)
     if named and (re.search(r"\btag\b|product|equipment|item", heads[0], re.I) or tags * 2 >= len(body)):
         for r in body:
             for k in named:
                 for part in r[k].split(",") if props[k][0] == "temperature" and re.match(r"^[\d.]+\s*,\s*[\d.]+", r[k]) else [r[k]]:
-                    add(r[0], props[k], part.strip(), heads[k], _first(CONDITIONS, heads[k]), " / ".join(x for x in re.findall(r"\b(?:PG|BH)\b", heads[k])), "B")
+                    add(r[0], props[k], part.strip(), heads[k], _condition(heads[k]), " / ".join(x for x in re.findall(r"\b(?:PG|BH)\b", heads[k])), "B")
     elif conditions and by_row:
         for r in body:
             for k in conditions:
-                add(hint, _first(PROPERTIES, r[0]), r[k], r[0], _first(CONDITIONS, heads[k]), "", "A")
+                add(hint, _property(r[0]), r[k], r[0], _condition(heads[k]), "", "A")
     elif by_row:
         for r in body:
             for k in range(1, width):
                 at = re.search(r"@\s*\S.*$", r[0])
-                subject, role = (hint, _first(CONDITIONS, r[0])) if generic[k] else (heads[k], "")
-                add(subject, _first(PROPERTIES, r[0]), r[k], re.sub(r"@.*$", "", r[0]), role, at[0] if at else "", "C")
+                subject, role = (hint, _condition(r[0])) if generic[k] else (heads[k], "")
+                add(subject, _property(r[0]), r[k], re.sub(r"@.*$", "", r[0]), role, at[0] if at else "", "C")
     return out
 
 
 def table_claims(tables: DataFrame) -> DataFrame:
-    """EXT1: claims of tables (table_id, hint, row, cells array<string>), one table a group: a fold over its rows in order."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row", kind="stable")
-        found = _cells_of([[c or "" for c in r] for r in part.cells], part.hint.iloc[0] or "")
-        return pd.DataFrame([(part.table_id.iloc[0], *f) for f in found], columns=[c.split()[0] for c in CLAIMS.split(", ")])
-
-    return tables.select("table_id", "hint", "row", "cells").groupBy("table_id").applyInPandas(run, CLAIMS)
+    """EXT1: claims of tables (table_id, hint, row, cells array<string>): a table's rows in order make one list, and tables are read a batch at a time."""
+    out = [c.split()[0] for c in CLAIMS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for table, rows in zip(batch.column("table_id").to_pylist(), batch.column("rows").to_pylist()):
+                rows.sort(key=lambda r: (r["row"] is None, r["row"] or 0))
+                found += [(table, *f) for f in _cells_of([[c or "" for c in r["cells"]] for r in rows], rows[0]["hint"] or "")]
+            columns = zip(*found) if found else [()] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], out)
+
+    lists = tables.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "hint", "cells"))).alias("rows"))
+    return lists.mapInArrow(run, CLAIMS)
 
 
 def spec_pairs(elements: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries whose work grows with their input, not with the product of groups or by a Python call a group."""
 
-from factloom.operators import joins
+from factloom.operators import extract, joins
 
 
 def plan_of(df):
@@ -16,3 +16,11 @@ def test_members_of_a_name_do_not_multiply(spark):
     held = lambda side: {(r.alias, r.member) for r in rows if r.side == side}
     links = {(int(k), u) for a, k in held("key") for b, u in held("entity") if a == b}
     assert links == {(k, f"u{i}") for k in range(60) for i in range(50)} | {(3, "u1")}
+
+
+def test_table_claims_call_no_python_a_table(spark):
+    rows = [("t1", "Pump 11-P-01:", 1, ["Pressure (Kg/cm2)", "5", None]), ("t1", "Pump 11-P-01:", 0, ["", "Minimum", "Maximum"]), ("t1", "Pump 11-P-01:", None, ["Temperature (°C)", "", "90"]), ("t2", None, 0, ["alone"]), (None, "Drum", 0, ["Capacity", "7"]), (None, "Drum", 1, ["Speed rpm", "30"])]
+    out = extract.table_claims(spark.createDataFrame(rows, "table_id string, hint string, row int, cells array<string>"))
+    assert sorted(map(repr, ((r.table_id, r.subject, r.predicate, r.value, r.unit, r.parameter_role, r.layout) for r in out.collect()))) == sorted(map(repr, [
+        ("t1", "11-P-01", "minimum_pressure", "5", "kg/cm2", "minimum", "A"), ("t1", "11-P-01", "maximum_temperature", "90", "°C", "maximum", "A"), (None, "Drum", "flow_rate", "7", "", "", "C"), (None, "Drum", "speed", "30", "rpm", "", "C")]))
+    assert "InPandas" not in plan_of(out) and "MapInArrow" in plan_of(out)
