@@ -87,15 +87,16 @@ def plan_steps(requests: DataFrame) -> DataFrame:
     assembles, a report with one that reports. Without entity or mention, steps that need one are optional. A plan ends
     after 12 steps, and no step waits for one that was cut. An ambiguous request is only asked back; a task without template is a lookup.
 
-    The templates are a table of a few rows that is broadcast; the rest is one projection.
+    The templates are a table of a few rows that is broadcast. Requests of one task, flags and secondary tasks have one plan,
+    so plans are made once a shape, in one projection, and meet the requests.
     """
     extra = [(task, key, _row(*step)) for task, key, step in EXTENSIONS]
     rows = [(task, [_row(*s) for s in steps], extra) for task, steps in TEMPLATES.items()]
     table = requests.sparkSession.createDataFrame(rows, f"__task string, __t array<{STEP}>, __e array<struct<task: string, key: string, step: {STEP}>>")
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(f"__{c}") for c in ("has_entity", "has_value", "has_mentions", "wants_report")]
     listed = F.coalesce("secondary", F.array().cast("array<string>")).alias("__s")
-    asked = requests.select("request_id", F.when(F.col("task").isin(*TEMPLATES), F.col("task")).otherwise("lookup").alias("__of"), *flags, listed)
-    base = asked.join(F.broadcast(table), F.col("__of") == F.col("__task"))
+    shape = [F.when(F.col("task").isin(*TEMPLATES), F.col("task")).otherwise("lookup").alias("__of"), *flags, listed]
+    base = requests.select(*shape).distinct().join(F.broadcast(table), F.col("__of") == F.col("__task"))
     open_, second = F.col("__of") != "ambiguous", lambda task: F.array_contains("__s", task)
     fits = lambda s: (~F.contains(s["flags"], F.lit("e")) | F.col("__has_entity")) & (~F.contains(s["flags"], F.lit("v")) | F.col("__has_value")) & (~F.contains(s["flags"], F.lit("n")) | ~F.col("__has_value"))
     has = lambda steps, agent: F.exists(steps, lambda s: s["agent"] == agent)
@@ -116,7 +117,10 @@ def plan_steps(requests: DataFrame) -> DataFrame:
     reported = lambda steps: F.when(open_ & (second("report") | F.col("__wants_report")) & ~has(steps, "report"), F.concat(steps, _added("report2", "report", last(steps, "report", REPORTED)))).otherwise(steps)
     whole = _let(_let(_let(F.filter("__t", fits), extended), assembled), reported)
     cut = lambda steps: _let(F.transform(steps, lambda s: s["step"]), lambda ids: F.transform(steps, lambda s: s.withField("needs", F.filter(s["needs"], lambda x: F.array_contains(ids, x)))))
-    made = base.select("request_id", (F.col("__has_entity") | F.col("__has_mentions")).alias("__named"), F.posexplode(_let(F.slice(whole, 1, MOST), cut)).alias("place", "s"))
+    known = ["__of", "__has_entity", "__has_value", "__has_mentions", "__wants_report", "__s"]
+    planned = base.select(*[F.col(c).alias(f"{c}_") for c in known], _let(F.slice(whole, 1, MOST), cut).alias("__plan"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in known]
+    made = requests.select("request_id", *shape).join(planned, same).select("request_id", (F.col("__has_entity") | F.col("__has_mentions")).alias("__named"), F.posexplode("__plan").alias("place", "s"))
     optional = F.col("s.optional") | (F.col("s.agent").isin(*NEEDS_ENTITY) & ~F.col("__named"))
     return made.select("request_id", (F.col("place") + 1).alias("place"), "s.step", "s.agent", "s.needs", "s.mode", optional.alias("optional"), "s.safety")
 

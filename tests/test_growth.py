@@ -1,6 +1,6 @@
 """Queries whose work grows with their input, not with the product of groups or by a Python call a group."""
 
-from factloom.operators import extract, joins
+from factloom.operators import extract, joins, plans, requests
 
 
 def plan_of(df):
@@ -24,3 +24,18 @@ def test_table_claims_call_no_python_a_table(spark):
     assert sorted(map(repr, ((r.table_id, r.subject, r.predicate, r.value, r.unit, r.parameter_role, r.layout) for r in out.collect()))) == sorted(map(repr, [
         ("t1", "11-P-01", "minimum_pressure", "5", "kg/cm2", "minimum", "A"), ("t1", "11-P-01", "maximum_temperature", "90", "°C", "maximum", "A"), (None, "Drum", "flow_rate", "7", "", "", "C"), (None, "Drum", "speed", "30", "rpm", "", "C")]))
     assert "InPandas" not in plan_of(out) and "MapInArrow" in plan_of(out)
+
+
+def test_requests_of_one_file_are_classified_in_many_tasks(spark):
+    asked = spark.createDataFrame([(i, "Compare the two") for i in range(40)], "request_id int, text string").coalesce(1)
+    out = requests.classify_tasks(asked)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.request_id, r.task) for r in out.collect()} == {(i, "comparison") for i in range(40)}
+
+
+def test_a_plan_is_made_once_a_shape(spark):
+    rows = [(i, "lookup" if i % 2 else None, ["safety"] if i % 3 else None, None, i % 2 == 0, None, False) for i in range(60)] + [(7, "lookup", ["safety"], None, False, None, False)]
+    steps = plans.plan_steps(spark.createDataFrame(rows, "request_id int, task string, secondary array<string>, has_entity boolean, has_value boolean, has_mentions boolean, wants_report boolean"))
+    assert [tuple(r) for r in steps.where("request_id = 7").orderBy("place", "step").select("place", "step").collect()] == [(1, "lookup"), (1, "lookup"), (2, "safety2"), (2, "safety2")]
+    assert {(r.request_id, r.step) for r in steps.collect()} == {(i, "lookup") for i in range(60)} | {(i, "safety2") for i in range(60) if i % 3}
+    assert "HashAggregate" in plan_of(steps).split("posexplode")[1]
