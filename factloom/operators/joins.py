@@ -17,6 +17,11 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt over as many tasks as the session shuffles into: work that costs far more than the rows would else be one task a part of a file."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, bin_size: int) -> DataFrame:
     """JOI7: points with the ranges that hold them. Ranges are listed by the bins that they touch; points and ranges meet by bin."""
     binned = ranges.where(F.col(lo) <= F.col(hi)).withColumn("__rb", F.explode(F.sequence(F.floor(F.col(lo) / bin_size), F.floor(F.col(hi) / bin_size))))

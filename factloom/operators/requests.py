@@ -13,6 +13,7 @@ from ..functions import request_rules as rules
 from ..functions.tags import find_tags
 from ..functions.text import sentences, text_of
 from ..functions.units import family, find_quantities
+from .joins import dealt
 
 
 def matches(c: Column | str, pattern: str) -> Column:
@@ -48,8 +49,7 @@ def classify_tasks(requests: DataFrame, text: str = "text") -> DataFrame:
     The highest sum of weights wins, ties by the order of the tasks. Confidence grows with the score and with its lead
     over the next; without any match the task is a lookup of confidence 0.2.
     """
-    dealt = requests.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the rules cost far more than the rows, and a small file is one task
-    ranked = dealt.withColumn("__r", F.sort_array(_task_scores(F.trim(text_of(text))), asc=False))
+    ranked = dealt(requests).withColumn("__r", F.sort_array(_task_scores(F.trim(text_of(text))), asc=False))
     best, second = F.get("__r", F.lit(0)), F.coalesce(F.get("__r", F.lit(1))["score"], F.lit(0))
     score = best["score"] / 10
     sure = F.least(F.lit(0.98), 0.35 + 0.15 * F.least(score, F.lit(3.0)) + 0.3 * (best["score"] - second) / best["score"])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import phrases, text
 from .graph import settle
-from .joins import few
+from .joins import dealt, few
 
 #: Bytes of double-precision components in a block of vectors.
 BLOCK_BYTES = 8 << 20
@@ -19,20 +22,21 @@ BLOCK_BYTES = 8 << 20
 def bm25(chunks: DataFrame, requests: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, key: str = "chunk_id", of: str = "text") -> DataFrame:
     """WIN1: (request_id, key, score, rank): Okapi BM25 of chunks (key, of) for requests (request_id, text), positive scores, ties by key.
 
-    Chunks are tokenized once; only the requests' own tokens, and one empty token a chunk that carries its length, leave
+    Chunks are dealt over tasks and tokenized once; only the requests' own tokens, and one empty token a chunk that carries its length, leave
     the scan. Negative inverse frequencies are raised to ``epsilon`` times the mean over the requests' tokens.
     """
     asked = requests.select("request_id", F.explode(F.array_distinct(text.tokenize("text"))).alias("token"))
     wanted = few(asked.select("token").union(requests.sparkSession.range(1).select(F.lit("").alias("token"))).distinct())
-    tokens = chunks.select(key, text.tokenize(of).alias("t")).select(key, F.size("t").alias("length"), F.explode(F.concat("t", F.array(F.lit("")))).alias("token")).where("length > 0")
-    hits = tokens.join(wanted, "token", "left_semi").groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    sized = dealt(chunks.select(key, of), key).select(key, text.tokenize(of).alias("t")).select(key, F.size("t").alias("length"), F.when(F.size("t") > 0, F.concat("t", F.array(F.lit("")))).alias("t"))
+    tokens = sized.select(key, "length", F.explode("t").alias("token"))  # the length first, else every token's row carries all tokens
+    hits = settle(tokens.join(wanted, "token", "left_semi").groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf")))  # read for three sums
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.avg("length").alias("mean"))
     totals = df.where("token = ''").select(F.col("df").alias("n"), F.col("mean").alias("mean_length"))
     idf = df.where("token <> ''").crossJoin(F.broadcast(totals)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # totals: one row
     floor = idf.agg((F.avg("idf") * epsilon).alias("floor"))
     idf = idf.crossJoin(F.broadcast(floor)).withColumn("idf", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).select("token", "idf", "mean_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.join(idf, "token").withColumn("part", part).join(asked, "token").groupBy("request_id", key).agg(F.sum("part").alias("score")).where("score > 0")
+    scored = hits.join(few(idf), "token").withColumn("part", part).join(asked, "token").groupBy("request_id", key).agg(F.sum("part").alias("score")).where("score > 0")
     w = Window.partitionBy("request_id").orderBy(F.desc(F.round("score", 9)), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -49,9 +53,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     blocks = lambda df: max(1, -(-(df.agg(F.sum("d")).first()[0] or 0) * 8 // BLOCK_BYTES))
     parts, asks = blocks(stored), blocks(asked)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda own, n: F.pmod(F.xxhash64(own), F.lit(n)).cast("int")
-    left = stored.withColumn("part", dealt(key, parts)).withColumn("ask", numbers(asks))
-    right = asked.withColumn("ask", dealt("request_id", asks)).withColumn("part", numbers(parts))
+    block = lambda own, n: F.pmod(F.xxhash64(own), F.lit(n)).cast("int")
+    left = stored.withColumn("part", block(key, parts)).withColumn("ask", numbers(asks))
+    right = asked.withColumn("ask", block("request_id", asks)).withColumn("part", numbers(parts))
 
     def best(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -88,17 +92,31 @@ def fuse(ranked: list[DataFrame], k: int, anchors: DataFrame | None = None, cons
 
 
 def embed(rows: DataFrame, key: str, of: str, dimension: int = 64) -> DataFrame:
-    """STC22: (key, embedding): a deterministic embedding where no model is at hand, signed hashed token counts of length one."""
-    hashed = rows.select(key, F.explode_outer(text.tokenize(of)).alias("w")).select(key, F.pmod(F.xxhash64("w"), F.lit(2 * dimension)).alias("h"), F.col("w").isNotNull().alias("is"))
-    sums = hashed.groupBy(key, (F.col("h") % dimension).alias("at")).agg(F.sum(F.when(~F.col("is"), 0.0).when(F.col("h") < dimension, 1.0).otherwise(-1.0)).alias("v"))
-    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("at").cast("int"), "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return maps.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0)).alias("embedding"))
+    """STC22: (key, embedding): a deterministic embedding where no model is at hand, signed hashed token counts of length one.
+
+    Keys are unique: a row's tokens are counted where the row lies, so only texts are dealt over tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                n, lists = len(part), part.column("h")
+                row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                counts = np.bincount(row * 2 * dimension + lists.flatten().to_numpy(zero_copy_only=False), minlength=n * 2 * dimension).reshape(n, 2 * dimension)
+                v = (counts[:, :dimension] - counts[:, dimension:]).astype(float)
+                norm = np.sqrt((v * v).sum(1, keepdims=True))
+                v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(np.arange(0, n * dimension + 1, dimension, dtype=np.int32), v.ravel())], [key, "embedding"])
+
+    hashed = dealt(rows.select(key, of), key).select(key, F.transform(text.tokenize(of), lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dimension)).cast("int")).alias("h"))
+    return hashed.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
 def hybrid(chunks: DataFrame, requests: DataFrame, k: int, key: str, of: str, depth: int = 24, anchors: DataFrame | None = None) -> DataFrame:
     """QRY18: (request_id, key, score, rank): keyword and vector rankings of the ``depth`` best, fused; both sides embedded alike."""
     words = bm25(chunks, requests, depth, key=key, of=of)
-    vectors = embed(chunks, key, of)
+    vectors = settle(embed(chunks, key, of))  # they are counted before they are dealt
     asked = embed(requests.select(F.col("request_id"), F.col("text")), "request_id", "text").select("request_id", F.col("embedding").alias("q"))
     near = vector_top_k(vectors, asked, depth, key).where("score > 0")
     return fuse([words.select("request_id", key, "rank"), near.select("request_id", key, "rank")], k, anchors, key=key)

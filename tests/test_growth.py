@@ -1,6 +1,6 @@
 """Queries whose work grows with their input, not with the product of groups or by a Python call a group."""
 
-from factloom.operators import extract, joins, plans, requests
+from factloom.operators import extract, graph, joins, plans, requests, retrieval
 
 
 def plan_of(df):
@@ -39,3 +39,25 @@ def test_a_plan_is_made_once_a_shape(spark):
     assert [tuple(r) for r in steps.where("request_id = 7").orderBy("place", "step").select("place", "step").collect()] == [(1, "lookup"), (1, "lookup"), (2, "safety2"), (2, "safety2")]
     assert {(r.request_id, r.step) for r in steps.collect()} == {(i, "lookup") for i in range(60)} | {(i, "safety2") for i in range(60) if i % 3}
     assert "HashAggregate" in plan_of(steps).split("posexplode")[1]
+
+
+def test_texts_of_one_file_are_searched_in_many_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(retrieval, "settle", lambda df: seen.append(df) or graph.settle(df))
+    chunks = spark.createDataFrame([(1, "red valve red"), (2, "valve"), (3, ""), (4, None), (5, "of the"), (6, "green pump line"), (7, "blue tank line")], "k long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "Red pump")], "request_id long, text string")
+    ranked = retrieval.bm25(chunks, asked, 5, key="k")
+    assert [(r.k, r["rank"]) for r in ranked.orderBy("rank").collect()] == [(1, 1), (6, 2)]
+    assert sorted(tuple(r) for r in seen[0].collect()) == [(1, 3, "", 1), (1, 3, "red", 2), (2, 1, "", 1), (6, 3, "", 1), (6, 3, "pump", 1), (7, 3, "", 1)]
+    assert len(seen) == 1
+    assert retrieval.embed(chunks, "k", "text").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_an_embedding_is_the_signed_counts_of_length_one(spark):
+    rows = spark.createDataFrame([(1, "red valve red"), (2, None), (3, "the")], "k long, text string")
+    hashed = {w: spark.sql(f"SELECT pmod(xxhash64('{w}'), 16) AS h").first().h for w in ("red", "valve")}
+    want = [0.0] * 8
+    for w, n in (("red", 2), ("valve", 1)):
+        want[hashed[w] % 8] += n if hashed[w] < 8 else -n
+    norm = sum(x * x for x in want) ** 0.5
+    assert {r.k: list(r.embedding) for r in retrieval.embed(rows, "k", "text", 8).collect()} == {1: [x / norm for x in want], 2: [0.0] * 8, 3: [0.0] * 8}
