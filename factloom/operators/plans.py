@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import settle
+
 # The steps of each task, in order: name, agent, the steps that it needs, mode, and flags: o optional, s sensitive to
 # safety, e only with an entity, v only with a value, n only without a value.
 TEMPLATES = {
@@ -96,7 +98,8 @@ def plan_steps(requests: DataFrame) -> DataFrame:
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(f"__{c}") for c in ("has_entity", "has_value", "has_mentions", "wants_report")]
     listed = F.coalesce("secondary", F.array().cast("array<string>")).alias("__s")
     shape = [F.when(F.col("task").isin(*TEMPLATES), F.col("task")).otherwise("lookup").alias("__of"), *flags, listed]
-    base = requests.select(*shape).distinct().join(F.broadcast(table), F.col("__of") == F.col("__task"))
+    asked = settle(requests.select("request_id", *shape))  # requests may be costly, and are read twice
+    base = asked.select(*["__of", "__has_entity", "__has_value", "__has_mentions", "__wants_report", "__s"]).distinct().join(F.broadcast(table), F.col("__of") == F.col("__task"))
     open_, second = F.col("__of") != "ambiguous", lambda task: F.array_contains("__s", task)
     fits = lambda s: (~F.contains(s["flags"], F.lit("e")) | F.col("__has_entity")) & (~F.contains(s["flags"], F.lit("v")) | F.col("__has_value")) & (~F.contains(s["flags"], F.lit("n")) | ~F.col("__has_value"))
     has = lambda steps, agent: F.exists(steps, lambda s: s["agent"] == agent)
@@ -120,7 +123,7 @@ def plan_steps(requests: DataFrame) -> DataFrame:
     known = ["__of", "__has_entity", "__has_value", "__has_mentions", "__wants_report", "__s"]
     planned = base.select(*[F.col(c).alias(f"{c}_") for c in known], _let(F.slice(whole, 1, MOST), cut).alias("__plan"))
     same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in known]
-    made = requests.select("request_id", *shape).join(planned, same).select("request_id", (F.col("__has_entity") | F.col("__has_mentions")).alias("__named"), F.posexplode("__plan").alias("place", "s"))
+    made = asked.join(planned, same).select("request_id", (F.col("__has_entity") | F.col("__has_mentions")).alias("__named"), F.posexplode("__plan").alias("place", "s"))
     optional = F.col("s.optional") | (F.col("s.agent").isin(*NEEDS_ENTITY) & ~F.col("__named"))
     return made.select("request_id", (F.col("place") + 1).alias("place"), "s.step", "s.agent", "s.needs", "s.mode", optional.alias("optional"), "s.safety")
 
