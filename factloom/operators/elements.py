@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.tags import find_tags
+from .graph import settle
+from .joins import BROADCAST_KEYS
 
 # First words of instructions, and adverbs that may stand before one.
 IMPERATIVE_VERBS = (
@@ -79,13 +81,19 @@ def running_titles(elements: DataFrame, chapters: DataFrame | None = None, least
 
 
 def template_tables(cells: DataFrame, total_pages: DataFrame, page_share: float = 0.5, cell_share: float = 0.6) -> DataFrame:
-    """FLT5: (document_id, table_id) of page furniture: small tables whose cells, digits as #, mostly recur on half of the pages."""
+    """FLT5: (document_id, table_id) of page furniture: small tables whose cells, digits as #, mostly recur on half of the pages.
+
+    Cells are counted by table, page and token first and written once, so a document's tokens meet its common ones as counts, not cell by cell.
+    """
     token = F.regexp_replace(F.regexp_replace(F.lower(F.trim("content")), "[0-9]", "#"), r"\s+", " ")
-    tokens = cells.select("document_id", "table_id", "page", "row", token.alias("token")).where(F.length("token") >= 2).join(total_pages.where("pages >= 4"), "document_id")
-    common = tokens.groupBy("document_id", "token", "pages").agg(F.countDistinct("page").alias("n")).where((F.col("n") >= F.col("pages") * page_share) & (F.col("n") >= 3))
+    tokens = cells.select("document_id", "table_id", "page", "row", token.alias("token")).where(F.length("token") >= 2)
+    counted = settle(tokens.groupBy("document_id", "table_id", "page", "token").agg(F.count(F.lit(1)).alias("cells"), F.max("row").alias("row"))).join(total_pages.where("pages >= 4"), "document_id")
+    common = counted.groupBy("document_id", "token", "pages").agg(F.countDistinct("page").alias("n")).where((F.col("n") >= F.col("pages") * page_share) & (F.col("n") >= 3)).select("document_id", "token")
     lists = common.groupBy("document_id").agg(F.collect_set("token").alias("all"), F.collect_set(F.when(F.length("token") >= 6, F.col("token"))).alias("long"))
+    if common.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        lists = F.broadcast(lists)
     hit = F.array_contains("all", F.col("token")) | F.exists("long", lambda x: F.contains(F.col("token"), x))
-    sized = tokens.join(lists, "document_id").groupBy("document_id", "table_id").agg(F.avg(hit.cast("double")).alias("share"), (F.max("row") + 1).alias("rows"))
+    sized = counted.join(lists, "document_id").groupBy("document_id", "table_id").agg((F.sum(F.when(hit, F.col("cells")).otherwise(0)) / F.sum("cells")).alias("share"), (F.max("row") + 1).alias("rows"))
     return sized.where((F.col("share") >= cell_share) & (F.col("rows") <= 8)).select("document_id", "table_id")
 
 

@@ -1,6 +1,6 @@
 """Queries whose work grows with their input, not with the product of groups or by a Python call a group."""
 
-from factloom.operators import extract, graph, joins, plans, requests, retrieval
+from factloom.operators import elements, extract, graph, joins, plans, requests, retrieval
 
 
 def plan_of(df):
@@ -61,3 +61,13 @@ def test_an_embedding_is_the_signed_counts_of_length_one(spark):
         want[hashed[w] % 8] += n if hashed[w] < 8 else -n
     norm = sum(x * x for x in want) ** 0.5
     assert {r.k: list(r.embedding) for r in retrieval.embed(rows, "k", "text", 8).collect()} == {1: [x / norm for x in want], 2: [0.0] * 8, 3: [0.0] * 8}
+
+
+def test_cells_meet_common_tokens_as_counts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(elements, "settle", lambda df: seen.append(df) or graph.settle(df))
+    rows = [("d", f"t{p}", p, i % 3, f"Plant name {p}{i}" if p < 4 else f"own {chr(97 + p)}") for p in range(6) for i in range(40)] + [("d", "t0", 0, 1, None), ("d", "t5", 5, 9, "Plant name 11"), ("few", "t9", 1, 0, "Plant name 1")]
+    out = elements.template_tables(spark.createDataFrame(rows, "document_id string, table_id string, page int, row int, content string"), spark.createDataFrame([("d", 6), ("few", 3)], "document_id string, pages int"))
+    assert {tuple(r) for r in out.collect()} == {("d", f"t{p}") for p in range(4)}
+    assert len(seen) == 1 and {(r.table_id, r.token): r.cells for r in seen[0].where("document_id = 'd'").collect()}["t4", "own e"] == 40 and seen[0].count() < 16
+
