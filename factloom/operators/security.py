@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import settle
+from .joins import BROADCAST_KEYS, dealt, few
+
 # The order of roles and of document tags.
 ROLES = {"guest": 0, "operator": 1, "engineer": 2, "manager": 3, "admin": 4}
 TAGS = {"PUBLIC": 0, "INTERNAL": 1, "CONFIDENTIAL": 2, "SECRET": 3}
@@ -77,17 +80,27 @@ def scope_probe(requests: DataFrame, records: DataFrame, documents: DataFrame, e
     ``requests``: request_id, role, entity_uid, a row an entity. ``records``: entity_uid, document_id, kind, id, weight. ``documents``:
     document_id, tag. ``entities``: entity_uid, document_id. Of each kind the first ``most`` a request by weight, then id; other kinds are
     left out. An entity's own record joins where one of its documents is in the scope already, under the first of them. Records
-    are cut to ``most`` by entity, kind and tag before requests meet them, which loses none: a role is shut out of whole tags.
+    are cut to ``most`` by entity, role and kind before requests meet them, which loses none; equal ones go by document, too. Only records
+    of entities that are asked for are read on, and requests are dealt over tasks before they meet lists, so an entity of many is no hot key.
     """
     limit = F.create_map(*[F.lit(x) for p in most.items() for x in p])
-    tagged = records.join(documents.select("document_id", F.coalesce("tag", F.lit("SECRET")).alias("tag")), "document_id").select("entity_uid", "document_id", "tag", "kind", "id", "weight").where(F.col("kind").isin(*most) & F.col("id").isNotNull()).distinct()
-    near = Window.partitionBy("entity_uid", "kind", "tag").orderBy(F.desc("weight"), "id")
-    cut = tagged.withColumn("__r", F.row_number().over(near)).where(F.col("__r") <= max(most.values())).drop("__r")
     asked = requests.select("request_id", "role", "entity_uid").distinct()
-    met = asked.join(cut, "entity_uid").where(~can_read(F.col("role"), F.col("tag"))).groupBy("request_id", "document_id", "kind", "id").agg(F.max("weight").alias("weight"))
-    first = Window.partitionBy("request_id", "kind").orderBy(F.desc("weight"), "id", "document_id")
-    found = met.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= limit[F.col("kind")]).select("request_id", "document_id", F.concat_ws(":", "kind", "id").alias("record_id"))
+    wanted = few(asked.select("entity_uid").distinct())
+    tagged = (
+        records.where(F.col("kind").isin(*most) & F.col("id").isNotNull()).select("entity_uid", "document_id", "kind", "id", "weight").join(wanted, "entity_uid", "left_semi").distinct()
+        .join(documents.select("document_id", F.coalesce("tag", F.lit("SECRET")).alias("tag")), "document_id")
+    )
+    first = lambda *by: Window.partitionBy(*by, "kind").orderBy(F.desc("weight"), "id", "document_id")
+    best = lambda rows, *by: rows.withColumn("__r", F.row_number().over(first(*by))).where(F.col("__r") <= max(most.values())).where(F.col("__r") <= limit[F.col("kind")])
+    shut = tagged.groupBy("entity_uid", "document_id", "tag", "kind", "id").agg(F.max("weight").alias("weight")).join(asked.select("entity_uid", "role").distinct(), "entity_uid").where(~can_read(F.col("role"), F.col("tag")))
+    top = settle(best(shut, "entity_uid", "role").select("entity_uid", "role", F.struct("document_id", "kind", "id", "weight").alias("x")))
+    lists = top.groupBy("entity_uid", "role").agg(F.collect_list("x").alias("xs"))
+    homes = settle(entities.select("entity_uid", "document_id").join(wanted, "entity_uid", "left_semi").distinct())
+    each = dealt(asked, "request_id")
+    listed = each.join(F.broadcast(lists), ["entity_uid", "role"]) if top.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else dealt(asked.join(lists, ["entity_uid", "role"]), "request_id")
+    met = listed.select("request_id", F.explode("xs").alias("x")).groupBy("request_id", "x.document_id", "x.kind", "x.id").agg(F.max("x.weight").alias("weight"))
+    found = best(met, "request_id").select("request_id", "document_id", F.concat_ws(":", "kind", "id").alias("record_id"))
     scope = found.select("request_id", "document_id").distinct()
-    own = asked.join(entities.select("entity_uid", "document_id").distinct(), "entity_uid").join(scope, ["request_id", "document_id"], "left_semi")
+    own = each.join(few(homes), "entity_uid").join(scope, ["request_id", "document_id"], "left_semi")
     named = own.groupBy("request_id", F.concat(F.lit("entity:"), "entity_uid").alias("record_id")).agg(F.min("document_id").alias("document_id"))
     return found.unionByName(named)

@@ -1,6 +1,6 @@
 """Queries whose work grows with their input, not with the product of groups or by a Python call a group."""
 
-from factloom.operators import elements, extract, graph, joins, plans, requests, retrieval
+from factloom.operators import elements, extract, graph, joins, plans, requests, retrieval, security
 
 
 def plan_of(df):
@@ -71,3 +71,14 @@ def test_cells_meet_common_tokens_as_counts(spark, monkeypatch):
     assert {tuple(r) for r in out.collect()} == {("d", f"t{p}") for p in range(4)}
     assert len(seen) == 1 and {(r.table_id, r.token): r.cells for r in seen[0].where("document_id = 'd'").collect()}["t4", "own e"] == 40 and seen[0].count() < 16
 
+
+def test_records_nobody_asks_for_are_left_and_equal_ones_go_by_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(security, "settle", lambda df: seen.append(df) or graph.settle(df))
+    asked = spark.createDataFrame([(i, ("guest", "engineer")[i % 2], "e1") for i in range(40)], "request_id int, role string, entity_uid string").coalesce(1)
+    documents = spark.createDataFrame([(f"d{i}", "SECRET") for i in range(9)] + [("open", "PUBLIC")], "document_id string, tag string")
+    records = spark.createDataFrame([(e, f"d{i}", "claim", "same", 5) for e in ("e1", "e2") for i in reversed(range(9))] + [("e1", "open", "claim", "x", 9)], "entity_uid string, document_id string, kind string, id string, weight int")
+    out = security.scope_probe(asked, records, documents, spark.createDataFrame([("e2", "d0")], "entity_uid string, document_id string"), {"claim": 2})
+    assert sorted(tuple(r) for r in out.collect()) == [(i, d, "claim:same") for i in range(40) for d in ("d0", "d1")]
+    assert sorted((r.entity_uid, r.role, r.x.document_id) for r in seen[0].collect()) == [("e1", r, d) for r in ("engineer", "guest") for d in ("d0", "d1")]
+
