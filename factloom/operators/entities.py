@@ -168,7 +168,7 @@ def train_pairs(tags: Column | str) -> Column:
 
 
 def expand_trains(entities: DataFrame, claims: DataFrame) -> DataFrame:
-    """JOI2: (canonical_tag, claim_id): an item's own claims and those of its trains. The train's tag is cut to its item once, so the join is an equi-join."""
-    subject = parse_tag("subject")
-    keyed = claims.select("claim_id", F.explode(F.array_distinct(F.array(F.coalesce(subject["canonical"], F.col("subject")), F.coalesce(subject["parent"], subject["canonical"], F.col("subject"))))).alias("__t"))
+    """JOI2: (canonical_tag, claim_id): an item's own claims and those of its trains. The train's tag is parsed and cut to its item once, so the join is an equi-join."""
+    both = lambda p: F.array_distinct(F.array(F.coalesce(p["canonical"], F.col("subject")), F.coalesce(p["parent"], p["canonical"], F.col("subject"))))
+    keyed = claims.select("claim_id", F.explode(F.flatten(F.transform(F.array(parse_tag("subject")), both))).alias("__t"))
     return entities.select("canonical_tag").distinct().join(keyed, F.col("canonical_tag") == F.col("__t")).select("canonical_tag", "claim_id").distinct()

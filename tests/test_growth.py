@@ -1,6 +1,9 @@
 """Queries whose work grows with their input, not with the product of groups or by a Python call a group."""
 
-from factloom.operators import elements, extract, graph, joins, plans, requests, retrieval, security
+from pyspark.sql import functions as F
+
+from factloom.functions import tags
+from factloom.operators import elements, entities, extract, graph, joins, plans, requests, retrieval, security
 
 
 def plan_of(df):
@@ -82,3 +85,22 @@ def test_records_nobody_asks_for_are_left_and_equal_ones_go_by_document(spark, m
     assert sorted(tuple(r) for r in out.collect()) == [(i, d, "claim:same") for i in range(40) for d in ("d0", "d1")]
     assert sorted((r.entity_uid, r.role, r.x.document_id) for r in seen[0].collect()) == [("e1", r, d) for r in ("engineer", "guest") for d in ("d0", "d1")]
 
+
+RAW = ["11-P-01", " 11-p-01a/b ", "P-1", "12 V 3", "11-P-01\n", "IS-4576", "11-P-000001", "p–12 A", "abc", "12", "", None, "ABCDE-1", "11-P-1/A", "(11-P-1)", "1-A-1" + "A/A" * 14, "11_P_7 B , C", "\n11-P-2", "Ä-1", "11-P-1 x"]
+
+
+def test_a_tag_is_parsed_step_by_step_and_told_by_one_pattern(spark):
+    out = spark.createDataFrame([(i, r) for i, r in enumerate(RAW)], "i int, raw string").select("i", tags.parse_tag("raw")["canonical"].alias("c"), tags.is_tag("raw").alias("t")).collect()
+    got = {RAW[r.i]: r.c for r in out}
+    dashed = F.regexp_replace(tags.cleaned("raw"), "(?<=[A-Z0-9]) (?=[A-Z0-9])", "-")  # what was parsed before, without the short ways
+    long = {RAW[r.i]: r.d for r in spark.createDataFrame([(i, r) for i, r in enumerate(RAW)], "i int, raw string").select("i", F.when(dashed.rlike(tags.PATTERN) & (F.length(dashed) <= 32) & ~dashed.rlike("^IS-"), dashed).alias("d")).collect()}
+    assert {k: v is None for k, v in got.items()} == {k: v is None for k, v in long.items()} and all(r.t == (r.c is not None) for r in out)
+    assert got["11-P-01\n"] == "11-P-01" and got[" 11-p-01a/b "] == "11-P-01" and got["12 V 3"] == "12-V-3" and got["IS-4576"] is None
+
+
+def test_trains_and_columns_parse_a_text_once(spark):
+    claims = spark.createDataFrame([("a", "11-P-1A"), ("b", "11-P-1"), ("c", "odd one"), ("d", None)], "claim_id string, subject string")
+    items = spark.createDataFrame([("11-P-1",), ("11-P-1A",), ("odd one",)], "canonical_tag string")
+    out = entities.expand_trains(items, claims)
+    assert {tuple(r) for r in out.collect()} == {("11-P-1", "a"), ("11-P-1A", "a"), ("11-P-1", "b"), ("odd one", "c")}
+    assert plan_of(out).count(tags.PATTERN) <= 5 * 2  # one rlike and four groups, in the plan and its adaptive copy
