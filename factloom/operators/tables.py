@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..functions.tags import parse_tag
+from ..functions.tags import is_tag, parse_tag
 from .elements import APPROVAL
 from .folds import ordered_fold
 from .graph import settle
@@ -63,7 +63,7 @@ def signatures(tables: DataFrame) -> DataFrame:
 def column_types(cells: DataFrame) -> DataFrame:
     """STC13: (table_id, col, data_type) from cells (table_id, row, col, content): numeric if all samples are, tag if all filled ones are, else text; empty samples are not numeric."""
     c = F.trim(text.text_of("content"))
-    tagged = parse_tag(c).isNotNull() & c.rlike(r"^\S+$")
+    tagged = c.rlike(r"^\S+$") & is_tag(c)
     flags = cells.groupBy("table_id", "col").agg(F.min(text.is_numeric_like(c)).alias("numeric"), F.min(F.when(c != "", tagged)).alias("tag"))
     return flags.select("table_id", "col", F.when(F.col("numeric"), "numeric").when(F.coalesce("tag", F.lit(True)), "tag").otherwise("text").alias("data_type"))
 

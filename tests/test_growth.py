@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.functions import tags
-from factloom.operators import elements, entities, extract, graph, joins, plans, requests, retrieval, security
+from factloom.operators import elements, entities, extract, graph, joins, plans, requests, retrieval, security, tables
 
 
 def plan_of(df):
@@ -104,3 +104,6 @@ def test_trains_and_columns_parse_a_text_once(spark):
     out = entities.expand_trains(items, claims)
     assert {tuple(r) for r in out.collect()} == {("11-P-1", "a"), ("11-P-1A", "a"), ("11-P-1", "b"), ("odd one", "c")}
     assert plan_of(out).count(tags.PATTERN) <= 5 * 2  # one rlike and four groups, in the plan and its adaptive copy
+    cells = spark.createDataFrame([("t", 0, c, x) for c, xs in enumerate((["11-P-1", ""], ["5", "6"], ["11 P 1", "x"])) for x in xs], "table_id string, row int, col int, content string")
+    assert {r.col: r.data_type for r in tables.column_types(cells).collect()} == {0: "tag", 1: "numeric", 2: "text"}
+    assert tags.CLEAN in plan_of(tables.column_types(cells))
