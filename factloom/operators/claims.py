@@ -21,13 +21,20 @@ def with_context_key(claims: DataFrame) -> DataFrame:
 def conflicts(claims: DataFrame) -> DataFrame:
     """AGG2: numeric claims of one subject and context from several places, whose values agree or may conflict. Units are not compared.
 
-    Values are compared to four decimals, as whole numbers of ten-thousandths. One shuffle with partial aggregation.
+    Values are compared to four decimals, as whole numbers of ten-thousandths. Claims are shuffled once, each as one row: a group lies in
+    one task, where the first of each place and of each value is told by order. A very large group is a long task of bounded memory.
     """
-    keyed = with_context_key(claims.where("numeric_value is not null"))
-    groups = keyed.groupBy("subject", "context_key").agg(
-        F.count(F.lit(1)).alias("n_claims"),
-        F.countDistinct("document_id", "page", "chunk_id").alias("n_places"),
-        F.countDistinct(F.round(F.col("numeric_value") * 10000).cast("long")).alias("n_values"),
+    key = ["subject", "context_key"]
+    place = [F.col(c) for c in ("document_id", "page", "chunk_id")]
+    value = F.round(F.col("numeric_value") * 10000).cast("long")
+    rows = with_context_key(claims.where("numeric_value is not null")).select(*key, *place, "numeric_value").repartition(*key)
+    new = lambda *by: (F.row_number().over(Window.partitionBy(*key, *by).orderBy(F.lit(0))) == 1).cast("long")
+    whole = F.lit(True)
+    for c in place:
+        whole = whole & c.isNotNull()
+    marked = rows.withColumn("value", value).withColumn("__place", F.when(whole, new(*place))).withColumn("__value", F.when(F.col("value").isNotNull(), new("value")))
+    groups = marked.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n_claims"), F.coalesce(F.sum("__place"), F.lit(0)).alias("n_places"), F.coalesce(F.sum("__value"), F.lit(0)).alias("n_values"),
         F.min("numeric_value").alias("low"), F.max("numeric_value").alias("high"),
     )
     return groups.where("n_claims >= 2 and n_places >= 2").withColumn("status", F.when(F.col("n_values") > 1, "potential_conflict").otherwise("corroborated"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.functions import tags
+from factloom.operators import claims as claim_rows
 from factloom.operators import elements, entities, extract, graph, joins, plans, requests, retrieval, security, tables
 
 
@@ -107,3 +108,13 @@ def test_trains_and_columns_parse_a_text_once(spark):
     cells = spark.createDataFrame([("t", 0, c, x) for c, xs in enumerate((["11-P-1", ""], ["5", "6"], ["11 P 1", "x"])) for x in xs], "table_id string, row int, col int, content string")
     assert {r.col: r.data_type for r in tables.column_types(cells).collect()} == {0: "tag", 1: "numeric", 2: "text"}
     assert tags.CLEAN in plan_of(tables.column_types(cells))
+
+
+def test_claims_of_a_group_are_shuffled_once(spark):
+    names = ["subject", "numeric_value", "document_id", "page", "chunk_id", *claim_rows.CONTEXT]
+    made = [(f"s{i % 3}", None if i == 8 else [1.0, 1.00001, 2.0][i % 2 + (i > 20)], f"d{i % 2}", None if i % 7 == 0 else i % 4, "c", "p", "", "", "", "", "", "") for i in range(30)] + [("lone", 1.0, "d", 1, "c", *[""] * 7)]
+    rows = spark.createDataFrame(made, ", ".join(f"{n} {'double' if n == 'numeric_value' else 'int' if n == 'page' else 'string'}" for n in names))
+    out = claim_rows.conflicts(rows)
+    want = claim_rows.with_context_key(rows.where("numeric_value is not null")).groupBy("subject", "context_key").agg(F.count(F.lit(1)), F.countDistinct("document_id", "page", "chunk_id"), F.countDistinct(F.round(F.col("numeric_value") * 10000).cast("long")))
+    assert sorted((r.subject, r.context_key, r.n_claims, r.n_places, r.n_values) for r in out.collect()) == sorted(tuple(r) for r in want.collect() if r[2] > 1 and r[3] > 1)
+    assert "Expand" not in plan_of(out) and plan_of(out).count("Exchange hash") == 2  # the plan and its first form
