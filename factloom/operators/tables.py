@@ -69,10 +69,12 @@ def column_types(cells: DataFrame) -> DataFrame:
 
 
 def drop_repeated_rows(cells: DataFrame) -> DataFrame:
-    """STC13: the cells without rows that repeat an earlier row of their table, cell by cell."""
-    rows = cells.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.concat_ws(":", F.col("col").cast("string"), F.trim(text.text_of("content"))))).alias("__sig"))
-    first = rows.groupBy("table_id", "__sig").agg(F.min("row").alias("row"))
-    return cells.join(first.select("table_id", "row"), ["table_id", "row"], "left_semi")
+    """STC13: the cells without rows that repeat an earlier row of their table, cell by cell. A row is gathered once, and its cells go with it."""
+    others = [c for c in cells.columns if c not in ("table_id", "row")]
+    rows = cells.where("table_id is not null and row is not null").groupBy("table_id", "row").agg(F.collect_list(F.struct(*others)).alias("__cells"))
+    said = F.array_sort(F.transform("__cells", lambda x: F.concat_ws(":", x["col"].cast("string"), F.trim(text.text_of(x["content"])))))
+    kept = rows.withColumn("__sig", said).withColumn("__first", F.min("row").over(Window.partitionBy("table_id", "__sig"))).where("row = __first")
+    return kept.select("table_id", "row", F.explode("__cells").alias("__x")).select(*[c if c in ("table_id", "row") else F.col(f"__x.{c}").alias(c) for c in cells.columns])
 
 
 def chunk_type(chunks: DataFrame) -> DataFrame:

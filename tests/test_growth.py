@@ -118,3 +118,10 @@ def test_claims_of_a_group_are_shuffled_once(spark):
     want = claim_rows.with_context_key(rows.where("numeric_value is not null")).groupBy("subject", "context_key").agg(F.count(F.lit(1)), F.countDistinct("document_id", "page", "chunk_id"), F.countDistinct(F.round(F.col("numeric_value") * 10000).cast("long")))
     assert sorted((r.subject, r.context_key, r.n_claims, r.n_places, r.n_values) for r in out.collect()) == sorted(tuple(r) for r in want.collect() if r[2] > 1 and r[3] > 1)
     assert "Expand" not in plan_of(out) and plan_of(out).count("Exchange hash") == 2  # the plan and its first form
+
+
+def test_cells_go_with_their_row(spark):
+    cells = spark.createDataFrame([("t", r, c, x, r * 10) for r, xs in enumerate((["a", "b"], [" a", "b "], ["a", None], ["a", ""], ["b", "a"])) for c, x in enumerate(xs)] + [("u", 7, 0, "a", 1), (None, 1, 0, "a", 1)], "table_id string, row int, col int, content string, more int")
+    out = tables.drop_repeated_rows(cells)
+    assert out.columns == cells.columns and sorted(tuple(r) for r in out.collect()) == sorted([("t", 0, 0, "a", 0), ("t", 0, 1, "b", 0), ("t", 2, 0, "a", 20), ("t", 2, 1, None, 20), ("t", 4, 0, "b", 40), ("t", 4, 1, "a", 40), ("u", 7, 0, "a", 1)])
+    assert "Join" not in plan_of(out)
