@@ -124,7 +124,8 @@ def table_claims(tables: DataFrame) -> DataFrame:
 def spec_pairs(elements: DataFrame) -> DataFrame:
     """EXT2: (document_id, label, value, reading_order): ``Label: value`` lines, and runs of labels followed by as many values, paired in order.
 
-    Runs are islands of one kind; the label run is joined to the value run that comes next, by position.
+    Runs are islands of one kind; a label run and the value run that comes next are one group, in which the value is the row after its
+    label by position. So elements are ordered once, and only labels and values go on.
     """
     c = F.trim(F.col("content"))
     inline = F.regexp_extract(c, r"^([A-Za-z][^:]{1,60}):\s*(\S.*)$", 1)
@@ -132,12 +133,13 @@ def spec_pairs(elements: DataFrame) -> DataFrame:
     kind = F.when(c.rlike(r"^[A-Za-z][^:]{1,60}:$"), "label").when(c.rlike(r"^[<>≤≥~]?\s*[+-]?\d"), "value").otherwise("other")
     w = Window.partitionBy("document_id").orderBy("reading_order")
     marked = elements.withColumn("kind", kind).withColumn("starts", F.coalesce((F.lag("kind").over(w) != F.col("kind")).cast("int"), F.lit(1)))
-    islands = marked.withColumn("run", F.sum("starts").over(w)).where("kind <> 'other'")
-    inside = Window.partitionBy("document_id", "run").orderBy("reading_order")
-    placed = islands.withColumn("at", F.row_number().over(inside)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("document_id", "run")))
-    labels = placed.where("kind = 'label'").select("document_id", "at", "n", (F.col("run") + 1).alias("run"), F.regexp_replace(c, ":$", "").alias("label"), "reading_order")
-    values = placed.where("kind = 'value'").select("document_id", "at", "n", "run", c.alias("value"))
-    return one.unionByName(labels.join(values, ["document_id", "run", "at", "n"]).select("document_id", "label", "value", "reading_order"))
+    place = F.row_number().over(w)
+    islands = marked.where("document_id is not null").withColumn("run", F.sum("starts").over(w)).withColumn("place", place).withColumn("at", F.col("place") - F.max(F.when(F.col("starts") == 1, F.col("place"))).over(w)).where("kind <> 'other'")
+    paired = islands.select("document_id", (F.col("run") + F.when(F.col("kind") == "label", 1).otherwise(0)).alias("pair"), "at", "kind", c.alias("said"), "reading_order").repartition("document_id", "pair")
+    group = Window.partitionBy("document_id", "pair")
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).over(group)
+    met = paired.withColumn("value", F.lead("said").over(group.orderBy("at", "kind"))).withColumn("even", of("label") == of("value")).where("kind = 'label' and even")
+    return one.unionByName(met.select("document_id", F.regexp_replace("said", ":$", "").alias("label"), "value", "reading_order"))
 
 
 def prose_claims(sentences: DataFrame) -> DataFrame:

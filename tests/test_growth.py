@@ -120,6 +120,14 @@ def test_claims_of_a_group_are_shuffled_once(spark):
     assert "Expand" not in plan_of(out) and plan_of(out).count("Exchange hash") == 2  # the plan and its first form
 
 
+def test_labels_meet_values_without_a_join(spark):
+    lines = ["Make: KSB", "Model:", "Speed:", "5", "6", "Text", "Ab:", "7", "8", "Bc:", "Text", "9", "Cd:", "1"]
+    rows = spark.createDataFrame([(d, i, x) for d in ("d", "e") for i, x in enumerate(lines)] + [(None, 0, "Ab:"), (None, 1, "3"), ("n", 1, None)], "document_id string, reading_order int, content string")
+    out = extract.spec_pairs(rows)
+    assert sorted(tuple(r) for r in out.collect()) == sorted((d, *x) for d in ("d", "e") for x in [("Make", "KSB", 0), ("Model", "5", 1), ("Speed", "6", 2), ("Cd", "1", 12)])
+    assert "Join" not in plan_of(out)
+
+
 def test_cells_go_with_their_row(spark):
     cells = spark.createDataFrame([("t", r, c, x, r * 10) for r, xs in enumerate((["a", "b"], [" a", "b "], ["a", None], ["a", ""], ["b", "a"])) for c, x in enumerate(xs)] + [("u", 7, 0, "a", 1), (None, 1, 0, "a", 1)], "table_id string, row int, col int, content string, more int")
     out = tables.drop_repeated_rows(cells)
