@@ -40,6 +40,21 @@ def conflicts(claims: DataFrame) -> DataFrame:
     return groups.where("n_claims >= 2 and n_places >= 2").withColumn("status", F.when(F.col("n_values") > 1, "potential_conflict").otherwise("corroborated"))
 
 
+def counts_of_cube(claims: DataFrame) -> DataFrame:
+    """AGG15: (predicate, location, n, subjects): claims and their distinct subjects by both, by either and in all; null stands for every value.
+
+    A subject has one row a predicate and location, and of these the first of its predicate, of its location and of all is marked; so the
+    subjects of every level are sums, and rows are not made once a level.
+    """
+    pairs = claims.groupBy("subject", "predicate", "location").agg(F.count(F.lit(1)).alias("n"))
+    new = lambda by, *order: F.when(F.col("subject").isNotNull() & (F.row_number().over(Window.partitionBy("subject", *by).orderBy(*order)) == 1), 1).otherwise(0)
+    marked = pairs.select("*", new([], "predicate", "location").alias("a"), new(["predicate"], "location").alias("p"), new(["location"], "predicate").alias("l"), F.col("subject").isNotNull().cast("int").alias("pl"))
+    few = marked.groupBy("predicate", "location").agg(*[F.sum(c).alias(c) for c in ("n", "a", "p", "l", "pl")])
+    level = F.grouping_id()
+    subjects = F.when(level == 0, F.sum("pl")).when(level == 1, F.sum("p")).when(level == 2, F.sum("l")).otherwise(F.sum("a"))
+    return few.cube("predicate", "location").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(subjects, F.lit(0)).alias("subjects"))
+
+
 def linked_conflicts(claims: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """AGG3, JOI8, VAL6: per claim, how many of another page agree with it or contradict it, with the same unit, too.
 

@@ -120,6 +120,14 @@ def test_claims_of_a_group_are_shuffled_once(spark):
     assert "Expand" not in plan_of(out) and plan_of(out).count("Exchange hash") == 2  # the plan and its first form
 
 
+def test_subjects_of_a_cube_are_sums(spark):
+    rows = spark.createDataFrame([(None if i == 5 else f"s{i % 5}", f"p{i % 2}", None if i % 7 == 0 else f"l{i % 3}") for i in range(40)], "subject string, predicate string, location string")
+    out = claim_rows.counts_of_cube(rows)
+    want = rows.cube("predicate", "location").agg(F.count(F.lit(1)), F.countDistinct("subject"))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert claim_rows.counts_of_cube(rows.limit(0)).count() == rows.limit(0).cube("predicate", "location").count().count()
+
+
 def test_labels_meet_values_without_a_join(spark):
     lines = ["Make: KSB", "Model:", "Speed:", "5", "6", "Text", "Ab:", "7", "8", "Bc:", "Text", "9", "Cd:", "1"]
     rows = spark.createDataFrame([(d, i, x) for d in ("d", "e") for i, x in enumerate(lines)] + [(None, 0, "Ab:"), (None, 1, "3"), ("n", 1, None)], "document_id string, reading_order int, content string")
