@@ -141,3 +141,11 @@ def test_cells_go_with_their_row(spark):
     out = tables.drop_repeated_rows(cells)
     assert out.columns == cells.columns and sorted(tuple(r) for r in out.collect()) == sorted([("t", 0, 0, "a", 0), ("t", 0, 1, "b", 0), ("t", 2, 0, "a", 20), ("t", 2, 1, None, 20), ("t", 4, 0, "b", 40), ("t", 4, 1, "a", 40), ("u", 7, 0, "a", 1)])
     assert "Join" not in plan_of(out)
+
+
+def test_stored_elements_are_shuffled_once(spark):
+    from factloom.plans import all_queries
+
+    out = all_queries()["src5_chunks_with_elements"](spark, "/root/testdata/sf0.001")
+    assert plan_of(out).count("Exchange hash") == 2  # elements, once without repeats, and a chunk's elements
+    assert out.count() == out.select("chunk_id").distinct().count() > 0 and out.where("n <> size(split(elements, ','))").count() == 0
