@@ -35,28 +35,28 @@ def standing_instructions(rows: DataFrame) -> DataFrame:
     row speaks of a standing instruction sets the columns; a table after it without such a row goes on with them if its first row
     holds a number. Tables of fewer than three columns and rows without a number are passed over. The first row of a number
     wins. Only first rows are ordered within a document; all others meet their table's columns by its key. Null cells are empty.
+    A number is looked for where a slash is, once a cell, columns only where a first row sets them, and only cells of the rows that win are
+    made plain.
     """
     given = rows.select("document_id", "place", "row", "page", F.transform(F.coalesce("cells", F.array().cast("array<string>")), text.text_of).alias("cells"))
-    low = F.transform("cells", F.lower)
-    at = lambda test, default: F.coalesce(F.nullif(F.array_position(F.transform(low, test), True).cast("int"), F.lit(0)) - 1, default)
+    numbers = F.filter(F.transform(F.filter("cells", lambda x: x.contains("/")), lambda x: F.regexp_extract(plain(x), INSTRUCTION, 0)), lambda x: x != "")
+    listed = given.select("*", F.explode_outer(F.slice(numbers, 1, 1)).alias("found")).where("found is not null")
     says = lambda x, *words: x.contains(words[0]) if len(words) == 1 else x.contains(words[0]) | says(x, *words[1:])
-    roles = F.struct(
-        at(lambda x: says(x, "title"), F.lit(2)).alias("title"), at(lambda x: says(x, "date"), F.lit(3)).alias("date"),
-        at(lambda x: says(x, "expired", "incorporated", "status"), F.size("cells") - 1).alias("status"),
-    )
-    first = given.where("row = 0").dropDuplicates(["document_id", "place"]).where(F.size("cells") >= 3)
-    heads = first.select("document_id", "place", F.exists(low, lambda x: x.contains("standing instruction")).alias("headed"), F.exists("cells", lambda x: x.rlike(INSTRUCTION)).alias("numbered"), roles.alias("own"))
+    at = lambda default, *words: F.when(F.col("headed"), F.coalesce(F.nullif(F.array_position(F.transform("cells", lambda x: says(F.lower(x), *words)), True).cast("int"), F.lit(0)) - 1, default))
+    headed, numbered = F.exists("cells", lambda x: F.lower(x).contains("standing instruction")), F.exists("cells", lambda x: x.contains("/") & x.rlike(INSTRUCTION))
+    first = given.where("row = 0").where(F.size("cells") >= 3).select("document_id", "place", "cells", headed.alias("headed"), numbered.alias("numbered")).where("headed or numbered")
+    placed = first.select("document_id", "place", "headed", "numbered", at(F.lit(2), "title").alias("title"), at(F.lit(3), "date").alias("date"), at(F.size("cells") - 1, "expired", "incorporated", "status").alias("status"))
+    heads = placed.dropDuplicates(["document_id", "place"]).select("document_id", "place", "headed", "numbered", F.struct("title", "date", "status").alias("own"))
     w = Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     used = heads.withColumn("at", F.last(F.when(F.col("headed"), F.col("own")), True).over(w)).where("headed or (numbered and at is not null)").select("document_id", "place", "headed", "at")
-    cells = F.transform("cells", plain)
-    listed = given.withColumn("cells", cells).withColumn("found", F.filter("cells", lambda x: x.rlike(INSTRUCTION))).where(F.size("found") > 0)
     met = listed.join(used, ["document_id", "place"]).where("not headed or row > 0")
     cell = lambda role: F.coalesce(F.get("cells", F.col(f"at.{role}")), F.lit(""))
-    read = met.select("document_id", reference_number(F.regexp_extract(F.col("found")[0], INSTRUCTION, 0)).alias("number"), F.struct("place", "row", cell("title").alias("title"), cell("date").alias("issue_date"), cell("status").alias("remark"), "page").alias("r"))
+    read = met.select("document_id", reference_number(F.col("found")).alias("number"), F.struct("place", "row", cell("title").alias("title"), cell("date").alias("issue_date"), cell("status").alias("remark"), "page").alias("r"))
     kept = read.groupBy("document_id", "number").agg(F.min("r").alias("r"))
-    remark = F.col("r.remark")
+    kept = kept.select("document_id", "number", plain(F.col("r.title")).alias("title"), plain(F.col("r.issue_date")).alias("issue_date"), plain(F.col("r.remark")).alias("remark"), "r.page")
+    remark = F.col("remark")
     status = F.when(remark.rlike("(?i)expired"), "expired").when(remark.rlike("(?i)invalid|cancel"), "cancelled").when(remark.rlike("(?i)incorporated"), "incorporated").otherwise("in_use")
-    return kept.select("document_id", "number", "r.title", "r.issue_date", status.alias("status"), F.regexp_extract(remark, IN_CHAPTER, 1).alias("chapter"), "r.remark", "r.page")
+    return kept.select("document_id", "number", "title", "issue_date", status.alias("status"), F.regexp_extract(remark, IN_CHAPTER, 1).alias("chapter"), "remark", "page")
 
 
 def document_types(elements: DataFrame, early: int = 5, most: int = 2000) -> DataFrame:

@@ -51,7 +51,7 @@ query("stc9_standing_instructions", f"""WITH r AS (SELECT document_id, place, "r
   n AS (SELECT c.*, pos, upper(regexp_replace(regexp_extract(list_filter(cells, lambda x: regexp_matches(x, '{registers.INSTRUCTION}'))[1], '{registers.INSTRUCTION}'), '\\s+', '', 'g')) AS number FROM c JOIN u ON u.document_id = c.document_id AND u.place = c.place WHERE (headed OR numbered AND pos IS NOT NULL) AND NOT (headed AND "row" = 0)),
   k AS (SELECT document_id, number, coalesce(cells[pos[1]], '') AS title, coalesce(cells[pos[2]], '') AS issue_date, coalesce(cells[pos[3]], '') AS remark, page FROM n WHERE number <> '' QUALIFY row_number() OVER (PARTITION BY document_id, number ORDER BY place, "row") = 1)
   SELECT *, CASE WHEN remark ILIKE '%expired%' THEN 'expired' WHEN remark ILIKE '%invalid%' OR remark ILIKE '%cancel%' THEN 'cancelled' WHEN remark ILIKE '%incorporated%' THEN 'incorporated' ELSE 'in_use' END AS status, coalesce(regexp_extract(remark, '{registers.IN_CHAPTER}', 1), '') AS chapter FROM k""")(
-    lambda t: registers.standing_instructions(t.sql(REGISTER_ROWS).withColumn("cells", F.split("line", "[|]"))))
+    lambda t: registers.standing_instructions(t.sql(REGISTER_ROWS).withColumn("cells", F.split("line", r"\|"))))
 
 PAGED = """SELECT concat('d', CAST(o_custkey % 40 AS STRING)) AS document_id, CAST(1 + o_orderkey % 60 AS INT) AS page, o_orderkey AS reading_order, CAST(CASE WHEN o_custkey % 40 < 3 THEN 0 WHEN o_orderkey % 9 = 0 AND o_custkey % 40 > 20 THEN 1 WHEN o_orderkey % 9 < 3 THEN 2 ELSE 0 END AS INT) AS heading_level,
   concat(CASE WHEN o_orderkey % 9 < 2 AND o_custkey % 3 = 0 THEN ' Section ' ELSE ' T' END, CAST(o_orderkey AS STRING), CASE WHEN o_custkey % 40 = 5 THEN ' Process Flow sheet' WHEN o_custkey % 40 = 6 AND o_orderkey % 3 = 0 THEN ' MSDS' WHEN o_orderkey % 271 = 1 THEN ' O&M Manual' WHEN o_orderkey % 50 = 3 THEN ' corrosion' ELSE '' END,

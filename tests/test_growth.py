@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import tags
 from factloom.operators import claims as claim_rows
-from factloom.operators import elements, entities, extract, graph, joins, plans, requests, retrieval, security, tables
+from factloom.operators import elements, entities, extract, graph, joins, plans, registers, requests, retrieval, security, tables
 
 
 def plan_of(df):
@@ -143,6 +143,13 @@ def test_cells_go_with_their_row(spark):
     assert "Join" not in plan_of(out)
 
 
+def test_numbers_are_looked_for_where_a_slash_is(spark):
+    rows = [("d", 1, 0, ["No", "Standing Instruction No", "Title", "Date", "Status"], 3), ("d", 1, 1, ["1", "ab  / PROD / SI / 7", " a  title", "now", "expired"], 3), ("d", 1, 2, ["2", "none / here", "x", "y", "z"], 3), ("d", 2, 0, ["1", "AB / SI / 8", "t", "D", None], 4), ("d", 2, 1, ["1", "AB / SI / 7", "late", "D", ""], 4), ("e", 1, 0, ["1", "AB / SI / 8", "t"], 4)]
+    out = registers.standing_instructions(spark.createDataFrame(rows, "document_id string, place int, row int, cells array<string>, page int"))
+    assert sorted((r.document_id, r.number, r.title, r.status, r.page) for r in out.collect()) == [("d", "AB/PROD/SI/7", "a title", "expired", 3), ("d", "AB/SI/7", "late", "in_use", 4), ("d", "AB/SI/8", "t", "in_use", 4)]
+    assert ", /)" in plan_of(out)  # a slash is looked for before the pattern
+
+
 def test_stored_elements_are_shuffled_once(spark):
     from factloom.plans import all_queries
 
