@@ -84,7 +84,7 @@ def scope_probe(requests: DataFrame, records: DataFrame, documents: DataFrame, e
     of entities that are asked for are read on, and requests are dealt over tasks before they meet lists, so an entity of many is no hot key.
     """
     limit = F.create_map(*[F.lit(x) for p in most.items() for x in p])
-    asked = requests.select("request_id", "role", "entity_uid").distinct()
+    asked = requests.select("request_id", F.coalesce("role", F.lit("guest")).alias("role"), "entity_uid").distinct()
     wanted = few(asked.select("entity_uid").distinct())
     tagged = (
         records.where(F.col("kind").isin(*most) & F.col("id").isNotNull()).select("entity_uid", "document_id", "kind", "id", "weight").join(wanted, "entity_uid", "left_semi").distinct()
