@@ -13,6 +13,8 @@ from .graph import settle
 
 #: So many rows of one token meet the other side in one task; a token of more is dealt over several.
 TOKEN_ROWS = 4_096
+#: A word of more sets than this is common: sets that share only common words meet as kinds, not one by one.
+COMMON_SETS = 64
 #: What rounding may take from a share of a whole number.
 TINY = 1e-9
 
@@ -32,14 +34,15 @@ def _spread(left: DataFrame, right: DataFrame) -> DataFrame:
     return dealt.join(copied, ["token", "__part"]).drop("__part")
 
 
-def similar_sets(left: DataFrame, right: DataFrame, least: float = 0.5, contained: int | None = None) -> DataFrame:
+def similar_sets(left: DataFrame, right: DataFrame, least: float = 0.5, contained: int | None = None, rare: int | None = None) -> DataFrame:
     """JOI6: (left_id, right_id, common, union) of token sets (id, tokens) whose Jaccard similarity is at least ``least``.
 
     With ``contained``, also those whose left set has so many tokens or more and lies in the right one. Give classes
     (``set_classes``) rather than rows, or equal sets are paired one by one. In the order of global frequency two similar
     sets share one of their rarest tokens, so only these meet, within the lengths and places that the similarity
     allows; a pair meets at several tokens but is taken at the first that both have, so nothing is made distinct. A left
-    set that lies in another meets it at its rarest token alone. Empty sets meet nothing.
+    set that lies in another meets it at its rarest token alone. Empty sets meet nothing. With ``rare``, only pairs that
+    share a token of at most so many sets of both sides: the first that they share is one.
     """
     kinds = {"left_id": left.schema["id"].dataType, "right_id": right.schema["id"].dataType}
     own = lambda df, side: df.select(F.lit(side).alias("side"), *[(F.col("id") if c == side else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()], "tokens")
@@ -48,6 +51,8 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float = 0.5, containe
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ordered = tokens.join(frequency, "token").groupBy("side", *kinds).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("t")).withColumn("n", F.size("t"))
     placed = ordered.select("side", *kinds, "t", "n", F.posexplode("t").alias("place", "token"))
+    if rare is not None:
+        placed = placed.join(frequency.where(F.col("df") <= rare).select("token"), "token", "left_semi")
     prefix = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - TINY))
     a = prefix.where("side = 'left_id'").select("token", "left_id", F.col("t").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
     side = lambda df: df.where("side = 'right_id'").select("token", "right_id", F.col("t").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
@@ -68,6 +73,19 @@ def words_of_key(key: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.replace(key, F.lit("-"), F.lit(" ")), " "), lambda w: w != ""))
 
 
+def _kinds(left: DataFrame, right: DataFrame, owners: DataFrame) -> DataFrame:
+    """(id, tokens, entity_uid, tagged, n): the ``owners`` (id, entity_uid, tagged, n) of the sets of ``right`` (id, tokens) that have common words, by kind: these words and how many there are in all.
+
+    A kind's set is its common words and as many blanks as it has others, so it is as long as each of its sets.
+    """
+    words = left.unionByName(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    common = words.where(F.col("df") > COMMON_SETS).select("token")
+    held = right.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(common, "token").groupBy("id", "size").agg(F.array_sort(F.collect_list("token")).alias("words"))
+    blanks = F.slice(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.concat(F.lit("\t"), i)), F.lit(1), F.col("size") - F.size("words"))
+    kinds = held.select("id", F.concat("words", blanks).alias("tokens"))
+    return kinds.join(owners, "id").select(F.array_join("tokens", " ").alias("id"), "tokens", "entity_uid", "tagged", "n").distinct()
+
+
 def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
     """WIN5: (request_id, entity_uid, tier, score, rank): the entities that a mention (request_id, mention) may mean, the best first.
 
@@ -80,6 +98,8 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
 
     The first tiers are one join of equality: a mention becomes a row a key, and tags are listed by their endings, too. The owners of
     one name count alike for a mention, so only the ``most`` of them that win a tie meet the mentions; mentions of equal words are compared once.
+    So do the owners of names of one length that share the same common words with a mention, and no other: they meet it as one kind
+    (``_kinds``), not name by name. One that shares a rarer word, too, is met by that, and its better score counts.
     """
     asked = mentions.select("request_id", F.trim(text.text_of("mention")).alias("mention")).where("mention <> ''").distinct()
     tag = parse_tag(F.replace(F.regexp_replace("mention", r"\s*-\s*", "-"), F.lit(" "), F.lit("")))
@@ -90,9 +110,10 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     tiers = F.array(tier(F.col("own"), "tag", 1.0), tier(F.col("parent"), "parent", 0.9), tier(F.col("name"), "alias", 0.95), tier(ending, "suffix", 0.8))
     keys = parsed.select("request_id", F.explode(tiers).alias("t")).select("request_id", "t.*").where("key is not null and key <> ''")
     weights = entities.select("entity_uid", F.coalesce(F.col("canonical_tag") != "", F.lit(False)).alias("tagged"), F.coalesce("mention_count", F.lit(0)).alias("n"))
-    first = Window.partitionBy("key").orderBy(F.desc_nulls_last(F.when(F.col("n").isNotNull(), F.when(F.col("tagged"), 200).otherwise(0) + F.least("n", F.lit(200)))), "entity_uid")
-    cut = lambda df: df.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= most).drop("__r")
-    owned = aliases.select("entity_uid", text.norm_alias("alias").alias("key")).where("key <> ''").distinct()
+    first = [F.desc_nulls_last(F.when(F.col("n").isNotNull(), F.when(F.col("tagged"), 200).otherwise(0) + F.least("n", F.lit(200)))), F.col("entity_uid")]
+    cut = lambda df, by="key": df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*first))).where(F.col("__r") <= most).drop("__r")
+    named = F.filter(F.array(text.norm_alias("alias")), lambda k: k != "")  # a filter of rows would be done before they are dealt out
+    owned = aliases.repartition("entity_uid").select("entity_uid", F.explode(named).alias("key")).distinct()
     known = settle(cut(owned.join(weights, "entity_uid", "left")))
     parts = F.split("key", "-")
     endings = known.where(F.size(parts) > 1).select("entity_uid", "tagged", "n", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("\t"), F.array_join(F.slice(parts, i, 64), "-")))).alias("key"))
@@ -103,8 +124,11 @@ def resolve_mentions(mentions: DataFrame, aliases: DataFrame, entities: DataFram
     wanted = set_classes(lacking.select("request_id", F.array_except(words_of_key(F.col("name")), F.array(*[F.lit(w) for w in STOP_WORDS])).alias("tokens")), "request_id").where("size(tokens) > 0")
     offered = set_classes(known.where(~F.contains("key", F.lit("-")) | (F.size(words_of_key(F.col("key"))) > 2)).select("key", words_of_key(F.col("key")).alias("tokens")).distinct(), "key")
     sets = lambda df: df.select(F.col("class_id").alias("id"), "tokens").distinct()
-    pairs = similar_sets(settle(sets(wanted)), settle(sets(offered)), 0.5, contained=2)
-    near = pairs.join(offered.select("key", F.col("class_id").alias("right_id")), "right_id").join(known.where("n is not null"), "key")
+    left, right = settle(sets(wanted)), settle(sets(offered))
+    owners = offered.select("key", F.col("class_id").alias("id")).join(known.where("n is not null"), "key").select("id", "entity_uid", "tagged", "n")
+    kinds = settle(cut(_kinds(left, right, owners), "id"))
+    met = lambda pairs, of: pairs.join(of.withColumnRenamed("id", "right_id"), "right_id").select("left_id", "entity_uid", "tagged", "n", "common", "union")
+    near = met(similar_sets(left, right, 0.5, contained=2, rare=COMMON_SETS), owners).unionByName(met(similar_sets(left, kinds.select("id", "tokens").distinct(), 0.5, contained=2), kinds.drop("tokens")))
     order = F.round(F.col("score") + F.when(F.col("tagged"), 0.02).otherwise(0.0) + F.least("n", F.lit(200)) / 10000, 9)
     alike = near.groupBy("left_id", "entity_uid", "tagged", "n").agg(F.max(0.5 + 0.4 * F.col("common") / F.col("union")).alias("score"))
     nearest = alike.withColumn("__r", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc(order), "entity_uid"))).where(F.col("__r") <= most)

@@ -59,6 +59,28 @@ def test_mentions_go_through_the_tiers(spark):
     assert matching.resolve_mentions(mentions.limit(0), aliases, entities).count() == 0
 
 
+def test_mentions_of_common_words_meet_kinds_of_names(spark, monkeypatch):
+    compared, similar = [], matching.similar_sets
+    monkeypatch.setattr(matching, "similar_sets", lambda *a, **k: compared.append(similar(*a, **k)) or compared[-1])
+    tags = [(f"t{i:03d}", f"12-{'CE'[i % 2]}-{i:05d}", i * 7 % 50) for i in range(300)]
+    names = [(f"n{i:03d}", f"{('red', 'old', 'hot')[i % 3]} valve unit {i % 90}" + " spare" * (i % 4 == 0), i % 11) for i in range(200)]
+    said = [f"12 {'CE'[i % 2]} {i:05d}" for i in range(40)] + [f"12 C {i:05d}" for i in range(500, 540)] + ["valve unit", "the red valve of unit 17", "hot valve unit 3 room", "spare valve", "12 C"]
+    entities = spark.createDataFrame([(u, t, n) for u, t, n in tags] + [(u, None, n) for u, _, n in names], "entity_uid string, canonical_tag string, mention_count int")
+    aliases = spark.createDataFrame([(u, a) for u, a, _ in tags + names], "entity_uid string, alias string")
+    out = {}
+    for r in matching.resolve_mentions(spark.createDataFrame(list(enumerate(said)), "request_id int, mention string"), aliases, entities).orderBy("request_id", "rank").collect():
+        out.setdefault(r.request_id, []).append((r.entity_uid, r.tier, r.score))
+    for k, mention in enumerate(said):
+        a, best = set(mention.lower().split()) - {"the", "of"}, []
+        for (u, alias, n), extra in [(x, 0.02) for x in tags] + [(x, 0) for x in names]:
+            b = set(alias.lower().replace("-", " ").split())
+            if 2 * len(a & b) >= len(a | b) or len(a) >= 2 and a <= b:
+                score = 0.5 + 0.4 * len(a & b) / len(a | b)
+                best.append((-round(score + extra + n / 10000, 9), u, round(score, 6)))
+        assert out.get(k, []) == [(u, "fuzzy", s) for _, u, s in sorted(best)[:5]], mention
+    assert sum(p.count() for p in compared) < 80 * 20
+
+
 def plain_chunks(rows, target=800, most=1200):
     """Chunks by lists: [(numbers of elements, heading, path)] of one document."""
     made, current, used, heading, path = [], [], 0, "", ""
