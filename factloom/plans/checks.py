@@ -77,6 +77,6 @@ query("stc2_page_chapter_map", f"SELECT document_id, page, arg_min(chapter, (pri
 HEADS = "SELECT concat('d', CAST(o_custkey % 50 AS STRING)) AS document_id, o_orderkey AS ord, CAST(1 + o_custkey % 4 AS INT) AS level, o_orderkey AS page FROM orders"
 query("stc4_section_ends", f"WITH h AS ({HEADS}) SELECT document_id, ord, greatest(page, coalesce((SELECT min(n.page) - 1 FROM h n WHERE n.document_id = h.document_id AND n.ord > h.ord AND n.level <= h.level), 99999)) AS page_end FROM h")(
     lambda t: tables.section_ends(t.sql(HEADS), 99999).select("document_id", "ord", "page_end"))
-LISTED = "SELECT CAST(l_orderkey AS STRING) AS table_id, CAST(l_linenumber * 100000 + l_partkey AS INT) AS row, c AS col, CASE c WHEN 0 THEN 'x' WHEN 1 THEN concat('11-P-', CAST(l_partkey AS STRING)) ELSE concat('pump no ', CAST(l_linenumber AS STRING), ' at ', CAST(l_partkey AS STRING)) END AS content, false AS is_header FROM lineitem LATERAL VIEW explode(sequence(0, 2)) AS c UNION ALL SELECT CAST(o_orderkey AS STRING), -1, 2, 'Service', true FROM orders"
+LISTED = "SELECT CAST(l_orderkey AS STRING) AS table_id, concat_ws('-', CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING)) AS row, c AS col, CASE c WHEN 0 THEN 'x' WHEN 1 THEN concat('11-P-', CAST(l_partkey AS STRING)) ELSE concat('pump no ', CAST(l_linenumber AS STRING), ' at ', CAST(l_partkey AS STRING)) END AS content, false AS is_header FROM lineitem LATERAL VIEW explode(sequence(0, 2)) AS c UNION ALL SELECT CAST(o_orderkey AS STRING), '', 2, 'Service', true FROM orders"
 query("ext9_equipment_columns", """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), n AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_partkey < 100000) >= 2 AND count(*) FILTER (l_partkey < 100000) * 3 >= count(*)) SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS table_id, '11-P-' || l_partkey AS tag, 'pump no ' || l_linenumber || ' at ' || l_partkey AS description FROM l WHERE l_partkey < 100000 AND l_orderkey IN (FROM n)""")(
     lambda t: tables.equipment_columns(t.sql(LISTED)))

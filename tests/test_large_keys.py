@@ -43,3 +43,13 @@ def test_a_repeated_redirect_adds_no_rows(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "uid string, n int")
     to = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x")], "uid string, target_uid string")
     assert sorted(tuple(r) for r in entities.redirect(rows, to).collect()) == [("b", 2), ("x", 1), ("x", 3)]
+
+
+def test_rows_of_a_table_are_told_apart_by_any_part_key(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * REPLACE (CAST(7 AS BIGINT) AS l_orderkey, CAST(k AS BIGINT) AS l_partkey, CAST(n AS INT) AS l_linenumber) FROM (SELECT * FROM '{DATA}/lineitem.parquet' LIMIT 1) l, (VALUES (102382, 1), (2382, 2), (5, 3)) v(k, n)")
+    con.execute(f"CREATE VIEW orders AS SELECT * REPLACE (CAST(7 AS BIGINT) AS o_orderkey) FROM (SELECT * FROM '{DATA}/orders.parquet' LIMIT 1) o")
+    for name in ("lineitem", "orders"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    rows = all_queries()["ext9_equipment_columns"](spark, str(tmp_path)).select("table_id", "tag", "description").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT table_id, tag, description FROM ({all_sql()['ext9_equipment_columns']})").fetchall())
