@@ -31,7 +31,7 @@ STEP_MARKER = r"(?i)^\s*(?:\(?\d{1,2}[.)]|\(?[a-z][.)]|\(?[ivx]{1,4}[.)]|[-•
 LABEL_END = r":\s*(?:\([^)]*\))?\s*$"
 PROCEDURE_WORD = r"(?i)procedure|start\s*-?\s*up|shut\s*-?\s*down|commission|change\s*-?\s*over|check\s*-?\s*list|emergency|isolation|\bsteps\b|activities|\bactions\b|precaution|preparation|sequence"
 CROSS_REFERENCE = r"(?i)\b(Chapter|Section|Annexure|Appendix)\s*[-–:]?\s*(\d{1,3}(?:\.\d{1,3})*)\b(?!\s*of\s+\d)"
-STANDARD = r"(?i)\b((?:IS|OISD|IBR|ASME|ANSI|NFPA)\s*[-:]?\s*(?:STD\s*[-:]?\s*)?[A-Z]?\d{2,5}(?:\s*-\s*\d{1,4})?|(?:ASTM|API)\s*[-:]?\s*[A-Z]?\s*-?\s*\d{2,5}(?:\s*-\s*\d{1,4})?)"
+STANDARD = r"(?i)\b((?:IS|OISD|IBR|ASME|ANSI|NFPA)\s*[-:]?\s*(?:STD\s*[-:]?\s*)?[A-Z]?\d{2,5}(?!\d)(?:\s*-\s*\d{1,4})?|(?:ASTM|API)\s*[-:]?\s*[A-Z]?\s*-?\s*\d{2,5}(?!\d)(?:\s*-\s*\d{1,4})?)"
 UNIT_WORD = r"(?i)\b(?:kg/cm2|kg/hr|kg/h|m3/hr|m3/h|°c|bar|psi|mmhg|rpm|kw|ppm|wt%|vol%)"
 TAG_WORD = r"\b\d{1,3}-[A-Z]{1,4}-\d{1,5}[A-Z]?\b"
 
@@ -149,7 +149,7 @@ def cross_references(elements: DataFrame) -> DataFrame:
 
 
 def standards(elements: DataFrame) -> DataFrame:
-    """STC8: standards that are named, normalised, with the first place of each (document_id, reading_order)."""
+    """STC8: standards that are named, normalised, with the first place of each (document_id, reading_order). A longer number is none, nor are its first five digits."""
     rows = elements.select("document_id", "reading_order", F.explode(F.regexp_extract_all("content", F.lit(STANDARD), F.lit(1))).alias("raw"))
     number = F.upper(F.regexp_replace(F.regexp_replace(F.trim("raw"), r"\s+", " "), r"\s*([-/])\s*", "$1"))
     return rows.select("document_id", "reading_order", number.alias("number")).where(F.length("number") >= 5).groupBy("document_id", "number").agg(F.min("reading_order").alias("first_at"), F.count(F.lit(1)).alias("n"))

@@ -45,6 +45,12 @@ def test_references_and_glossary(spark):
     assert {(r.term, r.meaning, r.source) for r in elements.glossary(entries, frame).collect()} == {("cdu", "crude unit", "table"), ("ESD", "Emergency Shut Down", "inline")}
 
 
+def test_a_longer_number_names_no_standard(spark):
+    said = ["as per IS 451000", "as per IS 45100", "IS 45100-2009 and IS 451001-2009", "API 123456; ASTM D-123456", "API 610"]
+    frame = spark.createDataFrame([("d", i, s) for i, s in enumerate(said)], "document_id string, reading_order int, content string")
+    assert {(r.number, r.first_at, r.n) for r in elements.standards(frame).collect()} == {("IS 45100", 1, 1), ("IS 45100-2009", 2, 1), ("API 610", 4, 1)}
+
+
 @pytest.mark.parametrize("mention,expect,best,adopted", [("12-3-01", "Pump", "12-P-01", None), ("12-3-01", "Exchanger", "12-E-01", None), ("11-E-1", None, "11-E-01", True), ("8.0 to 9.0", None, None, None)])
 def test_tag_suggestions(spark, mention, expect, best, adopted):
     entities = spark.createDataFrame([("12-P-01", "Pump", 40), ("12-PM-01", "Pump", 2), ("12-E-01", "Exchanger", 9), ("11-E-01", "Exchanger", 5), ("11-E-02", "Exchanger", 5), ("11-P-01A", "Pump", 3)], "canonical_tag string, entity_type string, mention_count int")
