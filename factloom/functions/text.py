@@ -38,7 +38,7 @@ def token_estimate(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """STR6: cut after .!?; before a capital or bracket, and at line feeds; at least three characters."""
-    return F.filter(F.transform(F.split(text_of(c), "(?<=[.!?;])\\s+(?=[A-Z(\\[])|\\n+"), F.trim), lambda s: F.length(s) >= 3)
+    return F.filter(F.transform(F.split(text_of(c), "(?<=[.!?;])\\s+(?=[A-Z(\\[])|\\n+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 3)
 
 
 def last_sentences(c: Column | str, n: int = 2) -> Column:

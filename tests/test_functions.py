@@ -74,3 +74,7 @@ def test_tokens_aliases_sentences(spark):
 def test_quantities(spark):
     got = one(spark, "keep 12,5 kg/cm2 g and 40 m3/hr at 60 rpm", units.find_quantities)
     assert [(q.value, q.unit, q.basis) for q in got] == [(12.5, "kg/cm2g", "gauge"), (40.0, "m3/h", None), (60.0, "rpm", None)]
+
+
+def test_a_sentence_keeps_the_digits_of_its_place(spark):
+    assert one(spark, "\n".join(f" {i} is no. {i} " for i in range(60)), text.sentences) == [f"{i} is no. {i}" for i in range(60)]
