@@ -42,7 +42,7 @@ query("val15_composer_grounding", f"""SELECT answer_id, list_sort(list_filter(li
 query("val15_misnamed_tags", f"""WITH c AS (SELECT *, list_distinct(regexp_extract_all(CASE p_partkey % 5 WHEN 0 THEN 'boiler feed tank' WHEN 1 THEN p_name WHEN 3 THEN 'atmospheric ' || p_name ELSE '' END, '[a-z]{{4,}}')) AS w, lower(name || ' pump ' || canonical_tag) AS documented FROM ({COMPOSED}) x),
   s AS (SELECT *, len(list_filter(w, lambda v: contains(documented, v))) AS shared FROM c WHERE len(w) > 0)
   SELECT answer_id, canonical_tag AS tag, CASE WHEN shared * 2 < len(w) THEN 'name' ELSE 'qualifier' END AS kind FROM s WHERE shared * 2 < len(w) OR p_partkey % 5 = 3""")(
-    lambda t: (lambda c: grounding.misnamed(c, c.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias")), c).select("answer_id", "tag", "kind"))(t.sql(COMPOSED)))
+    lambda t: (lambda c: grounding.misnamed(c, c.select("entity_uid", F.explode(F.array("name", "canonical_tag")).alias("alias")), c, about="entity_uid").select("answer_id", "tag", "kind"))(t.sql(COMPOSED)))
 query("val17_draft_flags", "SELECT value, unit, document_id, min(claim_id) AS claim_id, count(*) AS n FROM claims_v WHERE grounding = 'weak' GROUP BY value, unit, document_id")(lambda t: op.draft_flags(t.claims_v))
 query("val10_representative_tables", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 20 THEN 3 ELSE 0 END + CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END DESC, p_partkey) = 1")(
     lambda t: op.representative(t.part, "p_brand", "p_partkey", F.when(F.col("p_size") > 20, 3).otherwise(0) + F.when(F.col("p_type").contains("STEEL"), 1).otherwise(0)))

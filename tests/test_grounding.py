@@ -19,3 +19,11 @@ def test_names_that_the_documents_do_not_give(spark):
     ]
     rows = grounding.misnamed(spark.createDataFrame(list(enumerate(said)), "answer_id int, answer string"), aliases, entities).orderBy("answer_id", "place").collect()
     assert [(r.answer_id, r.tag, r.kind) for r in rows] == [(0, "11-PM-01", "name"), (1, "11-C-01", "qualifier"), (4, "12-F-01", "qualifier"), (7, "12-F-01", "name"), (7, "12-F-01", "name")]
+
+
+def test_a_tag_of_several_means_the_one_that_the_answer_is_about(spark):
+    entities = spark.createDataFrame([("a", "11-P-01", "Red valve", "Pump", 9), ("b", "11-P-01", "Crude tank", "Pump", 5), ("c", "11-P-02", "Hot drum", "Pump", 1)], "entity_uid string, canonical_tag string, name string, entity_type string, mention_count int")
+    aliases = entities.selectExpr("entity_uid", "canonical_tag AS alias")
+    said = [(1, "11-p-01 (crude tank)", "b"), (2, "11-P-01 (crude tank)", "a"), (3, "11-P-01 (crude tank)", None), (4, "11-P-01 (red valve)", "c"), (5, "11-P-01 (red valve)", "b"), (6, "11-P-02 (crude tank)", "b"), (7, "11-P-01 (red valve)", "none")]
+    rows = grounding.misnamed(spark.createDataFrame(said, "answer_id int, answer string, entity string"), aliases, entities, about="entity").collect()
+    assert sorted((r.answer_id, r.kind) for r in rows) == [(2, "name"), (3, "name"), (5, "name"), (6, "name")]
