@@ -159,9 +159,9 @@ def prose_claims(sentences: DataFrame) -> DataFrame:
 def rule_relations(sentences: DataFrame, names: DataFrame) -> DataFrame:
     """EXT5: (chunk_id, subject, rel_type, object, confidence): sentence patterns between names; both known 0.75, one 0.6, none dropped.
 
-    ``names`` (name): known names, joined by their normalised form.
+    ``names`` (name): known names, joined by their normalised form. A name may hold a number of any length, unlike a tag.
     """
-    item = r"((?:\d{1,3}-)?[A-Z]{1,4}-\d{1,5}[A-Z]?|(?:[a-z]+ ){0,3}[a-z]+)"
+    item = r"((?:\d{1,3}-)?[A-Z]{1,4}-\d+[A-Z]?|(?:[a-z]+ ){0,3}[a-z]+)"
     rules = (
         (rf"{item} (?:feeds|flows to|is routed to|goes to) (?:the )?{item}", "FEEDS"), (rf"{item} (?:receives feed from|is fed from|is fed by) (?:the )?{item}", "RECEIVES_FROM"),
         (rf"{item} (?:discharges to|delivers to) (?:the )?{item}", "DISCHARGES_TO"), (rf"{item} takes suction from (?:the )?{item}", "SUCTION_FROM"),

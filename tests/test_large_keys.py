@@ -53,3 +53,9 @@ def test_rows_of_a_table_are_told_apart_by_any_part_key(spark, tmp_path):
         con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
     rows = all_queries()["ext9_equipment_columns"](spark, str(tmp_path)).select("table_id", "tag", "description").collect()
     assert sorted(map(tuple, rows)) == sorted(con.execute(f"SELECT table_id, tag, description FROM ({all_sql()['ext9_equipment_columns']})").fetchall())
+
+
+def test_relations_of_every_part_are_read(spark, shifted):
+    rows = all_queries()["ext5_rule_relations"](spark, shifted[0]).select("chunk_id", "subject", "object").collect()
+    assert sorted(int(r.chunk_id) for r in rows) == sorted(k for (k,) in shifted[1].execute("SELECT p_partkey FROM part WHERE p_partkey % 4 < 3").fetchall())
+    assert all(r.subject == f"11-P-{r.chunk_id}" and r.object.endswith(f"-{int(r.chunk_id) + 1}") for r in rows)
