@@ -59,3 +59,9 @@ def test_relations_of_every_part_are_read(spark, shifted):
     rows = all_queries()["ext5_rule_relations"](spark, shifted[0]).select("chunk_id", "subject", "object").collect()
     assert sorted(int(r.chunk_id) for r in rows) == sorted(k for (k,) in shifted[1].execute("SELECT p_partkey FROM part WHERE p_partkey % 4 < 3").fetchall())
     assert all(r.subject == f"11-P-{r.chunk_id}" and r.object.endswith(f"-{int(r.chunk_id) + 1}") for r in rows)
+
+
+def test_every_claim_mentions_a_tag(spark, shifted):
+    rows = all_queries()["ext8_tag_mentions"](spark, shifted[0]).collect()
+    assert sum(r.mentions for r in rows) == shifted[1].execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert max(len(r.tag.split("-")[-1]) for r in rows) == 5 and len({len(r.tag.split("-")[0]) for r in rows}) == 2
