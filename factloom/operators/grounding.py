@@ -49,7 +49,8 @@ def misnamed(answers: DataFrame, aliases: DataFrame, entities: DataFrame, most:
     """
     both = lambda pattern, tag, gloss: F.arrays_zip(F.regexp_extract_all(text_of("answer"), F.lit(pattern), F.lit(tag)).alias("tag"), F.regexp_extract_all(text_of("answer"), F.lit(pattern), F.lit(gloss)).alias("gloss"))
     own = F.col(about) if about else F.lit(None).cast("string")
-    said = answers.select("answer_id", own.alias("own"), F.posexplode(F.concat(both(NAMED_AFTER, 1, 2), both(NAMED_BEFORE, 2, 1))).alias("place", "g")).select("answer_id", "own", "place", "g.tag", "g.gloss")
+    dealt = answers.select("answer_id", own.alias("own"), "answer").repartition("answer_id")  # a small file is one task, and the patterns are slow
+    said = dealt.select("answer_id", "own", F.posexplode(F.concat(both(NAMED_AFTER, 1, 2), both(NAMED_BEFORE, 2, 1))).alias("place", "g")).select("answer_id", "own", "place", "g.tag", "g.gloss")
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("gloss"), F.lit("([a-z]{4,})"), F.lit(1)), lambda w: ~w.isin(*EMPTY_WORDS)))
     named = said.withColumn("words", words).where("size(words) > 0").withColumn("key", norm_alias("tag"))
     if about:
